@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_store
+from . import licences, packing, quality, token_store, warc
 from .common import table
 
 
@@ -24,6 +24,20 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(token_store.write_token_store(docs, vocabulary()), docs)
 
 
-QUERIES = {"op2_packing": op2_packing, "op3_token_store": op3_token_store}
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digest(licences.scan_licences(table(spark, sf_dir, "documents")))
 
-ORACLES: dict[str, str] = {}
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.digest(quality.apply_rules(docs, quality.learn_rules(docs, table(spark, sf_dir, "labels"))))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.write_archive(table(spark, sf_dir, "pages")))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_token_store, op4_licences, op7_quality, op10_warc)}
+
+#: Queries that SQL can express; the others are tested against brute force.
+ORACLES: dict[str, str] = {"op10_warc": warc.ORACLE}
