@@ -57,10 +57,10 @@ def file_system(uri: str):
     """pyarrow file system and path of a URI, also on executors (file, hdfs, s3, gs)."""
     from pyarrow import fs
 
-    if "://" not in uri:
-        uri = "file://" + os.path.abspath(uri)
-    elif uri.startswith("file:/") and not uri.startswith("file://"):
+    if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
+    elif "://" not in uri:
+        uri = "file://" + os.path.abspath(uri)
     return fs.FileSystem.from_uri(uri)
 
 
