@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, workspace
+from .common import drop, file_system, stage, workspace
 
 #: Payloads of fewer bytes are always stored as responses.
 REVISIT_BYTES = 1000
@@ -129,18 +129,19 @@ def write_archive(pages: DataFrame, folder: str | None = None) -> Archive:
     """
     spark = pages.sparkSession
     folder = folder or workspace(spark, "warc")
-    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha256", F.sha2("payload", 256))
     # first(payload): equal digests have equal bytes, and read() proves digest and bytes agree.
     rows.groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(f"{folder}/payloads")
-    facts = rows.select("page_id", "url", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    facts, path = stage(rows.select("page_id", "url", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes")), "warc-facts")
     newest = facts.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("sha256").agg(F.max("page_id").alias("newest"))
     typed = facts.join(newest, "sha256", "left")
     revisit = F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
     c = {k: F.col(k) for k in ("page_id", "url", "sha1", "payload_bytes", "record_type", "refers_to")}
     typed = typed.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("newest")))
     typed.select("page_id", "sha256", "record_type", _header(c).alias("header")).write.parquet(f"{folder}/headers")
+    drop(spark, path)
     return Archive(spark, folder)
 
 
