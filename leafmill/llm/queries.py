@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, packing, quality, substrings, token_store, warc
+from . import jaccard, licences, packing, quality, substrings, token_store, warc
 from .common import table
 
 
@@ -37,11 +37,15 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.write_archive(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_store, op4_licences, op7_quality, op8_substrings, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_token_store, op4_licences, op7_quality, op8_substrings, op9_jaccard, op10_warc)}
 
 #: Queries that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op10_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op9_jaccard": jaccard.ORACLE, "op10_warc": warc.ORACLE}
