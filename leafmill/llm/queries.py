@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, licences, packing, quality, substrings, token_store, warc
+from . import html_text, jaccard, language, licences, packing, quality, substrings, token_store, warc
 from .common import table
 
 
@@ -28,6 +28,14 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.digest(licences.scan_licences(table(spark, sf_dir, "documents")))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.digest(quality.apply_rules(docs, quality.learn_rules(docs, table(spark, sf_dir, "labels"))))
@@ -45,7 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.write_archive(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_store, op4_licences, op7_quality, op8_substrings, op9_jaccard, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_token_store, op4_licences, op5_html_text, op6_language, op7_quality, op8_substrings, op9_jaccard, op10_warc)}
 
 #: Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {"op9_jaccard": jaccard.ORACLE, "op10_warc": warc.ORACLE}
