@@ -190,12 +190,13 @@ def identify(docs: DataFrame, model: Hierarchy, keep: list[str] | None = None) -
     no rows. With nothing learned all are ``und``."""
     keep = keep or ["doc_id"]
     held = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col("text").cast("string").alias("_text_"))
+    at = keep.index("text") if "text" in keep else len(keep)
+    source = docs.select(*keep) if at < len(keep) else docs.select(*keep, F.col("text").cast("string").alias("_text_"))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [held.value.predict(t.as_py()) for t in b.column(len(keep))]
+            found = [held.value.predict(t.as_py()) for t in b.column(at)]
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], names=[*keep, "lang_pred", "score"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, jaccard, language, licences, packing, quality, substrings, token_store, warc
+from . import decontamination, html_text, jaccard, language, licences, packing, quality, substrings, token_store, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_power_of_two(table(spark, sf_dir, "documents"), vocabulary()))
 
@@ -53,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.write_archive(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_store, op4_licences, op5_html_text, op6_language, op7_quality, op8_substrings, op9_jaccard, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_token_store, op4_licences, op5_html_text, op6_language, op7_quality, op8_substrings, op9_jaccard, op10_warc)}
 
 #: Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {"op9_jaccard": jaccard.ORACLE, "op10_warc": warc.ORACLE}
