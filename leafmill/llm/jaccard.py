@@ -20,68 +20,48 @@ into blocks at random; afterwards only sets outside the group's largest componen
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, mix64, stage
 from .components import components
+from .words import SPACED, grams, word_hashes
 
 WORDS = 5
 NUM, DEN = 75, 100
-UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Counters of the frequency sketch: fixed, whatever the corpus, so it is broadcast (4 bytes each).
-SKETCH = 1 << 20
-PART = 1 << 14
+#: Counters of the frequency sketch: fixed, whatever the corpus, so it is broadcast (a byte each).
+SKETCH = 1 << 22
+PART = 1 << 16
 #: Orders besides the first one.
 ORDERS = (1, 2)
 #: Sets that are compared in one task at once.
 BLOCK = 4096
+#: Sizes and places from here on are not told apart in postings.
+LARGE = 65535
+#: Sets that meet at a token are tried pair by pair, by place and size, up to so many of them.
+TRIED = 64
 #: Buckets of postings at least; more where the session has more shuffle partitions.
 BUCKETS = 256
 #: Rows of the table of wanted documents (24 bytes each) up to which it is broadcast.
 BROADCAST_ROWS = 200_000
-WORD_CACHE = 500_000
 
 
-class _Words(dict):
-    """Word -> 64-bit hash."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        v = self[word] = xxhash.xxh3_64_intdigest(word)
-        return v
-
-
-def shingles(text: str | None, words: _Words) -> np.ndarray:
+def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    low = (text or "").translate(UPPER)
-    # str.split() also splits at white space beyond the contract's, which ASCII texts have not.
-    found = low.split() if low.isascii() and not _ODD.search(low) else WORD.findall(low)
-    if not found:
-        return np.zeros(0, np.uint64)
-    a = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    k = min(WORDS, len(a))
-    n, h = len(a) - k + 1, np.full(len(a) - k + 1, k, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(k):
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + a[j : j + n]
-    h = mix64(h)
+    words = word_hashes(text, SPACED)
+    if not len(words):
+        return words
+    h = grams(words, min(WORDS, len(words)))
     h.sort()
     return h[np.r_[True, h[1:] != h[:-1]]]
 
 
-_ODD = re.compile(r"[\x1c-\x1f]")
-
-
 def node_of(s: np.ndarray) -> int:
     """64-bit name of a set."""
     with np.errstate(over="ignore"):
@@ -106,63 +86,73 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, n, node) for each document, and at the end the task's counts in parts."""
-    words, counts = _Words(), np.zeros(SKETCH, np.uint32)
+    """A row (doc_id, n, node) for each document, and at the end the task's counts in parts. A task counts to
+    255: counts order the tokens, and a token that is so frequent in one task comes late anyway."""
+    counts, held = np.zeros(SKETCH, np.uint32), []
     rows: list[tuple] = []
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         ids, ns, nodes, parts, blobs = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "node", "part", "counts"])
 
+    def count() -> None:
+        np.add.at(counts, np.concatenate(held), np.uint32(1))
+        held.clear()
+
     for doc, text in _texts(batches):
-        s = shingles(text.as_py(), words)
-        np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
+        s = shingles(text.as_py())
+        held.append((s & np.uint64(SKETCH - 1)).astype(np.int64))
         rows.append((doc, len(s), node_of(s) if len(s) else None, None, None))
+        if len(held) >= 2000:
+            count()
         if len(rows) >= 20_000:
             yield batch(rows)
             rows = []
+    if held:
+        count()
     if rows:
         yield batch(rows)
     for i in range(0, SKETCH, PART):
         if counts[i : i + PART].any():
-            yield batch([(None, None, None, i // PART, counts[i : i + PART].tobytes())])
+            yield batch([(None, None, None, i // PART, zstandard.compress(np.minimum(counts[i : i + PART], 255).astype(np.uint8).tobytes(), 1))])
 
 
 def _add_counts(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(PART, np.uint64)
     for b in rows["counts"]:
-        total += np.frombuffer(b, np.uint32 if len(b) == 4 * PART else np.uint64)
-    return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [total.tobytes()]})
+        raw = zstandard.decompress(b)
+        total += np.frombuffer(raw, np.uint8 if len(raw) == PART else np.uint64)
+    return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [zstandard.compress(total.tobytes(), 1)]})
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
-    """Sum of the tasks' counts, as powers of two; SKETCH bytes, however large the corpus is."""
+    """Sum of the tasks' counts, as quarters of powers of two; SKETCH bytes, however large the corpus is."""
     salted = rows.where(F.col("part").isNotNull()).select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(256)).alias("salt"))
     some = salted.groupBy("part", "salt").applyInPandas(_add_counts, "part long, counts binary")
     out = np.zeros(SKETCH, np.uint8)
-    for r in some.groupBy("part").applyInPandas(_add_counts, "part long, counts binary").collect():
-        c = np.frombuffer(r.counts, np.uint64)
-        out[r.part * PART : (r.part + 1) * PART] = np.log2(np.maximum(c, 1).astype(np.float64)).astype(np.uint8)
+    for r in some.groupBy("part").applyInPandas(_add_counts, "part long, counts binary").toLocalIterator():
+        c = np.frombuffer(zstandard.decompress(r.counts), np.uint64)
+        out[r.part * PART : (r.part + 1) * PART] = np.minimum(4 * np.log2(np.maximum(c, 1).astype(np.float64)), 255).astype(np.uint8)
     return out
 
 
 def _postings(levels, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sketch, seen = _Words(), levels.value, set()
-        tokens, nodes, sizes, held = [], [], [], 0
+        sketch, seen = levels.value, set()
+        tokens, nodes, sizes, places, held = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            t, n, z = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
+            t, n, z, p = (np.concatenate(x) for x in (tokens, nodes, sizes, places))
             bucket = (t >> np.uint64(40)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
-            t, n, z, bucket = t[order], n[order], z[order], bucket[order]
+            t, n, z, p, bucket = t[order], n[order], z[order], p[order], bucket[order]
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             ends = np.r_[cut[1:], len(t)]
-            blob = [t[i:j].astype("<u4").tobytes() + n[i:j].astype("<i8").tobytes() + z[i:j].astype("<u2").tobytes() for i, j in zip(cut, ends, strict=True)]
+            blob = [t[i:j].astype("<u4").tobytes() + n[i:j].astype("<i8").tobytes() + z[i:j].astype("<u2").tobytes() + p[i:j].astype("<u2").tobytes() for i, j in zip(cut, ends, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blob, pa.binary())], names=["bucket", "rows"])
 
         for _, text in _texts(batches):
-            s = shingles(text.as_py(), words)
+            s = shingles(text.as_py())
             if not len(s):
                 continue
             node = node_of(s)
@@ -173,11 +163,12 @@ def _postings(levels, buckets: int):
             order = np.lexsort((s, sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[: prefix_size(len(s))]
             tokens.append(s[order])
             nodes.append(np.full(len(order), node))
-            sizes.append(np.full(len(order), min(len(s), 65535)))
+            sizes.append(np.full(len(order), min(len(s), LARGE)))
+            places.append(np.minimum(np.arange(len(order)), LARGE))
             held += len(order)
             if held >= 1_000_000:
                 yield flush()
-                tokens, nodes, sizes, held = [], [], [], 0
+                tokens, nodes, sizes, places, held = [], [], [], [], 0
         if held:
             yield flush()
 
@@ -185,30 +176,37 @@ def _postings(levels, buckets: int):
 
 
 def _groups(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sets that meet at a token, under the least of them. rows: postings of a bucket."""
-    t, n, z = [], [], []
-    for b in rows["rows"]:
-        k = len(b) // 14
-        t.append(np.frombuffer(b, "<u4", k))
-        n.append(np.frombuffer(b, "<i8", k, 4 * k))
-        z.append(np.frombuffer(b, "<u2", k, 12 * k))
-    t, n, z = np.concatenate(t), np.concatenate(n), np.concatenate(z).astype(np.int64)
+    """Sets that meet at a token, under the least of them. rows: postings of a bucket.
+
+    Of two sets whose first common token this is, no token before its place is shared: what is left of the shorter rest
+    must make up the overlap. Pairs that fail this here share an earlier token, where they are tried again."""
+    blobs = rows["rows"].tolist()
+    ks = [len(b) // 16 for b in blobs]
+    t, n, z, p = (np.concatenate([np.frombuffer(b, kind, k, off * k) for b, k in zip(blobs, ks, strict=True)]) for kind, off in (("<u4", 0), ("<i8", 4), ("<u2", 12), ("<u2", 14)))
+    z, p = z.astype(np.int64), p.astype(np.int64)
     order = np.lexsort((n, z, t))
-    t, n, z = t[order], n[order], z[order]
+    t, n, z, p = t[order], n[order], z[order], p[order]
     keep = np.r_[True, (t[1:] != t[:-1]) | (n[1:] != n[:-1])]
-    t, n, z = t[keep], n[keep], z[keep]
+    t, n, z, p = t[keep], n[keep], z[keep], p[keep]
     # Sizes ascend within a token: where two neighbours can't link, none across them can.
-    far = (DEN * z[:-1] < NUM * z[1:]) & (z[1:] < 65535)
-    first = np.r_[True, (t[1:] != t[:-1]) | far]
-    run = np.cumsum(first) - 1
-    size = np.bincount(run)
-    many = size[run] > 1
-    if not many.any():
-        return pd.DataFrame({"a": pd.Series([], dtype="int64"), "node": pd.Series([], dtype="int64")})
-    n, run = n[many], run[many]
-    start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    least = np.repeat(np.minimum.reduceat(n, start), np.diff(np.r_[start, len(n)]))
-    return pd.DataFrame({"a": least, "node": n}).drop_duplicates()
+    far = (DEN * z[:-1] < NUM * z[1:]) & (z[1:] < LARGE)
+    start = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | far])
+    size = np.diff(np.r_[start, len(t)])
+    out = []
+    for g in np.unique(size[size > 1]).tolist():
+        at = start[size == g][:, None] + np.arange(g)
+        if g > TRIED:
+            good = np.ones(at.shape, bool)
+        else:
+            zz, rest = z[at], np.where(z[at] < LARGE, z[at] - p[at], 1 << 30)
+            good = np.zeros(at.shape, bool)
+            for k in range(1, g):  # each set with that k places on
+                pair = np.minimum(rest[:, :-k], rest[:, k:]) * (DEN + NUM) >= NUM * (zz[:, :-k] + zz[:, k:])
+                good[:, :-k] |= pair
+                good[:, k:] |= pair
+        least = np.where(good, n[at], np.iinfo(np.int64).max).min(axis=1)
+        out.append(pd.DataFrame({"a": np.repeat(least, g)[good.ravel()], "node": n[at].ravel()[good.ravel()]}))
+    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": pd.Series([], dtype="int64"), "node": pd.Series([], dtype="int64")})
 
 
 # -- groups ---------------------------------------------------------------------------------
@@ -281,9 +279,9 @@ def forest(sets: Sets, left: np.ndarray, right: np.ndarray, root: list[int]) ->
 def _link_group(rows: pd.DataFrame) -> pd.DataFrame:
     """Links of a group or block: columns node, text, side (0: both, 1: left, 2: right), root."""
     rows = rows.drop_duplicates(["node", "side"]).reset_index(drop=True)
-    words, sets, keep = _Words(), [], []
+    sets, keep = [], []
     for k, (node, text) in enumerate(zip(rows["node"], rows["text"], strict=True)):
-        s = shingles(text, words)
+        s = shingles(text)
         if len(s) and node_of(s) == node:
             sets.append(s)
             keep.append(k)
