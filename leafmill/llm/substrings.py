@@ -259,6 +259,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows, _ = stage(source.mapInArrow(cut, "h long, t long, doc long, at long"), "segments")
     seg = rows.where(F.col("h").isNotNull())
     met = seg.groupBy("h").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).where("n > 1").select("h", (F.col("lo") == F.col("hi")).alias("all"))
+    # Staged, so that the join deals both sides anew and Spark can split a frequent anchor's rows.
+    met, _ = stage(met, "anchors-met")
     again, _ = stage(seg.join(met, "h"), "segments-again")
     chunk = F.shiftrightunsigned("doc", DOC_BITS).cast("long")
     whole = again.where("all").select("doc", "at", F.lit(0).cast("long").alias("i"), _windows(F.col("at")).alias("j"))
