@@ -28,7 +28,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """Piece -> ids as little-endian unsigned 32-bit bytes. At most ``limit`` pieces are kept."""
 
-    limit = 400_000
+    limit = 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,7 +71,7 @@ class Encoder(dict):
             ids = self._keep(low, self._model(low))
         if word is not piece:
             ids += self[piece[-1]] if piece[-1] in self else self._keep(piece[-1], self._library(piece[-1]))
-        return ids
+        return ids if piece is low else self._keep(piece, ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text (null: none) as little-endian unsigned 32-bit bytes."""
