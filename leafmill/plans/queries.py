@@ -408,3 +408,117 @@ _TYPES = "(VALUES ('default', 'x'), ('novel', 'a'), ('novel', 'b'), ('report', '
 def pattern_union(spark, sf_dir):
     """For an unknown kind of book: the patterns of all kinds but the default, each once."""
     return _fixture(spark, _TYPES).where("kind <> 'default'").select("pattern").distinct()
+
+
+# -- recognised pages -----------------------------------------------------------------------
+
+_LINES = """(VALUES
+  (1, 1, 0, 'I', 1200.0, 1280.0, NULL), (1, 1, 1, 'This is a first line of text that goes', 340.0, 2150.0, NULL), (1, 1, 2, 'on to the next line, which ends here.', 300.0, 2160.0, NULL),
+  (1, 1, 3, 'Another line of the same paragraph-', 301.0, 2150.0, NULL), (1, 1, 4, 'less page, and so it goes.', 299.0, 1900.0, NULL), (1, 1, 5, '1 A note about it.', 320.0, 1500.0, '1'),
+  (1, 2, 0, 'II', 1210.0, 1270.0, NULL), (1, 2, 1, 'more lines follow', 302.0, 2100.0, NULL), (1, 2, 2, '** Two stars.', 320.0, 1300.0, '**'), (2, 1, 0, 'EIN TITEL', 900.0, 1580.0, NULL), (2, 1, 1, 'MIT ZWEI ZEILEN', 905.0, 1575.0, NULL),
+  (2, 1, 2, 'Der Text beginnt.', 300.0, 2000.0, NULL), (2, 1, 3, 'Und er endet.', 300.0, 1000.0, NULL)
+) AS t(book_id, page_no, n, text, x0, x1, mark)"""
+LEVELS = [[{"pattern": "{roman-number}"}, {"pattern": "{title-in-capital-letters}", "multiple_lines": True}], [{"pattern": "§ {decimal-number}"}], []]
+OFFSETS = {"paragraph-start": 40, "footnote-start": {"expected_x0": 20, "tolerance": 5}}
+
+
+def ocr_lines(spark: SparkSession) -> DataFrame:
+    """Lines of two small books; a raised mark has symbols of its own."""
+    symbols = F.when(F.col("mark").isNotNull(), F.transform(F.split("mark", "(?!^)"), lambda c: F.struct(c.alias("text"), F.lit(0.0).alias("y0"), F.lit(10.0).alias("y1"), F.lit(40.0).alias("base_y1")))).otherwise(F.array(F.struct(F.lit("A").alias("text"), F.lit(0.0).alias("y0"), F.lit(38.0).alias("y1"), F.lit(40.0).alias("base_y1"))))
+    one = F.struct("text", F.col("x0").cast("double").alias("x0"), F.lit(0.0).alias("y0"), F.col("x1").cast("double").alias("x1"), F.lit(40.0).alias("y1"), symbols.alias("symbols"))
+    return _fixture(spark, _LINES).select(F.col("book_id").cast("long"), "page_no", "n", one.alias("line"))
+
+
+def ocr_pages(spark: SparkSession) -> DataFrame:
+    pages = ocr_lines(spark).groupBy("book_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("ls"))
+    paragraphs = F.array(F.struct(F.transform("ls", lambda x: x["line"]).alias("lines")))
+    from leafmill.functions.structure import flatten_lines
+
+    return pages.select("book_id", "page_no", flatten_lines(paragraphs).alias("lines"))
+
+
+@query(f"SELECT book_id, page_no, string_agg(text, ' / ' ORDER BY n) AS lines FROM {_LINES} GROUP BY 1, 2")
+def flatten_lines(spark, sf_dir):
+    return ocr_pages(spark).select(F.col("book_id").cast("int"), "page_no", F.array_join(F.transform("lines", lambda x: x["text"]), " / ").alias("lines"))
+
+
+@query(f"SELECT book_id, page_no, n, mark AS footnote FROM {_LINES}")
+def superscript_footnote(spark, sf_dir):
+    from leafmill.functions.structure import superscript_start
+
+    found = superscript_start(F.col("line.symbols"), F.col("line.y1") - F.col("line.y0"))
+    return ocr_lines(spark).select(F.col("book_id").cast("int"), "page_no", "n", found.alias("footnote"))
+
+
+@query(f"SELECT book_id, page_no, n, CASE WHEN mark IS NOT NULL THEN 'footnote-start' WHEN x0 BETWEEN 295 AND 305 THEN 'paragraph-text' WHEN x0 BETWEEN 335 AND 345 THEN 'paragraph-start' ELSE 'paragraph-text' END AS kind FROM {_LINES}")
+def line_type(spark, sf_dir):
+    from leafmill.functions.structure import line_type as kind, superscript_start
+
+    metrics = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(a).alias("min_x0"), F.lit(b).alias("max_x0")) for t, a, b in (("paragraph-text", 295.0, 305.0), ("paragraph-start", 335.0, 345.0))))
+    mark = superscript_start(F.col("line.symbols"), F.col("line.y1") - F.col("line.y0"))
+    return ocr_lines(spark).select(F.col("book_id").cast("int"), "page_no", "n", kind(F.col("line.x0"), mark, metrics).alias("kind"))
+
+
+@query(f"SELECT book_id, page_no, n, CASE WHEN regexp_matches(text, '^(\\d+|[*]+)\\s*[^\\n\\r]+\\z') THEN concat('[^', regexp_extract(text, '^(\\d+|[*]+)\\s*([^\\n\\r]+)\\z', 1), ']: ', regexp_extract(text, '^(\\d+|[*]+)\\s*([^\\n\\r]+)\\z', 2)) END AS note FROM {_LINES}")
+def footnote_line(spark, sf_dir):
+    from leafmill.functions.structure import footnote_line as note
+
+    return ocr_lines(spark).select(F.col("book_id").cast("int"), "page_no", "n", note(F.col("line.text")).alias("note"))
+
+
+@query(f"SELECT book_id, page_no, n, abs((x0 + x1) / 2 - 1240) <= 100 AND x1 - x0 <= 1800 * 0.99 AS centred FROM {_LINES}")
+def centered_line(spark, sf_dir):
+    from leafmill.functions.headings import is_centred
+
+    return ocr_lines(spark).select(F.col("book_id").cast("int"), "page_no", "n", is_centred(F.col("line.x0"), F.col("line.x1"), F.lit(1800.0)).alias("centred"))
+
+
+_ORDINALS = "(VALUES ('XIV', NULL, NULL, 14), ('XCIX', '3', NULL, 99), (NULL, '12', 'erster', 12), (NULL, NULL, 'Siebenter', 7), (NULL, NULL, 'neunundvierzigster', 49), ('IC', NULL, 'zwölfter', 12), (NULL, 'x', 'x', NULL), (NULL, NULL, 'FÜNFZIGSTER', 50)) AS t(roman, decimal_, ordinal, value)"
+
+
+@query(f"SELECT roman, decimal_, ordinal, value FROM {_ORDINALS}")
+def ordinal_value(spark, sf_dir):
+    from leafmill.functions.headings import ordinal_value as value
+
+    return _fixture(spark, _ORDINALS).select("roman", "decimal_", "ordinal", value(F.col("roman"), F.col("decimal_"), F.col("ordinal")).alias("value"))
+
+
+_BOOK = "concat('# Title\n\n', text, '\n\n# FUSSNOTEN\n\n[M] first note\n[T]second\n\nthird')"
+
+
+@query("WITH l AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS i, trim(unnest(ls), chr(9) || chr(10) || chr(13) || ' ') AS x FROM (SELECT doc_id, string_split(string_split('# Title' || chr(10) || chr(10) || text || chr(10) || chr(10) || '# FUSSNOTEN', '# FUSSNOTEN')[1], chr(10)) AS ls FROM documents)) SELECT doc_id, string_agg(CASE WHEN starts_with(x, '#') THEN x ELSE array_to_string(string_split_regex(x, '\\s+')[1:5], ' ') END, '|' ORDER BY i) AS outline FROM l WHERE x <> '' GROUP BY doc_id")
+def outline(spark, sf_dir):
+    from leafmill.functions.structure import outline as lines
+
+    book = F.concat(F.lit("# Title\n\n"), F.col("text"), F.lit("\n\n# FUSSNOTEN\n\n[M] first note"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines(book), "|").alias("outline"))
+
+
+@query("SELECT doc_id, concat('first note|second ', doc_id, '|third') AS notes FROM documents")
+def footnote_list(spark, sf_dir):
+    from leafmill.functions.structure import footnote_list as notes
+
+    text = F.concat(F.lit("\n\n# FUSSNOTEN\n\n[M] first note\n[T]second "), F.col("doc_id").cast("string"), F.lit("\n\n third \n[T] "))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(notes(text), "|").alias("notes"))
+
+
+@query()
+def x0_clusters(spark, sf_dir):
+    """Order-dependent groups of left edges; tested against worked pages."""
+    from leafmill.operators.ocr import structure_pages
+
+    return structure_pages(ocr_pages(spark), LEVELS, OFFSETS).select("book_id", "page_no", F.explode("metrics").alias("m")).select("book_id", "page_no", "m.*")
+
+
+@query()
+def page_structure(spark, sf_dir):
+    from leafmill.operators.ocr import structure_pages
+
+    return structure_pages(ocr_pages(spark), LEVELS, OFFSETS).select("book_id", "page_no", "body", "footnotes")
+
+
+@query()
+def book_assembly(spark, sf_dir):
+    from leafmill.operators.ocr import assemble_books, structure_pages
+
+    return assemble_books(structure_pages(ocr_pages(spark), LEVELS, OFFSETS))
