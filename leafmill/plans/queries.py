@@ -522,3 +522,74 @@ def book_assembly(spark, sf_dir):
     from leafmill.operators.ocr import assemble_books, structure_pages
 
     return assemble_books(structure_pages(ocr_pages(spark), LEVELS, OFFSETS))
+
+
+@query()
+def header_match(spark, sf_dir):
+    """Templates have look-arounds, which SQL engines don't share; tested against examples."""
+    from leafmill.functions.headings import match_heading
+
+    texts = ["XIV", "ERSTER TEIL", "12. Januar 1910 Berlin", "erster VORTRAG", "Kapitel 7", "no heading"]
+    patterns = ["{roman-number}", "{title-in-capital-letters}", "{long-date} {place}", "{german-ordinal} VORTRAG", "Kapitel {decimal-number}"]
+    rows = [(t, p, (m := match_heading(t, p)) is not None, {k: v for k, v in (m or {}).items() if k}) for t in texts for p in patterns]
+    return spark.createDataFrame(rows, "text string, pattern string, matched boolean, found map<string,string>").select("text", "pattern", "matched", F.to_json("found").alias("found"))
+
+
+# -- sources, sinks, manifests --------------------------------------------------------------
+
+
+@query(f"SELECT path, concat('[EPUB Content from ', regexp_extract(path, '[^/]*\\z'), ']', chr(10), chr(10), 'This is placeholder EPUB text.') AS text FROM {X.FILES} WHERE lower(path) LIKE '%.epub'")
+def epub_text(spark, sf_dir):
+    from leafmill.sources.files import epub_text as placeholder
+
+    return placeholder(_files(spark).where(N.extension(F.col("path")) == ".epub"))
+
+
+@query(f"SELECT path, regexp_extract(path, '[^/]*\\z') AS name, length, CASE lower(regexp_extract(path, '\\.[^./]*\\z')) WHEN '.pdf' THEN 'pdf' WHEN '.epub' THEN 'epub' WHEN '.txt' THEN 'txt' END AS format, CASE lower(regexp_extract(path, '\\.[^./]*\\z')) WHEN '.pdf' THEN 'application/pdf' WHEN '.epub' THEN 'application/epub+zip' WHEN '.txt' THEN 'text/plain' END AS mime FROM {X.FILES}")
+def file_info(spark, sf_dir):
+    from leafmill.sources.files import file_info as info
+
+    return info(_files(spark))
+
+
+@query(f"SELECT path, left(body, 1024) AS head FROM {X.FILES}")
+def binary_header(spark, sf_dir):
+    from leafmill.sources.files import headers
+
+    return headers(_files(spark)).select("path", N.latin(F.col("content")).alias("head"))
+
+
+_BOOKS = "(VALUES ('a#t', 'text', CAST(10 AS bigint), CAST(1 AS bigint)), ('b#t', 'pdf-ocr', CAST(20 AS bigint), CAST(2 AS bigint)), ('c#t', 'text', CAST(30 AS bigint), CAST(3 AS bigint)), ('d#t', 'text', CAST(40 AS bigint), CAST(4 AS bigint))) AS b(config_key, file_type, size, page_count)"
+_MANIFESTS = "(VALUES ('a#t', 'text', CAST(10 AS bigint), CAST(1 AS bigint)), ('b#t', 'text', CAST(20 AS bigint), CAST(3 AS bigint)), ('c#t', 'text', CAST(NULL AS bigint), CAST(3 AS bigint))) AS m(config_key, file_type, size, page_count)"
+
+
+@query(f"SELECT config_key, differs FROM (SELECT b.config_key, concat_ws(',', CASE WHEN b.file_type IS DISTINCT FROM m.file_type THEN 'file_type' END, CASE WHEN b.size IS DISTINCT FROM m.size THEN 'size' END, CASE WHEN b.page_count IS DISTINCT FROM m.page_count THEN 'page_count' END) AS differs FROM {_BOOKS} JOIN {_MANIFESTS} USING (config_key)) WHERE differs <> ''")
+def manifest_drift(spark, sf_dir):
+    from leafmill.sources.manifests import drift
+
+    return drift(_fixture(spark, _BOOKS), _fixture(spark, _MANIFESTS)).select("config_key", F.concat_ws(",", "differs").alias("differs"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('cached ', doc_id) ELSE text END AS text FROM documents")
+def cached_result(spark, sf_dir):
+    from leafmill.sources.files import with_cache
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = docs.where(F.col("doc_id") % 3 == 0).select("doc_id", F.concat(F.lit("cached "), F.col("doc_id").cast("string")).alias("text"))
+    return with_cache(docs, old, "doc_id", "text")
+
+
+@query(f"SELECT path, strategy IN ('pdf-ocr', 'pdf-text-ocr') AS needed FROM (SELECT path, CASE format WHEN 'pdf' THEN CASE content_type WHEN 'text_based' THEN 'pdf-text' WHEN 'image_based' THEN 'pdf-ocr' ELSE 'pdf-text-ocr' END ELSE 'text' END AS strategy FROM {_KINDS})")
+def ocr_required(spark, sf_dir):
+    from leafmill.functions.structure import needs_recognition
+
+    return _fixture(spark, _KINDS).select("path", needs_recognition(N.strategy(F.col("format"), F.col("content_type"))).alias("needed"))
+
+
+@query("SELECT conv_id AS book_id, turn AS page_no, text FROM conversations WHERE turn <= 2")
+def page_json(spark, sf_dir):
+    """Written as JSON and read back."""
+    from leafmill.sources.sinks import page_json as dump
+
+    pages = _table(spark, sf_dir, "conversations").where("turn <= 2").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("page_no"), F.array(F.struct("text")).alias("paragraphs"))
+    return dump(pages).select("book_id", "page_no", F.get(F.from_json("json", "array<struct<text:string>>"), 0)["text"].alias("text"))
