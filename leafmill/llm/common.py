@@ -64,6 +64,20 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers are used again by later tasks and stages, and what
+    one of them has freed the others can't use."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser over uint64 values; another seed, another permutation."""
     with np.errstate(over="ignore"):

@@ -28,7 +28,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """Piece -> ids as little-endian unsigned 32-bit bytes. At most ``limit`` pieces are kept."""
 
-    limit = 600_000
+    limit = 200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,7 +54,9 @@ class Encoder(dict):
 
     def _keep(self, piece: str, ids: bytes) -> bytes:
         if len(self) >= self.limit:
-            self.clear()
+            # Frequent pieces come early: the first half stays.
+            for k in list(self)[self.limit // 2 :]:
+                del self[k]
         self[piece] = ids
         return ids
 
@@ -71,7 +73,7 @@ class Encoder(dict):
             ids = self._keep(low, self._model(low))
         if word is not piece:
             ids += self[piece[-1]] if piece[-1] in self else self._keep(piece[-1], self._library(piece[-1]))
-        return ids if piece is low else self._keep(piece, ids)
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text (null: none) as little-endian unsigned 32-bit bytes."""

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, mix64, stage
+from .common import drop, mix64, release_memory, stage
 from .components import components
 from .words import SPACED, grams, word_hashes
 
@@ -115,6 +115,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for i in range(0, SKETCH, PART):
         if counts[i : i + PART].any():
             yield batch([(None, None, None, i // PART, zstandard.compress(np.minimum(counts[i : i + PART], 255).astype(np.uint8).tobytes(), 1))])
+    del counts
+    release_memory()
 
 
 def _add_counts(rows: pd.DataFrame) -> pd.DataFrame:
@@ -166,11 +168,13 @@ def _postings(levels, buckets: int):
             sizes.append(np.full(len(order), min(len(s), LARGE)))
             places.append(np.minimum(np.arange(len(order)), LARGE))
             held += len(order)
-            if held >= 1_000_000:
+            if held >= 400_000:
                 yield flush()
                 tokens, nodes, sizes, places, held = [], [], [], [], 0
         if held:
             yield flush()
+        del tokens, nodes, sizes, places, seen
+        release_memory()
 
     return run
 
@@ -206,6 +210,7 @@ def _groups(rows: pd.DataFrame) -> pd.DataFrame:
                 good[:, k:] |= pair
         least = np.where(good, n[at], np.iinfo(np.int64).max).min(axis=1)
         out.append(pd.DataFrame({"a": np.repeat(least, g)[good.ravel()], "node": n[at].ravel()[good.ravel()]}))
+    release_memory()
     return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": pd.Series([], dtype="int64"), "node": pd.Series([], dtype="int64")})
 
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 #: ISO 639 codes of languages by family. Languages that aren't here are a family each.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af",
@@ -30,7 +32,7 @@ FAMILIES = {
 FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 
 #: Labelled rows of each language that models are fitted on, at most.
-SAMPLE_ROWS = 600
+SAMPLE_ROWS = 500
 #: Characters of a sampled text that one training example has, at most: the text is cut into examples.
 EXAMPLE_CHARS = 400
 #: Examples of one text, at most.
@@ -117,7 +119,7 @@ def fit_pairwise(classes: list[str], x: np.ndarray, labels: np.ndarray) -> Pairw
     model, weights, offsets = Pairwise(classes), [], []
     for k, (a, b) in enumerate(model.pairs):
         at = np.flatnonzero((labels == classes[a]) | (labels == classes[b]))
-        w, c = fit_pair(x[at], np.where(labels[at] == classes[a], 1.0, -1.0), k)
+        w, c = fit_pair(x if len(at) == len(x) else x[at], np.where(labels[at] == classes[a], 1.0, -1.0), k)
         weights.append(w)
         offsets.append(c)
     if weights:
@@ -143,16 +145,16 @@ class Hierarchy:
 
 def fit(samples: list[tuple[str, str]]) -> Hierarchy:
     """samples: (language, text). Texts are cut into examples at spaces."""
-    rows, langs = [], []
+    x, langs = np.zeros((TEXT_EXAMPLES * len(samples), DIMENSIONS), np.float32), []
     for lang, text in sorted(samples):
         for k in range(min(TEXT_EXAMPLES, max(1, len(text) // EXAMPLE_CHARS))):
             index = features(text[k * EXAMPLE_CHARS : (k + 1) * EXAMPLE_CHARS])
             if index is not None:
-                rows.append(vector(index))
+                x[len(langs)] = vector(index)
                 langs.append(lang)
-    if not rows:
+    if not langs:
         return Hierarchy(Pairwise([]), {})
-    x, y = np.stack(rows), np.array(langs, dtype=object)
+    x, y = x[: len(langs)], np.array(langs, dtype=object)
     fam = np.array([FAMILY.get(v, v) for v in langs], dtype=object)
     names = sorted(set(fam))
     within = {f: fit_pairwise(sorted(set(y[fam == f])), x[fam == f], y[fam == f]) for f in names}
@@ -199,6 +201,7 @@ def identify(docs: DataFrame, model: Hierarchy, keep: list[str] | None = None) -
             found = [held.value.predict(t.as_py()) for t in b.column(at)]
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], names=[*keep, "lang_pred", "score"])
+        release_memory()
 
     return source.mapInArrow(run, schema)
 

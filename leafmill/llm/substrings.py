@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, stage, workspace
+from .common import file_system, release_memory, stage, workspace
 
 LENGTH = 200
 GRAM = 40
@@ -252,6 +252,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.close()
             sink.close()
             fs.move(tmp, path)
+            release_memory()
             # The chunk's own row, without an anchor.
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([chunk << DOC_BITS]), pa.array([0])], names=["h", "t", "doc", "at"])
 
@@ -325,6 +326,7 @@ def _bin_marker(length: int):
         for h, t, n, body, starts in zip(rows["h"].tolist(), rows["t"].tolist(), counts, bodies, mark_bin(bodies, length), strict=True):
             # A text that is there twice repeats as a whole.
             out += [(h, t, i, j) for i, j in ([(0, len(body) - length + 1)] if n > 1 else runs(starts))]
+        release_memory()
         return pd.DataFrame(out, columns=["h", "t", "i", "j"])
 
     return mark
