@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import let
+
 # -- fixed values ---------------------------------------------------------------------------
 
 LIMITS = {"pdf": 25 * 1024 * 1024, "epub": 5 * 1024 * 1024, "txt": 1024 * 1024}
@@ -143,14 +145,17 @@ def config_key(parts: Column) -> Column:
     return F.when((parts["author"] != "") & (parts["title"] != ""), F.concat_ws("#", parts["author"], parts["title"], parts["book_index"]))
 
 
+def _filler(key: str, value: Column):
+    """Puts a value in place of the first of its placeholder."""
+    return lambda o: F.when(F.instr(o, key) > 0, F.concat(F.substring_index(o, key, 1), value, F.substring(o, F.instr(o, key) + len(key), F.length(o)))).otherwise(o)
+
+
 def output_name(parts: Column, timestamp: str, ending: str, pattern: str = DEFAULT_NAME) -> Column:
     """First of each placeholder filled, empty brackets dropped, ending added unless there."""
     out = F.lit(pattern)
     for key, value in (("{author}", parts["author"]), ("{title}", parts["title"]), ("{bookIndex}", F.coalesce(parts["book_index"], F.lit(""))), ("{timestamp}", F.lit(timestamp))):
-        at = F.instr(out, key)
-        out = F.when(at > 0, F.concat(F.substring(out, F.lit(1), at - 1), value, F.substring(out, at + len(key), F.length(out)))).otherwise(out)
-    out = F.regexp_replace(out, r"\[\s*\]", "")
-    return F.when(out.endswith(ending), out).otherwise(F.concat(out, F.lit(ending)))
+        out = let(out, _filler(key, value))
+    return let(F.regexp_replace(out, r"\[\s*\]", ""), lambda o: F.when(o.endswith(ending), o).otherwise(F.concat(o, F.lit(ending))))
 
 
 def sanitize_name(name: Column) -> Column:

@@ -147,8 +147,10 @@ def any_of(patterns: list[str]) -> str:
 
 
 def java_words(pattern: str) -> str:
-    """``\\b`` as an edge of ASCII word characters, which is what other engines mean by it."""
-    return pattern.replace(r"\b", r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+    """``\\b`` as an edge of ASCII word characters, which is what other engines mean by it: the first one stands
+    before a letter, others after one."""
+    head, *rest = pattern.split(r"\b")
+    return head + r"(?<![A-Za-z0-9_])" + r"(?![A-Za-z0-9_])".join(rest)
 
 
 def cased(test) -> str:
