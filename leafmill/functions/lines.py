@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import is_spaced, trim
+from .text import is_spaced, let, trim
 
 #: Reasons and the counters that they add to.
 COUNTERS = {
@@ -65,14 +65,17 @@ def is_separator(line: Column) -> Column:
 
 
 def is_boilerplate(line: Column) -> Column:
-    """The two patterns with inner gaps run only on lines that have their fixed words."""
-    low = F.lower(line)
-    slow = {P.PROFILE_PAGES[4]: F.contains(low, F.lit("view")), P.PROFILE_PAGES[8]: F.contains(low, F.lit("uploaded by"))}
-    fast = [p for p in P.BOILERPLATE + P.COPYRIGHT + P.ACADEMIC + P.PROFILE_PAGES if p not in slow]
-    found = _is(line, fast)
-    for p, gate in slow.items():
-        found = found | (gate & _is(line, [p]))
-    return found
+    """Patterns that begin at the start run as one; the others only on lines that have the words they need."""
+    every = P.BOILERPLATE + P.COPYRIGHT + P.ACADEMIC + P.PROFILE_PAGES
+    found = _is(line, [p for p in every if p not in P.ANYWHERE])
+
+    def anywhere(low: Column) -> Column:
+        out = F.lit(False)
+        for p, words in P.ANYWHERE.items():
+            out = out | (F.contains(low, F.lit(words)) & _is(line, [p]))
+        return out
+
+    return found | let(F.lower(line), anywhere)
 
 
 def is_url(line: Column) -> Column:

@@ -109,6 +109,19 @@ PROFILE_PAGES = [
     r"(?i)^\s*\d+\s+PUBLICATIONS\s+\d",
     SECTION_MORE[5],
 ]
+#: What the patterns of PROFILE_PAGES and COPYRIGHT that may begin anywhere must have, in lower case.
+ANYWHERE = {
+    SIGNATURE: "see discussions, stats",
+    SECTION_MORE[7]: "publication",
+    SECTION_END[0]: "has requested enhancement",
+    SECTION_END[1]: "following this page was uploaded",
+    PROFILE_PAGES[8]: "uploaded by",
+    PROFILE_PAGES[11]: "on these related projects",
+    PROFILE_PAGES[13]: "www.slideshare.net",
+    PROFILE_PAGES[14]: "academia.edu",
+    COPYRIGHT[0]: "\u00a9",
+    PROFILE_PAGES[4]: "view",
+}
 SPACED_LETTERS = r"^(?:[a-zA-Z]\s+){3,}[a-zA-Z]?\s*\z"
 DIGITS_ONLY = r"^\d+\z"
 NUMERIC_ONLY = r"^[\d.,/\-+\x{D7}*=|: ]+\z"
@@ -142,8 +155,14 @@ NOISE = [
 
 
 def any_of(patterns: list[str]) -> str:
-    """One alternation; a pattern that ignores case keeps that to itself."""
-    return "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in patterns)
+    """One alternation; a pattern that ignores case keeps that to itself. Those that begin at the line's start are tried there
+    and nowhere else, which matters on long lines."""
+    anchored, free = [], []
+    for p in patterns:
+        flag, body = ("(?i:", p[4:]) if p.startswith("(?i)") else ("(?:", p)
+        alone = body.startswith("^")
+        (anchored if alone else free).append(f"{flag}{body[alone:]})")
+    return "|".join([f"^(?:{'|'.join(anchored)})"] * bool(anchored) + free)
 
 
 def java_words(pattern: str) -> str:

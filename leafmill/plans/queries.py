@@ -122,7 +122,7 @@ def drop_reasons(spark, sf_dir):
 
 @query(f"{O.cleaned()} SELECT coalesce(reason, 'kept') AS reason, count(*) AS lines FROM why GROUP BY 1")
 def drop_reason_counts(spark, sf_dir):
-    return C.line_table(_docs(spark, sf_dir), OPTIONS).select(F.explode("_doc.reasons").alias("r")).groupBy(F.coalesce("r", F.lit("kept")).alias("reason")).agg(F.count("*").alias("lines"))
+    return C.line_table(_docs(spark, sf_dir), OPTIONS, finish=lambda x: x["reasons"]).select(F.explode("_doc").alias("r")).groupBy(F.coalesce("r", F.lit("kept")).alias("reason")).agg(F.count("*").alias("lines"))
 
 
 @query()
