@@ -2,19 +2,32 @@
 
 Invented and natural prose repeat their words, and a tokenizer that splits at white space gives a
 text the ids of its space-separated pieces in a row. ``Encoder`` uses that: it keeps the ids of
-pieces in a bounded cache and asks the library only for pieces that it has not met. Whether a
-tokenizer splits that way is tried on probes; one that doesn't gets whole texts.
+pieces in a bounded cache and asks the library only for pieces that it has not met. Where letters
+and signs are split and case is ignored too, texts of Latin letters are lower-cased and spaced out as
+a whole, so that a word with its comma is the word and the comma. Whether a tokenizer splits that way is
+tried on probes; one that doesn't gets whole texts.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
+#: A character that a text to be spaced out has none of: control, beyond Latin letters, or one whose
+#: lower case is two characters.
+_OTHER = re.compile("[^\n -~À-ÖØ-öø-įı-ž]")
+#: A run of signs; an apostrophe may begin a contraction, so runs beside one stay where they are.
+_SIGNS = r"!-&(-/:-@\[-`{-~"
+_RUN = re.compile(f"(?<![{_SIGNS}'])([{_SIGNS}]++)(?!')")
+#: Another sign than a full stop or comma, or one of these that ends a run of signs.
+_SIGNED = re.compile(f"[!-+/:-@\\[-`{{-~-]|[.,][.,]")
+
 PROBES = (
     "Don't stop.The end, été naïve x1y2 33-44 Über STRASSE 中文 \U0001f600! a.b c's 's ...",
     "a  b\n\nc\td  e　f g",
     "one two three. Four, five;six 'll 've foo_bar <|x|> <a> \\n %% $$$",
+    "A.b..c'd 'E'., ''f.' g'h--i_j __k` x1.2y~~ É. ÎLE,ž; ßO?! (l'eau) [a-b]\n\nend.",
 )
 
 
@@ -28,7 +41,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """Piece -> ids as little-endian unsigned 32-bit bytes. At most ``limit`` pieces are kept."""
 
-    limit = 200_000
+    limit = 300_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,10 +52,22 @@ class Encoder(dict):
         self.by_piece = all(
             self._library(p) == b"".join(self._library(x) for x in p.replace("\n", " ").split(" ")) for p in PROBES
         )
+        self.spaced = False
         self.plain = self.by_piece and all(
             self._model(w) == self._library(w) for w in ("the", "thinking", "élève", "über", "zzyzx")
         )
 
+        self.spaced = self.plain and all(self._library(p) == self._space_out(p) for p in PROBES if not _OTHER.search(p))
+        self.clear()
+
+    def _space_out(self, text: str) -> bytes:
+        low = text.lower()
+        if _SIGNED.search(low):
+            low = _RUN.sub(r" \1 ", low)
+        else:  # plain prose: stops and commas stand alone behind words
+            low = low.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
+        return b"".join(map(self.__getitem__, low.split()))
+
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -63,7 +88,7 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         if not self.plain:
             return self._keep(piece, self._library(piece))
-        word = piece[:-1] if piece[-1:] in (".", ",") else piece
+        word = piece[:-1] if piece[-1:] in (".", ",", ";", ":", "!", "?") else piece
         # Letters of Latin-1 and Latin Extended-A only: composed already, lower() is one to one.
         if not word.isalpha() or max(word) > "ž" or "İ" in word or "ŉ" in word:
             return self._keep(piece, self._library(piece))
@@ -81,6 +106,8 @@ class Encoder(dict):
             return b""
         if not self.by_piece:
             return self._library(text)
+        if self.spaced and "<|" not in text and not _OTHER.search(text):
+            return self._space_out(text)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
