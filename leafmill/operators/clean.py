@@ -74,7 +74,7 @@ def strip_sections(lines: Column, found: Column) -> Column:
 
 def repeated_lines(lines: Column, threshold: Column) -> Column:
     """Trimmed lines that are there ``threshold`` times or more and may count as headers; each once."""
-    wordy = F.array_sort(F.filter(F.transform(lines, trim), may_repeat))
+    wordy = F.sort_array(F.filter(F.transform(lines, trim), may_repeat))
     return let(wordy, lambda w: F.array_distinct(F.filter(w, lambda x, i: F.coalesce(F.get(w, i + threshold - 1) == x, F.lit(False)))))
 
 
@@ -87,10 +87,10 @@ def rejoin_hyphens(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=[A-Za-z0-9_])-[ \t\r]*\n[ \t\r]*([a-z\x{E0}-\x{24F}][^\n]*)", "$1")
 
 
-def rewrap(text: Column, aggressive: bool = False) -> Column:
-    """Lines trimmed; a line goes on with the next if its end is no sentence's and the next begins in lower case, or
+def rewrap(text: Column, aggressive: bool = False, trimmed: bool = False) -> Column:
+    """Lines trimmed (unless they are); a line goes on with the next if its end is no sentence's and the next begins in lower case, or
     after a comma; if aggressive, whenever the next begins in lower case."""
-    lines = F.regexp_replace(text, r"(?<=\n|^)[ \t\r]+|[ \t\r]+(?=\n|\z)", "")
+    lines = text if trimmed else F.regexp_replace(text, r"(?<=\n|^)[ \t\r]+|[ \t\r]+(?=\n|\z)", "")
     ends = "".join("\\" + c if c in "]}\"'" else c for c in P.SENTENCE_ENDS)
     join = rf"(?<=,)\n(?=[^\n])|(?<=[^\n{ends}])\n(?={P.LOWER})"
     if aggressive:
@@ -156,7 +156,9 @@ def clean_text(docs: DataFrame, options: CleanOptions = CleanOptions(), text: st
         kept = F.filter(x["lines"], lambda line, i: F.get(x["reasons"], i).isNull())
         if options.ocr:
             kept = F.transform(kept, lambda line: F.when(is_spaced(line), rejoin_spaced(line)).otherwise(line))
-        return let(collapse_blanks(rewrap(rejoin_hyphens(F.array_join(kept, "\n")), options.aggressive)), lambda t: F.struct(t.alias("text"), stats(x, t).alias("stats")))
+        # Blanks at line ends don't matter from here on, and lines are cheaper to trim one by one.
+        whole = F.array_join(F.transform(kept, trim), "\n")
+        return let(collapse_blanks(rewrap(rejoin_hyphens(whole), options.aggressive, trimmed=True)), lambda t: F.struct(t.alias("text"), stats(x, t).alias("stats")))
 
     def stats(x: Column, cleaned: Column) -> Column:
         count = lambda names: F.size(F.filter(x["reasons"], lambda r: r.isin(names))).cast("long")
