@@ -93,12 +93,12 @@ def _raw(column: str = "text") -> Column:
     return C.split_lines(T.normalize_unicode(F.col(column)))
 
 
-@query(f"{O.cleaned()} SELECT doc_id, i AS first, e AS \"end\" FROM secs")
+@query(f"{O.cleaned()} SELECT doc_id, i AS first, e::INT AS \"end\" FROM secs")
 def sections(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.explode(T.let(_raw(), C.sections)).alias("s")).select("doc_id", "s.first", "s.end")
 
 
-@query(f"{O.cleaned()} SELECT doc_id, pos, line FROM ln")
+@query(f"{O.cleaned()} SELECT doc_id, pos::INT AS pos, line FROM ln")
 def section_free_lines(spark, sf_dir):
     return C.line_table(_docs(spark, sf_dir)).select("doc_id", F.posexplode("_doc.lines").alias("pos", "line"))
 
@@ -114,7 +114,7 @@ def repeated_lines(spark, sf_dir):
     return C.line_table(_docs(spark, sf_dir)).select("doc_id", F.explode("_doc.repeated").alias("line"))
 
 
-@query(f"{O.cleaned()} SELECT doc_id, pos, line, reason FROM why")
+@query(f"{O.cleaned()} SELECT doc_id, pos::INT AS pos, line, reason FROM why")
 def drop_reasons(spark, sf_dir):
     both = C.line_table(_docs(spark, sf_dir), OPTIONS, finish=lambda x: F.zip_with(x["lines"], x["reasons"], lambda a, b: F.struct(a.alias("line"), b.alias("reason"))))
     return both.select("doc_id", F.posexplode("_doc").alias("pos", "x")).select("doc_id", "pos", "x.*")
