@@ -64,6 +64,18 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Rows that go to Python in one Arrow batch, where the session doesn't say: texts are long.
+BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small, unless the session has a size of its own. Both ends of the pipe hold a batch,
+    so Spark's default of 10,000 rows is tens of megabytes of ordinary documents."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: workers are used again by later tasks and stages, and what
     one of them has freed the others can't use."""

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .words import LETTERS, grams, word_hashes
 
 TERM_WORDS = 3
@@ -220,6 +221,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     The items' index is broadcast up to INDEX_BYTES of text; beyond, items are dealt into several, each searched in its
     own pass over the documents."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // INDEX_BYTES))

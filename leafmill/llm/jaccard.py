@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, mix64, release_memory, stage
+from .common import bounded_batches, drop, mix64, release_memory, stage
 from .components import components
 from .words import SPACED, grams, word_hashes
 
@@ -343,6 +343,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     Sets are named by 64-bit hashes of 64-bit shingle hashes.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first, _ = stage(docs.mapInArrow(_first_pass, "doc_id long, n long, node long, part long, counts binary"), "jaccard-sets")
     sets = first.where(F.col("n").isNotNull()).select("doc_id", "n", "node")

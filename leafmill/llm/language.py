@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory
+from .common import bounded_batches, release_memory
 
 #: ISO 639 codes of languages by family. Languages that aren't here are a family each.
 FAMILIES = {
@@ -191,6 +191,7 @@ def identify(docs: DataFrame, model: Hierarchy, keep: list[str] | None = None) -
     and text without a letter: ``und`` with score 0. Repeated rows are judged one by one; an empty table gives
     no rows. With nothing learned all are ``und``."""
     keep = keep or ["doc_id"]
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = keep.index("text") if "text" in keep else len(keep)
     source = docs.select(*keep) if at < len(keep) else docs.select(*keep, F.col("text").cast("string").alias("_text_"))

@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .encoding import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -42,6 +43,7 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len is no power of two")
     end = end_id.to_bytes(4, "little")
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seq = encoder(tokenizer), TaskContext.get().partitionId() << TASK_BITS

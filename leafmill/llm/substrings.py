@@ -16,7 +16,7 @@ each over a bin of the corpus; the bins are made so that equal strings always sh
    Positions with 200 or more are marked.
 4. Marks go back to the documents, their union is cut out.
 
-Texts are kept beside the shuffle as chunk files (one for each scan task) in the shared folder, so only
+Texts are kept beside the shuffle as chunk files (of the documents of one scan task each) in the shared folder, so only
 hashes and the few ambiguous segments are shuffled. An anchor with more than HOT distinct segments
 doesn't go to one bin: its windows are counted by hash, with partial aggregation, however many they are.
 """
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, release_memory, stage, workspace
+from .common import bounded_batches, file_system, release_memory, stage, workspace
 
 LENGTH = 200
 GRAM = 40
@@ -46,8 +46,10 @@ BIN_BYTES = 1 << 20
 #: Distinct segments of an anchor from which its windows are counted one by one.
 HOT = 4096
 SEPARATOR = 255  # in no UTF-8 text
-CHUNK_BYTES = 4 << 20
-DOC_BITS = 32
+#: Bytes of text in a batch of a chunk file, and in a chunk file, about: a task that cuts texts holds one chunk.
+BATCH_BYTES, CHUNK_BYTES = 4 << 20, 32 << 20
+#: A document's key: its number in the chunk; above it the chunk's number in the task, above that the task's.
+DOC_BITS, CHUNK_BITS = 28, 12
 
 
 # -- anchors and segments -------------------------------------------------------------------
@@ -188,6 +190,44 @@ def runs(starts: np.ndarray) -> list[tuple[int, int]]:
 # -- plan -----------------------------------------------------------------------------------
 
 
+def _segment_rows(h, t, doc, at) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(t, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64())], names=["h", "t", "doc", "at"])
+
+
+class _Chunk:
+    """A chunk file as it is written; its segments are returned as they are found."""
+
+    def __init__(self, folder: str, number: int, schema: pa.Schema):
+        self.key, self.docs, self.bytes = number << DOC_BITS, 0, 0
+        self.fs, self.path = _chunk_path(folder, number)
+        self.tmp = f"{self.path}.{uuid.uuid4().hex}"
+        self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+        self.sink = self.fs.open_output_stream(self.tmp)
+        self.out = pa.ipc.new_file(self.sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+
+    def add(self, part: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
+        self.out.write_batch(part)
+        hs, ts, docs, ats = [], [], [], []
+        for text in part.column("text").cast(pa.binary()):
+            data = text.as_py() or b""
+            for h, first, count in segments(data, length):
+                hs.append(h)
+                ts.append(np.array([xxhash.xxh3_64_intdigest(data[s : s + c + length - 1]) for s, c in zip(first.tolist(), count.tolist(), strict=True)], np.uint64).view(np.int64))
+                docs.append(np.full(len(h), self.key + self.docs))
+                ats.append((first << 16) + count)
+            self.docs += 1
+            self.bytes += len(data)
+        if hs:
+            yield _segment_rows(*map(np.concatenate, (hs, ts, docs, ats)))
+
+    def close(self) -> pa.RecordBatch:
+        """Give the file its name; returns the chunk's own row, which has no anchor."""
+        self.out.close()
+        self.sink.close()
+        self.fs.move(self.tmp, self.path)
+        return _segment_rows([None], [None], [self.key], [0])
+
+
 def _chunk_path(folder: str, chunk: int) -> tuple:
     fs, base = file_system(folder)
     return fs, f"{base}/chunk-{chunk:08d}.arrow"
@@ -226,35 +266,21 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     chunks = f"{folder}/chunks"
     source = docs.select(F.col("text").cast("string").alias("text"), F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != "text")).alias("rest"))
 
+    bounded_batches(spark)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, out, n = TaskContext.get().partitionId(), None, 0
-        fs, path = _chunk_path(chunks, chunk)
-        tmp = f"{path}.{uuid.uuid4().hex}"
+        number, chunk = TaskContext.get().partitionId() << CHUNK_BITS, None
         for batch in batches:
-            if out is None:
-                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                sink = fs.open_output_stream(tmp)
-                out = pa.ipc.new_file(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
             for part in _parts(batch):
-                out.write_batch(part)
-                cols = [[], [], [], []]
-                for text in part.column("text").cast(pa.binary()):
-                    data = text.as_py() or b""
-                    for h, first, count in segments(data, length):
-                        cols[0].append(h)
-                        cols[1].append(np.array([xxhash.xxh3_64_intdigest(data[s : s + c + length - 1]) for s, c in zip(first.tolist(), count.tolist(), strict=True)], np.uint64).view(np.int64))
-                        cols[2].append(np.full(len(h), (chunk << DOC_BITS) + n))
-                        cols[3].append((first << 16) + count)
-                    n += 1
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "t", "doc", "at"])
-        if out is not None:
-            out.close()
-            sink.close()
-            fs.move(tmp, path)
-            release_memory()
-            # The chunk's own row, without an anchor.
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([chunk << DOC_BITS]), pa.array([0])], names=["h", "t", "doc", "at"])
+                if chunk is None:
+                    chunk, number = _Chunk(chunks, number, part.schema), number + 1
+                yield from chunk.add(part, length)
+                if chunk.bytes >= CHUNK_BYTES:
+                    yield chunk.close()
+                    chunk = None
+        if chunk is not None:
+            yield chunk.close()
+        release_memory()
 
     # h: anchor; t: hash of the segment's text; at: first window and number of windows.
     rows, _ = stage(source.mapInArrow(cut, "h long, t long, doc long, at long"), "segments")
@@ -295,12 +321,12 @@ def _windows(at):
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about CHUNK_BYTES of text."""
+    """Slices of a batch of about BATCH_BYTES of text."""
     sizes = np.cumsum([len(t.as_buffer() or b"") if t.is_valid else 0 for t in batch.column("text").cast(pa.binary())])
     at = 0
     while at < batch.num_rows:
         before = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(sizes, before + BATCH_BYTES, "right")))
         yield batch.slice(at, to - at)
         at = to
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, drop, file_system, mix64, stage, workspace
+from .common import NULL_KEY, bounded_batches, drop, file_system, mix64, stage, workspace
 from .encoding import encoder
 
 MAGIC = b"LMTOKENS"
@@ -248,6 +248,7 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     the shard's file. shards: number of range partitions (default: the session's shuffle partitions).
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = folder or workspace(spark, "tokens")
     spark_docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.col("text").cast("string"))
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
