@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 PAGE_WIDTH, CENTRE_TOLERANCE, CENTRED_WIDTH = 2480, 100, 0.99
 MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()
-PARAGRAPH_ENDS = [".", "!", "?", ":", ";", '"', "«", "»", "“", "”", "‘", "’", ")", "]", "}"]
+PARAGRAPH_ENDS = ["!", "?", ".»", "!»", "?»"]
 _ONES = ["", "erst", "zweit", "dritt", "viert", "fünft", "sechst", "siebt", "acht", "neunt", "zehnt", "elft", "zwölft"]
 _TEENS = ["drei", "vier", "fünf", "sech", "sieb", "acht", "neun"]
 _UNITS = ["", "einund", "zweiund", "dreiund", "vierund", "fünfund", "sechsund", "siebenund", "achtund", "neunund"]

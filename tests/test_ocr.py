@@ -36,6 +36,8 @@ def test_headings():
     assert match_heading("ERSTER VORTRAG", "{german-ordinal} VORTRAG") is None  # ordinals are lower case, letters count
     assert match_heading("erster VORTRAG", "{german-ordinal} VORTRAG")["german-ordinal"] == "erster"
     assert match_heading("12. Mai 1910", "{title-with-decimal-number}") is None and match_heading("12. Maler", "{title-with-decimal-number}")
+    open_end = "{no-paragraph-end-marker}"
+    assert match_heading("EIN SATZ.", open_end) and match_heading("EIN SATZ!", open_end) is None and match_heading("EIN SATZ.»", open_end) is None and match_heading("Ein", open_end) is None
     assert match_heading("x", "(x") is None and compile_template("a.b") == r"^a\.b\Z"
 
 
