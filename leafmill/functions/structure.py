@@ -53,7 +53,8 @@ def footnote_list(text: Column) -> Column:
     return F.filter(F.transform(lines, lambda x: trim(F.regexp_replace(x, r"^\[[MT]\]\s*", ""))), lambda x: x != "")
 
 
-def needs_recognition(file_type: Column) -> Column:
-    return file_type.isin("pdf-ocr", "pdf-text-ocr")
+def needs_recognition(fmt: Column) -> Column:
+    """Whether a format may hold images of text."""
+    return F.lower(fmt).isin("pdf", "png", "jpg", "jpeg", "tiff", "bmp")
 
 

@@ -579,11 +579,24 @@ def cached_result(spark, sf_dir):
     return with_cache(docs, old, "doc_id", "text")
 
 
-@query(f"SELECT path, strategy IN ('pdf-ocr', 'pdf-text-ocr') AS needed FROM (SELECT path, CASE format WHEN 'pdf' THEN CASE content_type WHEN 'text_based' THEN 'pdf-text' WHEN 'image_based' THEN 'pdf-ocr' ELSE 'pdf-text-ocr' END ELSE 'text' END AS strategy FROM {_KINDS})")
+_FORMATS = "(VALUES ('pdf'), ('PNG'), ('jpg'), ('epub'), ('txt'), ('bmp')) AS f(format)"
+
+
+@query(f"SELECT format, lower(format) IN ('pdf', 'png', 'jpg', 'jpeg', 'tiff', 'bmp') AS needed FROM {_FORMATS}")
 def ocr_required(spark, sf_dir):
     from leafmill.functions.structure import needs_recognition
 
-    return _fixture(spark, _KINDS).select("path", needs_recognition(N.strategy(F.col("format"), F.col("content_type"))).alias("needed"))
+    return _fixture(spark, _FORMATS).select("format", needs_recognition(F.col("format")).alias("needed"))
+
+
+_EXTRACTED = "(VALUES ('a', 'one', 'seen', 'pdf-text-ocr'), ('b', 'two', ' ', 'pdf-text-ocr'), ('c', 'three', NULL, 'text'), ('d', '', 'seen too', 'pdf-ocr')) AS e(config_key, text, ocr_text, file_type)"
+
+
+@query(f"SELECT config_key, 'txt' AS source, text FROM {_EXTRACTED} UNION ALL SELECT config_key, 'ocr', CASE WHEN trim(coalesce(ocr_text, '')) <> '' THEN ocr_text ELSE concat('# OCR Processing Failed', chr(10), chr(10), 'No OCR results available.') END FROM {_EXTRACTED} WHERE trim(coalesce(ocr_text, '')) <> '' OR file_type = 'pdf-text-ocr'")
+def raw_outputs(spark, sf_dir):
+    from leafmill.sources.sinks import raw_rows
+
+    return raw_rows(_fixture(spark, _EXTRACTED))
 
 
 @query("SELECT conv_id AS book_id, turn AS page_no, text FROM conversations WHERE turn <= 2")

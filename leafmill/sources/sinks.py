@@ -9,13 +9,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EMPTY_OCR = "[no text was recognised]"
+#: Fixed value: what is written for recognised text where a file that needs it gave none.
+EMPTY_OCR = "# OCR Processing Failed\n\nNo OCR results available."
 
 
-def write_raw(texts: DataFrame, folder: str) -> None:
-    """Extracted texts (config_key, source txt or ocr, text); where recognition gave nothing, a placeholder says so."""
-    text = F.when((F.col("source") == "ocr") & (F.coalesce("text", F.lit("")) == ""), EMPTY_OCR).otherwise(F.col("text"))
-    texts.withColumn("text", text).write.mode("overwrite").partitionBy("source").parquet(f"{folder}/stage=raw")
+def raw_rows(extracted: DataFrame) -> DataFrame:
+    """config_key, source, text: embedded text always, recognised text where there is some; where there is none, a fixed text
+    says so for files that needed both. extracted: config_key, text, ocr_text, file_type."""
+    some = F.btrim(F.coalesce("ocr_text", F.lit("")), F.lit(" \t\r\n")) != ""
+    ocr = F.when(some, F.col("ocr_text")).when(F.col("file_type") == "pdf-text-ocr", EMPTY_OCR)
+    both = F.array(F.struct(F.lit("txt").alias("source"), F.coalesce("text", F.lit("")).alias("text")), F.struct(F.lit("ocr").alias("source"), ocr.alias("text")))
+    return extracted.select("config_key", F.inline(both)).where(F.col("text").isNotNull())
+
+
+def write_raw(extracted: DataFrame, folder: str) -> None:
+    raw_rows(extracted).write.mode("overwrite").partitionBy("source").parquet(f"{folder}/stage=raw")
 
 
 def write_cleaned(texts: DataFrame, folder: str) -> None:
