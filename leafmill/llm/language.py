@@ -33,6 +33,8 @@ FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split
 
 #: Labelled rows of each language that models are fitted on, at most.
 SAMPLE_ROWS = 500
+#: And of all languages together: what the driver holds doesn't grow with their number.
+TOTAL_ROWS = 6000
 #: Characters of a sampled text that one training example has, at most: the text is cut into examples.
 EXAMPLE_CHARS = 400
 #: Examples of one text, at most.
@@ -162,7 +164,7 @@ def fit(samples: list[tuple[str, str]]) -> Hierarchy:
 
 
 def learn(docs: DataFrame, where=None, sample_rows: int = SAMPLE_ROWS) -> Hierarchy:
-    """Fit on at most ``sample_rows`` rows of each language of ``docs`` (text, lang) that meet ``where``.
+    """Fit on at most ``sample_rows`` rows of each language of ``docs`` (text, lang) that meet ``where``, and TOTAL_ROWS in all.
 
     Rows with a null lang or text are not learned from. The sample follows from hashes of the texts."""
     known = docs if where is None else docs.where(where)
@@ -170,6 +172,7 @@ def learn(docs: DataFrame, where=None, sample_rows: int = SAMPLE_ROWS) -> Hierar
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return fit([])
+    sample_rows = max(1, min(sample_rows, TOTAL_ROWS // len(counts)))
     # A share of each language by hash, a little over the bound; then the bound itself.
     share = F.lit(0)
     for lang, n in counts.items():
