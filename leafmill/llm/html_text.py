@@ -3,8 +3,9 @@
 A page's text nodes are gathered by the path of tags above them. For each root-to-leaf path, length of text and
 number of punctuation marks per node are aggregated (text to tag path ratio, TPR, and punctuation to tag
 path ratio, PPR); both are smoothed over neighbouring nodes in page order, fused as their product, weighted with the
-path's share of link text, and thresholded by their spread. The nodes of paths above the threshold name the content's
-container; its text is returned by blocks.
+path's share of link text, and thresholded by their spread. Nodes of paths above the threshold are the content. Headings,
+list items and other short text below it are taken back if they lie in the content's container: an article or main element
+that holds most of the content, else the deepest element that holds nearly all of it. Blocks that are mostly links are not.
 
 Nodes under tags that never hold content (navigation, headers, footers, forms, scripts and the like) or under a class, id
 or role that says so are left out before and after.
@@ -44,6 +45,10 @@ NOT_CONTENT = frozenset(
     "subscribe subscription signup login search pagination pager tags toolbar hidden skip complementary contentinfo dialog "
     "alert disclaimer copyright legal form".split()
 )
+#: Blocks that are taken back within the container, though their paths are below the threshold.
+REJOINED = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th caption figcaption blockquote pre summary address".split())
+#: First words of the names that blogs give an article by its subjects.
+SUBJECTS = ("category", "tag")
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、¿¡\"'()«»“”„–—-]")
 
 _TOKEN = re.compile(
@@ -72,15 +77,15 @@ def _says_off(name: str) -> bool:
     return bool(words) and words[0] not in ("has", "with", "no", "without", "not") and any(w in NOT_CONTENT for w in words)
 
 
-def _off(attributes: str) -> bool:
-    """Whether attributes say that an element isn't content, or isn't shown."""
+def _off(attributes: str, tag: str = "") -> bool:
+    """Whether attributes say that an element isn't content, or isn't shown. An article's names may tell its subjects (tag-legal)."""
     if not attributes.strip():
         return False
     for m in _MARK.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id", "role") and any(_says_off(v) for v in value.split()):
+        if name in ("class", "id", "role") and any(_says_off(v) for v in value.split() if tag != "article" or not v.startswith(tuple(f"{x}-" for x in SUBJECTS)) and v != "comments-open"):
             return True
     return False
 
@@ -149,7 +154,7 @@ def parse(page: str) -> tuple[list[Node], dict[int, str]]:
             continue
         number = len(tags)
         tags[number] = tag
-        stack.append((tag, number, stack[-1][2] or tag in CHROME or tag not in ("html", "body", "main", "article") and _off(m[3])))
+        stack.append((tag, number, stack[-1][2] or tag in CHROME or tag not in ("html", "body", "main") and _off(m[3], tag)))
     text(len(page))
     return nodes, tags
 
@@ -195,24 +200,46 @@ def main_text(page: str | None) -> str:
     if not any(n.text.strip() for n in nodes):
         return ""
     paths = content_paths(nodes)
-    # Text of the content's paths by the elements that hold it: an article that the page names, else
-    # the deepest element that holds nearly all of it.
+    # Text of the content's paths by the elements that hold it.
     held: dict[int, int] = {}
+    apart = 0  # of it, what no article holds
+    named = {e for e in tags if tags[e] == "article"}
     total = 0
     for n in nodes:
         size = len(n.text.strip()) * (n.path in paths)
         total += size
+        if size and named.isdisjoint(n.chain):
+            apart += size
         for e in n.chain:
             held[e] = held.get(e, 0) + size
-    articles = [e for e in held if tags[e] in ("article", "main")]
+    articles = [e for e in held if tags[e] in ("article", "main") and 2 * held[e] > total]
     if articles:
         container = max(articles, key=lambda e: (held[e], e))
     else:
-        container = max((e for e in held if held[e] >= 0.98 * total and (tags[e] in BLOCKS and tags[e] != "p" or e == 0)), default=0)
-    blocks: dict[int, list[str]] = {}
+        # Where most of the text is in no article, articles are teasers or comments.
+        whole = apart if 2 * apart > total else total
+        inside: dict[int, int] = {}
+        for n in nodes:
+            if n.path in paths and (whole == total or named.isdisjoint(n.chain)):
+                for e in n.chain:
+                    inside[e] = inside.get(e, 0) + len(n.text.strip())
+        container = max((e for e in inside if inside[e] >= 0.98 * whole and (tags[e] in BLOCKS and tags[e] != "p" or e == 0)), default=0)
+    # Articles within the container are comments or teasers too, if most of its text is in none of them.
+    within = named - {container} - {e for n in nodes if container in n.chain for e in n.chain[: n.chain.index(container)]}
+    own = sum(len(n.text.strip()) for n in nodes if n.path in paths and container in n.chain and within.isdisjoint(n.chain))
+    if 2 * own <= held.get(container, 0):
+        within = set()
+    found: dict[int, list[Node]] = {}
     for n in nodes:
-        if container in n.chain:
-            blocks.setdefault(n.block, []).append(n.text)
+        if container in n.chain and within.isdisjoint(n.chain):
+            found.setdefault(n.block, []).append(n)
+    blocks: dict[int, list[str]] = {}
+    for block, some in found.items():
+        size = sum(len(n.text.strip()) for n in some)
+        linked = sum(len(n.text.strip()) for n in some if n.linked)
+        kind = next((t for t in reversed(some[0].path.split("/")) if t in BLOCKS), "")
+        if any(n.path in paths for n in some) or kind in REJOINED and 2 * linked <= size:
+            blocks[block] = [n.text for n in some]
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
 

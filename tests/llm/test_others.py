@@ -126,6 +126,24 @@ def test_pages(page, text):
     assert H.main_text(page) == text
 
 
+STORY = "<p>" + "The river rose in the night, and by noon, as the old miller said, it had reached the bridge. " * 3 + "</p>"
+TOLD = "\n".join(["The river rose in the night, and by noon, as the old miller said, it had reached the bridge. " * 2 + "The river rose in the night, and by noon, as the old miller said, it had reached the bridge."] * 4)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class=post><h1>Flood</h1>{STORY * 4}</div><article><h2>Next</h2><p>A teaser</p></article>", "Flood\n" + TOLD),
+        (f"<div><h1>Flood</h1>{STORY * 4}</div><article class=comment>{STORY}</article>", "Flood\n" + TOLD),
+        (f"<article class='post tag-legal'>{STORY * 4}<article><p>Well said, thanks, all!</p></article></article>", TOLD),
+        (f"<article>{STORY * 4}<ul><li><a href=x>One</a><li><a href=y>Two</a></ul><div>More here</div></article>", TOLD),
+        (f"<div><div>{STORY * 2}<ul><li>flour<li>salt</ul>{STORY * 2}</div><div><a href=x>Home</a> <a href=y>Map</a></div></div>", "\n".join([*TOLD.split("\n")[:2], "flour", "salt", *TOLD.split("\n")[2:]])),
+    ],
+)
+def test_selected_paths(page, text):
+    assert H.main_text(page) == text
+
+
 def test_long_page():
     page = "<div>" * 3000 + "<p>word, and more. </p>" * 20_000
     assert H.main_text(page).count("\n") == 19_999
