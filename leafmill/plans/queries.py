@@ -606,3 +606,12 @@ def page_json(spark, sf_dir):
 
     pages = _table(spark, sf_dir, "conversations").where("turn <= 2").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("page_no"), F.array(F.struct("text")).alias("paragraphs"))
     return dump(pages).select("book_id", "page_no", F.get(F.from_json("json", "array<struct<text:string>>"), 0)["text"].alias("text"))
+
+
+@query("SELECT conv_id AS book_id, turn AS page_no, text FROM conversations")
+def page_json_all(spark, sf_dir):
+    """Every page written as JSON and read back."""
+    from leafmill.sources.sinks import page_json as dump
+
+    pages = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("page_no"), F.array(F.struct("text")).alias("paragraphs"))
+    return dump(pages).select("book_id", "page_no", F.get(F.from_json("json", "array<struct<text:string>>"), 0)["text"].alias("text"))

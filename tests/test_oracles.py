@@ -54,3 +54,10 @@ def test_no_shuffle(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = clean_text(docs).select("doc_id", "cleaned_text")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_all_pages(spark, sf):
+    """Every turn of every conversation goes through JSON."""
+    want = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text")
+    got = Q.QUERIES["page_json_all"](spark, sf)
+    assert want.where("turn > 2").count() and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
