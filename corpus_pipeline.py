@@ -23,9 +23,11 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that can be told: those without letters and those whose language lost a duel go."""
+    """Documents of a learned language: those without letters, those like no learned language and, where a level has three
+    classes or more, those whose language lost a duel go. Short texts, texts mixed of learned languages and some of close
+    relatives of a learned language can't be told and stay."""
     model = language.learn(docs)
-    found = language.identify(docs.select(*COLUMNS), model, COLUMNS)
+    found = language.identify(docs.select(*COLUMNS), model, COLUMNS, strict=True)
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 

@@ -44,6 +44,12 @@ GRAMS = (1, 2, 3, 4)
 EPOCHS = 12
 PENALTY = 1e-5
 UNKNOWN = "und"
+#: Texts of fewer n-grams are too short to be told from texts of a language that wasn't learned.
+LEAST_GRAMS = 200
+#: Examples of a language from which its typical likeness is learned, at least.
+LEAST_EXAMPLES = 20
+#: A text is foreign below this part of the likeness of the language's median example: junk among the examples doesn't move it.
+FOREIGN = 0.6
 
 _NOT_LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -133,34 +139,54 @@ def fit_pairwise(classes: list[str], x: np.ndarray, labels: np.ndarray) -> Pairw
 class Hierarchy:
     families: Pairwise
     within: dict[str, Pairwise]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and score; ``und`` and 0 for null, for texts without a letter, and if nothing was learned."""
+    #: Mean direction of each language's examples and the least cosine with it of a text of the language.
+    typical: dict[str, tuple[np.ndarray, float]] = field(default_factory=dict)
+
+    def foreign(self, lang: str, index: np.ndarray) -> bool:
+        """Whether a text is less like the language than its texts are."""
+        if lang not in self.typical or len(index) < LEAST_GRAMS:
+            return False
+        mean, least = self.typical[lang]
+        return float(vector(index) @ mean) < least
+
+    def predict(self, text: str | None, strict: bool = False) -> tuple[str, float]:
+        """Language and score; ``und`` and 0 for null, for texts without a letter, and if nothing was learned; with
+        ``strict`` also for foreign texts."""
         index = features(text) if text else None
         if index is None or not self.within:
             return UNKNOWN, 0.0
         x = vector(index)
         family, sure = self.families.predict(x)
         lang, more = self.within[family].predict(x)
+        if strict and self.foreign(lang, index):
+            return UNKNOWN, 0.0
         return lang, round(min(sure, more), 6)
 
 
 def fit(samples: list[tuple[str, str]]) -> Hierarchy:
     """samples: (language, text). Texts are cut into examples at spaces."""
-    x, langs = np.zeros((TEXT_EXAMPLES * len(samples), DIMENSIONS), np.float32), []
+    x, langs, grams = np.zeros((TEXT_EXAMPLES * len(samples), DIMENSIONS), np.float32), [], []
     for lang, text in sorted(samples):
         for k in range(min(TEXT_EXAMPLES, max(1, len(text) // EXAMPLE_CHARS))):
             index = features(text[k * EXAMPLE_CHARS : (k + 1) * EXAMPLE_CHARS])
             if index is not None:
                 x[len(langs)] = vector(index)
                 langs.append(lang)
+                grams.append(len(index))
     if not langs:
         return Hierarchy(Pairwise([]), {})
     x, y = x[: len(langs)], np.array(langs, dtype=object)
     fam = np.array([FAMILY.get(v, v) for v in langs], dtype=object)
     names = sorted(set(fam))
     within = {f: fit_pairwise(sorted(set(y[fam == f])), x[fam == f], y[fam == f]) for f in names}
-    return Hierarchy(fit_pairwise(names, x, fam), within)
+    typical, long = {}, np.array(grams) >= LEAST_GRAMS
+    for lang in sorted(set(langs)):
+        own = x[(y == lang) & long]
+        if len(own) >= LEAST_EXAMPLES:
+            mean = own.mean(axis=0)
+            mean /= np.linalg.norm(mean)
+            typical[lang] = mean, FOREIGN * float(np.median(own @ mean))
+    return Hierarchy(fit_pairwise(names, x, fam), within, typical)
 
 
 def learn(docs: DataFrame, where=None, sample_rows: int = SAMPLE_ROWS) -> Hierarchy:
@@ -187,12 +213,13 @@ def learn(docs: DataFrame, where=None, sample_rows: int = SAMPLE_ROWS) -> Hierar
     return fit([x for rows in taken.values() for x in sorted(rows)[:sample_rows]])
 
 
-def identify(docs: DataFrame, model: Hierarchy, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Hierarchy, keep: list[str] | None = None, strict: bool = False) -> DataFrame:
     """Predict the language of every whole text: columns ``keep`` (default: doc_id), lang_pred, score.
 
     docs: needs text and the kept columns, which must not be named as the two new ones. Null text, empty text
     and text without a letter: ``und`` with score 0. Repeated rows are judged one by one; an empty table gives
-    no rows. With nothing learned all are ``und``."""
+    no rows. With nothing learned all are ``und``. ``strict``: so are texts of at least LEAST_GRAMS n-grams that are like
+    no learned language."""
     keep = keep or ["doc_id"]
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -202,7 +229,7 @@ def identify(docs: DataFrame, model: Hierarchy, keep: list[str] | None = None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [held.value.predict(t.as_py()) for t in b.column(at)]
+            found = [held.value.predict(t.as_py(), strict) for t in b.column(at)]
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], names=[*keep, "lang_pred", "score"])
         release_memory()

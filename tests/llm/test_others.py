@@ -273,6 +273,21 @@ def test_pipeline(spark, sf, documents):
         assert f(spark, documents.limit(0), sf).count() == 0
 
 
+def test_foreign(spark, sf, documents):
+    import corpus_pipeline as cp
+
+    random.seed(1)
+    texts = [
+        "Joki nousi yön aikana ja puoleenpäivään mennessä, kuten vanha mylläri sanoi, se oli saavuttanut kylän sillan ja pellot. ",
+        "Река поднялась ночью, и к полудню, как сказал старый мельник, вода дошла до моста у деревни и залила все поля вокруг. ",
+        "Rzeka wezbrała w nocy i do południa, jak powiedział stary młynarz, woda dotarła do mostu przy wsi i zalała wszystkie pola. ",
+        " ".join("".join(random.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(60)),
+    ]
+    odd = spark.createDataFrame([(10**9 + i, t * 3, None, "s", len(t) * 3) for i, t in enumerate(texts)], documents.schema)
+    kept = {r.doc_id for r in cp.language_id(spark, documents.unionByName(odd), sf).collect()}
+    assert kept == {r.doc_id for r in documents.collect()}
+
+
 def test_sample_bounds(documents):
     assert len(language.learn(documents, sample_rows=5).within) == 2
     assert np.isfinite(language.vector(language.features("ab cd"))).all()
