@@ -298,22 +298,42 @@ def _link_group(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(nodes[i], nodes[j]) for i, j in found], columns=["u", "v"]).astype("int64")
 
 
-def _with_text(rows: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
-    """Add the text of a document that has the node's set. named: node, rep (a doc_id)."""
+def _node_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and text of each document that has a set."""
+    for b in batches:
+        rows = [(node_of(s), t) for t in b.column(0).to_pylist() for s in [shingles(t)] if len(s)]
+        nodes, texts = zip(*rows, strict=True) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["node", "text"])
+
+
+def _unnamed(sets: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """node and text of the sets that only documents with a null doc_id have, or None if there are none."""
+    only = sets.where(F.col("node").isNotNull() & F.col("doc_id").isNull()).select("node").distinct().join(named, "node", "left_anti")
+    only, path = stage(only, "jaccard-unnamed")
+    if only.isEmpty():
+        drop(docs.sparkSession, path)
+        return None
+    texts = docs.where(F.col("doc_id").isNull()).select("text").mapInArrow(_node_texts, "node long, text string")
+    return stage(texts.join(only, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "jaccard-unnamed-texts")[0]
+
+
+def _with_text(rows: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs: DataFrame) -> DataFrame:
+    """Add the text of a document that has the node's set. named: node, rep (a doc_id); unnamed: node, text."""
     wanted, path = stage(rows.join(named, "node"), "jaccard-wanted")
     small = wanted.count() <= BROADCAST_ROWS
     text = docs.select(F.col("doc_id").alias("rep"), "text")
-    return text.join(F.broadcast(wanted) if small else wanted, "rep").select(*rows.columns, "text")
+    found = text.join(F.broadcast(wanted) if small else wanted, "rep").select(*rows.columns, "text")
+    return found if unnamed is None else found.unionByName(rows.join(unnamed, "node").select(*rows.columns, "text"))
 
 
-def _links(groups: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(groups: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs: DataFrame) -> DataFrame:
     """Links of all groups (a, node); edges u, v."""
     links = "u long, v long"
     sizes = groups.groupBy("a").agg(F.count("*").alias("size"))
     groups = groups.join(sizes, "a").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     block = F.pmod(F.xxhash64("node", "a"), F.col("blocks"))
     rows = groups.select("a", "node", block.alias("b"), F.lit(0).alias("side"), F.col("node").alias("root"))
-    edges, _ = stage(_with_text(rows, named, docs).groupBy("a", "b").applyInPandas(_link_group, links), "jaccard-links")
+    edges, _ = stage(_with_text(rows, named, unnamed, docs).groupBy("a", "b").applyInPandas(_link_group, links), "jaccard-links")
     large = groups.where("blocks > 1")
     if large.isEmpty():
         return edges
@@ -327,7 +347,7 @@ def _links(groups: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
     rests = rest.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("rests"))
     left = rest.join(rests, "a").select("a", "node", "root", F.pmod(F.xxhash64("node", "a", F.lit(1)), F.col("rests")).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), F.lit(1).alias("side"))
     right = known.join(rests, "a").select("a", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("r"), "b", F.lit(2).alias("side"))
-    more = _with_text(left.unionByName(right), named, docs).groupBy("a", "r", "b").applyInPandas(_link_group, links)
+    more = _with_text(left.unionByName(right), named, unnamed, docs).groupBy("a", "r", "b").applyInPandas(_link_group, links)
     return edges.unionByName(stage(more, "jaccard-links")[0])
 
 
@@ -351,7 +371,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     dealt = docs.mapInArrow(_postings(levels, max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))), "bucket long, rows binary")
     met, path = stage(dealt.groupBy("bucket").applyInPandas(_groups, "a long, node long").distinct(), "jaccard-groups")
     named = sets.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"))
-    comps = components(_links(met, named, docs))
+    comps = components(_links(met, named, _unnamed(sets, named, docs), docs))
     drop(spark, path)
     rows = sets.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("least"))

@@ -71,6 +71,17 @@ def test_edges(spark, edge_docs, no_docs):
     assert run(no_docs) == []
 
 
+def test_null_bridge(spark):
+    """A null doc_id links two documents that are no near copies of each other."""
+    words = [f"w{i}" for i in range(210)]
+    a, bridge, c = words[:180], words[20:200], words[40:]
+    rows = [(3, " ".join(a)), (None, " ".join(bridge)), (8, " ".join(c)), (None, "q " * 3), (20, " ".join(f"v{i}" for i in range(50)))]
+    rows += [(None, " ".join(f"u{i}" for i in range(k, 60))) for k in range(2)]
+    want = brute(rows)
+    assert (8, 166, 3) in want and (8, 166, 8) in brute([r for r in rows if r[0] is not None])
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
 def test_oracle(spark, sf, documents):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
