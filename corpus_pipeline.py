@@ -16,10 +16,20 @@ BROADCAST_ROWS = 500_000
 MIN_SCORE = 0.5
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose doc_id isn't among ``ids``; those without an id stay."""
-    gone, _ = stage(ids.where("doc_id IS NOT NULL").distinct(), "dropped")
-    return docs.join(sized_broadcast(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of its own for each row (_row), written so that it stays: ids may be null or there twice."""
+    return stage(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "keyed")[0]
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """What operators read, with the row's key for its id."""
+    return docs.select(F.col("_row").alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Keyed documents whose row isn't among ``rows`` (_row)."""
+    gone, _ = stage(rows.distinct(), "dropped")
+    return docs.join(sized_broadcast(gone, BROADCAST_ROWS), "_row", "left_anti").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +42,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id. Of repeated rows of one doc_id, the
-    first by text stays."""
-    found, _ = stage(jaccard.similar_documents(docs), "similar")
-    kept = _without(docs, found.where("doc_id <> component_id").select("doc_id"))
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again, _ = stage(again, "repeated-ids")
-    if again.isEmpty():
-        return kept
-    few = sized_broadcast(again, BROADCAST_ROWS)
-    one = kept.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return kept.join(few, "doc_id", "left_anti").unionByName(one)
+    """One row of each group of near copies: that with the smallest doc_id (null is the largest), of equal ids any one.
+    Rows with one doc_id and texts that are no near copies all stay."""
+    docs = _keyed(docs)
+    found, _ = stage(jaccard.similar_documents(_by_row(docs)).select(F.col("doc_id").alias("_row"), "component_id"), "similar")
+    named, _ = stage(found.join(docs.select("_row", "doc_id"), "_row"), "similar-named")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("_row"))
+    return _without(docs, named.select("_row").join(first.select("_row"), "_row", "left_anti"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +59,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return _without(docs, decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    # Whether a row leaks follows from its text alone: a hash of the text is its key, and nothing is written again.
+    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("text"))
+    leaks = decontamination.find_leaks(_by_row(docs), table(spark, sf_dir, "benchmark"))
+    return _without(docs, leaks.select(F.col("doc_id").alias("_row")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -273,6 +273,21 @@ def test_pipeline(spark, sf, documents):
         assert f(spark, documents.limit(0), sf).count() == 0
 
 
+def test_repeated_and_null_ids(spark, sf, documents):
+    import corpus_pipeline as cp
+
+    random.seed(11)
+    prose = lambda: " ".join(f"k{random.randint(0, 10**6)}" for _ in range(60))
+    a, b, c, d = prose(), prose(), prose(), prose()
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    table = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], documents.schema)
+    got = lambda f, rows: sorted(((r.doc_id, r.text) for r in f(spark, table(rows), sf).collect()), key=str)
+    rows = [(5, a), (5, b), (None, c), (None, c), (None, d), (3, d + " more"), (9, a), (9, a)]
+    assert got(cp.near_duplicates, rows) == sorted([(5, a), (5, b), (None, c), (3, d + " more")], key=str)
+    rows = [(5, a), (5, b + " " + leak), (None, c + " " + leak), (None, d)]
+    assert got(cp.benchmark_decontamination, rows) == sorted([(5, a), (None, d)], key=str)
+
+
 def test_foreign(spark, sf, documents):
     import corpus_pipeline as cp
 
