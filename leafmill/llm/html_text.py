@@ -1,24 +1,25 @@
 """Main text of web pages by tag-path ratios.
 
-A page's text nodes are gathered by the path of tags above them. For each root-to-leaf path, length of text and
-number of punctuation marks per node are aggregated (text to tag path ratio, TPR, and punctuation to tag
-path ratio, PPR); both are smoothed over neighbouring nodes in page order, fused as their product, weighted with the
-path's share of link text, and thresholded by their spread. Nodes of paths above the threshold are the content. Headings,
-list items and other short text below it are taken back if they lie in the content's container: an article or main element
-that holds most of the content, else the deepest element that holds nearly all of it. Blocks that are mostly links are not.
-
-Nodes under tags that never hold content (navigation, headers, footers, forms, scripts and the like) or under a class, id
-or role that says so are left out before and after.
+A page's text is taken apart into units: the text that one block element holds itself. Units are gathered by the path of
+block tags above them. For each root-to-leaf path, length of text and number of punctuation marks per unit are
+aggregated (text to tag path ratio, punctuation to tag path ratio) and fused as their geometric mean. It is smoothed over
+neighbours in page order, the more the nearer their paths are in the tree, so that headings and list items among
+paragraphs share in these, and weighted with the path's share of link text and with what the names and kinds of its
+elements say. Paths that reach a share of the best one's score are the content, and units are selected by their paths.
+
+Names (class, id, role) are a weight, never a verdict: the threshold is relative, a name that only partly speaks of
+something else counts little, and one of an element that holds nearly all of the page's text counts nothing. What HTML
+itself keeps for other things (navigation, footers, asides, buttons, scripts) holds no content.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,29 +29,49 @@ from .common import bounded_batches
 #: Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes xmp title textarea".split())
-CHROME = frozenset("nav header footer aside form button select menu dialog canvas svg object video audio map head fieldset label option datalist".split())
+#: Elements that hold no content, wherever they stand.
+NEVER = frozenset("nav footer aside button select menu canvas svg object video audio map head option datalist".split())
+#: Elements that mostly hold none; a header within an article is that article's.
+RARELY = {"header": 0.03, "form": 0.03, "dialog": 0.03, "fieldset": 0.03, "label": 0.03}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 BLOCKS = frozenset(
-    "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
-    "blockquote pre address hr details summary hgroup search center figure figcaption".split()
-) | CHROME
+    "html body main article section div p ul ol li dl dt dd table thead tbody tfoot tr td th caption "
+    "blockquote pre address hr details summary search center figure figcaption".split()
+) | HEADINGS | NEVER | RARELY.keys()
 #: An open p ends where one of these begins.
 ENDS_P = BLOCKS - frozenset(["html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "li", "dt", "dd", "button", "label", "select", "option", "canvas", "svg", "object", "video", "audio", "map", "head"])
 #: An element of the left kind ends an open one of the right kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody"), "tfoot": ("tbody",)}
-#: Words in class, id or role that mark what isn't content.
+#: Words in class, id or role that speak against content.
 NOT_CONTENT = frozenset(
     "ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb "
     "breadcrumbs header masthead topbar footer bottombar sidebar aside widget related recommended recommendations share sharing social "
-    "comment comments comentarios kommentare respond disqus reply replies cookie cookies consent notice gdpr popup modal overlay newsletter "
+    "cookie cookies consent notice gdpr popup modal overlay newsletter "
     "subscribe subscription signup login search pagination pager tags toolbar hidden skip complementary contentinfo dialog "
     "alert disclaimer copyright legal form".split()
 )
-#: Blocks that are taken back within the container, though their paths are below the threshold.
-REJOINED = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th caption figcaption blockquote pre summary address".split())
+#: Words that mark what readers wrote.
+READERS = frozenset("comment comments comentarios kommentare respond disqus reply replies".split())
+#: Words that say nothing of what an element is for.
+NEUTRAL = frozenset("area article articles bar block body bottom box column container content element group inner item items left link links list main module page panel post posts region right row section site text title top widget wrap wrapper".split())
+#: Units that are paragraphs, headings, items or cells by their tag take part in their neighbours' text whole, others by LOOSE.
+PARTS = frozenset("p li dt dd td th caption figcaption blockquote pre summary address".split()) | HEADINGS
+LOOSE = 0.1
 #: First words of the names that blogs give an article by its subjects.
 SUBJECTS = ("category", "tag")
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、¿¡\"'()«»“”„–—-]")
 
+#: Weights of an element whose names all speak against content, of one with such a word among others, of one that isn't
+#: shown, of an article within an article (a comment or teaser), of what lies beside the articles that hold most text,
+#: (and of articles beside most text), and of what an article's header holds besides headings.
+NAMED, MENTIONED, UNSEEN, NESTED, BESIDE, HEADER = 0.01, 0.2, 0.01, 0.03, 0.1, 0.3
+#: An element that holds this part of the page's text is no advert or notice, whatever its name.
+MASS, READERS_MASS = 0.75, 0.97
+#: Neighbours that a unit is smoothed with on each side, and the greatest distance of their paths in the tree.
+NEIGHBOURS, DISTANCE = 4, 8
+#: A path is content from this part of the best path's score on.
+THRESHOLD = 0.06
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
@@ -61,64 +82,127 @@ _WORDS = re.compile(r"[A-Za-z]+")
 
 
 @dataclass
-class Node:
-    """A text node: its path, its block, and the number of the element that holds it."""
+class Unit:
+    """Text that a block holds itself: its path's number, its block, its text, characters in links, and element."""
 
-    path: str
-    text: str
+    path: int
     block: int
-    chain: tuple[int, ...]
-    linked: bool
-
-
-def _says_off(name: str) -> bool:
-    """Whether a name has a word of NOT_CONTENT, unless it tells of what is elsewhere (has-sidebar)."""
-    words = _WORDS.findall(name)
-    return bool(words) and words[0] not in ("has", "with", "no", "without", "not") and any(w in NOT_CONTENT for w in words)
+    parts: list[str]
+    linked: int
+    element: int
+
+    @property
+    def text(self) -> str:
+        return "".join(self.parts).strip()
+
+
+class Page:
+    """Units in page order; elements and paths as trees by parent numbers, so depth costs nothing."""
+
+    def __init__(self) -> None:
+        self.units: list[Unit] = []
+        self.tags, self.parents, self.signs = [""], [0], [""]
+        self.elements = [0]  # the path of each block element
+        self._known: dict[tuple, int] = {}
+        #: Of each path: tag, parent, depth, what its element's names say.
+        self.paths: list[tuple[str, int, int, str]] = [("", 0, 0, "")]
+
+    def element(self, tag: str, parent: int, sign: str) -> int:
+        self.tags.append(tag)
+        self.parents.append(parent)
+        self.signs.append(sign)
+        above = self.elements[parent]
+        key = (above, tag, sign)
+        if key not in self._known:
+            self._known[key] = len(self.paths)
+            self.paths.append((tag, above, self.paths[above][2] + 1, sign))
+        self.elements.append(self._known[key])
+        return len(self.tags) - 1
+
+    def distance(self, a: int, b: int) -> int:
+        """Steps between two paths in the tree; beyond DISTANCE it isn't told."""
+        steps = 0
+        while a != b and steps <= DISTANCE:
+            if self.paths[a][2] >= self.paths[b][2]:
+                a = self.paths[a][1]
+            else:
+                b = self.paths[b][1]
+            steps += 1
+        return steps
+
+
+def _names(value: str, tag: str) -> str:
+    """What a name says: "n" (all its words speak against content), "m" (some do), "r" (readers), or nothing."""
+    words = [w for w in _WORDS.findall(value)]
+    if not words or words[0] in ("has", "with", "no", "without", "not"):
+        return ""  # tells of what is elsewhere (has-sidebar)
+    if tag == "article" and (value.startswith(tuple(f"{x}-" for x in SUBJECTS)) or value == "comments-open"):
+        return ""
+    if any(w in READERS for w in words):
+        return "r" if all(w in READERS | NEUTRAL | NOT_CONTENT for w in words) else "m"
+    if not any(w in NOT_CONTENT for w in words):
+        return ""
+    return "n" if all(w in NOT_CONTENT or w in NEUTRAL for w in words) else "m"
 
 
-def _off(attributes: str, tag: str = "") -> bool:
-    """Whether attributes say that an element isn't content, or isn't shown. An article's names may tell its subjects (tag-legal)."""
+def _sign(attributes: str, tag: str) -> str:
+    """What an element's attributes say: "h" for hidden, else the strongest of what its names do, and those names."""
     if not attributes.strip():
-        return False
+        return ""
+    said = set()
     for m in _MARK.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role") and any(_says_off(v) for v in value.split() if tag != "article" or not v.startswith(tuple(f"{x}-" for x in SUBJECTS)) and v != "comments-open"):
-            return True
-    return False
+            return "h"
+        if name in ("class", "id", "role"):
+            said |= {f"{x} {v}" for v in value.split() if (x := _names(v, tag))}
+    return next((" ".join(sorted(said)) if x == "m" else f"{x} {' '.join(sorted(said))}" for x in "rnm" if any(v[0] == x for v in said)), "")
 
 
-def parse(page: str) -> tuple[list[Node], dict[int, str]]:
-    """Text nodes that may be content, in page order, and the tag of each element by its number.
+def parse(page: str) -> Page:
+    """Units of a page, in page order.
 
     Unclosed and misnested tags are read as browsers mostly do: an end tag closes up to its start tag, or nothing; a new
     block ends an open paragraph."""
-    nodes: list[Node] = []
-    tags: dict[int, str] = {0: ""}
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, number, off
+    out = Page()
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, block element, never content
+    open_tags: dict[str, int] = {}
     block, at = 0, 0
 
     def text(upto: int) -> None:
         if upto > at and not stack[-1][2]:
             piece = page[at:upto]
-            if not piece.isspace():
-                names = [s[0] for s in stack[1:]]
-                nodes.append(Node("/".join(n for n in names), html.unescape(piece), block, tuple(s[1] for s in stack), "a" in names))
-            elif nodes and nodes[-1].block == block:
-                nodes[-1].text += " "
-
-    def close(names: tuple[str, ...] | frozenset[str], within: frozenset[str]) -> None:
+            last = out.units[-1] if out.units and out.units[-1].block == block else None
+            if piece.isspace():
+                if last:
+                    last.parts.append(" ")
+                return
+            piece = html.unescape(piece)
+            path = out.elements[stack[-1][1]]
+            if not last or last.path != path:
+                last = Unit(path, block, [], 0, stack[-1][1])
+                out.units.append(last)
+            last.parts.append(piece)
+            if open_tags.get("a"):
+                last.linked += len(piece.strip())
+
+    def pop() -> None:
+        open_tags[stack.pop()[0]] -= 1
+
+    def close(names: tuple[str, ...], within: frozenset[str]) -> None:
         """Close the nearest open element of these names, unless one of ``within`` is nearer."""
+        if not any(open_tags.get(n) for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in names:
-                del stack[i:]
+                while len(stack) > i:
+                    pop()
                 return
             if stack[i][0] in within:
                 return
 
-    scopes = frozenset(["table", "td", "th", "article", "section", "div", "body", "html", "ul", "ol", "dl", "blockquote", *CHROME])
+    scopes = frozenset(["table", "td", "th", "article", "section", "div", "body", "html", "ul", "ol", "dl", "blockquote", *NEVER, *RARELY])
+    lists = frozenset(["table", "ul", "ol", "dl", "select"])
     i = 0
     while (start := page.find("<", i)) >= 0:
         m = _TOKEN.match(page, start)
@@ -131,117 +215,124 @@ def parse(page: str) -> tuple[list[Node], dict[int, str]]:
         if not tag:
             continue
         if m[1]:
-            if any(s[0] == tag for s in stack):
+            if open_tags.get(tag):
                 while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+                    pop()
+                pop()
             if tag in BLOCKS:
                 block += 1
             continue
         if tag in ENDS_P:
-            close(("p",), scopes - {"p"})
+            close(("p",), scopes)
         if tag in ENDS:
-            close(ENDS[tag], frozenset(["table", "ul", "ol", "dl", "select"]))
+            close(ENDS[tag], lists)
         if tag in BLOCKS:
             block += 1
-        elif tag == "br" and nodes and nodes[-1].block == block:
-            nodes[-1].text += " "
+        elif tag == "br" and out.units and out.units[-1].block == block:
+            out.units[-1].parts.append(" ")
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, i)
             i = at = end.end() if end else len(page)
             continue
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
-        number = len(tags)
-        tags[number] = tag
-        stack.append((tag, number, stack[-1][2] or tag in CHROME or tag not in ("html", "body", "main") and _off(m[3], tag)))
+        sign = "" if tag in ("html", "body", "main") else _sign(m[3], tag)
+        # Inline elements are no part of a path unless their names say something.
+        number = out.element(tag, stack[-1][1], sign) if tag in BLOCKS or sign else stack[-1][1]
+        stack.append((tag, number, stack[-1][2] or tag in NEVER))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     text(len(page))
-    return nodes, tags
-
-
-def _smooth(x: np.ndarray) -> np.ndarray:
-    """Gaussian weights over five neighbours in page order."""
-    if len(x) < 3:
-        return x
-    w = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
-    return np.convolve(np.pad(x, 2, mode="edge"), w / w.sum(), mode="valid")
-
-
-def content_paths(nodes: list[Node]) -> set[str]:
-    """Paths whose fused ratio is over the threshold."""
-    length: dict[str, float] = {}
-    marks: dict[str, float] = {}
-    links: dict[str, float] = {}
-    count: dict[str, int] = {}
-    for n in nodes:
-        size = len(n.text.strip())
-        count[n.path] = count.get(n.path, 0) + 1
-        length[n.path] = length.get(n.path, 0) + size
-        marks[n.path] = marks.get(n.path, 0) + len(PUNCTUATION.findall(n.text))
-        links[n.path] = links.get(n.path, 0) + size * n.linked
-    tpr = np.array([length[n.path] / count[n.path] for n in nodes])
-    ppr = np.array([(marks[n.path] + 0.1) / count[n.path] for n in nodes])
-    fused = _smooth(tpr) * _smooth(ppr)
-    score: dict[str, float] = {}
-    for n, f in zip(nodes, fused.tolist(), strict=True):
-        score[n.path] = max(score.get(n.path, 0.0), f * (1 - links[n.path] / max(1.0, length[n.path])) ** 2)
-    values = np.array(list(score.values()))
-    # The logarithms' spread: a page of one kind of text has none, and keeps it all.
-    logs = np.log1p(values)
-    cut = logs.max() - 0.8 * logs.std() - 1.0 if len(values) > 1 else -1.0
-    return {p for p, v in zip(score, logs, strict=True) if v >= cut}
+    return out
+
+
+def path_weights(page: Page, sizes: list[int]) -> list[float]:
+    """Weight of each path from the kinds and names of its elements. sizes: characters of each unit."""
+    total = max(1, sum(sizes))
+    held = [0] * len(page.tags)
+    for u, n in zip(page.units, sizes, strict=True):
+        held[u.element] += n
+    for e in range(len(held) - 1, 0, -1):  # parents have smaller numbers
+        held[page.parents[e]] += held[e]
+    # The names of a path count unless one of its elements holds most of the page.
+    most = [0.0] * len(page.paths)
+    for e, n in enumerate(held):
+        most[page.elements[e]] = max(most[page.elements[e]], n / total)
+    weights, within = [1.0], [False]
+    for k, (tag, above, _, sign) in enumerate(page.paths[1:], 1):
+        w = weights[above]
+        if sign[:1] == "h":
+            w *= UNSEEN
+        elif sign[:1] == "r" and most[k] < READERS_MASS or sign[:1] == "n" and most[k] < MASS:
+            w *= NAMED
+        elif sign[:1] == "m" and most[k] < MASS:
+            w *= MENTIONED
+        if tag == "article" and within[above]:
+            w *= NESTED
+        elif tag == "header" and within[above]:
+            w *= HEADER
+        elif tag in RARELY and most[k] < MASS:
+            w *= RARELY[tag]
+        elif tag in HEADINGS and page.paths[above][0] == "header" and within[above]:
+            w /= HEADER
+        weights.append(w)
+        within.append(within[above] or tag in ("article", "main"))
+    inside = sum(n for u, n in zip(page.units, sizes, strict=True) if within[u.path] and weights[u.path] >= HEADER)
+    whole = sum(n for u, n in zip(page.units, sizes, strict=True) if weights[u.path] >= HEADER)
+    # Articles hold the page's text, or they are its teasers.
+    held_by = 2 * inside > whole
+    return [w if i == held_by else w * BESIDE for w, i in zip(weights, within, strict=True)] if any(within) else weights
+
+
+def content_paths(page: Page) -> set[int]:
+    """Paths whose smoothed, fused and weighted ratio reaches the threshold."""
+    units, n = page.units, len(page.paths)
+    length, marks, links, count = ([0.0] * n for _ in range(4))
+    sizes = []
+    for u in units:
+        t = u.text
+        sizes.append(len(t))
+        length[u.path] += len(t)
+        marks[u.path] += len(PUNCTUATION.findall(t))
+        links[u.path] += min(u.linked, len(t))
+        count[u.path] += 1
+    fused = [0.0 if not c else (x / c * (m + 0.1) / c) ** 0.5 * (1 - k / max(1.0, x)) ** 2 for x, m, k, c in zip(length, marks, links, count, strict=True)]
+    gauss = [math.exp(-(k**2) / 8) for k in range(NEIGHBOURS + 1)]
+    weights = path_weights(page, sizes)
+    score = [f * w for f, w in zip(fused, weights, strict=True)]
+    own = list(score)
+    for i, u in enumerate(units):
+        share = 1.0 if page.paths[u.path][0] in PARTS else LOOSE
+        # A path that is nearly all links takes no part in its neighbours' text.
+        share *= (1 - links[u.path] / max(1.0, length[u.path])) ** 2
+        for j in range(max(0, i - NEIGHBOURS), min(len(units), i + NEIGHBOURS + 1)):
+            v = units[j].path
+            most = gauss[abs(i - j)] * share * min(own[v], fused[v] * weights[u.path])
+            if v != u.path and most > score[u.path] and (d := page.distance(u.path, v)) <= DISTANCE:
+                score[u.path] = max(score[u.path], most / (1 + d))
+    cut = THRESHOLD * max((score[u.path] for u in units), default=0.0)
+    return {u.path for u in units if score[u.path] >= cut}
 
 
 def main_text(page: str | None) -> str:
-    """Main text of a page: blocks in page order, joined by line ends; empty if there is none."""
+    """Main text of a page: blocks in page order, joined by line ends; empty if there is none.
+
+    Of the units on content paths, neighbours on one path that are links throughout are a menu and left out, unless they
+    are paragraphs or headings."""
     if not page:
         return ""
-    nodes, tags = parse(page)
-    if not any(n.text.strip() for n in nodes):
+    parsed = parse(page)
+    units = parsed.units = [u for u in parsed.units if u.text]
+    if not units:
         return ""
-    paths = content_paths(nodes)
-    # Text of the content's paths by the elements that hold it.
-    held: dict[int, int] = {}
-    apart = 0  # of it, what no article holds
-    named = {e for e in tags if tags[e] == "article"}
-    total = 0
-    for n in nodes:
-        size = len(n.text.strip()) * (n.path in paths)
-        total += size
-        if size and named.isdisjoint(n.chain):
-            apart += size
-        for e in n.chain:
-            held[e] = held.get(e, 0) + size
-    articles = [e for e in held if tags[e] in ("article", "main") and 2 * held[e] > total]
-    if articles:
-        container = max(articles, key=lambda e: (held[e], e))
-    else:
-        # Where most of the text is in no article, articles are teasers or comments.
-        whole = apart if 2 * apart > total else total
-        inside: dict[int, int] = {}
-        for n in nodes:
-            if n.path in paths and (whole == total or named.isdisjoint(n.chain)):
-                for e in n.chain:
-                    inside[e] = inside.get(e, 0) + len(n.text.strip())
-        container = max((e for e in inside if inside[e] >= 0.98 * whole and (tags[e] in BLOCKS and tags[e] != "p" or e == 0)), default=0)
-    # Articles within the container are comments or teasers too, if most of its text is in none of them.
-    within = named - {container} - {e for n in nodes if container in n.chain for e in n.chain[: n.chain.index(container)]}
-    own = sum(len(n.text.strip()) for n in nodes if n.path in paths and container in n.chain and within.isdisjoint(n.chain))
-    if 2 * own <= held.get(container, 0):
-        within = set()
-    found: dict[int, list[Node]] = {}
-    for n in nodes:
-        if container in n.chain and within.isdisjoint(n.chain):
-            found.setdefault(n.block, []).append(n)
-    blocks: dict[int, list[str]] = {}
-    for block, some in found.items():
-        size = sum(len(n.text.strip()) for n in some)
-        linked = sum(len(n.text.strip()) for n in some if n.linked)
-        kind = next((t for t in reversed(some[0].path.split("/")) if t in BLOCKS), "")
-        if any(n.path in paths for n in some) or kind in REJOINED and 2 * linked <= size:
-            blocks[block] = [n.text for n in some]
-    lines = (" ".join("".join(parts).split()) for parts in blocks.values())
-    return "\n".join(x for x in lines if x)
+    paths = content_paths(parsed)
+    menu = [u.linked >= 0.8 * len(u.text) and parsed.paths[u.path][0] not in HEADINGS and parsed.paths[u.path][0] != "p" for u in units]
+    lines: dict[int, list[str]] = {}
+    for i, u in enumerate(units):
+        beside = any(0 <= j < len(units) and menu[j] and units[j].path == u.path for j in (i - 1, i + 1))
+        if u.path in paths and not (menu[i] and beside):
+            lines.setdefault(u.block, []).extend(u.parts)
+    joined = (" ".join("".join(parts).split()) for parts in lines.values())
+    return "\n".join(x for x in joined if x)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -144,9 +144,61 @@ def test_selected_paths(page, text):
     assert H.main_text(page) == text
 
 
+MISLEADING = ["legal-text", "search-results", "share-price-report", "form-factor", "menu-planning", "copyright-law", "form", "related", "alert"]
+
+
+@pytest.mark.parametrize("name", MISLEADING)
+def test_names_are_no_verdict(name):
+    assert H.main_text(f"<nav><a href=x>Home</a></nav><div class={name}><h1>Flood</h1>{STORY * 4}</div><div class=ad>Buy</div>") == "Flood\n" + TOLD
+    if "-" in name and name != "legal-text":  # a part of the story under such a name
+        assert H.main_text(f"<article><h1>Flood</h1>{STORY * 2}<section class={name}>{STORY * 2}</section></article>") == "Flood\n" + TOLD
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><h1>One</h1>{STORY * 2}</article><article><h1>Two</h1>{STORY * 2}</article>", "One\n" + "\n".join(TOLD.split("\n")[:2]) + "\nTwo\n" + "\n".join(TOLD.split("\n")[:2])),
+        (f"<header><a href=x>Site</a></header><article><header><h1>Flood</h1></header>{STORY * 4}</article>", "Flood\n" + TOLD),
+        (f"<div><div><h1>Flood</h1>{STORY * 4}</div><div>Buy</div><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div>", "Flood\n" + TOLD),
+        (f"<form id=aspnet><div><h1>Flood</h1>{STORY * 4}<input><button>Send</button></div></form>", "Flood\n" + TOLD),
+        (f"<div><p>{STORY[3:-4]}<span class=ad>Buy</span> And <a href=x>so</a> on.</p>{STORY}</div>", TOLD.split("\n")[0] + " And so on.\n" + TOLD.split("\n")[0]),
+        (f"<main><h1>Flood</h1>{STORY * 4}<div id=comments>{'<div class=comment><p>Well said, thanks, all! I was there, too.</p></div>' * 6}</div></main>", "Flood\n" + TOLD),
+        ("<nav>Home</nav><footer>(c) us</footer>", ""), ("<article><h1>Flood</h1><p>Soon.</p></article>", "Flood\nSoon."),
+    ],
+)
+def test_pages_of_many_kinds(page, text):
+    assert H.main_text(page) == text
+
+
+def test_paths_decide(spark, sf, monkeypatch):
+    """The score of its path, and nothing else, selects a unit."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    want = [H.main_text(p) for p in pages]
+    monkeypatch.setattr(H, "content_paths", lambda page: set(range(len(page.paths))))
+    assert all(len(H.main_text(p)) > len(w) for p, w in zip(pages, want, strict=True))
+    monkeypatch.setattr(H, "content_paths", lambda page: set())
+    assert not any(map(H.main_text, pages))
+
+
+def test_articles_without_their_tag(spark, sf):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        assert H.main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>")) == H.main_text(r.html)
+
+
+def test_odd_pages(spark):
+    rows = [(None, None, None, "x"), (1, None, "<p>a, b.", "y"), (1, None, "<p>a, b.", "y"), (2, "u", "", None)]
+    got = H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, None, "", 0), (1, None, "a, b.", 5), (1, None, "a, b.", 5), (2, "u", "", 0)], key=str)
+
+
 def test_long_page():
+    import tracemalloc
+
     page = "<div>" * 3000 + "<p>word, and more. </p>" * 20_000
+    tracemalloc.start()
     assert H.main_text(page).count("\n") == 19_999
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
 
 
 # -- language --
