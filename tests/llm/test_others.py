@@ -74,12 +74,88 @@ def test_partial_leaks(spark, monkeypatch):
 def test_expressions():
     rpn = licences.parse_expression("mit or (apache-2.0 with llvm-exception and bsd)")
     assert rpn == ["mit", "apache-2.0", "llvm-exception", "with", "bsd", "and", "or"]
-    assert licences.alternatives(rpn) == [frozenset({"mit"}), frozenset({"apache-2.0 with llvm-exception", "bsd"})]
-    assert licences.licences_of(rpn) == ["mit", "apache-2.0", "bsd"]
+    assert licences.licences_of(rpn) == ["mit", "apache-2.0", "bsd"] and licences.evaluate(rpn) == "permissive"
     for bad in ("", "mit or", "(mit", "mit)", "or mit", "mit apache", "()"):
         assert licences.parse_expression(bad) is None
     tag = "spdx-license-identifier: "
-    assert licences.tag_expression(tag + "mit or gpl-2.0 */ x", len(tag)) == ["mit", "gpl-2.0", "or"]
+    for text, want in (("mit or gpl-2.0 */ x", ["mit", "gpl-2.0", "or"]), ("(mit) or (x", ["mit"]), ("mit with", ["mit"]), ("mit.", ["mit"]), ("see the file", ["see"]), (") mit", None)):
+        assert licences.tag_expression(tag + text, len(tag)) == want
+    for text, asks in (("gpl-2.0-only with classpath-exception-2.0", "weak-copyleft"), ("gpl-3.0-or-later or mit", "permissive"), ("agpl-3.0 and mit", "network-copyleft"), ("see or mit", "permissive"), ("see and mit", None), ("licenseref-x", "restricted"), ("cc-by-nc-4.0", "restricted")):
+        assert licences.evaluate(licences.parse_expression(text)) == asks
+
+
+def _descend(tokens):
+    """An independent reading of an expression: precedence climbing over the tokens, evaluated as it goes."""
+
+    def level(n):
+        if n == 3:
+            t = tokens.pop(0)
+            if t == "(":
+                v = level(0)
+                assert tokens.pop(0) == ")"
+                return v
+            kind = licences.kind_of(t)
+            return {t}, None if kind is None else licences.KINDS_OF.index(kind)
+        names, v = level(n + 1)
+        while tokens and tokens[0] == ("or", "and", "with")[n]:
+            tokens.pop(0)
+            more, w = level(n + 1)
+            if n == 2:
+                v = v if v is None or v > 3 else min(v, 2)
+            else:
+                names, v = names | more, (v if w is None else w if v is None else min(v, w)) if n == 0 else None if v is None or w is None else max(v, w)
+        return names, v
+
+    return level(0)
+
+
+def test_random_expressions():
+    random.seed(4)
+    some = ["mit", "apache-2.0", "gpl-2.0+", "lgpl-2.1-only", "agpl-3.0", "busl-1.1", "cc0-1.0", "nothing", "licenseref-a"]
+
+    def make(depth):
+        kind = random.random()
+        if not depth or kind < 0.3:
+            return random.choice(some) + random.choice(["", "", " with llvm-exception"])
+        x = f"{make(depth - 1)} {random.choice(['and', 'or'])} {make(depth - 1)}"
+        return f"({x})" if kind < 0.7 else x
+
+    scanner = licences.Scanner()
+    for _ in range(300):
+        text = make(random.randint(0, 5))
+        names, value = _descend(licences.TOKEN.findall(text))
+        rpn = licences.parse_expression(text)
+        assert licences.evaluate(rpn) == (None if value is None else licences.KINDS_OF[value])
+        known = sorted({n for n in names if licences.kind_of(n)})
+        row = scanner.scan(f"# SPDX-License-Identifier: {text.upper()}\nprose")
+        assert row[5] == ",".join(known) and row[7] == ([" ".join(rpn)] if known else [])
+
+
+def test_long_expression():
+    names = [f"gpl-{i}.{j}" for i in range(20) for j in range(10)]
+    row = licences.Scanner().scan("SPDX-License-Identifier: " + " or ".join(names) + " see the file\n" + "(" * 100_000)
+    assert row[5].split(",") == sorted(names) and row[8] == "copyleft"
+    row = licences.Scanner().scan("SPDX-License-Identifier: " + "(" * 50_000 + "mit" + ")" * 50_000)
+    assert row[5] == "mit"
+    row = licences.Scanner().scan("SPDX-License-Identifier: see the file. License-Expression: the thing")
+    assert row[5:] == ("", 0.0, [], None)
+
+
+def test_labels_by_brute_force(documents):
+    for r in documents.collect():
+        text = r.text.translate(licences.UPPER)
+        words_, labels = licences.WORD.findall(text), set(licences.brute_base(r.text)[4].split(",")) - {""}
+        miss = 1.0
+        for phrase, (label, _) in licences.NOTICES.items():
+            p = phrase.split()
+            if any(words_[i : i + len(p)] == p for i in range(len(words_))):
+                labels.add(label)
+        for m in re.finditer(r"license-identifier:[ \t]*([^\n]*)", text):
+            rpn = next((x for n in range(len(m[1].split()), 0, -1) if (x := licences.parse_expression(" ".join(m[1].split()[:n]).rstrip(".:")))), None)
+            labels.update(licences.licences_of(rpn or []))
+            miss *= not licences.licences_of(rpn or [])
+        got = licences.Scanner().scan(r.text)
+        assert got[5] == ",".join(sorted(labels)) and (got[6] == 1) == (miss == 0) and (got[6] > 0) == bool(labels)
 
 
 def test_licences(spark, documents, edge_docs, no_docs):
