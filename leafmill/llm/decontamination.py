@@ -13,9 +13,7 @@ stand in the passage.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +31,10 @@ K1, B = 1.2, 0.75
 BLOCK = 16
 #: Words of a passage at least; it is twice the longest item otherwise. Passages overlap by half.
 PASSAGE_WORDS = 128
-#: Bytes of item texts in one index, which is broadcast; more items make more indexes, one pass for each.
-INDEX_BYTES = 16 << 20
+#: Bytes of item texts in one index, which is broadcast; more items make more indexes, one pass for each. An index is flat
+#: arrays of about ARRAYS bytes for each byte of text, whatever the items are.
+INDEX_BYTES = 6 << 20
+ARRAYS = 10
 
 _ANSWER = re.compile(r"\n\s*(?:answer|a)\s*[:.]\s*", re.IGNORECASE)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
@@ -65,56 +65,97 @@ def _by_id(row: tuple[int | None, str]) -> tuple:
     return row[0] is None, row[0] or 0, row[1]
 
 
-@dataclass
-class Item:
-    item_id: int | None
-    words: int
-    whole: np.ndarray
-    question: np.ndarray
-    answer: np.ndarray
+def _flat(parts: list[np.ndarray], kind) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays in a row, and where each of them begins (and the last ends)."""
+    at = np.zeros(len(parts) + 1, np.int64)
+    np.cumsum([len(x) for x in parts], out=at[1:])
+    return (np.concatenate(parts) if parts else np.zeros(0)).astype(kind), at
+
+
+class Postings:
+    """Postings of all terms in a row: [term] gives its items and weights."""
+
+    def __init__(self, items: np.ndarray, weights: np.ndarray, at: np.ndarray):
+        self.items, self.weights, self.at = items, weights, at
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def __getitem__(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.ids(term), self.weights[self.at[term] : self.at[term + 1]].astype(np.float64)
+
+    def ids(self, term: int) -> np.ndarray:
+        return self.items[self.at[term] : self.at[term + 1]]
 
 
 class Index:
-    """Postings of items by term, in blocks with their greatest weights."""
+    """Postings of items by term, in blocks with their greatest weights; flat arrays throughout."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.items: list[Item] = []
+        ids, sizes, shingles, terms, weights = [], [], ([], [], []), [], []
+        shingle_sizes, term_sizes = set(), set()
         counts = []
         for item_id, text in sorted(rows, key=_by_id):
-            w = word_hashes(text, LETTERS)
-            if not len(w):
+            words = [word_hashes(x, LETTERS) for x in (text, *split_item(text))]
+            n = len(words[0])
+            if not n:
                 continue
-            q, a = (word_hashes(x, LETTERS) for x in split_item(text))
-            self.items.append(Item(item_id, len(w), *(_parts(x, SHINGLE_WORDS) for x in (w, q, a))))
-            counts.append(Counter(grams(w, min(TERM_WORDS, len(w))).tolist()))
-        self.term_sizes = sorted({min(TERM_WORDS, i.words) for i in self.items})
-        self.shingle_sizes = sorted({k for i, (_, t) in zip(self.items, self._texts(rows), strict=True) for k in self._sizes(t)})
-        self.passage = max(PASSAGE_WORDS, 2 * max((i.words for i in self.items), default=0))
-        df = Counter(t for c in counts for t in c)
-        mean = sum(i.words for i in self.items) / max(1, len(self.items))
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for k, (item, c) in enumerate(zip(self.items, counts, strict=True)):
-            weights = {t: np.log(1 + (len(self.items) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * item.words / mean)) for t, n in c.items()}
+            ids.append(item_id)
+            sizes.append(n)
+            for held, w in zip(shingles, words, strict=True):
+                held.append(_parts(w, SHINGLE_WORDS))
+                shingle_sizes.add(min(SHINGLE_WORDS, len(w)))
+            term_sizes.add(min(TERM_WORDS, n))
+            t, c = np.unique(grams(words[0], min(TERM_WORDS, n)), return_counts=True)
+            terms.append(t)
+            counts.append(c.astype(np.int32))
+        self.ids, self.term_sizes, self.shingle_sizes = ids, sorted(term_sizes), sorted(shingle_sizes - {0})
+        self.shingles = [_flat(x, np.uint64) for x in shingles]
+        lengths, n = np.array(sizes, np.float64), len(ids)
+        self.n_items, self.passage = n, max(PASSAGE_WORDS, 2 * max(sizes, default=0))
+        flat, at = _flat(terms, np.uint64)
+        del terms
+        self.terms, which = np.unique(flat, return_inverse=True)
+        del flat
+        df = np.bincount(which, minlength=len(self.terms)).astype(np.float64)
+        rarity = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        mean = float(lengths.mean()) if n else 1.0
+        for k in range(n):
+            tf = counts[k].astype(np.float64)
+            w = rarity[which[at[k] : at[k + 1]]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[k] / mean))
             # A quarter of the shingles of question and answer may be missing, and with them as many terms.
-            lost = sum(int((1 - OVERLAP) * len(x)) + 1 for x in (item.question, item.answer)) if item.words > SHINGLE_WORDS else 0
-            bound = sum(sorted(weights.values())[: max(1, len(weights) - lost - (SHINGLE_WORDS - TERM_WORDS))])
-            for t, v in weights.items():
-                lists.setdefault(t, []).append((k, v / bound))
-        self.terms = np.array(sorted(lists), np.uint64)
-        self.postings = [(np.array([k for k, _ in lists[t]]), np.array([v for _, v in lists[t]])) for t in self.terms.tolist()]
-        self.greatest = np.array([v.max() for _, v in self.postings]) if self.postings else np.zeros(0)
-        self.block_max = [np.maximum.reduceat(v, np.arange(0, len(v), BLOCK)) for _, v in self.postings]
+            question, answer = (int(x[1][k + 1] - x[1][k]) for x in self.shingles[1:])
+            lost = sum(int((1 - OVERLAP) * x) + 1 for x in (question, answer)) if lengths[k] > SHINGLE_WORDS else 0
+            bound = np.sort(w)[: max(1, len(w) - lost - (SHINGLE_WORDS - TERM_WORDS))].sum()
+            # Rounded up, so that no item loses its score to single precision.
+            weights.append(np.nextafter((w / bound).astype(np.float32), np.float32(np.inf)))
+        all_weights, _ = _flat(weights, np.float32)
+        del weights, counts
+        order = np.argsort(which, kind="stable")  # within a term, items ascend
+        items = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))[order]
+        starts = np.zeros(len(self.terms) + 1, np.int64)
+        np.cumsum(df.astype(np.int64), out=starts[1:])
+        self.postings = Postings(items, all_weights[order], starts)
+        # Blocks begin anew with each term.
+        blocks = -(-np.diff(starts) // BLOCK)
+        self.block_at = np.zeros(len(self.terms) + 1, np.int64)
+        np.cumsum(blocks, out=self.block_at[1:])
+        first = np.repeat(starts[:-1], blocks) + BLOCK * (np.arange(self.block_at[-1]) - np.repeat(self.block_at[:-1], blocks))
+        self.block_max = np.maximum.reduceat(self.postings.weights, first) if len(first) else np.zeros(0, np.float32)
+        self.greatest = np.maximum.reduceat(self.block_max, self.block_at[:-1]).astype(np.float64) if len(first) else np.zeros(0)
         # Most terms of a text are in no list: a table of bits turns them away.
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    @staticmethod
-    def _texts(rows: list[tuple[int, str]]) -> list[tuple[int, str]]:
-        return [(i, t) for i, t in sorted(rows, key=_by_id) if len(word_hashes(t, LETTERS))]
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.terms, self.postings.items, self.postings.weights, self.postings.at, self.block_at, self.block_max, self.greatest, self.bits, *(y for z in self.shingles for y in z)))
 
-    @staticmethod
-    def _sizes(text: str) -> set[int]:
-        return {min(SHINGLE_WORDS, n) for n in (len(word_hashes(x, LETTERS)) for x in (text, *split_item(text))) if n}
+    def share(self, part: int, item: int, window: np.ndarray) -> float:
+        """Share of an item's shingles (0: of the whole, 1: question, 2: answer) that are in a sorted window."""
+        flat, at = self.shingles[part]
+        x = flat[at[item] : at[item + 1]]
+        return float(np.isin(x, window).mean()) if len(x) else 1.0
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in a text and numbers of the terms that stand there, by position."""
@@ -134,11 +175,11 @@ class Index:
         """All items whose score for a query of distinct terms reaches the threshold, by block-max WAND."""
         slack = threshold - 1e-9
         # A cursor: the item it stands at, its term, its place in the list.
-        cursors = [[int(self.postings[t][0][0]), t, 0] for t in terms]
-        out, end = [], len(self.items)
+        cursors = [[int(self.postings.items[self.postings.at[t]]), t, 0] for t in terms]
+        out, end = [], self.n_items
 
         def move(c: list, item: int) -> None:
-            ids = self.postings[c[1]][0]
+            ids = self.postings.ids(c[1])
             c[2] += int(np.searchsorted(ids[c[2] :], item))
             c[0] = int(ids[c[2]]) if c[2] < len(ids) else end
 
@@ -158,11 +199,11 @@ class Index:
             # Greatest weights of the blocks in which the item would stand, and where the first of them ends.
             bound, last = 0.0, end
             for c in cursors[: pivot + 1]:
-                ids, n = self.postings[c[1]][0], c[2]
+                ids, n = self.postings.ids(c[1]), c[2]
                 n += int(np.searchsorted(ids[n:], item))
                 if n < len(ids):
                     b = n // BLOCK
-                    bound += self.block_max[c[1]][b]
+                    bound += float(self.block_max[self.block_at[c[1]] + b])
                     last = min(last, int(ids[min(len(ids), (b + 1) * BLOCK) - 1]))
             if bound < slack:
                 # No item up to the end of these blocks (or before the next list's) can reach it.
@@ -171,7 +212,7 @@ class Index:
                 for c in cursors[: pivot + 1]:
                     move(c, upto)
             elif cursors[0][0] == item:
-                score = sum(float(self.postings[c[1]][1][c[2]]) for c in cursors[: pivot + 1])
+                score = sum(float(self.postings.weights[self.postings.at[c[1]] + c[2]]) for c in cursors[: pivot + 1])
                 if score >= slack:
                     out.append((item, score))
                 for c in cursors[: pivot + 1]:
@@ -197,11 +238,10 @@ class Index:
             for item, score in self.retrieve(terms.tolist()):
                 if window is None:
                     window = np.unique(np.concatenate([grams(words[k * step : k * step + self.passage + SHINGLE_WORDS], s) for s in self.shingle_sizes]))
-                it = self.items[item]
-                q, a, w = (float(np.isin(x, window).mean()) if len(x) else 1.0 for x in (it.question, it.answer, it.whole))
+                w, q, a = (self.share(part, item, window) for part in range(3))
                 if w >= OVERLAP or q >= OVERLAP and a >= OVERLAP:
                     best[item] = max(best.get(item, (0.0,)), (w, round(score, 6), q, a))
-        return [(self.items[k].item_id, s, q, a, w) for k, (w, s, q, a) in sorted(best.items())]
+        return [(self.ids[k], s, q, a, w) for k, (w, s, q, a) in sorted(best.items())]
 
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
@@ -218,8 +258,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     than five words must stand there whole. Null and empty texts and items without a word match nothing; repeated rows
     are searched one by one; empty tables give no rows. Other columns of both tables are not read.
 
-    The items' index is broadcast up to INDEX_BYTES of text; beyond, items are dealt into several, each searched in its
-    own pass over the documents."""
+    The items' index is broadcast: at most INDEX_BYTES of text, as flat arrays of about ARRAYS times as many bytes. Beyond,
+    items are dealt into several by a hash of their text, each built, broadcast and searched in a pass of its own."""
     spark = docs.sparkSession
     bounded_batches(spark)
     known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")

@@ -68,6 +68,59 @@ def test_partial_leaks(spark, monkeypatch):
     assert D.split_item("A b? C d.") == ("A b?", "C d.") and D.split_item("Q?\nAnswer: 4") == ("Q?", "4") and D.split_item("a b c d") == ("a b c", "d")
 
 
+def test_leaks_by_brute_force(spark):
+    """Question and answer branch as well: items, and texts that hold parts of them, at random."""
+    random.seed(13)
+    vocabulary = [f"v{i}" for i in range(400)]
+    words_of = lambda n: [random.choice(vocabulary) for _ in range(n)]
+    items = []
+    for i in range(60):
+        q, a = words_of(random.randint(3, 40)), words_of(random.randint(1, 12))
+        items.append((i, " ".join(q) + "?\nAnswer: " + " ".join(a)))
+    docs = []
+    for d in range(150):
+        parts = [words_of(random.randint(0, 30))]
+        for i in random.sample(range(60), 2):
+            q, a = (licences.WORD.findall(x) for x in D.split_item(items[i][1]))
+            for x in (q, a) if random.random() < 0.5 else (a, q):
+                lo = random.randint(0, max(0, len(x) // 4))
+                parts += [x[lo : len(x) - random.randint(0, max(0, len(x) // 8))], words_of(random.randint(0, 6))]
+        docs.append((d, " ".join(w for p in parts for w in p)[:1200]))
+    runs = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    parts = {i: [runs(licences.WORD.findall(x)) for x in (item, *D.split_item(item))] for i, item in items}
+    want = set()
+    for d, text in docs:
+        found = licences.WORD.findall(text)
+        for at in range(0, max(1, len(found)), 64):
+            passage = found[at : at + 128 + 5]
+            there = {tuple(passage[i : i + k]) for k in range(1, 6) for i in range(len(passage) - k + 1)}
+            for i, three in parts.items():
+                whole, q, a = (len(x & there) / len(x) for x in three)
+                if whole >= 0.75 or q >= 0.75 and a >= 0.75:
+                    want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert want and got == want
+
+
+def test_index_size():
+    """Bytes of an index, and those that building it takes, for each byte of text: at the bound, under 300 MB on the driver."""
+    import pickle
+    import tracemalloc
+
+    random.seed(2)
+    rows, size = [], 0
+    while size < D.INDEX_BYTES // 8:
+        text = " ".join(f"w{random.randint(0, 30_000)}" for _ in range(random.randint(8, 90)))
+        rows.append((len(rows), text))
+        size += len(text)
+    tracemalloc.start()
+    index = D.Index(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert index.nbytes - len(index.bits) < D.ARRAYS * size and 8 * peak < 300 << 20 and len(pickle.dumps(index)) < 1.1 * index.nbytes + (4 << 20)
+    assert [i for i, *_ in index.search("x " * 50 + rows[77][1] + " y" * 50)] == [77]
+
+
 # -- licences --
 
 
