@@ -11,7 +11,8 @@ from .common import drop, stage
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each neighbour larger than a vertex is linked to the least of the vertex and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # Staged, so that the join deals both sides anew: Spark can split the rays of a large hub then.
+    least, _ = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "stars")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 

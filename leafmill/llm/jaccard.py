@@ -5,13 +5,16 @@ prefixes (the first n - ceil(0.75 n) + 1 tokens of each) share a token. So:
 
 1. One pass counts all shingles of the corpus in a sketch of fixed size (each count is an upper
    bound). The first order puts rare shingles first: frequent lines and passages fall out of prefixes.
-2. Prefix tokens under it are dealt out by hash. Sets that meet at a token and whose sizes allow a link
-   form a group under the least of them; equal groups of different tokens fall together.
-3. In a group, pairs must also share prefix tokens under two more orders, and their parity signatures
-   must not differ in more bits than linked sets can. What is left is verified on the whole sets. A pair
-   that is connected already is not looked at, so a group of near copies gives a tree of links, not
-   all pairs.
-4. Components of these links are those of all links: a pair is passed over only if it can't link or
+2. Prefix tokens under it are dealt out by hash, into as many buckets as their bytes ask for. Sets that meet
+   at a token, and whose sizes and places there allow a link, form a group under the least of them; equal groups
+   of different tokens fall together.
+3. The groups are met with the filters of two more orders before any text moves: of the sets in groups, prefix
+   tokens under the next order are dealt out by group and token, and sets that meet there too form the new groups.
+4. Texts of what is left are fetched (a Bloom filter of fixed size keeps the others out of the shuffle). In a group,
+   pairs must share prefix tokens under every order, and their parity signatures must not differ in more bits than
+   linked sets can. What is left is verified on the whole sets. A pair that is connected already is not looked at, so
+   a group of near copies gives a tree of links, not all pairs.
+5. Components of these links are those of all links: a pair is passed over only if it can't link or
    is connected.
 
 Documents with one set are one node from the first pass on. A group of more than BLOCK sets is dealt
@@ -29,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop, mix64, release_memory, stage
+from .common import bounded_batches, drop, mix64, release_memory, sized_broadcast, stage
 from .components import components
 from .words import SPACED, grams, word_hashes
 
@@ -46,10 +49,16 @@ BLOCK = 4096
 LARGE = 65535
 #: Sets that meet at a token are tried pair by pair, by place and size, up to so many of them.
 TRIED = 64
-#: Buckets of postings at least; more where the session has more shuffle partitions.
-BUCKETS = 256
-#: Rows of the table of wanted documents (24 bytes each) up to which it is broadcast.
-BROADCAST_ROWS = 200_000
+#: Postings (16 bytes each) of a bucket, about: what one group of rows holds in memory, whatever the corpus.
+BUCKET_POSTINGS = 1 << 20
+#: Rows of groups that are split at once, about.
+SPLIT_ROWS = 1 << 14
+#: Groups of more sets go straight to blocks: a token that so many sets have is not dealt again.
+HUGE = 1 << 20
+#: Rows of the table of large groups (16 bytes each) up to which it is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Bits of the Bloom filter over the documents whose texts are wanted: fixed, so it is broadcast.
+BLOOM_BITS = 1 << 25
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -138,21 +147,41 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     return out
 
 
+class _Blobs:
+    """Postings on their way out, gathered by bucket: token, node, size and place as bytes."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.parts = buckets, 0, []
+
+    def add(self, tokens: np.ndarray, node: int, size: int) -> Iterator[pa.RecordBatch]:
+        """Postings of a set whose prefix tokens come in their order."""
+        k = len(tokens)
+        self.parts.append((tokens, np.full(k, node), np.full(k, min(size, LARGE)), np.minimum(np.arange(k), LARGE)))
+        self.held += k
+        if self.held >= 400_000:
+            yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        t, n, z, p = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.held = [], 0
+        bucket = ((t >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        t, n, z, p, bucket = t[order], n[order], z[order], p[order], bucket[order]
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        ends = np.r_[cut[1:], len(t)]
+        blob = [t[i:j].astype("<u4").tobytes() + n[i:j].astype("<i8").tobytes() + z[i:j].astype("<u2").tobytes() + p[i:j].astype("<u2").tobytes() for i, j in zip(cut, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blob, pa.binary())], names=["bucket", "rows"])
+
+
+def _buckets(sizes: DataFrame) -> int:
+    """How many buckets the postings of sets (n: their sizes) fill."""
+    total = sizes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)).first()[0] or 0
+    return int(max(1, -(-total // BUCKET_POSTINGS)))
+
+
 def _postings(levels, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, seen = levels.value, set()
-        tokens, nodes, sizes, places, held = [], [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            t, n, z, p = (np.concatenate(x) for x in (tokens, nodes, sizes, places))
-            bucket = (t >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            t, n, z, p, bucket = t[order], n[order], z[order], p[order], bucket[order]
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[cut[1:], len(t)]
-            blob = [t[i:j].astype("<u4").tobytes() + n[i:j].astype("<i8").tobytes() + z[i:j].astype("<u2").tobytes() + p[i:j].astype("<u2").tobytes() for i, j in zip(cut, ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blob, pa.binary())], names=["bucket", "rows"])
-
+        sketch, seen, out = levels.value, set(), _Blobs(buckets)
         for _, text in _texts(batches):
             s = shingles(text.as_py())
             if not len(s):
@@ -163,17 +192,45 @@ def _postings(levels, buckets: int):
             if len(seen) < 1_000_000:
                 seen.add(node)
             order = np.lexsort((s, sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[: prefix_size(len(s))]
-            tokens.append(s[order])
-            nodes.append(np.full(len(order), node))
-            sizes.append(np.full(len(order), min(len(s), LARGE)))
-            places.append(np.minimum(np.arange(len(order)), LARGE))
-            held += len(order)
-            if held >= 400_000:
-                yield flush()
-                tokens, nodes, sizes, places, held = [], [], [], [], 0
-        if held:
-            yield flush()
-        del tokens, nodes, sizes, places, seen
+            # The low bits place a token in the sketch; another mix deals it out.
+            yield from out.add(mix64(s[order], 6), node, len(s))
+        if out.held:
+            yield out.flush()
+        del seen
+        release_memory()
+
+    return run
+
+
+def in_order(s: np.ndarray, order: int) -> np.ndarray:
+    """Prefix of a set under one of the further orders, in that order (tokens mixed for it)."""
+    mixed, k = mix64(s, 10 + order), prefix_size(len(s))
+    return np.sort(np.partition(mixed, k - 1)[:k])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, n and the prefixes under the further orders of each document's set (rows: key, text)."""
+    for b in batches:
+        rows = []
+        for text in b.column("text").to_pylist():
+            s = shingles(text)
+            if len(s):
+                rows.append((node_of(s), len(s), *((in_order(s, o) >> np.uint64(32)).astype("<u4").tobytes() for o in ORDERS)))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["node", "n", "p1", "p2"])
+
+
+def _dealt_again(buckets: int, order: int):
+    """Postings of groups' sets by group and token. rows: a, node, n, tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Blobs(buckets)
+        for b in batches:
+            for a, node, n, tokens in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                t = np.frombuffer(tokens, "<u4").astype(np.uint64) ^ mix64(np.array([a], np.int64).view(np.uint64), 20 + order)
+                yield from out.add(mix64(t, 30), node, n)
+        if out.held:
+            yield out.flush()
         release_memory()
 
     return run
@@ -229,8 +286,7 @@ class Sets:
 
     def prefix(self, i: int, order: int) -> np.ndarray:
         if (i, order) not in self.prefixes:
-            s = self.sets[i]
-            self.prefixes[i, order] = np.sort(np.partition(mix64(s, 10 + order), prefix_size(len(s)) - 1)[: prefix_size(len(s))])
+            self.prefixes[i, order] = in_order(self.sets[i], order)
         return self.prefixes[i, order]
 
     def may_link(self, i: int, others: np.ndarray) -> np.ndarray:
@@ -306,6 +362,38 @@ def _node_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["node", "text"])
 
 
+def _joined(labels: np.ndarray, row: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Labels of rows (each the least row of its part), split where no shared token joins a part's rows.
+    row, token: which rows have which tokens."""
+    order = np.lexsort((token, labels[row]))
+    row, key_label, token = row[order], labels[row][order], token[order]
+    first = np.flatnonzero(np.r_[True, (key_label[1:] != key_label[:-1]) | (token[1:] != token[:-1])])
+    size = np.diff(np.r_[first, len(row)])
+    now = np.arange(len(labels))
+    while True:
+        least = np.minimum.reduceat(now[row], first)
+        new = now.copy()
+        np.minimum.at(new, row, np.repeat(least, size))
+        new = new[new]
+        if (new == now).all():
+            return now
+        now = new
+
+
+def _split(rows: pd.DataFrame) -> pd.DataFrame:
+    """Parts of groups whose sets are joined by shared prefix tokens under each further order. rows: a, node, n, p1, p2."""
+    _, labels = np.unique(rows["a"].to_numpy(), return_inverse=True)
+    for col in ("p1", "p2"):
+        count = rows[col].str.len().to_numpy() // 4
+        labels = _joined(labels, np.repeat(np.arange(len(rows)), count), np.frombuffer(b"".join(rows[col]), "<u4"))
+    kept = np.bincount(labels, minlength=len(rows))[labels] > 1
+    # A part is named by its group and its first row's node.
+    a, node = rows["a"].to_numpy(), rows["node"].to_numpy()
+    name = mix64(a.view(np.uint64), 40) ^ mix64(node[labels].view(np.uint64), 41)
+    release_memory()
+    return pd.DataFrame({"a": name.view(np.int64)[kept], "node": node[kept]})
+
+
 def _unnamed(sets: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame | None:
     """node and text of the sets that only documents with a null doc_id have, or None if there are none."""
     only = sets.where(F.col("node").isNotNull() & F.col("doc_id").isNull()).select("node").distinct().join(named, "node", "left_anti")
@@ -317,20 +405,86 @@ def _unnamed(sets: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame |
     return stage(texts.join(only, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "jaccard-unnamed-texts")[0]
 
 
+def bloom(ids: DataFrame) -> np.ndarray:
+    """Bloom filter over the column ``rep``, as 64-bit words: BLOOM_BITS, however many ids there are."""
+    at = F.explode(F.array(*(F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(BLOOM_BITS)) for k in (1, 2)))).alias("at")
+    words = ids.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    out = np.zeros(BLOOM_BITS // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r.word] = r.bits
+    return out
+
+
+def _of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep and text of the documents that ``reps`` (rep) may name: most others are kept out of the shuffle that follows."""
+    held = docs.sparkSession.sparkContext.broadcast(bloom(reps))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = held.value, set()
+        for b in batches:
+            good = np.ones(b.num_rows, bool)
+            for i in (2, 3):
+                at = b.column(i).to_numpy(zero_copy_only=False)
+                good &= (bits[at >> 6] >> (at & 63)) & 1 == 1
+            for i in np.flatnonzero(good).tolist():  # a row that is there often leaves the task once
+                row = b.column(0)[i].as_py(), b.column(4)[i].as_py()
+                good[i] = row not in seen
+                if len(seen) < 1_000_000:
+                    seen.add(row)
+            if good.any():
+                yield b.filter(pa.array(good)).select([0, 1])
+
+    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text")
+    places = (F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(BLOOM_BITS)).alias(f"at{k}") for k in (1, 2))
+    return named.select("rep", "text", *places, F.xxhash64("text").alias("hash")).mapInArrow(run, "rep long, text string")
+
+
 def _with_text(rows: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs: DataFrame) -> DataFrame:
     """Add the text of a document that has the node's set. named: node, rep (a doc_id); unnamed: node, text."""
-    wanted, path = stage(rows.join(named, "node"), "jaccard-wanted")
-    small = wanted.count() <= BROADCAST_ROWS
-    text = docs.select(F.col("doc_id").alias("rep"), "text")
-    found = text.join(F.broadcast(wanted) if small else wanted, "rep").select(*rows.columns, "text")
+    wanted, _ = stage(rows.join(named, "node"), "jaccard-wanted")
+    found = _of(docs, wanted.select("rep").distinct()).join(wanted, "rep").select(*rows.columns, "text")
     return found if unnamed is None else found.unionByName(rows.join(unnamed, "node").select(*rows.columns, "text"))
 
 
+def _refine(groups: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs: DataFrame) -> DataFrame:
+    """Groups (a, node) met with the filters of the further orders: groups of sets that meet at prefix tokens under
+    each of them too. Small ones are split many at a time; those of more than BLOCK sets are dealt out by group and
+    token; of more than HUGE sets they stay as they are."""
+    spark = docs.sparkSession
+    wanted, path = stage(groups.select("node").distinct().join(named, "node"), "jaccard-members")
+    texts = _of(docs, wanted.select("rep")).join(wanted, "rep", "left_semi").select("text")
+    if unnamed is not None:
+        texts = texts.unionByName(unnamed.select("text"))
+    # A document's id may be there with another text too: its set is in no group, and joins with none.
+    prefixes, path2 = stage(texts.mapInArrow(_prefixes, "node long, n long, p1 binary, p2 binary").groupBy("node").agg(F.first("n").alias("n"), F.first("p1").alias("p1"), F.first("p2").alias("p2")), "jaccard-prefixes")
+    drop(spark, path)
+    # At most one row for BLOCK rows of groups.
+    sizes, path = stage(groups.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "jaccard-sizes")
+    large = sized_broadcast(sizes, BROADCAST_ROWS)
+    small = groups.join(large, "a", "left_anti").join(prefixes, "node")
+    buckets = max(1, -(-groups.count() // SPLIT_ROWS))
+    split = small.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets))).groupBy("bucket").applyInPandas(_split, "a long, node long")
+    out, _ = stage(split, "jaccard-split")
+    if not sizes.isEmpty():
+        kept = groups.join(large.where(F.col("size") > HUGE), "a", "left_semi")
+        now = groups.join(large.where(F.col("size") <= HUGE), "a", "left_semi")
+        for order in ORDERS:
+            posted, new = stage(now.join(prefixes, "node").select("a", "node", "n", F.col(f"p{order}").alias("tokens")), "jaccard-posted")
+            buckets = _buckets(posted)
+            met = posted.mapInArrow(_dealt_again(buckets, order), "bucket long, rows binary").groupBy("bucket").applyInPandas(_groups, "a long, node long")
+            now, _ = stage(met.distinct(), "jaccard-groups")
+            drop(spark, new)
+        out, _ = stage(out.unionByName(now).unionByName(kept), "jaccard-refined")
+    drop(spark, path, path2)
+    return out
+
+
 def _links(groups: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs: DataFrame) -> DataFrame:
     """Links of all groups (a, node); edges u, v."""
     links = "u long, v long"
-    sizes = groups.groupBy("a").agg(F.count("*").alias("size"))
-    groups = groups.join(sizes, "a").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    # At most one row for BLOCK rows of groups.
+    sizes, _ = stage(groups.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "jaccard-sizes")
+    groups = groups.join(sized_broadcast(sizes, BROADCAST_ROWS), "a", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1).cast("long")))
     block = F.pmod(F.xxhash64("node", "a"), F.col("blocks"))
     rows = groups.select("a", "node", block.alias("b"), F.lit(0).alias("side"), F.col("node").alias("root"))
     edges, _ = stage(_with_text(rows, named, unnamed, docs).groupBy("a", "b").applyInPandas(_link_group, links), "jaccard-links")
@@ -368,14 +522,20 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     first, _ = stage(docs.mapInArrow(_first_pass, "doc_id long, n long, node long, part long, counts binary"), "jaccard-sets")
     sets = first.where(F.col("n").isNotNull()).select("doc_id", "n", "node")
     levels = spark.sparkContext.broadcast(_sketch(first))
-    dealt = docs.mapInArrow(_postings(levels, max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))), "bucket long, rows binary")
+    nodes = sets.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"))
+    nodes, _ = stage(nodes, "jaccard-nodes")
+    dealt = docs.mapInArrow(_postings(levels, _buckets(nodes)), "bucket long, rows binary")
     met, path = stage(dealt.groupBy("bucket").applyInPandas(_groups, "a long, node long").distinct(), "jaccard-groups")
-    named = sets.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"))
-    comps = components(_links(met, named, _unnamed(sets, named, docs), docs))
+    named = nodes.where("rep IS NOT NULL").select("node", "rep")
+    unnamed = _unnamed(sets, named, docs)
+    comps, _ = stage(components(_links(_refine(met, named, unnamed, docs), named, unnamed, docs)), "jaccard-components")
     drop(spark, path)
-    rows = sets.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    # The least id of each component, by way of nodes. Each table is staged, so that the next join deals both sides anew and
+    # Spark can split a frequent key's rows.
+    least, _ = stage(nodes.join(comps, "node").groupBy("component").agg(F.min("rep").alias("least")), "jaccard-least")
+    found = nodes.join(comps.join(least, "component"), "node", "left")
+    found, _ = stage(found.select("node", F.coalesce("least", "rep").alias("least")), "jaccard-found")
+    return sets.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 ORACLE = r"""

@@ -2,6 +2,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 
 from leafmill.llm import jaccard as J
 from leafmill.llm.components import components
@@ -62,9 +63,38 @@ def test_near_copies(spark, monkeypatch):
     # Groups in blocks: the same links, however small the blocks are.
     monkeypatch.setattr(J, "BLOCK", 3)
     monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(J, "BUCKET_POSTINGS", 500)
+    monkeypatch.setattr(J, "HUGE", 6)
     assert run(docs) == want
 
 
+def test_bloom(spark):
+    bits = J.bloom(spark.range(0, 5000, 5).withColumnRenamed("id", "rep"))
+    assert len(bits) == J.BLOOM_BITS // 64 and 1900 < np.bitwise_count(bits).sum() <= 2000
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'x' AS text")
+    got = {r.rep for r in J._of(docs.unionByName(docs), spark.range(0, 5000, 5).withColumnRenamed("id", "rep")).collect()}
+    assert set(range(0, 5000, 5)) <= got and len(got) < 1010
+
+
+def test_refine(spark):
+    """Sets of a group that share no prefix token under another order leave it; linked ones stay together."""
+    rows = [r for r in near_copies(3, 30) if WORD.findall(r[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    node = {d: J.node_of(J.shingles(t)) for d, t in rows}
+    named = spark.createDataFrame(sorted((n, min(d for d in node if node[d] == n)) for n in set(node.values())), "node long, rep long")
+    groups = named.selectExpr("0L AS a", "node")  # all in one group
+    left = {}
+    for r in J._refine(groups, named, None, docs).collect():
+        left.setdefault(r.a, set()).add(r.node)
+    together = {(x, y) for g in left.values() for x in g for y in g}
+    sets = {node[d]: J.shingles(t) for d, t in rows}
+    for x in sets:
+        for y in sets:
+            if x < y and J.linked(len(sets[x]), len(sets[y]), len(np.intersect1d(sets[x], sets[y]))):
+                assert (x, y) in together
+    assert len(together) < 0.3 * len(sets) ** 2
+
+
 def test_edges(spark, edge_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
     assert run(edge_docs) == brute(rows)
