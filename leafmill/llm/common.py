@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,25 +16,59 @@ NULL_KEY = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor see.
+    """Folder that the driver and every executor see: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    folder of our own is made and set.
+    Where that is unset, a local master gets a folder of our own; on a cluster no folder can be guessed, and that is an error.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = "file://" + os.path.join(tempfile.gettempdir(), f"leafmill-{os.getuid()}")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+#: Folders of the runs that are open, by session: what is staged meanwhile lies in the innermost one.
+_RUNS: dict[int, list[str]] = {}
+
+
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder, as a full URI."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/leafmill/{name}-{uuid.uuid4().hex}")
+    """A new folder name below the open run's folder, else below the shared one, as a full URI."""
+    open_runs = _RUNS.get(id(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{open_runs[-1] if open_runs else f'{shared_dir(spark)}/leafmill'}/{name}-{uuid.uuid4().hex}")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+@contextlib.contextmanager
+def run_folder(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """A folder for all that is staged within the block, deleted at its end. Results are lazy: write them to a folder made
+    before the block, or use them up within it."""
+    path = workspace(spark, name)
+    _RUNS.setdefault(id(spark), []).append(path)
+    try:
+        yield path
+    finally:
+        _RUNS[id(spark)].pop()
+        drop(spark, path)
+
+
+def put(fs, tmp: str, final: str) -> None:
+    """Give a whole file its name. A second attempt of a task finds it there, whole and the same, and leaves it."""
+    from pyarrow.fs import FileType
+
+    if fs.get_file_info(final).type == FileType.File:
+        fs.delete_file(tmp)
+        return
+    try:
+        fs.move(tmp, final)
+    except OSError:
+        if fs.get_file_info(final).type != FileType.File:
+            raise
+        fs.delete_file(tmp)
+
+
 def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a
     lost executor costs no recomputation of what came before. Returns the table and its path."""

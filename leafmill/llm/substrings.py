@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, file_system, release_memory, stage, workspace
+from .common import bounded_batches, file_system, put, release_memory, stage, workspace
 
 LENGTH = 200
 GRAM = 40
@@ -224,7 +224,7 @@ class _Chunk:
         """Give the file its name; returns the chunk's own row, which has no anchor."""
         self.out.close()
         self.sink.close()
-        self.fs.move(self.tmp, self.path)
+        put(self.fs, self.tmp, self.path)
         return _segment_rows([None], [None], [self.key], [0])
 
 
