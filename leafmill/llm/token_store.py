@@ -8,6 +8,9 @@ arrays: a key sits at the first level where it met no other key, its slot is the
 before it) and, by slot, the key's fingerprint, shard, first id there, ids and records. A look-up
 reads one bucket, one slot and one run of a shard, however large the store is; a key that was
 never filed is turned away by its fingerprint.
+
+A shard ends when it is full, and the records of one key, however many, may go on in the next ones: the slot then
+tells where in the bucket's list of further runs they are.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, bounded_batches, drop, file_system, mix64, stage, workspace
+from .common import NULL_KEY, bounded_batches, drop, file_system, mix64, put, stage, workspace
 from .encoding import encoder
 
 MAGIC = b"LMTOKENS"
@@ -36,6 +39,12 @@ BUCKET_KEYS = 50_000
 #: Bits for each key that is left at a level.
 GAMMA = 2.0
 LEVELS = 40
+#: Bytes of ids, and documents, with which a shard is full.
+SHARD_BYTES, SHARD_DOCS = 64 << 20, 1 << 19
+#: Shards are numbered within a range partition; its number stands above these bits.
+SHARD_BITS = 24
+#: Bytes of text that a range partition sorts, about; there are as many as the session's shuffle partitions at least.
+TASK_BYTES = 256 << 20
 
 
 # -- minimal perfect hash -------------------------------------------------------------------
@@ -109,10 +118,11 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 class ShardWriter:
     """Writes under a name of its own and renames at the end: a task that runs twice leaves one shard."""
 
-    def __init__(self, folder: str, shard: int, width: int):
+    def __init__(self, folder: str, shard: int, width: int, most_docs: int = SHARD_DOCS):
+        self.most_docs = most_docs
         self.fs, base = file_system(folder)
         self.fs.create_dir(base, recursive=True)
-        self.final, self.width = f"{base}/shard-{shard:08d}.bin", width
+        self.final, self.width, self.shard = f"{base}/shard-{shard:016d}.bin", width, shard
         self.tmp = f"{base}/.{uuid.uuid4().hex}.tmp"
         self.out = self.fs.open_output_stream(self.tmp)
         self.out.write(HEAD.pack(MAGIC, 1, width))
@@ -124,12 +134,16 @@ class ShardWriter:
         self.sizes.append(len(ids))
         self.ids += len(ids)
 
+    @property
+    def full(self) -> bool:
+        return self.ids * self.width >= SHARD_BYTES or len(self.keys) >= self.most_docs
+
     def close(self) -> None:
         self.out.write(np.array(self.keys, "<i8").tobytes())
         self.out.write(np.array(self.sizes, "<i8").tobytes())
         self.out.write(FOOT.pack(len(self.keys), self.ids, self.width, MAGIC))
         self.out.close()
-        self.fs.move(self.tmp, self.final)
+        put(self.fs, self.tmp, self.final)
 
 
 class Shard:
@@ -137,7 +151,7 @@ class Shard:
 
     def __init__(self, folder: str, shard: int):
         fs, base = file_system(folder)
-        self.f = fs.open_input_file(f"{base}/shard-{shard:08d}.bin")
+        self.f = fs.open_input_file(f"{base}/shard-{shard:016d}.bin")
         size = self.f.size()
         self.docs, self.n_ids, self.width, magic = FOOT.unpack(self.f.read_at(FOOT.size, size - FOOT.size))
         if magic != MAGIC or self.f.read_at(8, 0) != MAGIC:
@@ -159,11 +173,11 @@ class Shard:
 class TokenStore:
     """A folder of shards and its index (a Parquet table of buckets).
 
-    shards: (shard, ids) for each shard, with ``base``, the ids of all shards before it.
+    null_ids: ids of the records without a key; they come first.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int):
-        self.spark, self.folder, self.buckets = spark, folder, buckets
+    def __init__(self, spark: SparkSession, folder: str, buckets: int, null_ids: int = 0):
+        self.spark, self.folder, self.buckets, self.null_ids = spark, folder, buckets, null_ids
 
     @property
     def index(self) -> DataFrame:
@@ -171,11 +185,12 @@ class TokenStore:
 
     @property
     def bases(self) -> DataFrame:
+        """Ids of all shards before each shard. One task sums a row for each shard (64 MB of ids), and nothing else."""
         totals = self.spark.read.parquet(f"{self.folder}/shards")
         return totals.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("base"))
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """keys: one column ``key``, distinct. Rows key, shard, first, ids, records of those filed."""
+        """keys: one column ``key``, distinct. Rows key, shard, first, ids, records of those filed: one for each shard."""
         buckets = self.buckets
         with_bucket = keys.select("key").mapInPandas(lambda parts: (pd.DataFrame({"key": p["key"], "bucket": bucket_of(p["key"].to_numpy(), buckets)}) for p in parts), "key long, bucket long")
         return with_bucket.groupBy("bucket").cogroup(self.index.groupBy("bucket")).applyInPandas(_look_up, "key long, shard long, first long, ids long, records long")
@@ -218,68 +233,96 @@ def _look_up(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     names = ["shard", "first", "ids", "records"]
     if not len(index) or not len(keys):
         return pd.DataFrame({k: pd.Series([], dtype="int64") for k in ["key", *names]})
-    blob, slots = index["mph"].iloc[0], np.frombuffer(index["slots"].iloc[0], "<i8").reshape(5, -1)
+    blob, slots = index["mph"].iloc[0], np.frombuffer(index["slots"].iloc[0], "<i8").reshape(7, -1)
+    more = np.frombuffer(index["more"].iloc[0], "<i8").reshape(4, -1)
     k = keys["key"].to_numpy()
     at = Mph(blob).slots(k, level_sizes(slots.shape[1], blob))
     good = at >= 0
     good[good] = slots[0][at[good]] == fingerprints(k[good])
-    return pd.DataFrame({"key": k[good]} | {n: slots[i + 1][at[good]] for i, n in enumerate(names)})
+    k, found = k[good], slots[:, at[good]]
+    begin, n = found[5], found[6]
+    further = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out = pd.DataFrame({"key": np.r_[k, np.repeat(k, n)]} | {name: np.r_[found[i + 1], more[i][further]] for i, name in enumerate(names)})
+    return out.sort_values(["key", "shard"], ignore_index=True)
 
 
 def _index_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    keys = rows["key"].to_numpy()
+    """rows: bucket, key, shard, first, ids, records; a key's rows are its runs, one in a shard."""
+    rows = rows.sort_values(["key", "shard"], ignore_index=True)
+    key = rows["key"].to_numpy()
+    runs = rows[["shard", "first", "ids", "records"]].to_numpy("<i8").T
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    keys, n = key[head], np.diff(np.r_[head, len(key)]) - 1
     blob = build_mph(keys)
     at = Mph(blob).slots(keys, level_sizes(len(keys), blob))
-    slots = np.zeros((5, len(keys)), "<i8")
-    for i, col in enumerate([fingerprints(keys), *(rows[c].to_numpy() for c in ("shard", "first", "ids", "records"))]):
+    slots = np.zeros((7, len(keys)), "<i8")
+    for i, col in enumerate([fingerprints(keys), *runs[:, head], np.cumsum(n) - n, n]):
         slots[i, at] = col
-    return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "mph": [blob], "slots": [slots.tobytes()]})
+    more = np.delete(runs, head, axis=1)
+    return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "mph": [blob], "slots": [slots.tobytes()], "more": [np.ascontiguousarray(more).tobytes()]})
 
 
-def write_token_store(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, shards: int | None = None) -> TokenStore:
+def write_token_store(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, shards: int | None = None, shard_docs: int = SHARD_DOCS) -> TokenStore:
     """Encode every whole text and write the store in ascending doc_id order.
 
     docs: needs doc_id and text; other columns are not read. Null or empty text: the end id alone.
-    A null doc_id is filed under the reserved key -2**63 and so comes first. Records of one doc_id
-    stand in a row in one shard, in an order that follows from their text. An empty table gives a store
+    Records with a null doc_id come first, filed under the reserved key -2**63 (before those of a document of that id).
+    Records of one doc_id follow each other by a hash of their text, over as many shards as they fill: they are dealt to
+    tasks by that hash too, so one id with very many rows is no task's alone. An empty table gives a store
     without shards. Ids take two bytes where the vocabulary allows it, else four.
 
     One range shuffle of the texts (by key, so shards ascend); ids go from the encoder straight to
-    the shard's file. shards: number of range partitions (default: the session's shuffle partitions).
+    the shard's file. shards: number of range partitions (default: by bytes of text, at least the session's shuffle
+    partitions). shard_docs: documents of a full shard. The rows must come the same when a task runs again, as they do from files.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = folder or workspace(spark, "tokens")
-    spark_docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.col("text").cast("string"))
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = spark_docs.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
+    filled = F.col("doc_id").isNotNull()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), filled.alias("filled"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    order = ["key", "filled", "salt", "row"]
+    salted = rows.withColumn("salt", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = salted.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "filled", "text")
     ids_folder = f"{folder}/ids"
 
+    def ended(writer: ShardWriter, filled: list[bool]) -> Iterator[pa.RecordBatch]:
+        writer.close()
+        firsts = np.cumsum(writer.sizes) - writer.sizes
+        for i in range(0, len(writer.keys), 50_000):
+            part = slice(i, i + 50_000)
+            cols = [pa.array(np.full(len(writer.keys[part]), writer.shard)), pa.array(writer.keys[part], pa.int64()), pa.array(filled[part]), pa.array(firsts[part].astype(np.int64)), pa.array(writer.sizes[part], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["shard", "key", "filled", "first", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, writer = encoder(tokenizer), TaskContext.get().partitionId(), None
+        enc, shard, writer, flags = encoder(tokenizer), TaskContext.get().partitionId() << SHARD_BITS, None, []
         width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                writer = writer or ShardWriter(ids_folder, shard, width)
+            for key, has, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if writer is None:
+                    writer, shard, flags = ShardWriter(ids_folder, shard, width, shard_docs), shard + 1, []
                 writer.add(key, np.append(np.frombuffer(enc.encode(text.as_py()), "<u4"), np.uint32(end_id)))
-        if writer:
-            writer.close()
-            firsts = np.cumsum(writer.sizes) - writer.sizes
-            for i in range(0, len(writer.keys), 50_000):
-                part = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(writer.keys[part]), shard)), pa.array(writer.keys[part], pa.int64()), pa.array(firsts[part].astype(np.int64)), pa.array(writer.sizes[part], pa.int64())], names=["shard", "key", "first", "ids"])
-
-    records, path = stage(ordered.mapInArrow(run, "shard long, key long, first long, ids long"), "token-records")
+                flags.append(has)
+                if writer.full:
+                    yield from ended(writer, flags)
+                    writer = None
+        if writer is not None:
+            yield from ended(writer, flags)
+
+    records, path = stage(ordered.mapInArrow(run, "shard long, key long, filled boolean, first long, ids long"), "token-records")
     records.groupBy("shard").agg(F.sum("ids").alias("ids")).write.parquet(f"{folder}/shards")
     places = records.groupBy("key", "shard").agg(F.min("first").alias("first"), F.sum("ids").alias("ids"), F.count("*").alias("records"))
-    buckets = max(1, -(-records.count() // BUCKET_KEYS))
+    known = records.agg(F.count("*").alias("n"), F.sum(F.when(~F.col("filled"), F.col("ids"))).alias("null_ids")).first()
+    buckets = max(1, -(-known.n // BUCKET_KEYS))
     dealt = places.mapInPandas(lambda parts: (p.assign(bucket=bucket_of(p["key"].to_numpy(), buckets)) for p in parts), "key long, shard long, first long, ids long, records long, bucket long")
-    dealt.groupBy("bucket").applyInPandas(_index_bucket, "bucket long, mph binary, slots binary").write.parquet(f"{folder}/index")
+    dealt.groupBy("bucket").applyInPandas(_index_bucket, "bucket long, mph binary, slots binary, more binary").write.parquet(f"{folder}/index")
     drop(spark, path)
-    return TokenStore(spark, folder, buckets)
+    return TokenStore(spark, folder, buckets, known.null_ids or 0)
 
 
 def read_documents(store: TokenStore, docs: DataFrame) -> DataFrame:
     """All records of the store that ``docs`` names: doc_id, start, n_tokens, ids_crc32."""
     keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")).distinct()
-    return store.read(keys).select(F.when(F.col("key") != NULL_KEY, F.col("key")).alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    none = (F.col("key") == NULL_KEY) & (F.col("start") < store.null_ids)
+    return store.read(keys).select(F.when(~none, F.col("key")).alias("doc_id"), "start", "n_tokens", "ids_crc32")

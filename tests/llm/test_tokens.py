@@ -63,6 +63,11 @@ def test_packing(spark, documents, whole, edge_docs, no_docs, tmp_path):
     assert packing.pack_power_of_two(no_docs, PATH).count() == 0
     packing.write_buckets(packing.pack_power_of_two(documents, PATH), f"{tmp_path}/b")
     assert spark.read.parquet(f"{tmp_path}/b").count() == len(rows)
+    lengths, batches = {}, {}
+    for r in rows:
+        assert 1 << r.bucket == r.length and lengths.setdefault(r.batch_id, r.length) == r.length
+        batches.setdefault(r.batch_id, []).append(r.sequence_id)
+    assert all(sorted(b) == list(range(min(b), min(b) + len(b))) for b in batches.values()) and len(batches) < len(rows) / 4
     with pytest.raises(ValueError, match="power"):
         packing.pack_power_of_two(documents, PATH, 1000)
 
@@ -87,6 +92,24 @@ def test_store(spark, documents, whole, edge_docs, no_docs):
     assert token_store.read_documents(empty, no_docs).count() == 0 and empty.get(1) == []
 
 
+def test_repeated_key(spark, whole):
+    """The records of one id spread over tasks and shards; null ids come first, and apart from the least id."""
+    docs = spark.range(0, 20_000, 1, 7).selectExpr("CASE WHEN id < 8000 THEN 5 WHEN id < 8010 THEN -9223372036854775808 WHEN id < 8030 THEN null ELSE id END AS doc_id", "concat('word ', id % 4000) AS text")
+    store = token_store.write_token_store(docs, PATH, shards=6, shard_docs=700)
+    shards = spark.read.parquet(f"{store.folder}/shards").collect()
+    assert len(shards) >= 20_000 // 700 and len({r.shard >> token_store.SHARD_BITS for r in shards}) == 6
+    rows = token_store.read_documents(store, docs).collect()
+    count = {}
+    for r in rows:
+        count[r.doc_id] = count.get(r.doc_id, 0) + 1
+    assert len(rows) == 20_000 and (count[5], count[-(2**63)], count[None]) == (8000, 10, 20)
+    starts = sorted((r.start, r.n_tokens, r.doc_id is not None, -(2**63) if r.doc_id is None else r.doc_id) for r in rows)
+    assert starts[0][0] == 0 and all(a[0] + a[1] == b[0] and a[2:] <= b[2:] for a, b in zip(starts, starts[1:], strict=False))
+    crc = lambda t: zlib.crc32(array("I", whole(t) + [2]).tobytes())
+    assert sorted(r.ids_crc32 for r in rows if r.doc_id == 5) == sorted(2 * [crc(f"word {i}") for i in range(4000)])
+    assert len(store.get(5)) == 8000 and len(store.get(12_345)) == 1
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 20_000))
     blob = token_store.build_mph(keys)
