@@ -1,22 +1,31 @@
 """Content-addressed WARC archive.
 
 Two Parquet tables hold an archive. ``payloads`` has the bytes of each payload once, under its
-SHA-256. ``headers`` has, for each record, the exact header bytes, a key to the payload, and nothing
+SHA-256, as a zstd frame. ``headers`` has, for each record, the exact header bytes, a key to the payload, and nothing
 else. Joining them gives the original records back: header bytes, payload bytes (none for a
 revisit), two line ends. A payload counts only if its bytes still have the digest it is stored under.
 
-Everything is DataFrame operations. Of a payload that a third of the records share, each task
-keeps one copy before the shuffle (partial aggregation) and one row is stored.
+Reading an archive rebuilds every record so, and takes what it says from the record's own bytes: length and digest of a
+response from the bytes behind its header, those of a revisit from its header, which the response it refers to must bear out.
+
+Of a payload that a third of the records share, each task keeps one copy before the shuffle (partial aggregation) and one
+row is stored; short payloads that many responses share are joined back by a sort-merge join, which Spark splits where a
+key has many rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, file_system, stage, workspace
+from .common import bounded_batches, drop, file_system, put, stage, workspace
 
 #: Payloads of fewer bytes are always stored as responses.
 REVISIT_BYTES = 1000
@@ -32,7 +41,8 @@ def _header(c: dict[str, Column]) -> Column:
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), c["record_type"]),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(c["page_id"].cast("string"), F.lit("none")), F.lit(">")),
+        # The number tells records of one page, and of none, apart.
+        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(c["page_id"].cast("string"), F.lit("none")), F.lit(":"), c["number"].cast("string"), F.lit(">")),
         F.lit(f"WARC-Date: {DATE}"),
         # A line end within a URL would end the header line.
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(c["url"], "[\r\n]", "")),
@@ -58,52 +68,33 @@ class Archive:
     def payloads(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/payloads")
 
-    def checked_payloads(self) -> DataFrame:
-        """sha256, payload, and digests made from the stored bytes; a damaged payload stops the job."""
-        good = F.sha2("payload", 256) == F.col("sha256")
-        return self.payloads.select(
-            F.when(good, F.col("sha256")).otherwise(F.raise_error(F.concat(F.lit("payload is damaged: "), F.col("sha256")))).alias("sha256"),
-            "payload", F.sha1("payload").alias("stored_sha1"), F.octet_length("payload").cast("long").alias("stored_bytes"),
-        )
-
     def records(self) -> DataFrame:
-        """page_id and the original bytes of each record."""
+        """number, sha256 and the original bytes of each record, from header and payload joined; a damaged payload stops the job."""
+        bounded_batches(self.spark)
         head = self.headers
-        # Revisits have no payload of their own, so their join key is null and meets nothing.
-        own = head.withColumn("own", F.when(F.col("record_type") == "response", F.col("sha256")))
-        stored = self.checked_payloads().select(F.col("sha256").alias("own"), "payload")
-        end = F.encode(F.lit(EOL + EOL), "UTF-8")
-        return own.join(stored, "own", "left").select("page_id", F.concat("header", F.coalesce("payload", F.encode(F.lit(""), "UTF-8")), end).alias("record"))
+        # Revisits have no payload of their own, so they meet none.
+        answers = head.where("record_type = 'response'").join(self.payloads, "sha256", "left")
+        rows = answers.select("number", "sha256", "header", "frame").unionByName(head.where("record_type != 'response'").select("number", "sha256", "header", F.lit(None).cast("binary").alias("frame")))
+        return rows.mapInArrow(_rebuild, "number long, sha256 string, record binary")
 
     def read(self) -> DataFrame:
-        """What the archive says of each record, parsed from its header and checked against the
-        stored payload: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
-
-        The digests of a payload are made once, where it is stored; its bytes are not joined."""
-        stored = self.checked_payloads().select("sha256", "stored_sha1", "stored_bytes")
-        rows = self.headers.join(stored, "sha256", "left")
-        text = F.decode("header", "UTF-8")
-        field = lambda name: F.regexp_extract(text, rf"(?md)^{name}: ([^\r\n]*)\r$", 1)
-        page = F.regexp_extract(text, r"(?md)^WARC-Record-ID: <urn:page:(-?\d+)>\r$", 1)
-        refers = F.regexp_extract(text, r"(?md)^WARC-Refers-To: <urn:page:(-?\d+)>\r$", 1)
-        told = F.struct(F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("sha1"), field("X-Payload-Length").cast("long").alias("n"))
-        holds = (told["sha1"] == F.col("stored_sha1")) & (told["n"] == F.col("stored_bytes"))
-        return rows.select(
-            F.when(page != "", page.cast("long")).alias("page_id"),
-            F.col("stored_bytes").alias("payload_bytes"),
-            F.when(holds, F.col("stored_sha1")).otherwise(F.raise_error(F.concat(F.lit("header and payload disagree: "), F.col("sha256")))).alias("payload_digest"),
-            field("WARC-Type").alias("record_type"),
-            F.when(refers != "", refers.cast("long")).alias("refers_to"),
-            field("WARC-Target-URI").alias("url"),
-        )
+        """What the rebuilt records say: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
+
+        A revisit's length and digest are its header's; a response with that payload must have the same."""
+        rows, path = stage(self.records().mapInArrow(_parse, FIELDS), "warc-read")
+        told = rows.where("record_type = 'response'").groupBy("sha256").agg(F.max(F.struct("payload_digest", "payload_bytes")).alias("told"))
+        told, _ = stage(told, "warc-told")
+        revisits = rows.where("record_type = 'revisit'").join(told, "sha256", "left")
+        holds = F.coalesce((F.col("told.payload_digest") == F.col("payload_digest")) & (F.col("told.payload_bytes") == F.col("payload_bytes")), F.lit(False))
+        sure = F.when(holds, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("revisit without its response: "), F.col("sha256"))))
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+        return rows.where("record_type = 'response'").select(*names).unionByName(revisits.withColumn("payload_digest", sure).select(*names))
 
     def export(self, folder: str) -> DataFrame:
         """Write the records as .warc files (one for each task) and return path and records of each.
         A file gets its name only when it is whole."""
 
         def run(batches):
-            import pyarrow as pa
-
             fs, base = file_system(folder)
             fs.create_dir(base, recursive=True)
             name, n = f"{base}/{uuid.uuid4().hex}", 0
@@ -112,36 +103,100 @@ class Archive:
                     for r in b.column(0):
                         out.write(r.as_py())
                         n += 1
-            fs.move(f"{name}.tmp", f"{name}.warc")
+            put(fs, f"{name}.tmp", f"{name}.warc")
             yield pa.RecordBatch.from_arrays([pa.array([f"{name}.warc"]), pa.array([n])], names=["path", "records"])
 
         return self.records().select("record").mapInArrow(run, "path string, records long")
 
 
+FIELDS = "sha256 string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+_END = (EOL + EOL).encode()
+_PAGE = re.compile(r"<urn:page:(-?\d+)(?::\d+)?>")
+
+
+def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Record bytes of rows number, sha256, header, frame."""
+    for b in batches:
+        records = []
+        for name, head, frame in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            payload = b""
+            if b"\r\nWARC-Type: response\r\n" in head:
+                if frame is None:
+                    raise ValueError(f"payload is missing: {name}")
+                payload = zstandard.decompress(frame)
+                if hashlib.sha256(payload).hexdigest() != name:
+                    raise ValueError(f"payload is damaged: {name}")
+            records.append(head + payload + _END)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(records, pa.binary())], names=["number", "sha256", "record"])
+
+
+def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields and content block of a record; its length must be the header's, and two line ends its end."""
+    end = record.index(_END) + len(_END)
+    version, *lines = record[: end - len(_END)].decode().split(EOL)
+    fields = dict(x.split(": ", 1) for x in lines)
+    block = record[end : end + int(fields["Content-Length"])]
+    if not version.startswith("WARC/") or record[end + len(block) :] != _END or len(block) != int(fields["Content-Length"]):
+        raise ValueError(f"no whole record: {version} {fields.get('WARC-Record-ID')}")
+    return fields, block
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What records say; a response's digest and length are made from its block and must be its header's."""
+
+    def page(value: str | None) -> int | None:
+        m = _PAGE.fullmatch(value or "")
+        return int(m[1]) if m else None
+
+    names = [f.split()[0] for f in FIELDS.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+    for b in batches:
+        rows = []
+        for name, record in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            f, block = parse_record(record)
+            sha1, size = f["WARC-Payload-Digest"].removeprefix("sha1:"), int(f["X-Payload-Length"])
+            if f["WARC-Type"] == "response" and (hashlib.sha1(block).hexdigest() != sha1 or len(block) != size):
+                raise ValueError(f"header and payload disagree: {name}")
+            rows.append((name, page(f["WARC-Record-ID"]), size, sha1, f["WARC-Type"], page(f.get("WARC-Refers-To")), f.get("WARC-Target-URI")))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests and zstd frame of each payload. rows: number, page_id, url, payload."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        payloads = [x.as_py().encode() for x in b.column(3)]
+        made = [[hashlib.sha256(p).hexdigest() for p in payloads], [hashlib.sha1(p).hexdigest() for p in payloads], [len(p) for p in payloads], [packer.compress(p) for p in payloads]]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names=["number", "page_id", "url", "sha256", "sha1", "payload_bytes", "frame"])
+
+
 def write_archive(pages: DataFrame, folder: str | None = None) -> Archive:
     """Archive a record for each row of ``pages`` (page_id, url, html; other columns are not read).
 
     Payload: html in UTF-8, null as empty. Of records with equal payloads of at least 1000 bytes that
     with the largest page_id is a response and the others revisit it; shorter payloads are responses.
-    Repeated rows are archived one by one; among equal page_ids all are responses. A null page_id
-    is never a revisit's target unless no other is there; a null url leaves its line out. An empty
+    Repeated rows are archived one by one, each under a number of its own; among equal page_ids all are responses. A null
+    page_id is never a revisit's target unless no other is there; a null url leaves its line out. An empty
     table gives an empty archive.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     folder = folder or workspace(spark, "warc")
-    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha256", F.sha2("payload", 256))
-    # first(payload): equal digests have equal bytes, and read() proves digest and bytes agree.
-    rows.groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(f"{folder}/payloads")
-    facts, path = stage(rows.select("page_id", "url", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes")), "warc-facts")
-    newest = facts.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("sha256").agg(F.max("page_id").alias("newest"))
+    rows = pages.select(F.monotonically_increasing_id().alias("number"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
+    schema = "number long, page_id long, url string, sha256 string, sha1 string, payload_bytes long, frame binary"
+    facts, path = stage(rows.mapInArrow(_digests, schema), "warc-facts")
+    # Equal digests have equal bytes, and reading proves that digest and bytes agree: any frame will do.
+    facts.groupBy("sha256").agg(F.first("frame").alias("frame")).write.option("compression", "uncompressed").parquet(f"{folder}/payloads")
+    facts = facts.drop("frame")
+    newest, path2 = stage(facts.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("sha256").agg(F.max("page_id").alias("newest")), "warc-newest")
     typed = facts.join(newest, "sha256", "left")
     revisit = F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
-    c = {k: F.col(k) for k in ("page_id", "url", "sha1", "payload_bytes", "record_type", "refers_to")}
+    c = {k: F.col(k) for k in ("number", "page_id", "url", "sha1", "payload_bytes", "record_type", "refers_to")}
     typed = typed.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("newest")))
-    typed.select("page_id", "sha256", "record_type", _header(c).alias("header")).write.parquet(f"{folder}/headers")
-    drop(spark, path)
+    typed.select("number", "sha256", "record_type", _header(c).alias("header")).write.parquet(f"{folder}/headers")
+    drop(spark, path, path2)
     return Archive(spark, folder)
 
 

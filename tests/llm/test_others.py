@@ -404,18 +404,36 @@ def test_archive(spark, sf, tmp_path):
     n = len(long)
     assert got == {(1, "revisit", 3, n), (2, "revisit", 3, n), (3, "response", None, n), (4, "response", None, 5), (5, "response", None, 5), (6, "response", None, 0), (None, "revisit", 3, n), (7, "response", None, 1200)}
     assert archive.payloads.count() == 4
-    records = {r.page_id: r.record.decode() for r in archive.records().collect()}
-    assert records[3].endswith(f"Content-Length: {n}\r\n\r\n{long}\r\n\r\n") and records[1].endswith("Content-Length: 0\r\n\r\n\r\n\r\n") and "X: y" in records[2].split("\r\n")[4]
-    assert sum(r.records for r in archive.export(f"file://{tmp_path}/w").collect()) == len(rows)
+    parsed = [(warc.parse_record(r.record), r.record) for r in archive.records().collect()]
+    assert len({f["WARC-Record-ID"] for (f, _), _ in parsed}) == len(rows)  # repeated and null ids are told apart
+    records = {f["WARC-Record-ID"].split(":")[2]: (f, block, whole) for (f, block), whole in parsed}
+    assert records["3"][1].decode() == long and records["3"][2].endswith(f"Content-Length: {n}\r\n\r\n{long}\r\n\r\n".encode())
+    assert records["1"][1] == b"" and records["1"][0]["WARC-Refers-To"] == "<urn:page:3>" and records["2"][0]["WARC-Target-URI"] == "http://a/2X: y" and "WARC-Target-URI" not in records["3"][0]
+    assert {r.url for r in archive.read().collect()} == {"http://a/1", "http://a/2X: y", None, "u", "u\u2028WARC-Type: x"}
+    # Files of whole records, one after the other, give the same back.
+    files = archive.export(f"file://{tmp_path}/w").collect()
+    assert sum(r.records for r in files) == len(rows)
+    told = b"".join(open(r.path, "rb").read() for r in files)
+    assert sorted(told.split(b"WARC/1.1\r\n")) == sorted(b"".join(r for _, r in parsed).split(b"WARC/1.1\r\n"))
+    clash = pages.selectExpr("*", "1 AS sha256", "'x' AS frame", "2 AS number", "3 AS payload")
+    assert sorted(map(str, warc.digest(warc.write_archive(clash)).collect())) == sorted(map(str, warc.digest(archive).collect()))
     assert warc.digest(warc.write_archive(pages.limit(0))).count() == 0
-    # A payload that no longer has its digest stops the job.
-    damaged = warc.Archive(spark, archive.folder)
-    bad = archive.payloads.selectExpr("sha256", "CAST('other' AS binary) AS payload")
-    bad.write.parquet(f"{tmp_path}/d/payloads")
-    archive.headers.write.parquet(f"{tmp_path}/d/headers")
-    damaged.folder = str(tmp_path / "d")
-    with pytest.raises(Exception, match="damaged"):
-        damaged.read().collect()
+    # A payload that no longer has its digest, or is gone, stops the job; so does a revisit whose response says otherwise.
+    import zstandard
+
+    frame = zstandard.compress(b"other").hex()
+    for bad, why in ((f"SELECT sha256, X'{frame}' AS frame FROM payloads", "damaged"), ("SELECT * FROM payloads LIMIT 0", "missing")):
+        archive.payloads.createOrReplaceTempView("payloads")
+        broken = warc.Archive(spark, f"{tmp_path}/{why}")
+        spark.sql(bad).write.parquet(f"{broken.folder}/payloads")
+        archive.headers.write.parquet(f"{broken.folder}/headers")
+        with pytest.raises(Exception, match=why):
+            broken.read().collect()
+    broken = warc.Archive(spark, f"{tmp_path}/alone")
+    archive.payloads.write.parquet(f"{broken.folder}/payloads")
+    archive.headers.where("record_type = 'revisit'").write.parquet(f"{broken.folder}/headers")
+    with pytest.raises(Exception, match="without its response"):
+        broken.read().collect()
 
 
 def test_archive_oracle(spark, sf):
