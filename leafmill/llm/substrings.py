@@ -6,19 +6,20 @@ each over a bin of the corpus; the bins are made so that equal strings always sh
 1. Each 200-byte window belongs to the 40-byte gram of the least hash in it (the leftmost of equals),
    its anchor. Equal windows have equal anchors. Consecutive windows of one anchor are a segment of at
    most 161 windows; no window is in two segments.
-2. Anchors met once are dropped: their windows are unique. Where all segments of an anchor are equal,
-   every window of them repeats. The others go, each distinct text once with its count, to the bin
-   that the anchor's hash names.
-3. A bin's texts are concatenated and their BWT is run-compressed. At both ends of each run the text
-   position and the length of the match with the neighbouring suffix are sampled. Within a run these
+2. Anchors met once are dropped: their windows are unique. Of the others, each distinct segment goes once, with the number
+   of its copies, to the bin that the anchor's hash names.
+3. A bin's texts are concatenated and their BWT is run-compressed. n copies of a text add to its runs' lengths, not to
+   their number, so they cost no space: each of their suffixes matches the copy's to the end. At both ends of each run the
+   text position and the length of the match with the neighbouring suffix are sampled. Within a run these
    lengths fall by one for each step in the text, so one pass over the text streams, from the samples
    alone, the matching statistic of every position: the longest match that starts elsewhere too.
    Positions with 200 or more are marked.
 4. Marks go back to the documents, their union is cut out.
 
 Texts are kept beside the shuffle as chunk files (of the documents of one scan task each) in the shared folder, so only
-hashes and the few ambiguous segments are shuffled. An anchor with more than HOT distinct segments
-doesn't go to one bin: its windows are counted by hash, with partial aggregation, however many they are.
+hashes and the distinct segments of anchors that are met again are shuffled. Copies of a segment are told by 128 bits, its
+anchor's hash and its own. An anchor with more than HOT distinct segments doesn't go to one bin: its windows are counted by
+hash, with partial aggregation, however many they are.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, file_system, put, release_memory, stage, workspace
+from .common import bounded_batches, drop, file_system, mix64, put, release_memory, sized_broadcast, stage, workspace
 
 LENGTH = 200
 GRAM = 40
@@ -48,8 +49,15 @@ HOT = 4096
 SEPARATOR = 255  # in no UTF-8 text
 #: Bytes of text in a batch of a chunk file, and in a chunk file, about: a task that cuts texts holds one chunk.
 BATCH_BYTES, CHUNK_BYTES = 4 << 20, 32 << 20
-#: A document's key: its number in the chunk; above it the chunk's number in the task, above that the task's.
-DOC_BITS, CHUNK_BITS = 28, 12
+#: Documents in a chunk at most; empty ones have no bytes.
+CHUNK_DOCS = 1 << 18
+#: A document's key: its number in the chunk; above it the chunk's number in the task, above that the task attempt's. So rows
+#: that an attempt has given name the chunks that it has written, whatever another attempt did.
+DOC_BITS, CHUNK_BITS = 18, 12
+#: Bins that one task works off, about.
+TASK_BINS = 8
+#: Rows of the table of hot anchors (8 bytes each; a row for HOT segments at least) up to which it is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 # -- anchors and segments -------------------------------------------------------------------
@@ -123,9 +131,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class RunLengthIndex:
-    """Run-compressed BWT of a byte text, with the samples at the ends of its runs."""
+    """The run-compressed BWT of a byte text by the samples at the ends of its runs: text positions, and the lengths of the
+    matches beyond. times: copies that the text at each position stands for; rest: bytes up to that text's end."""
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, times: np.ndarray | None = None, rest: np.ndarray | None = None):
+        self.times, self.rest = times, rest
         sa = suffix_array(text)
         bwt = text[sa - 1]
         head = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
@@ -133,7 +143,7 @@ class RunLengthIndex:
         zero = int(np.flatnonzero(sa == 0)[0])
         head = np.union1d(head, [z for z in (zero, zero + 1) if z < len(sa)])
         tail = np.r_[head[1:], len(sa)] - 1
-        self.n, self.symbols, self.lengths = len(text), bwt[head], tail - head + 1
+        self.n, self.runs = len(text), len(head)
         self.heads = self._samples(text, sa, head[head > 0], -1)
         self.tails = self._samples(text, sa, tail[tail < len(sa) - 1], 1)
 
@@ -164,13 +174,16 @@ class RunLengthIndex:
             if len(p):
                 at = np.searchsorted(p, where, "right") - 1
                 best = np.maximum(best, np.where(at >= 0, match[at] + p[at] - where, 0))
-        return best
+        return best if self.times is None else np.where(self.times > 1, np.maximum(best, self.rest), best)
 
 
-def mark_bin(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each text, the starts of windows that start elsewhere in the bin too."""
+def mark_bin(texts: list[bytes], length: int = LENGTH, times: list[int] | None = None) -> list[np.ndarray]:
+    """For each text, the starts of windows that start elsewhere in the bin too. times: copies of each text."""
     joined = np.frombuffer(bytes([SEPARATOR]).join(texts) + bytes([SEPARATOR]), np.uint8)
-    ms = RunLengthIndex(joined).matching_statistics()
+    sizes = np.array([len(t) + 1 for t in texts])
+    ends = np.repeat(np.cumsum(sizes) - 1, sizes)
+    copies = np.repeat(np.array(times or [1] * len(texts)), sizes)
+    ms = RunLengthIndex(joined, copies, ends - np.arange(len(joined))).matching_statistics()
     out, at = [], 0
     for t in texts:
         n = max(0, len(t) - length + 1)
@@ -268,14 +281,21 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     bounded_batches(spark)
 
+    bound = max(1, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+    if bound >= CHUNK_DOCS // 2:
+        raise ValueError("Arrow batches hold too many documents")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, chunk = TaskContext.get().partitionId() << CHUNK_BITS, None
+        number, chunk = TaskContext.get().taskAttemptId() << CHUNK_BITS, None
+        last = number + (1 << CHUNK_BITS)
         for batch in batches:
             for part in _parts(batch):
                 if chunk is None:
+                    if number == last:
+                        raise ValueError(f"a task's texts are more than {1 << CHUNK_BITS} chunks: read them in smaller splits")
                     chunk, number = _Chunk(chunks, number, part.schema), number + 1
                 yield from chunk.add(part, length)
-                if chunk.bytes >= CHUNK_BYTES:
+                if chunk.bytes >= CHUNK_BYTES or chunk.docs >= CHUNK_DOCS - bound:
                     yield chunk.close()
                     chunk = None
         if chunk is not None:
@@ -285,41 +305,43 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # h: anchor; t: hash of the segment's text; at: first window and number of windows.
     rows, _ = stage(source.mapInArrow(cut, "h long, t long, doc long, at long"), "segments")
     seg = rows.where(F.col("h").isNotNull())
-    met = seg.groupBy("h").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).where("n > 1").select("h", (F.col("lo") == F.col("hi")).alias("all"))
+    met = seg.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     # Staged, so that the join deals both sides anew and Spark can split a frequent anchor's rows.
-    met, _ = stage(met, "anchors-met")
+    met, path = stage(met, "anchors-met")
     again, _ = stage(seg.join(met, "h"), "segments-again")
+    drop(spark, path)
     chunk = F.shiftrightunsigned("doc", DOC_BITS).cast("long")
-    whole = again.where("all").select("doc", "at", F.lit(0).cast("long").alias("i"), _windows(F.col("at")).alias("j"))
 
-    some = again.where("not all")
-    distinct = some.groupBy("h", "t").agg(F.count("*").alias("n"), F.first("doc").alias("doc"), F.first("at").alias("at"))
+    distinct = again.groupBy("h", "t").agg(F.count("*").alias("n"), F.first("doc").alias("doc"), F.first("at").alias("at"))
     fetched = distinct.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(_fetcher(chunks, length), "h long, t long, n long, body binary")
-    texts, _ = stage(fetched, "segment-texts")
-    per_anchor = texts.groupBy("h").agg(F.count("*").alias("texts"))
-    hot = per_anchor.where(F.col("texts") > HOT).select("h")
+    texts, path = stage(fetched, "segment-texts")
+    # At most one row for HOT rows of texts.
+    hot, _ = stage(texts.groupBy("h").agg(F.count("*").alias("texts")).where(F.col("texts") > HOT).select("h"), "anchors-hot")
+    known = sized_broadcast(hot, BROADCAST_ROWS)
     size = texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     bins = max(1, -(-size // BIN_BYTES))
-    few = texts.join(hot, "h", "left_anti").withColumn("bin", F.pmod(F.xxhash64("h"), F.lit(bins)))
-    marks = few.groupBy("bin").applyInPandas(_bin_marker(length), "h long, t long, i long, j long")
-    marks = marks.unionByName(_count_windows(texts.join(hot, "h", "left_semi"), length))
+    tasks = max(-(-bins // TASK_BINS), min(bins, 4 * spark.sparkContext.defaultParallelism))
+    few = texts.join(known, "h", "left_anti").withColumn("bin", F.pmod(F.xxhash64("h"), F.lit(bins)))
+    marks = few.repartition(tasks, "bin").groupBy("bin").applyInPandas(_bin_marker(length), "h long, t long, i long, j long")
+    if not hot.isEmpty():
+        marks = marks.unionByName(_count_windows(texts.join(known, "h", "left_semi"), length))
     marks, _ = stage(marks, "segment-marks")
-    part = some.select("h", "t", "doc", "at").join(marks, ["h", "t"]).select("doc", "at", "i", "j")
+    drop(spark, path)
+    found = again.join(marks, ["h", "t"]).select("doc", "at", "i", "j")
 
     first = F.shiftright("at", 16)
-    spans = whole.unionByName(part).select(chunk.alias("chunk"), "doc", (first + F.col("i")).alias("a"), (first + F.col("j") + (length - 1)).alias("b"))
+    spans = found.select(chunk.alias("chunk"), "doc", (first + F.col("i")).alias("a"), (first + F.col("j") + (length - 1)).alias("b"))
     every = rows.where(F.col("h").isNull()).select(chunk.alias("chunk"))
-    kept = every.groupBy("chunk").cogroup(spans.groupBy("chunk"))
+    # Partitions by the number of chunks: later stages that read what comes of it have as many files.
+    many = every.count()
+    tasks = max(1, -(-many // TASK_BINS), min(many, 4 * spark.sparkContext.defaultParallelism))
+    kept = every.repartition(tasks, "chunk").groupBy("chunk").cogroup(spans.repartition(tasks, "chunk").groupBy("chunk"))
     rest = source.schema["rest"].dataType
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rest.fields)
     schema = f"rest struct<{fields}>, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>"
     return kept.applyInArrow(_cutter(chunks, schema, rest), schema)
 
 
-def _windows(at):
-    return at.bitwiseAND(F.lit(0xFFFF).cast("long"))
-
-
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about BATCH_BYTES of text."""
     sizes = np.cumsum([len(t.as_buffer() or b"") if t.is_valid else 0 for t in batch.column("text").cast(pa.binary())])
@@ -349,9 +371,8 @@ def _fetcher(chunks: str, length: int):
 def _bin_marker(length: int):
     def mark(rows: pd.DataFrame) -> pd.DataFrame:
         bodies, counts, out = rows["body"].tolist(), rows["n"].tolist(), []
-        for h, t, n, body, starts in zip(rows["h"].tolist(), rows["t"].tolist(), counts, bodies, mark_bin(bodies, length), strict=True):
-            # A text that is there twice repeats as a whole.
-            out += [(h, t, i, j) for i, j in ([(0, len(body) - length + 1)] if n > 1 else runs(starts))]
+        for h, t, starts in zip(rows["h"].tolist(), rows["t"].tolist(), mark_bin(bodies, length, counts), strict=True):
+            out += [(h, t, i, j) for i, j in runs(starts)]
         release_memory()
         return pd.DataFrame(out, columns=["h", "t", "i", "j"])
 
@@ -361,17 +382,32 @@ def _bin_marker(length: int):
 def _count_windows(texts: DataFrame, length: int) -> DataFrame:
     """Marks of segments of hot anchors: windows by hash, counted in two steps."""
 
-    def explode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for r in p.itertuples():
-                n = len(r.body) - length + 1
-                yield pd.DataFrame({"h": r.h, "t": r.t, "n": r.n, "i": np.arange(n), "w": np.array([xxhash.xxh3_64_intdigest(r.body[i : i + length]) for i in range(n)], np.uint64).view(np.int64)})
-
-    windows = texts.select("h", "t", "n", "body").mapInPandas(explode, "h long, t long, n long, i long, w long")
-    often = windows.groupBy("h", "w").agg(F.sum("n").alias("times")).where("times > 1").select("h", "w")
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h, t, n, body in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                w = window_hashes(np.frombuffer(body, np.uint8), length)
+                k = len(w)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, h)), pa.array(np.full(k, t)), pa.array(np.full(k, n)), pa.array(np.arange(k)), pa.array(w.view(np.int64))], names=["h", "t", "n", "i", "w"])
+
+    # Dealt by segment, so that one anchor's segments are many tasks'; staged, so that windows are hashed once.
+    dealt = texts.select("h", "t", "n", "body").repartition(max(1, texts.sparkSession.sparkContext.defaultParallelism), "h", "t")
+    windows, _ = stage(dealt.mapInArrow(explode, "h long, t long, n long, i long, w long"), "segment-windows")
+    often, _ = stage(windows.groupBy("h", "w").agg(F.sum("n").alias("times")).where("times > 1").select("h", "w"), "windows-often")
     return windows.join(often, ["h", "w"]).select("h", "t", "i", (F.col("i") + 1).alias("j"))
 
 
+def window_hashes(a: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hash of each window of a uint8 array: of the hashes of its 8-byte words and of the bytes left over."""
+    n = len(a) - length + 1
+    x = np.ndarray((len(a) - 7,), "<u8", np.ascontiguousarray(a), strides=(1,)).copy()
+    x = mix64(x, 50)
+    h = np.full(n, length, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in [*range(0, length - 7, 8), length - 8]:
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + x[at : at + n]
+    return mix64(h, 51)
+
+
 def _cutter(chunks: str, schema: str, rest):
     from pyspark.sql.pandas.types import to_arrow_type
 

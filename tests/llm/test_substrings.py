@@ -41,6 +41,26 @@ def test_index():
         assert [m.tolist() for m in S.mark_bin(texts, length)] == [[i for i in range(len(t) - length + 1) if count[t[i : i + length]] > 1] for t in texts]
 
 
+def test_copies():
+    """A text with a count is as many equal texts."""
+    random.seed(5)
+    for _ in range(100):
+        texts = [bytes(random.choice(b"ab") for _ in range(random.randint(0, 25))) for _ in range(random.randint(1, 6))]
+        times = [random.randint(1, 3) for _ in texts]
+        count = Counter(t[i : i + 6] for t, n in zip(texts, times, strict=True) for _ in range(n) for i in range(len(t) - 5))
+        assert [m.tolist() for m in S.mark_bin(texts, 6, times)] == [[i for i in range(len(t) - 5) if count[t[i : i + 6]] > 1] for t in texts]
+
+
+def test_window_hashes():
+    random.seed(6)
+    data = bytes(random.choice(b"ab") for _ in range(3000)) * 2
+    for length in (8, 13, 200):
+        seen = {}
+        for i, h in enumerate(S.window_hashes(np.frombuffer(data, np.uint8), length).tolist()):
+            assert seen.setdefault(h, data[i : i + length]) == data[i : i + length]
+        assert len(seen) == len({data[i : i + length] for i in range(len(data) - length + 1)})
+
+
 def test_segments_cover_windows_once():
     random.seed(3)
     for size in (0, 199, 200, 201, 5000, S.BLOCK + 777):
@@ -72,3 +92,5 @@ def test_hot_anchor(spark, monkeypatch):
     assert sorted(map(tuple, S.digest(S.dedup_substrings(docs)).collect()), key=str) == want
     monkeypatch.setattr(S, "HOT", 3)
     assert sorted(map(tuple, S.digest(S.dedup_substrings(docs)).collect()), key=str) == want
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, S.digest(S.dedup_substrings(docs)).collect()), key=str) == want
