@@ -51,6 +51,8 @@ SEPARATOR = 255  # in no UTF-8 text
 BATCH_BYTES, CHUNK_BYTES = 4 << 20, 32 << 20
 #: Documents in a chunk at most; empty ones have no bytes.
 CHUNK_DOCS = 1 << 18
+#: Rows of a batch of a chunk file at most.
+PART_ROWS = 1 << 12
 #: A document's key: its number in the chunk; above it the chunk's number in the task, above that the task attempt's. So rows
 #: that an attempt has given name the chunks that it has written, whatever another attempt did.
 DOC_BITS, CHUNK_BITS = 18, 12
@@ -281,10 +283,6 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     bounded_batches(spark)
 
-    bound = max(1, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
-    if bound >= CHUNK_DOCS // 2:
-        raise ValueError("Arrow batches hold too many documents")
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, chunk = TaskContext.get().taskAttemptId() << CHUNK_BITS, None
         last = number + (1 << CHUNK_BITS)
@@ -295,7 +293,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         raise ValueError(f"a task's texts are more than {1 << CHUNK_BITS} chunks: read them in smaller splits")
                     chunk, number = _Chunk(chunks, number, part.schema), number + 1
                 yield from chunk.add(part, length)
-                if chunk.bytes >= CHUNK_BYTES or chunk.docs >= CHUNK_DOCS - bound:
+                if chunk.bytes >= CHUNK_BYTES or chunk.docs >= CHUNK_DOCS - PART_ROWS:
                     yield chunk.close()
                     chunk = None
         if chunk is not None:
@@ -348,7 +346,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     at = 0
     while at < batch.num_rows:
         before = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, before + BATCH_BYTES, "right")))
+        to = min(at + PART_ROWS, max(at + 1, int(np.searchsorted(sizes, before + BATCH_BYTES, "right"))))
         yield batch.slice(at, to - at)
         at = to
 
