@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, release_memory
@@ -190,37 +190,38 @@ def fit(samples: list[tuple[str, str]]) -> Hierarchy:
 
 
 def learn(docs: DataFrame, where=None, sample_rows: int = SAMPLE_ROWS) -> Hierarchy:
-    """Fit on at most ``sample_rows`` rows of each language of ``docs`` (text, lang) that meet ``where``, and TOTAL_ROWS in all.
+    """Fit on at most ``sample_rows`` distinct texts of each language of ``docs`` (text, lang) that meet ``where``, and TOTAL_ROWS in all.
 
-    Rows with a null lang or text are not learned from. The sample follows from hashes of the texts."""
+    Rows with a null lang or text are not learned from. The sample is the distinct texts with the least hashes in each language:
+    it doesn't depend on copies, or on how rows are dealt. Of a long text, a stretch of EXAMPLE_CHARS * TEXT_EXAMPLES characters
+    is taken, anywhere in it by its hash, and cut into examples. These bounds are parameters of the model's training alone."""
     known = docs if where is None else docs.where(where)
-    known = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("hash")).where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()}
     if not counts:
         return fit([])
     sample_rows = max(1, min(sample_rows, TOTAL_ROWS // len(counts)))
-    # A share of each language by hash, a little over the bound; then the bound itself.
-    share = F.lit(0)
+    # Hashes are even: under this bound lie some more distinct texts than are wanted.
+    low = F.lit(None).cast("long")
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1_000_000, int(1_200_000 * sample_rows / n) + 1)).otherwise(share)
-    # Of a long text, a stretch anywhere in it.
+        share = min(1.0, (1.3 * sample_rows + 30) / max(1, n))
+        low = F.when(F.col("lang") == lang, F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))).otherwise(low)
     cut = EXAMPLE_CHARS * TEXT_EXAMPLES
     part = F.substring(F.col("text"), 1 + F.pmod(F.xxhash64("text", F.lit(5)), F.greatest(F.lit(1), F.length("text") - cut)).cast("int"), F.lit(cut))
-    some = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("lang", part.alias("text"))
-    taken: dict[str, list[tuple[str, str]]] = {}
-    for r in some.limit(int(1.5 * sample_rows * len(counts)) + 10).collect():
-        taken.setdefault(r.lang, []).append((r.lang, r.text))
-    return fit([x for rows in taken.values() for x in sorted(rows)[:sample_rows]])
+    some = known.where(F.col("hash") <= low).groupBy("lang", "hash").agg(F.min(part).alias("text"))
+    first = Window.partitionBy("lang").orderBy("hash")
+    rows = some.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample_rows).select("lang", "text").collect()
+    return fit([(r.lang, r.text) for r in rows])
 
 
 def identify(docs: DataFrame, model: Hierarchy, keep: list[str] | None = None, strict: bool = False) -> DataFrame:
     """Predict the language of every whole text: columns ``keep`` (default: doc_id), lang_pred, score.
 
-    docs: needs text and the kept columns, which must not be named as the two new ones. Null text, empty text
+    docs: needs text and the kept columns; one that is named as a new one gives way to it. Null text, empty text
     and text without a letter: ``und`` with score 0. Repeated rows are judged one by one; an empty table gives
     no rows. With nothing learned all are ``und``. ``strict``: so are texts of at least LEAST_GRAMS n-grams that are like
     no learned language."""
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c not in ("lang_pred", "score")]
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = keep.index("text") if "text" in keep else len(keep)

@@ -186,14 +186,15 @@ def prune(rule: Rule, rows: list[dict]) -> Rule:
 
 
 def learn(rows: list[dict]) -> list[Rule]:
-    """Ordered rules for ``bad``; rows: the features, ``bad``, and ``part`` 0, 1 or 2 (2: for pruning)."""
+    """Ordered rules for ``bad``; rows: the features, ``bad``, and ``part`` (0 and 1: for growing, 2: for pruning, 3: for the test of
+    precision, which no rule has seen)."""
     rules: list[Rule] = []
     while len(rules) < MAX_RULES:
-        fit, held = [r for r in rows if r["part"] < 2], [r for r in rows if r["part"] == 2]
+        fit, held, test = [r for r in rows if r["part"] < 2], [r for r in rows if r["part"] == 2], [r for r in rows if r["part"] == 3]
         if sum(r["bad"] for r in fit) < 5:
             break
         rule = prune(grow(fit), held)
-        p, n = _counts(rule, held)
+        p, n = _counts(rule, test)
         if not rule or p < 2 or p / (p + n) < PRECISION:
             break
         rules.append(rule)
@@ -209,13 +210,16 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     if not total:
         return []
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)), F.lit(1_000_000))
-    # A little under the bound by share; limit() holds it.
-    some = known.where(draw < max(1, int(1_000_000 * min(1.0, 0.95 * sample_rows / total)))).limit(sample_rows)
+    # Somewhat more than the bound by share, then the least draws up to it: which rows follows from their ids alone.
+    some = known.where(draw < max(1, int(1_000_000 * min(1.0, (1.2 * sample_rows + 100) / total))))
     some = some.groupBy("doc_id").agg(F.min("quality").alias("quality"))  # 0 wins where labels disagree
+    some = some.orderBy(F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)), "doc_id").limit(sample_rows)
     rows = add_statistics(docs.join(F.broadcast(some), "doc_id", "left_semi")).join(F.broadcast(some), "doc_id")
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), F.lit(3))
-    got = rows.select(*(c.alias(k) for k, c in features().items()), (F.col("quality") == 0).alias("bad"), part.alias("part"), "doc_id").take(2 * sample_rows)
-    return learn(sorted((r.asDict() for r in got), key=lambda r: (r["doc_id"], r["n_words"])))
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), F.lit(4))
+    # Of rows that have one id (their labels can't be told apart), that with the fewest words, and so on by its statistics.
+    told = F.struct("n_words", *(c.alias(k) for k, c in features().items() if k != "n_words"))
+    got = rows.groupBy("doc_id").agg(F.min(F.struct((F.col("quality") == 0).alias("bad"), part.alias("part"), told.alias("f"))).alias("r")).select("doc_id", "r.bad", "r.part", "r.f.*").collect()
+    return learn(sorted((r.asDict() for r in got), key=lambda r: r["doc_id"]))
 
 
 def first_rule(rules: list[Rule]) -> Column:
