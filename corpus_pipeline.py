@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import decontamination, jaccard, language, packing, substrings
-from leafmill.llm.common import sized_broadcast, stage, table
+from leafmill.llm.common import drop, run_folder, sized_broadcast, stage, table, workspace
 from leafmill.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,7 +47,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = _keyed(docs)
     found, _ = stage(jaccard.similar_documents(_by_row(docs)).select(F.col("doc_id").alias("_row"), "component_id"), "similar")
     named, _ = stage(found.join(docs.select("_row", "doc_id"), "_row"), "similar-named")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("_row"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = named.groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
     return _without(docs, named.select("_row").join(first.select("_row"), "_row", "left_anti"))
 
 
@@ -83,8 +84,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written as Parquet and read again before the next. What a stage stages for itself
+    goes when it is written, its table when the next one is."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage_function in STAGES:
-        docs, _ = stage(stage_function(spark, docs, sf_dir), f"stage-{name}")
+        path = workspace(spark, f"stage-{name}")
+        with run_folder(spark, name):
+            made = stage_function(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if last:
+            drop(spark, last)
+        last = path
     return docs
