@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, release_memory
 from .words import LETTERS, grams, word_hashes
 
 TERM_WORDS = 3
@@ -273,6 +273,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 rows = [(doc, *hit) for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for hit in held.value.search(t.as_py())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
+            release_memory()
 
         return run
 

@@ -14,6 +14,8 @@ import os
 import re
 from array import array
 
+from .common import release_memory
+
 #: A character that a text to be spaced out has none of: control, beyond Latin letters, or one whose
 #: lower case is two characters.
 _OTHER = re.compile("[^\n -~À-ÖØ-öø-įı-ž]")
@@ -41,7 +43,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """Piece -> ids as little-endian unsigned 32-bit bytes. At most ``limit`` pieces are kept."""
 
-    limit = 300_000
+    limit = 150_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,6 +61,7 @@ class Encoder(dict):
 
         self.spaced = self.plain and all(self._library(p) == self._space_out(p) for p in PROBES if not _OTHER.search(p))
         self.clear()
+        release_memory()  # what parsing the vocabulary has taken
 
     def _space_out(self, text: str) -> bytes:
         low = text.lower()

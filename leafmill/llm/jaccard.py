@@ -50,9 +50,9 @@ LARGE = 65535
 #: Sets that meet at a token are tried pair by pair, by place and size, up to so many of them.
 TRIED = 64
 #: Postings (16 bytes each) of a bucket, about: what one group of rows holds in memory, whatever the corpus.
-BUCKET_POSTINGS = 1 << 20
+BUCKET_POSTINGS = 1 << 18
 #: Rows of groups that are split at once, about.
-SPLIT_ROWS = 1 << 14
+SPLIT_ROWS = 1 << 13
 #: Groups of more sets go straight to blocks: a token that so many sets have is not dealt again.
 HUGE = 1 << 20
 #: Rows of the table of large groups (16 bytes each) up to which it is broadcast; beyond, it is joined by a shuffle.
@@ -218,6 +218,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((node_of(s), len(s), *((in_order(s, o) >> np.uint64(32)).astype("<u4").tobytes() for o in ORDERS)))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["node", "n", "p1", "p2"])
+    release_memory()
 
 
 def _dealt_again(buckets: int, order: int):
@@ -433,6 +434,8 @@ def _of(docs: DataFrame, reps: DataFrame) -> DataFrame:
                     seen.add(row)
             if good.any():
                 yield b.filter(pa.array(good)).select([0, 1])
+        del seen
+        release_memory()
 
     named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text")
     places = (F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(BLOOM_BITS)).alias(f"at{k}") for k in (1, 2))

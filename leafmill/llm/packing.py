@@ -4,7 +4,7 @@ A document's ids are cut into runs of ``max_len`` and then into the binary digit
 left, longest first. Each piece is a sequence of its own, its length a power of two. Pieces of one length gather in a
 bucket and leave it as batches of that length alone, so a batch has no padding, and no sequence crosses documents.
 
-One narrow pass, no shuffle: a task keeps a bucket for each length (12 of them, of a megabyte at most), a lost task is read again.
+One narrow pass, no shuffle: a task keeps a bucket for each length (12 of them, of half a megabyte at most), a lost task is read again.
 """
 
 from __future__ import annotations
@@ -17,16 +17,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, release_memory
 from .encoding import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket int, batch_id long"
 #: Sequences are numbered within a task; the task's number stands above these bits.
 TASK_BITS = 33
 #: Bytes of ids in a batch: a bucket that holds so many is emptied.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: Rows in a batch at most: of short pieces, their other columns weigh more than ids.
-BATCH_ROWS = 1 << 14
+BATCH_ROWS = 1 << 12
 
 
 def lengths(n: int, max_len: int) -> list[int]:
@@ -69,6 +69,8 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_
             if held := buckets[length]:
                 yield _batch(held, seq, batch_id)
                 seq, batch_id = seq + len(held), batch_id + 1
+        buckets.clear()
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 

@@ -361,6 +361,7 @@ def _fetcher(chunks: str, length: int):
             if n > number[-1]:
                 break
             out += [data[s : s + c + length - 1] for s, c in ((int(x) >> 16, int(x) & 0xFFFF) for x in at[lo[n] : lo[n + 1]])]
+        release_memory()
         return pd.DataFrame({"h": want["h"], "t": want["t"], "n": want["n"], "body": out})
 
     return fetch
@@ -433,6 +434,7 @@ def _cutter(chunks: str, schema: str, rest):
             text = kept.decode("utf-8", "ignore") if batch.column("text")[i].is_valid else None
             for k, v in zip(out, (text, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), [{"a": x, "b": y} for x, y in gone]), strict=True):
                 out[k].append(v)
+        release_memory()
         return pa.table([pa.chunked_array(rests).cast(kinds[0][1]), *(pa.array(out[k], t) for k, t in kinds[1:])], names=[k for k, _ in kinds])
 
     return cut
