@@ -416,11 +416,12 @@ def bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """rep and text of the documents that ``reps`` (rep) may name: most others are kept out of the shuffle that follows."""
+def _of(docs: DataFrame, reps: DataFrame, make=None, schema: str = "rep long, text string") -> DataFrame:
+    """rep and text of the documents that ``reps`` (rep) may name: most others are kept out of the shuffle that follows. make:
+    a step on these batches, taken in the same Python worker."""
     held = docs.sparkSession.sparkContext.broadcast(bloom(reps))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = held.value, set()
         for b in batches:
             good = np.ones(b.num_rows, bool)
@@ -439,7 +440,8 @@ def _of(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text")
     places = (F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(BLOOM_BITS)).alias(f"at{k}") for k in (1, 2))
-    return named.select("rep", "text", *places, F.xxhash64("text").alias("hash")).mapInArrow(run, "rep long, text string")
+    run = kept if make is None else lambda batches: make(kept(batches))
+    return named.select("rep", "text", *places, F.xxhash64("text").alias("hash")).mapInArrow(run, schema)
 
 
 def _with_text(rows: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs: DataFrame) -> DataFrame:
@@ -455,11 +457,12 @@ def _refine(groups: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs
     token; of more than HUGE sets they stay as they are."""
     spark = docs.sparkSession
     wanted, path = stage(groups.select("node").distinct().join(named, "node"), "jaccard-members")
-    texts = _of(docs, wanted.select("rep")).join(wanted, "rep", "left_semi").select("text")
+    # Documents that the filter lets pass by chance, or by an id that is there with another text too, have sets in no group: they join with none.
+    found = "node long, n long, p1 binary, p2 binary"
+    made = _of(docs, wanted.select("rep"), _prefixes, found)
     if unnamed is not None:
-        texts = texts.unionByName(unnamed.select("text"))
-    # A document's id may be there with another text too: its set is in no group, and joins with none.
-    prefixes, path2 = stage(texts.mapInArrow(_prefixes, "node long, n long, p1 binary, p2 binary").groupBy("node").agg(F.first("n").alias("n"), F.first("p1").alias("p1"), F.first("p2").alias("p2")), "jaccard-prefixes")
+        made = made.unionByName(unnamed.select("text").mapInArrow(_prefixes, found))
+    prefixes, path2 = stage(made.groupBy("node").agg(F.first("n").alias("n"), F.first("p1").alias("p1"), F.first("p2").alias("p2")), "jaccard-prefixes")
     drop(spark, path)
     # At most one row for BLOCK rows of groups.
     sizes, path = stage(groups.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "jaccard-sizes")

@@ -48,7 +48,7 @@ BIN_BYTES = 1 << 20
 HOT = 4096
 SEPARATOR = 255  # in no UTF-8 text
 #: Bytes of text in a batch of a chunk file, and in a chunk file, about: a task that cuts texts holds one chunk.
-BATCH_BYTES, CHUNK_BYTES = 4 << 20, 32 << 20
+BATCH_BYTES, CHUNK_BYTES = 2 << 20, 8 << 20
 #: Documents in a chunk at most; empty ones have no bytes.
 CHUNK_DOCS = 1 << 18
 #: Rows of a batch of a chunk file at most.

@@ -70,18 +70,21 @@ class Archive:
 
     def records(self) -> DataFrame:
         """number, sha256 and the original bytes of each record, from header and payload joined; a damaged payload stops the job."""
+        return self._joined().mapInArrow(_rebuild, "number long, sha256 string, record binary")
+
+    def _joined(self) -> DataFrame:
         bounded_batches(self.spark)
         head = self.headers
         # Revisits have no payload of their own, so they meet none.
         answers = head.where("record_type = 'response'").join(self.payloads, "sha256", "left")
-        rows = answers.select("number", "sha256", "header", "frame").unionByName(head.where("record_type != 'response'").select("number", "sha256", "header", F.lit(None).cast("binary").alias("frame")))
-        return rows.mapInArrow(_rebuild, "number long, sha256 string, record binary")
+        others = head.where("record_type != 'response'").select("number", "sha256", "header", F.lit(None).cast("binary").alias("frame"))
+        return answers.select("number", "sha256", "header", "frame").unionByName(others)
 
     def read(self) -> DataFrame:
         """What the rebuilt records say: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
         A revisit's length and digest are its header's; a response with that payload must have the same."""
-        rows, path = stage(self.records().mapInArrow(_parse, FIELDS), "warc-read")
+        rows, path = stage(self._joined().mapInArrow(lambda batches: _parse(_rebuild(batches)), FIELDS), "warc-read")
         told = rows.where("record_type = 'response'").groupBy("sha256").agg(F.max(F.struct("payload_digest", "payload_bytes")).alias("told"))
         told, _ = stage(told, "warc-told")
         revisits = rows.where("record_type = 'revisit'").join(told, "sha256", "left")
