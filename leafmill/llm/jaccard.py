@@ -51,6 +51,8 @@ LARGE = 65535
 TRIED = 64
 #: Postings (16 bytes each) of a bucket, about: what one group of rows holds in memory, whatever the corpus.
 BUCKET_POSTINGS = 1 << 18
+#: Buckets that one task works off, about.
+TASK_BUCKETS = 16
 #: Rows of groups that are split at once, about.
 SPLIT_ROWS = 1 << 13
 #: Groups of more sets go straight to blocks: a token that so many sets have is not dealt again.
@@ -179,6 +181,12 @@ def _buckets(sizes: DataFrame) -> int:
     return int(max(1, -(-total // BUCKET_POSTINGS)))
 
 
+def _by_bucket(rows: DataFrame, buckets: int):
+    """Rows grouped by bucket, TASK_BUCKETS of them to a task: what a task reads doesn't grow with the corpus."""
+    tasks = max(-(-buckets // TASK_BUCKETS), min(buckets, 4 * rows.sparkSession.sparkContext.defaultParallelism))
+    return rows.repartition(tasks, "bucket").groupBy("bucket")
+
+
 def _postings(levels, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen, out = levels.value, set(), _Blobs(buckets)
@@ -469,7 +477,7 @@ def _refine(groups: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs
     large = sized_broadcast(sizes, BROADCAST_ROWS)
     small = groups.join(large, "a", "left_anti").join(prefixes, "node")
     buckets = max(1, -(-groups.count() // SPLIT_ROWS))
-    split = small.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets))).groupBy("bucket").applyInPandas(_split, "a long, node long")
+    split = _by_bucket(small.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets))), buckets).applyInPandas(_split, "a long, node long")
     out, _ = stage(split, "jaccard-split")
     if not sizes.isEmpty():
         kept = groups.join(large.where(F.col("size") > HUGE), "a", "left_semi")
@@ -477,7 +485,7 @@ def _refine(groups: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs
         for order in ORDERS:
             posted, new = stage(now.join(prefixes, "node").select("a", "node", "n", F.col(f"p{order}").alias("tokens")), "jaccard-posted")
             buckets = _buckets(posted)
-            met = posted.mapInArrow(_dealt_again(buckets, order), "bucket long, rows binary").groupBy("bucket").applyInPandas(_groups, "a long, node long")
+            met = _by_bucket(posted.mapInArrow(_dealt_again(buckets, order), "bucket long, rows binary"), buckets).applyInPandas(_groups, "a long, node long")
             now, _ = stage(met.distinct(), "jaccard-groups")
             drop(spark, new)
         out, _ = stage(out.unionByName(now).unionByName(kept), "jaccard-refined")
@@ -530,8 +538,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     levels = spark.sparkContext.broadcast(_sketch(first))
     nodes = sets.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"))
     nodes, _ = stage(nodes, "jaccard-nodes")
-    dealt = docs.mapInArrow(_postings(levels, _buckets(nodes)), "bucket long, rows binary")
-    met, path = stage(dealt.groupBy("bucket").applyInPandas(_groups, "a long, node long").distinct(), "jaccard-groups")
+    buckets = _buckets(nodes)
+    dealt = docs.mapInArrow(_postings(levels, buckets), "bucket long, rows binary")
+    met, path = stage(_by_bucket(dealt, buckets).applyInPandas(_groups, "a long, node long").distinct(), "jaccard-groups")
     named = nodes.where("rep IS NOT NULL").select("node", "rep")
     unnamed = _unnamed(sets, named, docs)
     comps, _ = stage(components(_links(_refine(met, named, unnamed, docs), named, unnamed, docs)), "jaccard-components")
