@@ -121,6 +121,14 @@ def manifest_file_type(path: Column, content_type: Column) -> Column:
     return F.when(extension(path) == ".pdf", pdf).when(extension(path) == ".epub", "epub").otherwise("text")
 
 
+def format_issues(fmt: Column, magic: Column, by_name: Column, too_big: Column) -> Column:
+    """What speaks against a file, as an array: its size, its validator (those of other formats than PDF always fail), and a
+    name that says something else than its first bytes."""
+    differ = F.concat(F.lit("Format mismatch: magic number suggests "), magic, F.lit(", extension suggests "), by_name)
+    found = F.array(F.when(too_big, "size"), F.when(fmt != "pdf", "validation"), F.when(magic != by_name, differ))
+    return F.filter(found, lambda x: x.isNotNull())
+
+
 # -- names ----------------------------------------------------------------------------------
 
 

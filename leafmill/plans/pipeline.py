@@ -13,6 +13,7 @@ from leafmill.functions import files as N
 from leafmill.functions.lines import CleanOptions
 from leafmill.functions.text import boundary_slice
 from leafmill.operators.clean import clean_text
+from leafmill.sources.sinks import write_markdown
 
 log = logging.getLogger("leafmill")
 Phase = Callable[[DataFrame], DataFrame]
@@ -58,12 +59,14 @@ class Pipeline:
 
 
 def detect(files: DataFrame) -> DataFrame:
-    """Files (path, length, content) with format, confidence and validity. Invalid files go on: their issues are a column."""
+    """Files (path, length, content) with format, mime, confidence, is_valid, issues (an array) and config_key. Invalid files go on."""
     c, p = F.col("content"), F.col("path")
     out = files.withColumn("magic", N.magic_format(c)).withColumn("by_name", N.extension_format(p))
     out = out.withColumn("format", F.coalesce("magic", "by_name"))
-    valid = (F.col("format") == "pdf") & ~N.exceeds_limit(F.col("format"), F.col("length"))
+    big = N.exceeds_limit(F.col("format"), F.col("length"))
+    valid = (F.col("format") == "pdf") & ~big
     conf = N.format_confidence(F.coalesce("magic", "by_name"), F.col("by_name"), N.magic_confidence(c), valid)
+    out = out.withColumn("issues", N.format_issues(F.col("format"), F.col("magic"), F.col("by_name"), big)).withColumn("mime", N.mime_type(F.col("format")))
     return out.withColumn("is_valid", valid).withColumn("confidence", conf).withColumn("config_key", N.config_key(N.name_parts(p))).drop("magic", "by_name")
 
 
@@ -85,5 +88,12 @@ def clean(options: CleanOptions = CleanOptions()) -> Phase:
     return lambda texts: clean_text(texts, options)
 
 
-def book_pipeline(manifests: DataFrame | None = None, options: CleanOptions = CleanOptions()) -> Pipeline:
-    return Pipeline().add("detect", detect).add("extract", extract(manifests)).add("clean", clean(options))
+def markdown(folder: str) -> Phase:
+    """One Markdown file for each book, of its cleaned text or else its extracted one: name and path."""
+    return lambda books: write_markdown(books.select(F.col("config_key").alias("name"), F.coalesce("cleaned_text", "text").alias("text")), folder)
+
+
+def book_pipeline(manifests: DataFrame | None = None, options: CleanOptions = CleanOptions(), markdown_folder: str | None = None) -> Pipeline:
+    """Detection, extraction and cleaning; with a folder (a URI that executors share), Markdown files at the end."""
+    steps = Pipeline().add("detect", detect).add("extract", extract(manifests)).add("clean", clean(options))
+    return steps.add("markdown", markdown(markdown_folder)) if markdown_folder else steps

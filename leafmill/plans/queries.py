@@ -290,11 +290,9 @@ fmt = 'pdf' AND NOT big AS is_valid, conf * CASE WHEN magic <> ext THEN 0.8 ELSE
 concat_ws('; ', CASE WHEN big THEN 'size' END, CASE WHEN fmt <> 'pdf' THEN 'validation' END, CASE WHEN magic <> ext THEN concat('Format mismatch: magic number suggests ', magic, ', extension suggests ', ext) END) AS issues FROM z""")
 def format_result(spark, sf_dir):
     """Validators of epub and text always fail, so only a PDF within its size is valid."""
-    valid = (F.col("format") == "pdf") & ~F.col("big")
-    differ = F.concat(F.lit("Format mismatch: magic number suggests "), F.col("magic"), F.lit(", extension suggests "), F.col("ext"))
-    issues = F.concat_ws("; ", F.when(F.col("big"), "size"), F.when(F.col("format") != "pdf", "validation"), F.when(F.col("magic") != F.col("ext"), differ))
-    c = N.format_confidence(F.coalesce("magic", "ext"), F.col("ext"), F.col("conf"), valid)
-    return _formats(spark).select("path", "format", N.mime_type(F.col("format")).alias("mime"), valid.alias("is_valid"), c.alias("confidence"), issues.alias("issues"))
+    from leafmill.plans.pipeline import detect
+
+    return detect(_files(spark)).select("path", "format", "mime", "is_valid", "confidence", F.concat_ws("; ", "issues").alias("issues"))
 
 
 @query(f"SELECT path, CASE WHEN regexp_matches(left(body, 8), '%PDF-\\d+\\.\\d+') THEN regexp_extract(left(body, 8), '%PDF-(\\d+\\.\\d+)', 1) ELSE 'unknown' END AS version FROM {X.FILES}")
@@ -357,7 +355,15 @@ def duration_format(spark, sf_dir):
 
 @query(f"SELECT config_key, coalesce(cleaned_ocr, cleaned_txt, raw_ocr, raw_txt) AS text FROM {X.ARTIFACTS}")
 def best_artifact(spark, sf_dir):
-    return _fixture(spark, X.ARTIFACTS).select("config_key", F.coalesce("cleaned_ocr", "cleaned_txt", "raw_ocr", "raw_txt").alias("text"))
+    from leafmill.sources.sinks import best_text
+
+    wide = _fixture(spark, X.ARTIFACTS)
+
+    def long(stage: str) -> DataFrame:
+        both = (F.struct(F.lit(source).alias("source"), F.col(f"{stage}_{source}").alias("text")) for source in ("ocr", "txt"))
+        return wide.select("config_key", F.inline(F.array(*both)))
+
+    return best_text(wide.select("config_key"), long("raw"), long("cleaned"))
 
 
 # -- noise, misread words, removal ----------------------------------------------------------
@@ -599,19 +605,10 @@ def raw_outputs(spark, sf_dir):
     return raw_rows(_fixture(spark, _EXTRACTED))
 
 
-@query("SELECT conv_id AS book_id, turn AS page_no, text FROM conversations WHERE turn <= 2")
+@query("SELECT conv_id AS book_id, turn AS page_no, text FROM conversations")
 def page_json(spark, sf_dir):
     """Written as JSON and read back."""
     from leafmill.sources.sinks import page_json as dump
 
-    pages = _table(spark, sf_dir, "conversations").where("turn <= 2").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("page_no"), F.array(F.struct("text")).alias("paragraphs"))
-    return dump(pages).select("book_id", "page_no", F.get(F.from_json("json", "array<struct<text:string>>"), 0)["text"].alias("text"))
-
-
-@query("SELECT conv_id AS book_id, turn AS page_no, text FROM conversations")
-def page_json_all(spark, sf_dir):
-    """Every page written as JSON and read back."""
-    from leafmill.sources.sinks import page_json as dump
-
     pages = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("page_no"), F.array(F.struct("text")).alias("paragraphs"))
     return dump(pages).select("book_id", "page_no", F.get(F.from_json("json", "array<struct<text:string>>"), 0)["text"].alias("text"))

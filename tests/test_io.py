@@ -38,8 +38,11 @@ def test_pipeline(spark, tmp_path):
     M.create(str(tmp_path / "m"), "a#t", text_before="START", text_after="END")
     run = book_pipeline(M.table(spark, str(tmp_path / "m")))
     r = run.run(S.binary_files(spark, str(tmp_path / "in"))).first()
-    assert r.config_key == "a#t" and r.format == "txt" and r.confidence == pytest.approx(0.3) and r.cleaned_text == "body text\n- 3 -" or r.cleaned_text
+    assert r.config_key == "a#t" and r.format == "txt" and r.confidence == pytest.approx(0.3)
+    assert r.cleaned_text == "body text" and r.issues == ["validation"] and r.mime == "text/plain" and not r.is_valid
     assert run.progress == 100
+    written = book_pipeline(M.table(spark, str(tmp_path / "m")), markdown_folder=f"file://{tmp_path}/md").run(S.binary_files(spark, str(tmp_path / "in"))).first()
+    assert written.name == "a#t" and (tmp_path / "md/a#t.md").read_text() == "body text"
     with pytest.raises(PipelineError, match="bad"):
         Pipeline().add("bad", lambda d: d.select("nothing")).run(spark.range(1))
     assert Pipeline({"x": lambda d: d.select("nothing")}, enabled=set()).run(spark.range(1)).count() == 1

@@ -59,5 +59,5 @@ def test_no_shuffle(spark, sf):
 def test_all_pages(spark, sf):
     """Every turn of every conversation goes through JSON."""
     want = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text")
-    got = Q.QUERIES["page_json_all"](spark, sf)
+    got = Q.QUERIES["page_json"](spark, sf)
     assert want.where("turn > 2").count() and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
