@@ -455,7 +455,8 @@ def _of(docs: DataFrame, reps: DataFrame, make=None, schema: str = "rep long, te
 def _with_text(rows: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs: DataFrame) -> DataFrame:
     """Add the text of a document that has the node's set. named: node, rep (a doc_id); unnamed: node, text."""
     wanted, _ = stage(rows.join(named, "node"), "jaccard-wanted")
-    found = _of(docs, wanted.select("rep").distinct()).join(wanted, "rep").select(*rows.columns, "text")
+    # Merged at every size: texts and wanted rows both grow with the corpus, and one plan holds from small tables to large ones.
+    found = _of(docs, wanted.select("rep").distinct()).join(wanted.hint("merge"), "rep").select(*rows.columns, "text")
     return found if unnamed is None else found.unionByName(rows.join(unnamed, "node").select(*rows.columns, "text"))
 
 
@@ -475,7 +476,7 @@ def _refine(groups: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs
     # At most one row for BLOCK rows of groups.
     sizes, path = stage(groups.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "jaccard-sizes")
     large = sized_broadcast(sizes, BROADCAST_ROWS)
-    small = groups.join(large, "a", "left_anti").join(prefixes, "node")
+    small = groups.join(large, "a", "left_anti").join(prefixes.hint("merge"), "node")
     buckets = max(1, -(-groups.count() // SPLIT_ROWS))
     split = _by_bucket(small.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets))), buckets).applyInPandas(_split, "a long, node long")
     out, _ = stage(split, "jaccard-split")
@@ -483,7 +484,7 @@ def _refine(groups: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs
         kept = groups.join(large.where(F.col("size") > HUGE), "a", "left_semi")
         now = groups.join(large.where(F.col("size") <= HUGE), "a", "left_semi")
         for order in ORDERS:
-            posted, new = stage(now.join(prefixes, "node").select("a", "node", "n", F.col(f"p{order}").alias("tokens")), "jaccard-posted")
+            posted, new = stage(now.join(prefixes.hint("merge"), "node").select("a", "node", "n", F.col(f"p{order}").alias("tokens")), "jaccard-posted")
             buckets = _buckets(posted)
             met = _by_bucket(posted.mapInArrow(_dealt_again(buckets, order), "bucket long, rows binary"), buckets).applyInPandas(_groups, "a long, node long")
             now, _ = stage(met.distinct(), "jaccard-groups")
