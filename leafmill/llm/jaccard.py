@@ -138,14 +138,21 @@ def _add_counts(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [zstandard.compress(total.tobytes(), 1)]})
 
 
+def _levels(rows: pd.DataFrame) -> pd.DataFrame:
+    """A part's summed counts as quarters of powers of two, a byte each."""
+    c = np.frombuffer(zstandard.decompress(_add_counts(rows)["counts"].iloc[0]), np.uint64)
+    levels = np.minimum(4 * np.log2(np.maximum(c, 1).astype(np.float64)), 255).astype(np.uint8)
+    return pd.DataFrame({"part": [rows["part"].iloc[0]], "levels": [levels.tobytes()]})
+
+
 def _sketch(rows: DataFrame) -> np.ndarray:
     """Sum of the tasks' counts, as quarters of powers of two; SKETCH bytes, however large the corpus is."""
     salted = rows.where(F.col("part").isNotNull()).select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(256)).alias("salt"))
     some = salted.groupBy("part", "salt").applyInPandas(_add_counts, "part long, counts binary")
     out = np.zeros(SKETCH, np.uint8)
-    for r in some.groupBy("part").applyInPandas(_add_counts, "part long, counts binary").toLocalIterator():
-        c = np.frombuffer(zstandard.decompress(r.counts), np.uint64)
-        out[r.part * PART : (r.part + 1) * PART] = np.minimum(4 * np.log2(np.maximum(c, 1).astype(np.float64)), 255).astype(np.uint8)
+    # One job, of which SKETCH bytes come to the driver: a job for each partition would grow with the cluster.
+    for r in some.groupBy("part").applyInPandas(_levels, "part long, levels binary").collect():
+        out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.levels, np.uint8)
     return out
 
 
@@ -419,8 +426,9 @@ def bloom(ids: DataFrame) -> np.ndarray:
     at = F.explode(F.array(*(F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(BLOOM_BITS)) for k in (1, 2)))).alias("at")
     words = ids.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     out = np.zeros(BLOOM_BITS // 64, np.int64)
-    for r in words.toLocalIterator():
-        out[r.word] = r.bits
+    # One job, of which 16 bytes a word come to the driver: 8 MB at most, whatever the corpus.
+    found = words.toArrow()
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out
 
 
