@@ -4,8 +4,8 @@ Invented and natural prose repeat their words, and a tokenizer that splits at wh
 text the ids of its space-separated pieces in a row. ``Encoder`` uses that: it keeps the ids of
 pieces in a bounded cache and asks the library only for pieces that it has not met. Where letters
 and signs are split and case is ignored too, texts of Latin letters are lower-cased and spaced out as
-a whole, so that a word with its comma is the word and the comma. Whether a tokenizer splits that way is
-tried on probes; one that doesn't gets whole texts.
+a whole, so that a word with its comma is the word and the comma. Other tokenizers begin a piece at a space: their pieces
+keep it. Whether a tokenizer splits in one of these ways is tried on probes; one that doesn't gets whole texts.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ _RUN = re.compile(f"(?<![{_SIGNS}'])([{_SIGNS}]++)(?!')")
 #: Another sign than a full stop or comma, or one of these that ends a run of signs.
 _SIGNED = re.compile(f"[!-+/:-@\\[-`{{-~-]|[.,][.,]")
 
+#: Where a piece that keeps its space begins: a run of white space is not parted.
+_BEFORE_SPACE = re.compile(r"(?<!\s)(?= )")
+_LATER_SPACE = re.compile(r"\s ")
+
 PROBES = (
     "Don't stop.The end, été naïve x1y2 33-44 Über STRASSE 中文 \U0001f600! a.b c's 's ...",
     "a  b\n\nc\td  e　f g",
@@ -54,6 +58,7 @@ class Encoder(dict):
         self.by_piece = all(
             self._library(p) == b"".join(self._library(x) for x in p.replace("\n", " ").split(" ")) for p in PROBES
         )
+        self.leading = not self.by_piece and all(self._library(p) == b"".join(map(self._library, self._at_spaces(p))) for p in PROBES)
         self.spaced = False
         self.plain = self.by_piece and all(
             self._model(w) == self._library(w) for w in ("the", "thinking", "élève", "über", "zzyzx")
@@ -71,6 +76,13 @@ class Encoder(dict):
             low = low.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
         return b"".join(map(self.__getitem__, low.split()))
 
+    @staticmethod
+    def _at_spaces(text: str) -> list[str]:
+        """Pieces that begin at a space, which each keeps."""
+        if "\0" in text or _LATER_SPACE.search(text):
+            return _BEFORE_SPACE.split(text)
+        return text.replace(" ", "\0 ").split("\0")
+
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -107,6 +119,8 @@ class Encoder(dict):
         """Ids of a whole text (null: none) as little-endian unsigned 32-bit bytes."""
         if not text:
             return b""
+        if self.leading:
+            return b"".join(map(self.__getitem__, self._at_spaces(text)))
         if not self.by_piece:
             return self._library(text)
         if self.spaced and "<|" not in text and not _OTHER.search(text):
