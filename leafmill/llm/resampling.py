@@ -196,7 +196,8 @@ class Tournament:
         for i in range(k - 1, 0, -1):
             a, b = win[2 * i], win[2 * i + 1]
             win[i], self.tree[i] = (a, b) if self.before(a, b) else (b, a)
-        self.tree[0] = win[1] if k > 1 else 0
+        if k:
+            self.tree[0] = win[1] if k > 1 else 0
 
     def before(self, a: int, b: int) -> bool:
         x, y = self.heads[a], self.heads[b]
