@@ -98,6 +98,27 @@ def pdf_content_type(pages: Column, text: Column, images: Column) -> Column:
     return F.when(pages == 0, "empty").when(bare, scanned).when(images, mixed).otherwise("text_based")
 
 
+def pdf_parts(pages: Column, text: Column, matches: Column) -> Column:
+    """What the validation of a PDF finds: content_type, coverage (of 200 characters a page, in hundredths), image_count, image_pages, issues.
+
+    pages: of the whole file; text: of its first five; matches: of image patterns. The first pages, as many as there are images by
+    estimate, count as image pages. A file without pages is the only one that isn't valid."""
+    images, count = matches > 0, image_estimate(matches)
+    kind = pdf_content_type(pages, text, images)
+    bare = (F.btrim(text, F.lit(" \t\r\n")) == "") | (F.length(text) < 100)
+    coverage = F.when((pages == 0) | bare, F.lit(0.0)).otherwise(text_coverage(pages, text))
+    number = count.cast("string")
+    issue = (
+        F.when(pages == 0, "PDF has no pages").when(bare & images, "PDF contains images without embedded text (requires OCR processing)")
+        .when(bare, "PDF has no embedded text and no detected images").when(kind == "hybrid", F.concat(F.lit("PDF has mixed content (text and "), number, F.lit(" images)")))
+        .when(kind == "image_based", F.concat(F.lit("PDF is primarily image-based ("), number, F.lit(" images, low text coverage)")))
+        .when(coverage < 50, "PDF has moderate text content")
+    )
+    shown = F.least(pages.cast("long"), count)
+    of_pages = F.when(images & (shown > 0), F.sequence(F.lit(1), F.greatest(shown, F.lit(1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.struct(kind.alias("content_type"), coverage.alias("coverage"), count.alias("image_count"), of_pages.alias("image_pages"), F.filter(F.array(issue), lambda x: x.isNotNull()).alias("issues"))
+
+
 def image_matches(content: Column) -> Column:
     out = F.lit(0)
     for p in IMAGE_PATTERNS:

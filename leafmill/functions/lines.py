@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +35,34 @@ class CleanOptions:
         return self.source == "ocr"
 
 
+@dataclass(frozen=True)
+class RowOptions:
+    """CleanOptions of each row, as columns: documents of different books go through one plan. extra_patterns is an array."""
+
+    aggressive: Column
+    remove_boilerplate: Column
+    remove_urls: Column
+    remove_toc: Column
+    extra_patterns: Column
+    source: Column
+
+    @classmethod
+    def of(cls, options: Column) -> RowOptions:
+        """From a struct column with these fields."""
+        return cls(**{f.name: options[f.name] for f in fields(cls)})
+
+    @property
+    def ocr(self) -> Column:
+        return self.source == "ocr"
+
+
+def either(flag: bool | Column, yes: Column, no: Column) -> Column:
+    """``yes`` or ``no`` by an option: a constant leaves one of them in the plan, a column decides row by row."""
+    if isinstance(flag, Column):
+        return F.when(flag, yes).otherwise(no)
+    return yes if flag else no
+
+
 def _is(line: Column, patterns: list[str]) -> Column:
     return F.regexp_like(line, F.lit(P.any_of(patterns)))
 
@@ -82,10 +110,10 @@ def is_url(line: Column) -> Column:
     return _is(line, P.URL_LINE)
 
 
-def is_ocr_junk(line: Column, ocr: bool) -> Column:
+def is_ocr_junk(line: Column, ocr: bool | Column) -> Column:
     """Few words, no digit, and too few letters and spaces for the length."""
     t = trim(line)
-    runs, share = (3, 0.25) if ocr else (2, 0.35)
+    runs, share = either(ocr, F.lit(3), F.lit(2)), either(ocr, F.lit(0.25), F.lit(0.35))
     letters = F.length(t) - F.length(F.regexp_replace(t, r"[ A-Za-z\x{C0}-\x{24F}]", ""))
     return (F.length(t) > 4) & (F.regexp_count(t, F.lit("[A-Za-z]{3,}")) < runs) & ~F.regexp_like(t, F.lit(r"\d")) & (letters / F.length(t) < share)
 
@@ -95,24 +123,31 @@ def may_repeat(trimmed: Column) -> Column:
     return (F.length(trimmed) >= 25) & ~F.regexp_like(trimmed, F.lit(P.DIGITS_ONLY)) & ~F.regexp_like(trimmed, F.lit(P.NUMERIC_ONLY)) & F.contains(trimmed, F.lit(" "))
 
 
-def repeat_threshold(lines: Column, aggressive: bool) -> Column:
+def repeat_threshold(lines: Column, aggressive: bool | Column) -> Column:
     """Times that a line must be there to count as repeated, from the number of lines."""
-    if aggressive:
-        return F.greatest(F.lit(2), F.floor(1 + F.sqrt(lines / 30)).cast("int"))
-    return F.greatest(F.lit(3), F.floor(2 + F.sqrt(lines / 25)).cast("int"))
-
-
-def drop_reason(line: Column, before: Column, after: Column, repeated: Column, fuzzy: Column, o: CleanOptions) -> Column:
-    """The first reason that holds, or null. Switched-off reasons aren't in the plan."""
-    steps = [("page_number", is_page_number(line, before, after))]
-    steps += [("toc_leader", is_toc_leader(line))] * o.remove_toc
-    steps += [("footnote_marker", is_footnote_marker(line)), ("orphan_bullet", is_orphan_bullet(line)), ("separator", is_separator(line))]
-    steps += [("boilerplate", is_boilerplate(line))] * o.remove_boilerplate
-    steps += [("url", is_url(line))] * o.remove_urls
-    steps += [("ocr_junk", is_ocr_junk(line, o.ocr)), ("spaced_letters", is_spaced(line)), ("repeated", repeated)]
-    steps += [("fuzzy_repeated", fuzzy)] * o.aggressive
-    steps += [("custom", _is(line, [f"(?i){p}" for p in o.extra_patterns]))] * bool(o.extra_patterns)
+    low = F.greatest(F.lit(2), F.floor(1 + F.sqrt(lines / 30)).cast("int"))
+    return either(aggressive, low, F.greatest(F.lit(3), F.floor(2 + F.sqrt(lines / 25)).cast("int")))
+
+
+def drop_reason(line: Column, before: Column, after: Column, repeated: Column, fuzzy: Column, o: CleanOptions | RowOptions) -> Column:
+    """The first reason that holds, or null. Reasons that are switched off for all rows aren't in the plan."""
+    by_row = isinstance(o, RowOptions)
+    if by_row:
+        custom, some = F.exists(o.extra_patterns, lambda p: F.regexp_like(line, F.concat(F.lit("(?i)"), p))), True
+    else:
+        some = bool(o.extra_patterns)
+        custom = _is(line, [f"(?i){p}" for p in o.extra_patterns]) if some else None
+    steps = [
+        ("page_number", is_page_number(line, before, after), True), ("toc_leader", is_toc_leader(line), o.remove_toc), ("footnote_marker", is_footnote_marker(line), True),
+        ("orphan_bullet", is_orphan_bullet(line), True), ("separator", is_separator(line), True), ("boilerplate", is_boilerplate(line), o.remove_boilerplate),
+        ("url", is_url(line), o.remove_urls), ("ocr_junk", is_ocr_junk(line, o.ocr), True), ("spaced_letters", is_spaced(line), True), ("repeated", repeated, True),
+        ("fuzzy_repeated", fuzzy, o.aggressive), ("custom", custom, some),
+    ]
     out = None
-    for name, holds in steps:
+    for name, holds, on in steps:
+        if isinstance(on, Column):
+            holds = on & holds
+        elif not on:
+            continue
         out = F.when(holds, name) if out is None else out.when(holds, name)
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import patterns as P
-from leafmill.functions.lines import COUNTERS, CleanOptions, drop_reason, is_blank, may_repeat, repeat_threshold
+from leafmill.functions.lines import COUNTERS, CleanOptions, RowOptions, drop_reason, either, is_blank, may_repeat, repeat_threshold
 from leafmill.functions.text import is_spaced, let, normalize_unicode, rejoin_spaced, trim
 from leafmill.operators.repeats import fuzzy_flags
 
@@ -109,7 +109,7 @@ def collapse_blanks(text: Column) -> Column:
 NO_SECTIONS = "array<struct<first:int,end:int>>"
 
 
-def _analysed(text: Column, o: CleanOptions) -> Column:
+def _analysed(text: Column, o: CleanOptions | RowOptions) -> Column:
     """lines (after normalisation and sections), sections (their number) and threshold of a document."""
     has = F.regexp_like(text, F.lit(P.SIGNATURE))
 
@@ -126,18 +126,26 @@ def _analysed(text: Column, o: CleanOptions) -> Column:
     return let(split_lines(normalize_unicode(text)), build)
 
 
-def _reasons(x: Column, repeated: Column, o: CleanOptions) -> Column:
+def _reasons(x: Column, repeated: Column, o: CleanOptions | RowOptions) -> Column:
     lines = x["lines"]
     at = lambda i: F.coalesce(F.get(lines, i), F.lit(""))
     return F.transform(lines, lambda line, i: drop_reason(line, at(i - 1), at(i + 1), F.array_contains(repeated, trim(line)), F.get(x["fuzzy"], i), o))
 
 
-def line_table(docs: DataFrame, options: CleanOptions = CleanOptions(), text: str = "text", finish=None) -> DataFrame:
+def _fuzzy(lines: Column, threshold: Column, aggressive: bool | Column) -> Column:
+    """Flags of lines; of rows that aren't aggressive no line goes to Python."""
+    none = F.array().cast("array<boolean>")
+    if isinstance(aggressive, Column):
+        return fuzzy_flags(F.when(aggressive, lines).otherwise(F.array().cast("array<string>")), threshold)
+    return fuzzy_flags(lines, threshold) if aggressive else none
+
+
+def line_table(docs: DataFrame, options: CleanOptions | RowOptions = CleanOptions(), text: str = "text", finish=None) -> DataFrame:
     """docs with a struct column ``_doc``: lines, sections, threshold, fuzzy, repeated, reasons (why each line goes, null if it
     stays). Null text counts as empty. finish: makes another struct of it, in the same projection."""
     whole = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_doc", _analysed(whole, options))
-    fuzzy = fuzzy_flags(F.col("_doc.lines"), F.col("_doc.threshold")) if options.aggressive else F.array().cast("array<boolean>")
+    fuzzy = _fuzzy(F.col("_doc.lines"), F.col("_doc.threshold"), options.aggressive)
     names = ("lines", "sections", "threshold", "fuzzy", "repeated", "reasons")
 
     def judge(x: Column) -> Column:
@@ -148,23 +156,24 @@ def line_table(docs: DataFrame, options: CleanOptions = CleanOptions(), text: st
     return out.withColumn("_doc", let(x, lambda y: let(judge(y), finish) if finish else judge(y)))
 
 
-def clean_text(docs: DataFrame, options: CleanOptions = CleanOptions(), text: str = "text") -> DataFrame:
-    """Add cleaned_text and stats to docs. A document that loses every line keeps its row, with an empty text."""
+def clean_text(docs: DataFrame, options: CleanOptions | RowOptions = CleanOptions(), text: str = "text") -> DataFrame:
+    """Add cleaned_text and stats to docs. A document that loses every line keeps its row, with an empty text. Options are the same for
+    all rows, or columns of docs."""
     counters = {c: [r for r, k in COUNTERS.items() if k == c] for c in dict.fromkeys(COUNTERS.values())}
 
     def finish(x: Column) -> Column:
         kept = F.filter(x["lines"], lambda line, i: F.get(x["reasons"], i).isNull())
-        if options.ocr:
-            kept = F.transform(kept, lambda line: F.when(is_spaced(line), rejoin_spaced(line)).otherwise(line))
+        kept = either(options.ocr, F.transform(kept, lambda line: F.when(is_spaced(line), rejoin_spaced(line)).otherwise(line)), kept)
         # Blanks at line ends don't matter from here on, and lines are cheaper to trim one by one.
         whole = F.array_join(F.transform(kept, trim), "\n")
-        return let(collapse_blanks(rewrap(rejoin_hyphens(whole), options.aggressive, trimmed=True)), lambda t: F.struct(t.alias("text"), stats(x, t).alias("stats")))
+        joined = let(rejoin_hyphens(whole), lambda t: either(options.aggressive, rewrap(t, True, trimmed=True), rewrap(t, False, trimmed=True)))
+        return let(collapse_blanks(joined), lambda t: F.struct(t.alias("text"), stats(x, t).alias("stats")))
 
     def stats(x: Column, cleaned: Column) -> Column:
         count = lambda names: F.size(F.filter(x["reasons"], lambda r: r.isin(names))).cast("long")
         final = F.when(cleaned == "", 0).otherwise(1 + F.length(cleaned) - F.length(F.translate(cleaned, "\n", "")))
         return F.struct(
-            F.lit(options.source).alias("source"),
+            (options.source if isinstance(options.source, Column) else F.lit(options.source)).alias("source"),
             F.size(x["lines"]).cast("long").alias("original_lines"),
             final.cast("long").alias("final_lines"),
             x["sections"].cast("long").alias("sections_stripped"),

@@ -10,13 +10,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from leafmill.functions.headings import CENTRE_TOLERANCE, CENTRED_WIDTH, PAGE_WIDTH, match_heading
+from leafmill.functions.layout import ASSIGNED, METRIC_TOLERANCE, METRICS, X0_TOLERANCE, join_texts
 from leafmill.functions.structure import FOOTNOTES, RAISED, SMALL
 from leafmill.functions.patterns import NOISE
 
-X0_TOLERANCE, METRIC_TOLERANCE = 7.0, 15.0
-ASSIGNED = ("paragraph-start", "footnote-text", "footnote-start", "quote-text")
 _CAPITAL = re.compile("[A-ZÄÖÜ]")
 
 
@@ -154,9 +154,6 @@ def join_pages(first: str, second: str) -> str:
 
 # -- plans ----------------------------------------------------------------------------------
 
-METRICS = "array<struct<type:string,min_x0:double,max_x0:double,average_width:double,max_width:double>>"
-
-
 def structure_pages(pages: DataFrame, levels: list[list[dict]], offsets: dict | None, kind: str = "") -> DataFrame:
     """book_id, page_no, metrics, body, footnotes of each page. pages: book_id, page_no and lines (text, x0, y0, x1, y1 and
     the first word's symbols). No shuffle: a page is a row."""
@@ -174,12 +171,10 @@ def structure_pages(pages: DataFrame, levels: list[list[dict]], offsets: dict |
 
 
 def assemble_books(structured: DataFrame) -> DataFrame:
-    """book_id, text of each book: its pages in order, then its footnotes under their heading."""
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        body, notes = "", f"\n\n{FOOTNOTES}"
-        for r in p.sort_values("page_no").itertuples():
-            body, notes = join_pages(body, r.body), join_pages(notes, r.footnotes)
-        return pd.DataFrame({"book_id": [p["book_id"].iloc[0]], "text": [body + notes]})
-
-    return structured.groupBy("book_id").applyInPandas(fold, "book_id long, text string")
+    """book_id, text of each book: its pages in order, then its footnotes under their heading. Pages of a book are gathered by
+    partial aggregation and joined in the JVM; a book is one value, and so bounded as a row is."""
+    page = F.struct("page_no", F.coalesce("body", F.lit("")).alias("body"), F.coalesce("footnotes", F.lit("")).alias("footnotes"))
+    books = structured.groupBy("book_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    body = join_texts(F.transform("pages", lambda p: p["body"]))
+    notes = join_texts(F.concat(F.array(F.lit(f"\n\n{FOOTNOTES}")), F.transform("pages", lambda p: p["footnotes"])))
+    return books.select("book_id", F.concat(body, notes).alias("text"))

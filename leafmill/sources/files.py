@@ -1,4 +1,4 @@
-"""Sources: whole text files, bytes and their heads, manifests, cached results."""
+"""Sources: whole text files, bytes and their heads, PDF text by the caller's extractor, results that are kept from scan to scan."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions.files import base_name, extension, mime_type
+from leafmill.sources import store
 
 HEAD = 1024
 #: Fixed value: what stands for an EPUB's text, around the file's name.
@@ -32,16 +33,18 @@ def headers(files: DataFrame) -> DataFrame:
     return files.select("path", "length", F.substring("content", 1, HEAD).alias("content"))
 
 
-def pdf_text(files: DataFrame, extract: Callable[[bytes], tuple[int, str]]) -> DataFrame:
-    """path, page_count, text by an extractor that the caller brings (none is installed). A file that it fails on has null
+def pdf_text(files: DataFrame, extract: Callable[..., tuple[int, str]], pages: int | None = None) -> DataFrame:
+    """path, page_count, text by an extractor that the caller brings (none is installed): ``extract(content)``, or with ``pages``
+    ``extract(content, pages)``, which counts all pages and gives the text of the first ones. A file that it fails on has null
     text and its error in ``issue``."""
+    more = () if pages is None else (pages,)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
             for path, content in zip(p["path"], p["content"], strict=True):
                 try:
-                    rows.append((path, *extract(content), None))
+                    rows.append((path, *extract(bytes(content), *more), None))
                 except Exception as e:  # noqa: BLE001  a bad file is a row, not a failed job
                     rows.append((path, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "page_count", "text", "issue"])
@@ -70,3 +73,51 @@ def with_cache(new: DataFrame, cached: DataFrame, key: str, column: str) -> Data
     """``column`` from earlier results where they have it. Both sides are dealt by key unless Spark finds one small."""
     old = cached.select(key, F.col(column).alias("_old"))
     return new.join(old, key, "left").withColumn(column, F.coalesce("_old", column)).drop("_old")
+
+
+# -- results kept from scan to scan -----------------------------------------------------------
+
+STATE = "path string, modified timestamp, length long"
+
+
+def incremental(spark: SparkSession, folder: str, state: str, compute: Callable[[DataFrame], DataFrame], result: str, glob: str | None = None) -> tuple[DataFrame, int]:
+    """path, modified, length and the columns of ``result`` (a schema) of all files in ``folder``, and how many were read.
+
+    compute: from rows of binary_files to path and the columns of ``result``. A file whose path, length and time of change are those of
+    the last scan keeps its result and isn't opened: only names, lengths and times are listed, and content is loaded for the others alone
+    (their names pass through the driver, as every listing of Spark's does). ``state`` is a folder that all executors share; each scan writes a
+    version of its own there, whole or not at all, and the one before goes when it is there. Files that are gone are gone from it."""
+    listed = binary_files(spark, folder, glob).select("path", "modified", "length")
+    columns = [c.split()[0] for c in result.split(", ")]
+    done = [int(n[1:]) for n in store.children(spark, state) if n[1:].isdigit() and store.exists(spark, f"{state}/{n}/_SUCCESS")]
+    before = spark.read.schema(f"{STATE}, {result}").parquet(f"{state}/v{max(done)}") if done else spark.createDataFrame([], f"{STATE}, {result}")
+    key = ["path", "modified", "length"]
+    kept = listed.join(before, key)
+    changed = [r.path for r in listed.join(before, key, "left_anti").select("path").toLocalIterator()]
+    if changed:
+        fresh = spark.read.format("binaryFile").load([_escaped(p) for p in changed]).select("path", F.col("modificationTime").alias("modified"), "length", "content")
+        found = fresh.drop("content").join(compute(fresh).select("path", *columns), "path", "left")
+        kept = kept.unionByName(found.select(*key, *columns))
+    elif done and before.count() == listed.count():
+        return before, 0
+    now = f"{state}/v{max(done, default=0) + 1}"
+    kept.select(*key, *columns).write.mode("overwrite").parquet(now)
+    for n in done:
+        store.delete(spark, f"{state}/v{n}")
+    return spark.read.schema(f"{STATE}, {result}").parquet(now), len(changed)
+
+
+def _escaped(path: str) -> str:
+    """A path of one file: signs that would make it a pattern stand for themselves."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)
+
+
+def page_counts(spark: SparkSession, folder: str, state: str, extract: Callable[..., tuple[int, str]]) -> tuple[DataFrame, int]:
+    """page_count of each file, counted again only where it changed: 0 of other files than PDFs and of those that can't be read."""
+
+    def count(files: DataFrame) -> DataFrame:
+        pdf = extension(F.col("path")) == ".pdf"
+        found = pdf_text(files.where(pdf), extract, 0).select("path", F.coalesce("page_count", F.lit(0)).alias("page_count"))
+        return found.unionByName(files.where(~pdf).select("path", F.lit(0).alias("page_count")))
+
+    return incremental(spark, folder, state, count, "page_count int")

@@ -1,21 +1,30 @@
-"""Manifests and kinds of books: small files, read on the driver."""
+"""Manifests and kinds of books. Manifests are read, merged and written by tasks; the driver handles single ones."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions.structure import FOOTNOTES, footnote_list, outline
+from leafmill.sources.store import write_file
+
+NAME = "book-manifest.yaml"
 FIELDS = ("config_key", "author", "title", "book_index", "text_before", "text_after", "file_type", "page_count", "size", "structure", "footnotes")
 DEFAULT = {"author": "", "title": "", "book_index": None, "text_before": "", "text_after": "", "file_type": "text", "page_count": 0, "size": 0, "structure": [], "footnotes": []}
 SCHEMA = "config_key string, author string, title string, book_index string, text_before string, text_after string, file_type string, page_count long, size long, structure array<string>, footnotes array<string>"
+#: A field's place in the file.
+PLACES = {"author": ("author",), "title": ("title",), "book_index": ("book-index",), "text_before": ("text-before-first-chapter",), "text_after": ("text-after-last-chapter",), "file_type": ("original", "format"), "size": ("original", "size"), "page_count": ("original", "pages"), "structure": ("book-structure",), "footnotes": ("footnotes",)}
+#: Bytes of manifests up to which a join broadcasts them.
+BROADCAST_BYTES = 64 << 20
 
 
-def _read(path: Path) -> dict:
+def parse(text: str) -> dict:
     """YAML where its library is there; JSON, which YAML includes, always."""
-    text = path.read_text(encoding="utf-8")
     try:
         import yaml
     except ImportError:
@@ -23,9 +32,51 @@ def _read(path: Path) -> dict:
     return yaml.safe_load(text) or {}
 
 
+def dump(document: dict) -> str:
+    try:
+        import yaml
+    except ImportError:
+        return json.dumps(document, ensure_ascii=False, indent=2)
+    return yaml.safe_dump(document, allow_unicode=True, sort_keys=False, width=120)
+
+
+def fields_of(document: dict) -> dict:
+    """A file's fields by name; what isn't there has its default. Files that name fields directly are read too."""
+    out = dict(DEFAULT)
+    for name, (first, *rest) in PLACES.items():
+        value = document.get(first)
+        if rest:
+            value = value.get(rest[0]) if isinstance(value, dict) else None
+        value = document.get(name) if value is None else value
+        if value is not None:
+            out[name] = value
+    return out
+
+
+def merged(document: dict, values: dict) -> dict:
+    """The file's document with new values in their places; what it holds besides stays."""
+    out = {k: v for k, v in document.items() if k not in values}
+    for name, value in values.items():
+        if name not in PLACES:
+            continue
+        first, *rest = PLACES[name]
+        if rest:
+            inner = out.get(first)
+            out[first] = {**(inner if isinstance(inner, dict) else {}), rest[0]: value}
+        elif value is None:
+            out.pop(first, None)
+        else:
+            out[first] = value
+    return out
+
+
+def _read(path: Path) -> dict:
+    return parse(path.read_text(encoding="utf-8"))
+
+
 def path_of(folder: str, key: str) -> Path:
     """One place for saving, loading, updating and asking."""
-    return Path(folder) / key / "book-manifest.yaml"
+    return Path(folder) / key / NAME
 
 
 def exists(folder: str, key: str) -> bool:
@@ -33,15 +84,16 @@ def exists(folder: str, key: str) -> bool:
 
 
 def load(folder: str, key: str) -> dict:
-    return {"config_key": key} | DEFAULT | _read(path_of(folder, key))
+    return {"config_key": key} | fields_of(_read(path_of(folder, key)))
 
 
 def save(folder: str, key: str, manifest: dict) -> None:
+    from pyarrow.fs import LocalFileSystem
+
     path = path_of(folder, key)
     path.parent.mkdir(parents=True, exist_ok=True)
-    tmp = path.with_suffix(".tmp")
-    tmp.write_text(json.dumps({k: v for k, v in manifest.items() if k != "config_key"}, ensure_ascii=False, indent=2), encoding="utf-8")
-    tmp.replace(path)
+    document = _read(path) if path.exists() else {}
+    write_file(LocalFileSystem(), str(path), dump(merged(document, {k: v for k, v in manifest.items() if k != "config_key"})).encode())
 
 
 def create(folder: str, key: str, **values) -> dict:
@@ -58,12 +110,98 @@ def update(folder: str, key: str, **values) -> dict:
 
 
 def available(folder: str) -> list[str]:
-    return sorted(p.parent.name for p in Path(folder).glob("*/book-manifest.yaml") if p.parent.name != "default")
+    return sorted(p.parent.name for p in Path(folder).glob(f"*/{NAME}") if p.parent.name != "default")
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """config_key, content of all manifest files but the default one, read by tasks. The key is the name of the file's folder."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", NAME).option("recursiveFileLookup", True).load(folder)
+    keyed = found.select(F.regexp_extract("path", r"([^/]+)/[^/]+\z", 1).alias("config_key"), "content")
+    return keyed.where("config_key <> 'default'")
 
 
 def table(spark: SparkSession, folder: str) -> DataFrame:
-    rows = [tuple(load(folder, k).get(f) for f in FIELDS) for k in available(folder)]
-    return spark.createDataFrame(rows, SCHEMA)
+    """All manifests (SCHEMA and issue), parsed by tasks. One that can't be read has defaults, and why in ``issue``."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for key, content in zip(p["config_key"], p["content"], strict=True):
+                try:
+                    found, issue = fields_of(parse(bytes(content).decode())), None
+                    found = found | {"page_count": int(found["page_count"]), "size": int(found["size"]), "book_index": None if found["book_index"] is None else str(found["book_index"])}
+                    found |= {k: [str(x) for x in found[k] or []] for k in ("structure", "footnotes")}
+                except Exception as e:  # noqa: BLE001  a bad file is a row, not a failed job
+                    found, issue = DEFAULT, f"{type(e).__name__}: {e}"
+                rows.append((key, *(found[f] for f in FIELDS[1:]), issue))
+            yield pd.DataFrame(rows, columns=[*FIELDS, "issue"])
+
+    return documents(spark, folder).mapInPandas(run, f"{SCHEMA}, issue string")
+
+
+class Manifests:
+    """The table of a folder, read once: kept in executors' memory and disk until it is cleared."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self._table: DataFrame | None = None
+
+    def get(self) -> DataFrame:
+        if self._table is None:
+            self._table = table(self.spark, self.folder).persist()
+        return self._table
+
+    def clear(self) -> None:
+        if self._table is not None:
+            self._table.unpersist()
+        self._table = None
+
+
+def with_manifests(books: DataFrame, manifests: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """books with the manifest's fields (nulls where there is none). The manifests' size is measured, and they are broadcast up to ``limit``
+    bytes; beyond, both sides are dealt by key."""
+    text = [c for c, t in manifests.dtypes if t == "string"]
+    lists = [c for c, t in manifests.dtypes if t == "array<string>"]
+    size = sum((F.octet_length(F.coalesce(F.col(c), F.lit(""))) for c in text), F.lit(64)) + sum((F.octet_length(F.coalesce(F.array_join(c, ""), F.lit(""))) for c in lists), F.lit(0))
+    total = manifests.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return books.join(F.broadcast(manifests) if total <= limit else manifests, "config_key", "left")
+
+
+def update_all(spark: SparkSession, folder: str, changes: DataFrame) -> DataFrame:
+    """Merge ``changes`` (config_key and any fields; null leaves a field as it is) into the files below ``folder``, a URI that executors share;
+    files that aren't there yet are made. Returns config_key, path and whether the file changed.
+
+    A task joins its keys' old documents with the new values and writes whole files, so it may run again: merging is the same the second
+    time. A key's rows should be one; of several any one holds."""
+    fields = [f for f in FIELDS[1:] if f in changes.columns]
+    joined = changes.select("config_key", *fields).dropDuplicates(["config_key"]).join(documents(spark, folder), "config_key", "left")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        for p in parts:
+            rows = []
+            for r in p.to_dict("records"):
+                values = {f: [str(x) for x in v] if f in ("structure", "footnotes") else int(v) if f in ("size", "page_count") else v for f in fields if (v := r[f]) is not None and not (isinstance(v, float) and v != v)}
+                old = r["content"]
+                document = parse(bytes(old).decode()) if isinstance(old, bytes | bytearray) else {}
+                if not document:
+                    author, title, *index = r["config_key"].split("#")
+                    values = {"author": author, "title": title, **({"book_index": index[0]} if index else {})} | values
+                place = f"{base}/{r['config_key']}"
+                store.create_dir(place, recursive=True)
+                rows.append((r["config_key"], f"{place}/{NAME}", write_file(store, f"{place}/{NAME}", dump(merged(document, values)).encode())))
+            yield pd.DataFrame(rows, columns=["config_key", "path", "changed"])
+
+    usable = joined.where("config_key <> '' and not contains(config_key, '/') and config_key not in ('.', '..')")
+    return usable.mapInPandas(run, "config_key string, path string, changed boolean")
+
+
+def from_books(books: DataFrame) -> DataFrame:
+    """Changes for update_all from assembled books (config_key, text): their outline, and the notes below their heading."""
+    notes = F.when(F.contains("text", F.lit(FOOTNOTES)), F.substring_index("text", FOOTNOTES, -1)).otherwise("")
+    return books.select("config_key", outline(F.col("text")).alias("structure"), footnote_list(notes).alias("footnotes"))
 
 
 def drift(books: DataFrame, manifests: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.sources.store import file_name, write_file
+
 #: Fixed value: what is written for recognised text where a file that needs it gave none.
 EMPTY_OCR = "# OCR Processing Failed\n\nNo OCR results available."
 
@@ -40,7 +41,8 @@ def best_text(keys: DataFrame, raw: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 def write_markdown(books: DataFrame, folder: str) -> DataFrame:
     """Write ``<name>.md`` for each row of (name, text) and return name and path. A file gets its name only when whole, so a
-    task that runs twice leaves one. The folder is a URI that executors share (file, hdfs, s3, gs)."""
+    task that runs twice leaves one. The folder is a URI that executors share (file, hdfs, s3, gs). Separators in a name are underscores, and a
+    missing name is one; of rows with equal names any one's text stays."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -50,11 +52,8 @@ def write_markdown(books: DataFrame, folder: str) -> DataFrame:
         for p in parts:
             paths = []
             for name, text in zip(p["name"], p["text"], strict=True):
-                path = f"{base}/{name}.md"
-                tmp = f"{base}/.{uuid.uuid4().hex}.tmp"
-                with store.open_output_stream(tmp) as out:
-                    out.write((text or "").encode())
-                store.move(tmp, path)
+                path = f"{base}/{file_name(name)}.md"
+                write_file(store, path, (text or "").encode())
                 paths.append(path)
             yield pd.DataFrame({"name": p["name"], "path": paths})
 
