@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,6 +52,7 @@ def _placeholders() -> dict[str, str]:
 PLACEHOLDERS = _placeholders()
 
 
+@lru_cache(maxsize=1024)
 def compile_template(template: str) -> str:
     """An anchored regular expression (for Python); the first of each placeholder is filled, and what else has a
     meaning in one, but for braces, brackets and bars, stands for itself. An unknown placeholder stays as it is."""

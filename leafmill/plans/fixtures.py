@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.functions.headings import ORDINAL_WORDS
+
 #: For k = (doc_id * 31 + i * 7) % 40: SQL expressions of the lines that stand for base line b, number i.
 _B, _I = "b", "CAST(i AS {S})"
 RECIPE: dict[int, list[str]] = {
@@ -75,28 +77,103 @@ def dirty_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(dirty_sql("spark"))
 
 
-# -- small tables, in SQL that both engines read ----------------------------------------------
-
-FILES = """(VALUES
-  ('/b/a#t.pdf', CAST(1000 AS bigint), '%PDF-1.7 body /Filter /DCTDecode /Im1 3 0 R /Im2 4 0 R /XObject << /Subtype /Image'),
-  ('/b/scan.PDF', CAST(30000000 AS bigint), '%PDF-1.4 plain'),
-  ('/b/x_y#z#2.epub', CAST(6000000 AS bigint), concat('PK', chr(3), chr(4), 'mimetype')),
-  ('/b/plain.txt', CAST(500 AS bigint), 'just some text, nothing more'),
-  ('/b/named.pdf', CAST(500 AS bigint), 'text that calls itself a pdf'),
-  ('/b/noise.bin', CAST(64 AS bigint), concat(chr(1), chr(2), chr(3), chr(4), chr(5), 'ab')),
-  ('/b/empty.txt', CAST(0 AS bigint), ''),
-  ('/b/large.txt', CAST(1048577 AS bigint), 'large text'),
-  ('/b/edge.txt', CAST(1048576 AS bigint), 'a text at the limit')
-) AS files(path, length, body)"""
-PDFS = """(VALUES
-  ('p0', 0, '', true), ('p1', 10, 'short', true), ('p2', 10, 'short', false), ('p3', 1, repeat('x', 98), true),
-  ('p4', 1, repeat('x', 100), true), ('p5', 1, repeat('x', 120), true), ('p6', 1, repeat('x', 121), true), ('p7', 5, repeat('x', 499), false),
-  ('p8', 5, repeat('x', 500), false), ('p9', 100, repeat('x', 5000), true), ('p10', 3, '   ', false)
-) AS pdfs(path, page_count, sample_text, has_images)"""
-NAMES = """(VALUES
-  ('/in/a#t.pdf'), ('/in/Jane_Doe#A_Long_Title#2.txt'), ('plain.pdf'), ('x/a_b#c_d.epub'), ('/in/a#b#c#d.txt'), ('#t.pdf'), ('/in/no ext'),
-  (concat('/in/', repeat('a', 101), '#t.txt')), (concat('/in/w#', repeat('t', 201), '.txt')), ('/in/we<ird>: na|me?.txt'), ('a#b#c_1.tar.gz')
-) AS names(path)"""
-ARTIFACTS = """(VALUES
-  ('k1', 'co', 'ct', 'ro', 'rt'), ('k2', NULL, 'ct', 'ro', 'rt'), ('k3', NULL, NULL, 'ro', 'rt'), ('k4', NULL, NULL, NULL, 'rt'), ('k5', NULL, NULL, NULL, NULL)
-) AS artifacts(config_key, cleaned_ocr, cleaned_txt, raw_ocr, raw_txt)"""
+# -- tables derived from documents, a row each, in SQL that both engines read -------------------
+
+_PRINTABLE = {"spark": "regexp_replace(coalesce(text, ''), '[^ -~\\n]', ' ')", "duckdb": "regexp_replace(coalesce(text, ''), '[^ -~\\n]', ' ', 'g')"}
+_ID = "CAST(doc_id AS {S})"
+
+
+_FILES = [  # path, length, body; {T}: the document's printable text
+    ("concat('/b/a', {I}, '#t.pdf')", "1000 + doc_id", "concat('%PDF-1.7 ', {T}, ' /Filter /DCTDecode /Im1 3 0 R /Im2 4 0 R /XObject << /Subtype /Image')"),
+    ("concat('/b/scan', {I}, '.PDF')", "30000000", "concat('%PDF-1.4 plain ', {I})"),
+    ("concat('/b/x_y#z', {I}, '#2.epub')", "6000000", "concat('PK', chr(3), chr(4), 'mimetype', {T})"),
+    ("concat('/b/plain', {I}, '.txt')", "length({T})", "{T}"),
+    ("concat('/b/named', {I}, '.pdf')", "500", "{T}"),
+    ("concat('/b/noise', {I}, '.bin')", "64", "concat(chr(1), chr(2), chr(3), chr(4), chr(5), 'ab')"),
+    ("concat('/b/empty', {I}, '.txt')", "0", "''"),
+    ("concat('/b/large', {I}, '.txt')", "1048577", "{T}"),
+    ("concat('/b/edge', {I}, '.txt')", "1048576", "{T}"),
+    ("concat('/b/odd', {I}, '.pdf')", "doc_id * 100003", "concat('%PDF-x.y ', {T})"),
+    ("concat('/b/c_d#e', {I}, '.pdf')", "n_chars * 20000", "concat('%PDF-1.', CAST(doc_id % 8 AS {S}), ' stream', chr(10), 'xx JFIF /Image', {I}, ' 1 0 R', chr(12), {T}, chr(12), substring({T}, 1, CAST(doc_id % 300 AS int)))"),
+    ("concat('/b/.hidden', {I})", "10", "concat('hidden ', {T})"),
+]
+_NAMES = [
+    "concat('/in/a', {I}, '#t.pdf')", "concat('/in/Jane_Doe#A_Long_Title#', {I}, '.txt')", "concat('plain', {I}, '.pdf')", "concat('x/a_b#c_d', {I}, '.epub')", "concat('/in/a#b#c#d', {I}, '.txt')",
+    "concat('#t', {I}, '.pdf')", "concat('/in/no ext', {I})", "concat('/in/', repeat('a', 101), '#t', {I}, '.txt')", "concat('/in/w', {I}, '#', repeat('t', 201), '.txt')",
+    "concat('/in/we<ird>: na|me?', {I}, '.txt')", "concat('a#b#c_', {I}, '.tar.gz')", "concat('/in/', replace(replace(substring({T}, 1, 25), '/', ' '), chr(10), ' '), '#', {I}, '.txt')",
+]
+_START = "substring(coalesce(text, ''), 1, 40)"
+_ROMAN = "concat(split_part(',X,XX,XXX,XL,L,LX,LXX,LXXX,XC,C', ',', CAST(floor((doc_id % 100 + 1) / 10) AS int) + 1), split_part(',I,II,III,IV,V,VI,VII,VIII,IX', ',', CAST((doc_id % 100 + 1) % 10 AS int) + 1))"
+_WORD = f"split_part('{','.join(ORDINAL_WORDS.split())}', ',', CAST(doc_id % 50 + 1 AS int))"
+#: Titles: level, template, values as JSON.
+TITLES = [
+    (_ROMAN, 1, "{roman-number}", f"concat('{{\"roman-number\":\"', {_ROMAN}, '\"}}')"),
+    ("concat('Kapitel ', {I})", 1, "Kapitel {decimal-number}", "concat('{\"decimal-number\":\"', {I}, '\"}')"),
+    ("concat(CAST(doc_id % 28 + 1 AS {S}), '. Januar 1910 Berlin')", 2, "{long-date} {place}", "concat('{\"long-date\":\"', CAST(doc_id % 28 + 1 AS {S}), '. Januar 1910\",\"place\":\"Berlin\"}')"),
+    (f"concat('  ', {_WORD}, ' VORTRAG ')", 2, "{german-ordinal} VORTRAG", f"concat('{{\"german-ordinal\":\"', {_WORD}, '\"}}')"),
+    (f"concat('EIN TITEL ', {_ROMAN})", 3, "{title-in-capital-letters}", f"concat('{{\"title-in-capital-letters\":\"EIN TITEL ', {_ROMAN}, '\"}}')"),
+    ("concat('x ', {T})", None, None, None),
+]
+
+
+def _derived(columns: dict[str, str], name: str, engine: str) -> str:
+    text = {"spark": "string", "duckdb": "varchar"}[engine]
+    fill = lambda e: e.replace("{I}", _ID).replace("{T}", _PRINTABLE[engine]).replace("{S}", text)
+    return f"(SELECT {', '.join(f'{fill(e)} AS {c}' for c, e in columns.items())} FROM documents) AS {name}"
+
+
+def _pick(rows: list[str]) -> str:
+    return f"CASE doc_id % {len(rows)} {' '.join(f'WHEN {i} THEN {r}' for i, r in enumerate(rows))} END"
+
+
+def _tables(engine: str) -> dict[str, str]:
+    big = lambda e: f"CAST({e} AS bigint)"
+    string = lambda v: f"'{v}'" if v is not None else "NULL"
+    raw = lambda prefix, keep: f"CASE WHEN doc_id % 5 {keep} THEN concat('{prefix} ', {_START}) END"
+    out = {
+        "FILES": {"path": _pick([f[0] for f in _FILES]), "length": big(_pick([f[1] for f in _FILES])), "body": _pick([f[2] for f in _FILES])},
+        "PDFS": {"path": "concat('p', {I})", "page_count": "CAST(doc_id % 7 * (doc_id % 3 + 1) AS int)", "sample_text": "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '   ' WHEN 2 THEN repeat('x', CAST(90 + doc_id % 40 AS int)) ELSE coalesce(text, '') END", "has_images": "doc_id % 2 = 0"},
+        "NAMES": {"path": _pick(_NAMES)},
+        "ARTIFACTS": {"config_key": "concat('k', {I})", "cleaned_ocr": raw("co", "= 0"), "cleaned_txt": raw("ct", "<= 1"), "raw_ocr": raw("ro", "<= 2"), "raw_txt": raw("rt", "<= 3")},
+        "KINDS": {"path": "concat('k', {I}, CASE WHEN doc_id % 6 < 4 THEN '.pdf' WHEN doc_id % 6 = 4 THEN '.epub' ELSE '.txt' END)", "format": "CASE WHEN doc_id % 6 < 4 THEN 'pdf' WHEN doc_id % 6 = 4 THEN 'epub' ELSE 'txt' END", "content_type": "CASE doc_id % 6 WHEN 0 THEN 'text_based' WHEN 1 THEN 'image_based' WHEN 2 THEN 'hybrid' WHEN 3 THEN 'empty' END"},
+        "TYPES": {"kind": "CASE doc_id % 4 WHEN 0 THEN 'default' WHEN 1 THEN 'novel' WHEN 2 THEN 'report' ELSE coalesce(lang, 'x') END", "pattern": _START},
+        "ORDINALS": {
+            "roman": f"CASE WHEN doc_id % 4 = 0 THEN {_ROMAN} WHEN doc_id % 4 = 3 THEN 'IC' END",
+            "decimal_": "CASE doc_id % 4 WHEN 0 THEN '3' WHEN 1 THEN concat(' ', {I}, '. x') WHEN 3 THEN 'x' END",
+            "ordinal": f"CASE doc_id % 4 WHEN 0 THEN 'erster' WHEN 1 THEN 'zweiter' WHEN 2 THEN CASE WHEN doc_id % 3 = 0 AND {_WORD} NOT LIKE '%ß%' THEN upper({_WORD}) ELSE {_WORD} END ELSE 'x' END",
+            "value": "CAST(CASE doc_id % 4 WHEN 0 THEN doc_id % 100 + 1 WHEN 1 THEN doc_id WHEN 2 THEN doc_id % 50 + 1 END AS int)",
+        },
+        "BOOKS": {"config_key": "concat({I}, '#t')", "file_type": "CASE WHEN doc_id % 3 = 0 THEN 'pdf-ocr' ELSE 'text' END", "size": big("n_chars"), "page_count": big("doc_id % 50")},
+        "MANIFESTS": {"config_key": "concat(CAST(doc_id - doc_id % 7 % 2 * 1000000 AS {S}), '#t')", "file_type": "CASE WHEN doc_id % 9 = 0 THEN 'pdf-ocr' ELSE 'text' END", "size": big("CASE WHEN doc_id % 4 <> 1 THEN n_chars END"), "page_count": big("doc_id % 50 + CASE WHEN doc_id % 5 = 2 THEN 1 ELSE 0 END")},
+        "FORMATS": {"format": "CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'PNG' WHEN 2 THEN 'jpg' WHEN 3 THEN 'epub' WHEN 4 THEN coalesce(source, 'txt') ELSE 'bmp' END"},
+        "EXTRACTED": {"config_key": "concat('k', {I})", "text": "CASE WHEN doc_id % 5 = 0 THEN '' ELSE coalesce(text, '') END", "ocr_text": f"CASE doc_id % 4 WHEN 0 THEN concat('seen ', {_START}) WHEN 1 THEN ' ' WHEN 3 THEN 'seen too' END", "file_type": "CASE doc_id % 3 WHEN 0 THEN 'pdf-text-ocr' WHEN 1 THEN 'text' ELSE 'pdf-ocr' END"},
+        "TITLED": {"doc_id": "doc_id", "title": _pick([t[0] for t in TITLES]), "level": f"CAST({_pick([str(t[1] or 'NULL') for t in TITLES])} AS int)", "template": _pick([string(t[2]) for t in TITLES]), "found": _pick([t[3] or "NULL" for t in TITLES])},
+    }
+    return {k: _derived(v, k.lower(), engine) for k, v in out.items()}
+
+
+SPARK, DUCK = _tables("spark"), _tables("duckdb")
+FILES, PDFS, NAMES, ARTIFACTS = (DUCK[k] for k in ("FILES", "PDFS", "NAMES", "ARTIFACTS"))
+
+
+def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table by name."""
+    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
+    return spark.sql(f"SELECT * FROM {SPARK[name]}")
+
+
+def lines_sql(engine: str) -> str:
+    """Lines of recognised pages, a page for each document: book_id, page_no, n, text, x0, x1, mark. Headings, notes and indented lines are
+    planted among the document's own."""
+    text = {"spark": "string", "duckdb": "varchar"}[engine]
+    base = {
+        "spark": "SELECT doc_id, p.n, p.b FROM documents LATERAL VIEW posexplode(split(coalesce(text, ''), '\\n')) p AS n, b",
+        "duckdb": "SELECT doc_id, unnest(generate_series(0, len(ls) - 1)) AS n, unnest(ls) AS b FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)",
+    }[engine]
+    k = "(doc_id * 7 + n * 3) % 16"
+    number = f"CAST(n % 90 + 1 AS {text})"
+    return f"""(SELECT CAST(doc_id % 97 AS int) AS book_id, CAST(doc_id AS int) AS page_no, CAST(n AS int) AS n,
+  CASE {k} WHEN 0 THEN 'XIV' WHEN 1 THEN concat({number}, ' A note about it.') WHEN 2 THEN '** Two stars.' WHEN 3 THEN 'EIN TITEL' WHEN 4 THEN concat('§ ', {number}) WHEN 5 THEN concat(b, '-') ELSE b END AS text,
+  CAST(CASE {k} WHEN 0 THEN 1200 + n % 20 WHEN 1 THEN 320 WHEN 2 THEN 320 WHEN 3 THEN 900 WHEN 6 THEN 340 + n % 4 ELSE 300 + n % 5 END AS double) AS x0,
+  CAST(CASE {k} WHEN 0 THEN 1280 + n % 20 WHEN 1 THEN 1500 WHEN 2 THEN 1300 WHEN 3 THEN 1580 ELSE 2100 - n % 50 END AS double) AS x1,
+  CASE {k} WHEN 1 THEN {number} WHEN 2 THEN '**' END AS mark FROM ({base}) AS l) AS t"""

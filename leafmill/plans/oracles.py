@@ -53,10 +53,10 @@ PREDICATES = {
 CUSTOM = r"(?i)^custom\s+\d+"
 
 
-def cleaned(ocr: bool = False, aggressive: bool = False) -> str:
+def cleaned(ocr: bool = False, aggressive: bool = False, without: tuple[str, ...] = ()) -> str:
     """CTEs: secs, ln (lines after sections), rep, why (reasons), hy, hj (hyphens), wrapped, out (blank lines), doc."""
     preds = PREDICATES | {"ocr_junk": junk(ocr)}
-    case = " ".join(f"WHEN {c} THEN '{k}'" for k, c in preds.items())
+    case = " ".join(f"WHEN {c} THEN '{k}'" for k, c in preds.items() if k not in without)
     thr = "greatest(2, floor(1 + sqrt(n / 30)))" if aggressive else "greatest(3, floor(2 + sqrt(n / 25)))"
     last, first = "right(line, 1)", "left(nxt, 1)"
     ends = ", ".join("'" + c.replace("'", "''") + "'" for c in P.SENTENCE_ENDS)

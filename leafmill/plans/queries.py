@@ -246,12 +246,8 @@ def page_range(spark, sf_dir):
 # -- files ----------------------------------------------------------------------------------
 
 
-def _fixture(spark: SparkSession, sql: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {sql}")
-
-
-def _files(spark: SparkSession) -> DataFrame:
-    return _fixture(spark, X.FILES).withColumn("content", F.encode("body", "ISO-8859-1"))
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.fixture(spark, sf_dir, "FILES").withColumn("content", F.encode("body", "ISO-8859-1"))
 
 
 _F = f"""WITH f AS (SELECT path, length, body, regexp_extract(path, '[^/]*\\z') AS nm, left(body, 512) AS h FROM {X.FILES}),
@@ -265,24 +261,24 @@ r AS (SELECT *, coalesce(magic, ext) AS fmt FROM m), z AS (SELECT *, length > CA
 @query(f"{_F} SELECT path, magic, conf AS confidence FROM z")
 def magic_number(spark, sf_dir):
     c = F.col("content")
-    return _files(spark).select("path", N.magic_format(c).alias("magic"), N.magic_confidence(c).alias("confidence"))
+    return _files(spark, sf_dir).select("path", N.magic_format(c).alias("magic"), N.magic_confidence(c).alias("confidence"))
 
 
 @query(f"{_F} SELECT path, texty AS likely_text FROM z")
 def likely_text(spark, sf_dir):
-    return _files(spark).select("path", N.is_likely_text(F.col("content")).alias("likely_text"))
+    return _files(spark, sf_dir).select("path", N.is_likely_text(F.col("content")).alias("likely_text"))
 
 
-def _formats(spark: SparkSession) -> DataFrame:
+def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("content")
-    out = _files(spark).select("path", "length", N.magic_format(c).alias("magic"), N.magic_confidence(c).alias("conf"), N.extension_format(F.col("path")).alias("ext"))
+    out = _files(spark, sf_dir).select("path", "length", N.magic_format(c).alias("magic"), N.magic_confidence(c).alias("conf"), N.extension_format(F.col("path")).alias("ext"))
     out = out.withColumn("format", F.coalesce("magic", "ext"))
     return out.withColumn("big", N.exceeds_limit(F.col("format"), F.col("length")))
 
 
 @query(f"{_F} SELECT path, fmt AS format, big AS exceeds FROM z")
 def size_limit(spark, sf_dir):
-    return _formats(spark).select("path", "format", F.col("big").alias("exceeds"))
+    return _formats(spark, sf_dir).select("path", "format", F.col("big").alias("exceeds"))
 
 
 @query(f"""{_F} SELECT path, fmt AS format, CASE fmt WHEN 'pdf' THEN 'application/pdf' WHEN 'epub' THEN 'application/epub+zip' ELSE 'text/plain' END AS mime,
@@ -292,34 +288,31 @@ def format_result(spark, sf_dir):
     """Validators of epub and text always fail, so only a PDF within its size is valid."""
     from leafmill.plans.pipeline import detect
 
-    return detect(_files(spark)).select("path", "format", "mime", "is_valid", "confidence", F.concat_ws("; ", "issues").alias("issues"))
+    return detect(_files(spark, sf_dir)).select("path", "format", "mime", "is_valid", "confidence", F.concat_ws("; ", "issues").alias("issues"))
 
 
 @query(f"SELECT path, CASE WHEN regexp_matches(left(body, 8), '%PDF-\\d+\\.\\d+') THEN regexp_extract(left(body, 8), '%PDF-(\\d+\\.\\d+)', 1) ELSE 'unknown' END AS version FROM {X.FILES}")
 def pdf_version(spark, sf_dir):
-    return _files(spark).select("path", N.pdf_version(F.col("content")).alias("version"))
+    return _files(spark, sf_dir).select("path", N.pdf_version(F.col("content")).alias("version"))
 
 
 @query(f"SELECT path, {' + '.join(f"len(regexp_extract_all(body, '{p}'))" for p in N.IMAGE_PATTERNS)} AS matches, greatest(({' + '.join(f"len(regexp_extract_all(body, '{p}'))" for p in N.IMAGE_PATTERNS)}) // 3, CASE WHEN {' + '.join(f"len(regexp_extract_all(body, '{p}'))" for p in N.IMAGE_PATTERNS)} > 0 THEN 1 ELSE 0 END) AS estimate FROM {X.FILES}")
 def image_census(spark, sf_dir):
     m = N.image_matches(F.col("content"))
-    return _files(spark).select("path", m.alias("matches"), N.image_estimate(m).alias("estimate"))
+    return _files(spark, sf_dir).select("path", m.alias("matches"), N.image_estimate(m).alias("estimate"))
 
 
 @query(f"""WITH p AS (SELECT *, least(100, length(sample_text) / least(page_count, 5) / 200 * 100) AS cov FROM {X.PDFS})
 SELECT path, CASE WHEN page_count = 0 THEN 'empty' WHEN trim(sample_text) = '' OR length(sample_text) < 100 THEN CASE WHEN has_images THEN 'image_based' ELSE 'empty' END
 WHEN has_images THEN CASE WHEN cov > 60 THEN 'hybrid' ELSE 'image_based' END ELSE 'text_based' END AS content_type FROM p""")
 def pdf_content_type(spark, sf_dir):
-    return _fixture(spark, X.PDFS).select("path", N.pdf_content_type(F.col("page_count"), F.col("sample_text"), F.col("has_images")).alias("content_type"))
-
-
-_KINDS = "(VALUES ('a.pdf', 'pdf', 'text_based'), ('b.pdf', 'pdf', 'image_based'), ('c.pdf', 'pdf', 'hybrid'), ('d.pdf', 'pdf', 'empty'), ('e.epub', 'epub', NULL), ('f.txt', 'txt', NULL)) AS k(path, format, content_type)"
+    return X.fixture(spark, sf_dir, "PDFS").select("path", N.pdf_content_type(F.col("page_count"), F.col("sample_text"), F.col("has_images")).alias("content_type"))
 
 
 @query(f"""SELECT path, CASE format WHEN 'pdf' THEN CASE content_type WHEN 'text_based' THEN 'pdf-text' WHEN 'image_based' THEN 'pdf-ocr' ELSE 'pdf-text-ocr' END WHEN 'epub' THEN 'epub' ELSE 'text' END AS strategy,
-CASE format WHEN 'pdf' THEN CASE content_type WHEN 'text_based' THEN 'text' WHEN 'image_based' THEN 'pdf-ocr' ELSE 'pdf-text-ocr' END WHEN 'epub' THEN 'epub' ELSE 'text' END AS manifest FROM {_KINDS}""")
+CASE format WHEN 'pdf' THEN CASE content_type WHEN 'text_based' THEN 'text' WHEN 'image_based' THEN 'pdf-ocr' ELSE 'pdf-text-ocr' END WHEN 'epub' THEN 'epub' ELSE 'text' END AS manifest FROM {X.DUCK['KINDS']}""")
 def file_type(spark, sf_dir):
-    return _fixture(spark, _KINDS).select("path", N.strategy(F.col("format"), F.col("content_type")).alias("strategy"), N.manifest_file_type(F.col("path"), F.col("content_type")).alias("manifest"))
+    return X.fixture(spark, sf_dir, "KINDS").select("path", N.strategy(F.col("format"), F.col("content_type")).alias("strategy"), N.manifest_file_type(F.col("path"), F.col("content_type")).alias("manifest"))
 
 
 _NM = f"""WITH a AS (SELECT path, regexp_replace(regexp_extract(path, '[^/]*\\z'), '^(.+)\\.[^.]*\\z', '\\1') AS s FROM {X.NAMES}),
@@ -329,18 +322,18 @@ c AS (SELECT path, s, replace(CASE WHEN fits THEN ps[1] ELSE 'Unknown' END, '_',
 
 @query(f"{_NM} SELECT path, author, title, book_index, length(author) <= 100 AS is_valid FROM c")
 def filename_metadata(spark, sf_dir):
-    return _fixture(spark, X.NAMES).select("path", N.name_parts(F.col("path")).alias("p")).select("path", "p.*")
+    return X.fixture(spark, sf_dir, "NAMES").select("path", N.name_parts(F.col("path")).alias("p")).select("path", "p.*")
 
 
 @query(f"{_NM} SELECT path, CASE WHEN author <> '' AND title <> '' THEN concat_ws('#', author, title, book_index) END AS config_key, concat(CASE WHEN author <> '' AND title <> '' THEN concat_ws('#', author, title, book_index) END, '.yaml') AS config_file FROM c".replace("concat(CASE", "(CASE").replace("END, '.yaml')", "END || '.yaml')"))
 def config_key(spark, sf_dir):
     key = N.config_key(N.name_parts(F.col("path")))
-    return _fixture(spark, X.NAMES).select("path", key.alias("config_key"), F.concat(key, F.lit(".yaml")).alias("config_file"))
+    return X.fixture(spark, sf_dir, "NAMES").select("path", key.alias("config_key"), F.concat(key, F.lit(".yaml")).alias("config_file"))
 
 
 @query(f"{_NM} SELECT path, author || '#' || title || CASE WHEN coalesce(book_index, '') = '' OR trim(book_index) = '' THEN '' ELSE '[#' || book_index || ']' END || CASE WHEN coalesce(book_index, '') = '' THEN '[#]' ELSE '' END || '-T0.md' AS name FROM c")
 def output_filename(spark, sf_dir):
-    return _fixture(spark, X.NAMES).select("path", N.output_name(N.name_parts(F.col("path")), "T0", ".md").alias("name"))
+    return X.fixture(spark, sf_dir, "NAMES").select("path", N.output_name(N.name_parts(F.col("path")), "T0", ".md").alias("name"))
 
 
 @query("SELECT page_id, left(regexp_replace(regexp_replace(url, '[<>:\"/\\\\|?*]', '_', 'g'), '\\s+', '_', 'g'), 255) AS name, regexp_matches(url, '^[a-zA-Z0-9_\\-#\\s.]+\\z') AS plain FROM pages")
@@ -357,7 +350,7 @@ def duration_format(spark, sf_dir):
 def best_artifact(spark, sf_dir):
     from leafmill.sources.sinks import best_text
 
-    wide = _fixture(spark, X.ARTIFACTS)
+    wide = X.fixture(spark, sf_dir, "ARTIFACTS")
 
     def long(stage: str) -> DataFrame:
         both = (F.struct(F.lit(source).alias("source"), F.col(f"{stage}_{source}").alias("text")) for source in ("ocr", "txt"))
@@ -407,36 +400,29 @@ def text_removal(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.remove_patterns(F.col("text"), T.valid_patterns(spark, _REMOVALS)).alias("text"))
 
 
-_TYPES = "(VALUES ('default', 'x'), ('novel', 'a'), ('novel', 'b'), ('report', 'b'), ('report', 'c')) AS t(kind, pattern)"
-
-
-@query(f"SELECT DISTINCT pattern FROM {_TYPES} WHERE kind <> 'default'")
+@query(f"SELECT DISTINCT pattern FROM {X.DUCK['TYPES']} WHERE kind <> 'default'")
 def pattern_union(spark, sf_dir):
     """For an unknown kind of book: the patterns of all kinds but the default, each once."""
-    return _fixture(spark, _TYPES).where("kind <> 'default'").select("pattern").distinct()
+    return X.fixture(spark, sf_dir, "TYPES").where("kind <> 'default'").select("pattern").distinct()
 
 
 # -- recognised pages -----------------------------------------------------------------------
 
-_LINES = """(VALUES
-  (1, 1, 0, 'I', 1200.0, 1280.0, NULL), (1, 1, 1, 'This is a first line of text that goes', 340.0, 2150.0, NULL), (1, 1, 2, 'on to the next line, which ends here.', 300.0, 2160.0, NULL),
-  (1, 1, 3, 'Another line of the same paragraph-', 301.0, 2150.0, NULL), (1, 1, 4, 'less page, and so it goes.', 299.0, 1900.0, NULL), (1, 1, 5, '1 A note about it.', 320.0, 1500.0, '1'),
-  (1, 2, 0, 'II', 1210.0, 1270.0, NULL), (1, 2, 1, 'more lines follow', 302.0, 2100.0, NULL), (1, 2, 2, '** Two stars.', 320.0, 1300.0, '**'), (2, 1, 0, 'EIN TITEL', 900.0, 1580.0, NULL), (2, 1, 1, 'MIT ZWEI ZEILEN', 905.0, 1575.0, NULL),
-  (2, 1, 2, 'Der Text beginnt.', 300.0, 2000.0, NULL), (2, 1, 3, 'Und er endet.', 300.0, 1000.0, NULL)
-) AS t(book_id, page_no, n, text, x0, x1, mark)"""
+_LINES = X.lines_sql("duckdb")
 LEVELS = [[{"pattern": "{roman-number}"}, {"pattern": "{title-in-capital-letters}", "multiple_lines": True}], [{"pattern": "§ {decimal-number}"}], []]
 OFFSETS = {"paragraph-start": 40, "footnote-start": {"expected_x0": 20, "tolerance": 5}}
 
 
-def ocr_lines(spark: SparkSession) -> DataFrame:
-    """Lines of two small books; a raised mark has symbols of its own."""
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the documents as pages of books; a raised mark has symbols of its own."""
+    _table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
     symbols = F.when(F.col("mark").isNotNull(), F.transform(F.split("mark", "(?!^)"), lambda c: F.struct(c.alias("text"), F.lit(0.0).alias("y0"), F.lit(10.0).alias("y1"), F.lit(40.0).alias("base_y1")))).otherwise(F.array(F.struct(F.lit("A").alias("text"), F.lit(0.0).alias("y0"), F.lit(38.0).alias("y1"), F.lit(40.0).alias("base_y1"))))
     one = F.struct("text", F.col("x0").cast("double").alias("x0"), F.lit(0.0).alias("y0"), F.col("x1").cast("double").alias("x1"), F.lit(40.0).alias("y1"), symbols.alias("symbols"))
-    return _fixture(spark, _LINES).select(F.col("book_id").cast("long"), "page_no", "n", one.alias("line"))
+    return spark.sql(f"SELECT * FROM {X.lines_sql('spark')}").select(F.col("book_id").cast("long"), "page_no", "n", one.alias("line"))
 
 
-def ocr_pages(spark: SparkSession) -> DataFrame:
-    pages = ocr_lines(spark).groupBy("book_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("ls"))
+def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = ocr_lines(spark, sf_dir).groupBy("book_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("ls"))
     paragraphs = F.array(F.struct(F.transform("ls", lambda x: x["line"]).alias("lines")))
     from leafmill.functions.structure import flatten_lines
 
@@ -445,7 +431,7 @@ def ocr_pages(spark: SparkSession) -> DataFrame:
 
 @query(f"SELECT book_id, page_no, string_agg(text, ' / ' ORDER BY n) AS lines FROM {_LINES} GROUP BY 1, 2")
 def flatten_lines(spark, sf_dir):
-    return ocr_pages(spark).select(F.col("book_id").cast("int"), "page_no", F.array_join(F.transform("lines", lambda x: x["text"]), " / ").alias("lines"))
+    return ocr_pages(spark, sf_dir).select(F.col("book_id").cast("int"), "page_no", F.array_join(F.transform("lines", lambda x: x["text"]), " / ").alias("lines"))
 
 
 @query(f"SELECT book_id, page_no, n, mark AS footnote FROM {_LINES}")
@@ -453,7 +439,7 @@ def superscript_footnote(spark, sf_dir):
     from leafmill.functions.structure import superscript_start
 
     found = superscript_start(F.col("line.symbols"), F.col("line.y1") - F.col("line.y0"))
-    return ocr_lines(spark).select(F.col("book_id").cast("int"), "page_no", "n", found.alias("footnote"))
+    return ocr_lines(spark, sf_dir).select(F.col("book_id").cast("int"), "page_no", "n", found.alias("footnote"))
 
 
 @query(f"SELECT book_id, page_no, n, CASE WHEN mark IS NOT NULL THEN 'footnote-start' WHEN x0 BETWEEN 295 AND 305 THEN 'paragraph-text' WHEN x0 BETWEEN 335 AND 345 THEN 'paragraph-start' ELSE 'paragraph-text' END AS kind FROM {_LINES}")
@@ -462,31 +448,28 @@ def line_type(spark, sf_dir):
 
     metrics = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(a).alias("min_x0"), F.lit(b).alias("max_x0")) for t, a, b in (("paragraph-text", 295.0, 305.0), ("paragraph-start", 335.0, 345.0))))
     mark = superscript_start(F.col("line.symbols"), F.col("line.y1") - F.col("line.y0"))
-    return ocr_lines(spark).select(F.col("book_id").cast("int"), "page_no", "n", kind(F.col("line.x0"), mark, metrics).alias("kind"))
+    return ocr_lines(spark, sf_dir).select(F.col("book_id").cast("int"), "page_no", "n", kind(F.col("line.x0"), mark, metrics).alias("kind"))
 
 
 @query(f"SELECT book_id, page_no, n, CASE WHEN regexp_matches(text, '^(\\d+|[*]+)\\s*[^\\n\\r]+\\z') THEN concat('[^', regexp_extract(text, '^(\\d+|[*]+)\\s*([^\\n\\r]+)\\z', 1), ']: ', regexp_extract(text, '^(\\d+|[*]+)\\s*([^\\n\\r]+)\\z', 2)) END AS note FROM {_LINES}")
 def footnote_line(spark, sf_dir):
     from leafmill.functions.structure import footnote_line as note
 
-    return ocr_lines(spark).select(F.col("book_id").cast("int"), "page_no", "n", note(F.col("line.text")).alias("note"))
+    return ocr_lines(spark, sf_dir).select(F.col("book_id").cast("int"), "page_no", "n", note(F.col("line.text")).alias("note"))
 
 
 @query(f"SELECT book_id, page_no, n, abs((x0 + x1) / 2 - 1240) <= 100 AND x1 - x0 <= 1800 * 0.99 AS centred FROM {_LINES}")
 def centered_line(spark, sf_dir):
     from leafmill.functions.headings import is_centred
 
-    return ocr_lines(spark).select(F.col("book_id").cast("int"), "page_no", "n", is_centred(F.col("line.x0"), F.col("line.x1"), F.lit(1800.0)).alias("centred"))
-
-
-_ORDINALS = "(VALUES ('XIV', NULL, NULL, 14), ('XCIX', '3', NULL, 99), (NULL, '12', 'erster', 12), (NULL, NULL, 'Siebenter', 7), (NULL, NULL, 'neunundvierzigster', 49), ('IC', NULL, 'zwölfter', 12), (NULL, 'x', 'x', NULL), (NULL, NULL, 'FÜNFZIGSTER', 50)) AS t(roman, decimal_, ordinal, value)"
+    return ocr_lines(spark, sf_dir).select(F.col("book_id").cast("int"), "page_no", "n", is_centred(F.col("line.x0"), F.col("line.x1"), F.lit(1800.0)).alias("centred"))
 
 
-@query(f"SELECT roman, decimal_, ordinal, value FROM {_ORDINALS}")
+@query(f"SELECT roman, decimal_, ordinal, value FROM {X.DUCK['ORDINALS']}")
 def ordinal_value(spark, sf_dir):
     from leafmill.functions.headings import ordinal_value as value
 
-    return _fixture(spark, _ORDINALS).select("roman", "decimal_", "ordinal", value(F.col("roman"), F.col("decimal_"), F.col("ordinal")).alias("value"))
+    return X.fixture(spark, sf_dir, "ORDINALS").select("roman", "decimal_", "ordinal", value(F.col("roman"), F.col("decimal_"), F.col("ordinal")).alias("value"))
 
 
 _BOOK = "concat('# Title\n\n', text, '\n\n# FUSSNOTEN\n\n[M] first note\n[T]second\n\nthird')"
@@ -510,35 +493,36 @@ def footnote_list(spark, sf_dir):
 
 @query()
 def x0_clusters(spark, sf_dir):
-    """Order-dependent groups of left edges; tested against worked pages."""
-    from leafmill.operators.ocr import structure_pages
+    """Order-dependent groups of left edges with their types; tested against the sequential model."""
+    from leafmill.functions.layout import edge_metrics
 
-    return structure_pages(ocr_pages(spark), LEVELS, OFFSETS).select("book_id", "page_no", F.explode("metrics").alias("m")).select("book_id", "page_no", "m.*")
+    return ocr_pages(spark, sf_dir).select("book_id", "page_no", F.explode(edge_metrics(F.col("lines"), OFFSETS)).alias("m")).select("book_id", "page_no", "m.*")
 
 
 @query()
 def page_structure(spark, sf_dir):
     from leafmill.operators.ocr import structure_pages
 
-    return structure_pages(ocr_pages(spark), LEVELS, OFFSETS).select("book_id", "page_no", "body", "footnotes")
+    return structure_pages(ocr_pages(spark, sf_dir), LEVELS, OFFSETS).select("book_id", "page_no", "body", "footnotes")
 
 
 @query()
 def book_assembly(spark, sf_dir):
     from leafmill.operators.ocr import assemble_books, structure_pages
 
-    return assemble_books(structure_pages(ocr_pages(spark), LEVELS, OFFSETS))
+    return assemble_books(structure_pages(ocr_pages(spark, sf_dir), LEVELS, OFFSETS))
 
 
-@query()
+TEMPLATES = [["{roman-number}", "Kapitel {decimal-number}"], ["{long-date} {place}", "{german-ordinal} VORTRAG"], ["{title-in-capital-letters}"]]
+
+
+@query(f"SELECT doc_id, level, template, found FROM {X.DUCK['TITLED']}")
 def header_match(spark, sf_dir):
-    """Templates have look-arounds, which SQL engines don't share; tested against examples."""
-    from leafmill.functions.headings import match_heading
+    """Level, template and captured values of a title in each document."""
+    from leafmill.functions.headings import heading_level
 
-    texts = ["XIV", "ERSTER TEIL", "12. Januar 1910 Berlin", "erster VORTRAG", "Kapitel 7", "no heading"]
-    patterns = ["{roman-number}", "{title-in-capital-letters}", "{long-date} {place}", "{german-ordinal} VORTRAG", "Kapitel {decimal-number}"]
-    rows = [(t, p, (m := match_heading(t, p)) is not None, {k: v for k, v in (m or {}).items() if k}) for t in texts for p in patterns]
-    return spark.createDataFrame(rows, "text string, pattern string, matched boolean, found map<string,string>").select("text", "pattern", "matched", F.to_json("found").alias("found"))
+    found = X.fixture(spark, sf_dir, "TITLED").select("doc_id", heading_level(F.col("title"), TEMPLATES).alias("x"))
+    return found.select("doc_id", "x.level", "x.template", F.to_json("x.values").alias("found"))
 
 
 # -- sources, sinks, manifests --------------------------------------------------------------
@@ -548,32 +532,28 @@ def header_match(spark, sf_dir):
 def epub_text(spark, sf_dir):
     from leafmill.sources.files import epub_text as placeholder
 
-    return placeholder(_files(spark).where(N.extension(F.col("path")) == ".epub"))
+    return placeholder(_files(spark, sf_dir).where(N.extension(F.col("path")) == ".epub"))
 
 
 @query(f"SELECT path, regexp_extract(path, '[^/]*\\z') AS name, length, CASE lower(regexp_extract(path, '\\.[^./]*\\z')) WHEN '.pdf' THEN 'pdf' WHEN '.epub' THEN 'epub' WHEN '.txt' THEN 'txt' END AS format, CASE lower(regexp_extract(path, '\\.[^./]*\\z')) WHEN '.pdf' THEN 'application/pdf' WHEN '.epub' THEN 'application/epub+zip' WHEN '.txt' THEN 'text/plain' END AS mime FROM {X.FILES}")
 def file_info(spark, sf_dir):
     from leafmill.sources.files import file_info as info
 
-    return info(_files(spark))
+    return info(_files(spark, sf_dir))
 
 
 @query(f"SELECT path, left(body, 1024) AS head FROM {X.FILES}")
 def binary_header(spark, sf_dir):
     from leafmill.sources.files import headers
 
-    return headers(_files(spark)).select("path", N.latin(F.col("content")).alias("head"))
-
+    return headers(_files(spark, sf_dir)).select("path", N.latin(F.col("content")).alias("head"))
 
-_BOOKS = "(VALUES ('a#t', 'text', CAST(10 AS bigint), CAST(1 AS bigint)), ('b#t', 'pdf-ocr', CAST(20 AS bigint), CAST(2 AS bigint)), ('c#t', 'text', CAST(30 AS bigint), CAST(3 AS bigint)), ('d#t', 'text', CAST(40 AS bigint), CAST(4 AS bigint))) AS b(config_key, file_type, size, page_count)"
-_MANIFESTS = "(VALUES ('a#t', 'text', CAST(10 AS bigint), CAST(1 AS bigint)), ('b#t', 'text', CAST(20 AS bigint), CAST(3 AS bigint)), ('c#t', 'text', CAST(NULL AS bigint), CAST(3 AS bigint))) AS m(config_key, file_type, size, page_count)"
 
-
-@query(f"SELECT config_key, differs FROM (SELECT b.config_key, concat_ws(',', CASE WHEN b.file_type IS DISTINCT FROM m.file_type THEN 'file_type' END, CASE WHEN b.size IS DISTINCT FROM m.size THEN 'size' END, CASE WHEN b.page_count IS DISTINCT FROM m.page_count THEN 'page_count' END) AS differs FROM {_BOOKS} JOIN {_MANIFESTS} USING (config_key)) WHERE differs <> ''")
+@query(f"SELECT config_key, differs FROM (SELECT books.config_key, concat_ws(',', CASE WHEN books.file_type IS DISTINCT FROM manifests.file_type THEN 'file_type' END, CASE WHEN books.size IS DISTINCT FROM manifests.size THEN 'size' END, CASE WHEN books.page_count IS DISTINCT FROM manifests.page_count THEN 'page_count' END) AS differs FROM {X.DUCK['BOOKS']} JOIN {X.DUCK['MANIFESTS']} USING (config_key)) WHERE differs <> ''")
 def manifest_drift(spark, sf_dir):
     from leafmill.sources.manifests import drift
 
-    return drift(_fixture(spark, _BOOKS), _fixture(spark, _MANIFESTS)).select("config_key", F.concat_ws(",", "differs").alias("differs"))
+    return drift(X.fixture(spark, sf_dir, "BOOKS"), X.fixture(spark, sf_dir, "MANIFESTS")).select("config_key", F.concat_ws(",", "differs").alias("differs"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('cached ', doc_id) ELSE text END AS text FROM documents")
@@ -585,24 +565,18 @@ def cached_result(spark, sf_dir):
     return with_cache(docs, old, "doc_id", "text")
 
 
-_FORMATS = "(VALUES ('pdf'), ('PNG'), ('jpg'), ('epub'), ('txt'), ('bmp')) AS f(format)"
-
-
-@query(f"SELECT format, lower(format) IN ('pdf', 'png', 'jpg', 'jpeg', 'tiff', 'bmp') AS needed FROM {_FORMATS}")
+@query(f"SELECT format, lower(format) IN ('pdf', 'png', 'jpg', 'jpeg', 'tiff', 'bmp') AS needed FROM {X.DUCK['FORMATS']}")
 def ocr_required(spark, sf_dir):
     from leafmill.functions.structure import needs_recognition
 
-    return _fixture(spark, _FORMATS).select("format", needs_recognition(F.col("format")).alias("needed"))
-
-
-_EXTRACTED = "(VALUES ('a', 'one', 'seen', 'pdf-text-ocr'), ('b', 'two', ' ', 'pdf-text-ocr'), ('c', 'three', NULL, 'text'), ('d', '', 'seen too', 'pdf-ocr')) AS e(config_key, text, ocr_text, file_type)"
+    return X.fixture(spark, sf_dir, "FORMATS").select("format", needs_recognition(F.col("format")).alias("needed"))
 
 
-@query(f"SELECT config_key, 'txt' AS source, text FROM {_EXTRACTED} UNION ALL SELECT config_key, 'ocr', CASE WHEN trim(coalesce(ocr_text, '')) <> '' THEN ocr_text ELSE concat('# OCR Processing Failed', chr(10), chr(10), 'No OCR results available.') END FROM {_EXTRACTED} WHERE trim(coalesce(ocr_text, '')) <> '' OR file_type = 'pdf-text-ocr'")
+@query(f"SELECT config_key, 'txt' AS source, text FROM {X.DUCK['EXTRACTED']} UNION ALL SELECT config_key, 'ocr', CASE WHEN trim(coalesce(ocr_text, '')) <> '' THEN ocr_text ELSE concat('# OCR Processing Failed', chr(10), chr(10), 'No OCR results available.') END FROM {X.DUCK['EXTRACTED']} WHERE trim(coalesce(ocr_text, '')) <> '' OR file_type = 'pdf-text-ocr'")
 def raw_outputs(spark, sf_dir):
     from leafmill.sources.sinks import raw_rows
 
-    return raw_rows(_fixture(spark, _EXTRACTED))
+    return raw_rows(X.fixture(spark, sf_dir, "EXTRACTED"))
 
 
 @query("SELECT conv_id AS book_id, turn AS page_no, text FROM conversations")
@@ -612,3 +586,6 @@ def page_json(spark, sf_dir):
 
     pages = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("page_no"), F.array(F.struct("text")).alias("paragraphs"))
     return dump(pages).select("book_id", "page_no", F.get(F.from_json("json", "array<struct<text:string>>"), 0)["text"].alias("text"))
+
+
+from leafmill.plans import book_queries as _more  # noqa: E402, F401  registers its own

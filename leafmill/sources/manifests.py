@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions.structure import FOOTNOTES, footnote_list, outline
+from leafmill.sources.store import exists as exists_at
 from leafmill.sources.store import write_file
 
 NAME = "book-manifest.yaml"
@@ -115,6 +116,8 @@ def available(folder: str) -> list[str]:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """config_key, content of all manifest files but the default one, read by tasks. The key is the name of the file's folder."""
+    if not exists_at(spark, folder):
+        return spark.createDataFrame([], "config_key string, content binary")
     found = spark.read.format("binaryFile").option("pathGlobFilter", NAME).option("recursiveFileLookup", True).load(folder)
     keyed = found.select(F.regexp_extract("path", r"([^/]+)/[^/]+\z", 1).alias("config_key"), "content")
     return keyed.where("config_key <> 'default'")

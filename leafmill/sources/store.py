@@ -94,3 +94,18 @@ def write_text(spark: SparkSession, uri: str, text: str) -> None:
     over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(tmp, path, over)
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder name that the driver and all executors see: below ``spark.checkpoint.dir``, or on a local master without that setting
+    below a folder of our own."""
+    import getpass
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/leafmill-{getpass.getuser()}"
+    path, fs = _path(spark, f"{base.rstrip('/')}/leafmill/{name}-{uuid.uuid4().hex}")
+    return fs.makeQualified(path).toString()

@@ -1,7 +1,7 @@
 import pytest
 
 from leafmill.functions.headings import ORDINALS, ROMAN, compile_template, match_heading
-from leafmill.operators.ocr import MissingMetrics, append_line, clusters, heading_at, join_pages, page_metrics, page_text, raised_mark
+from leafmill.operators.ocr import MissingMetrics, append_line, assemble_books, clusters, heading_at, join_pages, page_metrics, page_text, raised_mark, structure_pages
 from leafmill.plans import queries as Q
 
 
@@ -62,7 +62,20 @@ def test_joins():
     assert join_pages("a- ", "b") == "ab" and join_pages("a-", "B") == "a- B" and join_pages("a-", "1") == "a1" and join_pages("", "b") == "b"
 
 
-def test_books(spark, sf):
-    books = {r.book_id: r.text for r in Q.QUERIES["book_assembly"](spark, sf).collect()}
+LINES = [
+    (1, 1, 0, "I", 1200.0, 1280.0, ""), (1, 1, 1, "This is a first line of text that goes", 340.0, 2150.0, ""), (1, 1, 2, "on to the next line, which ends here.", 300.0, 2160.0, ""),
+    (1, 1, 3, "Another line of the same paragraph-", 301.0, 2150.0, ""), (1, 1, 4, "less page, and so it goes.", 299.0, 1900.0, ""), (1, 1, 5, "1 A note about it.", 320.0, 1500.0, "1"),
+    (1, 2, 0, "II", 1210.0, 1270.0, ""), (1, 2, 1, "more lines follow", 302.0, 2100.0, ""), (1, 2, 2, "** Two stars.", 320.0, 1300.0, "**"), (2, 1, 0, "EIN TITEL", 900.0, 1580.0, ""), (2, 1, 1, "MIT ZWEI ZEILEN", 905.0, 1575.0, ""),
+    (2, 1, 2, "Der Text beginnt.", 300.0, 2000.0, ""), (2, 1, 3, "Und er endet.", 300.0, 1000.0, ""),
+]
+
+
+def test_books(spark):
+    symbol = lambda c: (c, 0.0, 10.0, 40.0)
+    pages = {}
+    for book, page, _, text, x0, x1, mark in LINES:
+        pages.setdefault((book, page), []).append((text, x0, 0.0, x1, 40.0, [symbol(c) for c in mark]))
+    rows = spark.createDataFrame([(*k, v) for k, v in pages.items()], "book_id long, page_no int, lines array<struct<text:string,x0:double,y0:double,x1:double,y1:double,symbols:array<struct<text:string,y0:double,y1:double,base_y1:double>>>>")
+    books = {r.book_id: r.text for r in assemble_books(structure_pages(rows, Q.LEVELS, Q.OFFSETS)).collect()}
     assert books[1].startswith("\n\n# I\n\n") and "paragraphless" in books[1] and books[1].count("[^") == 2 and "# FUSSNOTEN" in books[2]
     assert "# EIN TITEL MIT ZWEI ZEILEN" in books[2]
