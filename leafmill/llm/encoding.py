@@ -28,6 +28,10 @@ _SIGNED = re.compile(f"[!-+/:-@\\[-`{{-~-]|[.,][.,]")
 #: Where a piece that keeps its space begins: a run of white space is not parted.
 _BEFORE_SPACE = re.compile(r"(?<!\s)(?= )")
 _LATER_SPACE = re.compile(r"\s ")
+_BEYOND = re.compile("[^\0-ɏ]")
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+#: Fixed value: how byte-level tokenizers split text before merges, over characters up to U+024F.
+_BYTE_LEVEL = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 PROBES = (
     "Don't stop.The end, été naïve x1y2 33-44 Über STRASSE 中文 \U0001f600! a.b c's 's ...",
@@ -48,6 +52,8 @@ class Encoder(dict):
     """Piece -> ids as little-endian unsigned 32-bit bytes. At most ``limit`` pieces are kept."""
 
     limit = 150_000
+    #: Of byte-level pieces, which are smaller: words without the signs behind them.
+    byte_limit = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,6 +65,11 @@ class Encoder(dict):
             self._library(p) == b"".join(self._library(x) for x in p.replace("\n", " ").split(" ")) for p in PROBES
         )
         self.leading = not self.by_piece and all(self._library(p) == b"".join(map(self._library, self._at_spaces(p))) for p in PROBES)
+        self.bytes = self.leading and all(self._library(p) == b"".join(map(self._bytes, _BYTE_LEVEL.findall(p))) for p in PROBES if not self._beyond(p))
+        if self.bytes:
+            self.limit = self.byte_limit
+            if hasattr(self.tokenizer.model, "_resize_cache"):  # the library's own costs more than it gives to words met once
+                self.tokenizer.model._resize_cache(0)
         self.spaced = False
         self.plain = self.by_piece and all(
             self._model(w) == self._library(w) for w in ("the", "thinking", "élève", "über", "zzyzx")
@@ -76,6 +87,11 @@ class Encoder(dict):
             low = low.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
         return b"".join(map(self.__getitem__, low.split()))
 
+    @staticmethod
+    def _beyond(text: str) -> bool:
+        """Whether a text has what only the library splits: characters beyond Latin letters, or special tokens."""
+        return "<|" in text or not text.isascii() and bool(_BEYOND.search(text))
+
     @staticmethod
     def _at_spaces(text: str) -> list[str]:
         """Pieces that begin at a space, which each keeps."""
@@ -92,6 +108,14 @@ class Encoder(dict):
             word = word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
+    def _bytes(self, piece: str) -> bytes:
+        """Ids of one piece of a byte-level tokenizer."""
+        if piece.isascii() and piece[1:].isalnum():
+            shown = self.letters[ord(piece[0])] + piece[1:]
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
     def _keep(self, piece: str, ids: bytes) -> bytes:
         if len(self) >= self.limit:
             # Frequent pieces come early: the first half stays.
@@ -101,6 +125,8 @@ class Encoder(dict):
         return ids
 
     def __missing__(self, piece: str) -> bytes:
+        if self.bytes:
+            return self._keep(piece, self._bytes(piece))
         if not self.plain:
             return self._keep(piece, self._library(piece))
         word = piece[:-1] if piece[-1:] in (".", ",", ";", ":", "!", "?") else piece
@@ -119,6 +145,11 @@ class Encoder(dict):
         """Ids of a whole text (null: none) as little-endian unsigned 32-bit bytes."""
         if not text:
             return b""
+        if self.bytes and not self._beyond(text):
+            return b"".join(map(self.__getitem__, _BYTE_LEVEL.findall(text)))
+        if self.bytes:  # only the runs with such characters are the library's
+            runs = self._at_spaces(text)
+            return b"".join([self._library(x) if self._beyond(x) else b"".join(map(self.__getitem__, _BYTE_LEVEL.findall(x))) for x in runs])
         if self.leading:
             return b"".join(map(self.__getitem__, self._at_spaces(text)))
         if not self.by_piece:
