@@ -7,9 +7,14 @@ neighbours in page order, the more the nearer their paths are in the tree, so th
 paragraphs share in these, and weighted with the path's share of link text and with what the names and kinds of its
 elements say. Paths that reach a share of the best one's score are the content, and units are selected by their paths.
 
-Names (class, id, role) are a weight, never a verdict: the threshold is relative, a name that only partly speaks of
-something else counts little, and one of an element that holds nearly all of the page's text counts nothing. What HTML
-itself keeps for other things (navigation, footers, asides, buttons, scripts) holds no content.
+The element that holds most of these paragraphs is the story's. What else stands in it without a name or kind of its own, such as a list of
+linked sources or lines in bare divs, is part of it between its paragraphs, and below a heading of its own.
+
+Names (class, id, role) are a weight: the threshold is relative, a name that only partly speaks of something else counts
+little, one of an element that holds nearly all of the page's text counts nothing, and one of a paragraph or another part of
+text counts only where its ratio is low, unless it says that readers wrote it. Inline elements have no path, whatever their names, but for those that
+aren't shown and those whose whole name is an advert's. What HTML itself keeps for other things (navigation, footers, asides, buttons, scripts) holds no content wherever it
+stands: a pull quote in an aside is left out.
 """
 
 from __future__ import annotations
@@ -50,6 +55,8 @@ NOT_CONTENT = frozenset(
     "subscribe subscription signup login search pagination pager tags toolbar hidden skip complementary contentinfo dialog "
     "alert disclaimer copyright legal form".split()
 )
+#: Whole names of inline adverts.
+ADVERTS = frozenset("ad ads advert advertisement adsense sponsored".split())
 #: Words that mark what readers wrote.
 READERS = frozenset("comment comments comentarios kommentare respond disqus reply replies".split())
 #: Words that say nothing of what an element is for.
@@ -71,6 +78,10 @@ MASS, READERS_MASS = 0.75, 0.97
 NEIGHBOURS, DISTANCE = 4, 8
 #: A path is content from this part of the best path's score on.
 THRESHOLD = 0.06
+#: A part of text is talk, whatever its name, from this part of the best ratio on.
+TALK = 0.3
+#: What stands in the story's element has this part of the best score, times what its names and kinds say; down to so many steps.
+STORY, STEPS = 0.1, 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -237,16 +248,18 @@ def parse(page: str) -> Page:
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         sign = "" if tag in ("html", "body", "main") else _sign(m[3], tag)
-        # Inline elements are no part of a path unless their names say something.
-        number = out.element(tag, stack[-1][1], sign) if tag in BLOCKS or sign else stack[-1][1]
+        # Inline elements are no part of a path, unless they aren't shown or are adverts by their whole name.
+        apart = sign == "h" or sign[:1] == "n" and not ADVERTS.isdisjoint(sign.split())
+        number = out.element(tag, stack[-1][1], sign) if tag in BLOCKS or apart else stack[-1][1]
         stack.append((tag, number, stack[-1][2] or tag in NEVER))
         open_tags[tag] = open_tags.get(tag, 0) + 1
     text(len(page))
     return out
 
 
-def path_weights(page: Page, sizes: list[int]) -> list[float]:
-    """Weight of each path from the kinds and names of its elements. sizes: characters of each unit."""
+def path_weights(page: Page, sizes: list[int], ratios: list[float]) -> list[float]:
+    """Weight of each path from the kinds and names of its elements. sizes: characters of each unit; ratios: of each path."""
+    talk = TALK * max(ratios)
     total = max(1, sum(sizes))
     held = [0] * len(page.tags)
     for u, n in zip(page.units, sizes, strict=True):
@@ -260,6 +273,8 @@ def path_weights(page: Page, sizes: list[int]) -> list[float]:
     weights, within = [1.0], [False]
     for k, (tag, above, _, sign) in enumerate(page.paths[1:], 1):
         w = weights[above]
+        if tag in PARTS and sign[:1] in ("n", "m") and ratios[k] >= talk:
+            sign = ""
         if sign[:1] == "h":
             w *= UNSEEN
         elif sign[:1] == "r" and most[k] < READERS_MASS or sign[:1] == "n" and most[k] < MASS:
@@ -283,6 +298,40 @@ def path_weights(page: Page, sizes: list[int]) -> list[float]:
     return [w if i == held_by else w * BESIDE for w, i in zip(weights, within, strict=True)] if any(within) else weights
 
 
+def _steps_to(page: Page, path: int, above: int) -> int:
+    """Steps up from a path to one above it; STEPS if there are more, or it isn't above."""
+    steps = 0
+    while path != above:
+        if steps == STEPS or page.paths[path][2] <= page.paths[above][2]:
+            return STEPS
+        path, steps = page.paths[path][1], steps + 1
+    return steps
+
+
+def _lift(page: Page, own: list[float], weights: list[float], score: list[float]) -> None:
+    """Raise the scores of what stands in the story's element: the one whose parts of text hold most."""
+    best, mass = max(own), [0.0] * len(page.paths)
+    strong = [own[u.path] >= THRESHOLD * best and page.paths[u.path][0] in PARTS for u in page.units]
+    for u, s in zip(page.units, strong, strict=True):
+        if s:
+            mass[page.paths[u.path][1]] += len(u.text)
+    story = max(range(len(mass)), key=mass.__getitem__)
+    places = [i for i, u in enumerate(page.units) if strong[i] and page.paths[u.path][1] == story]
+    # Below a heading that follows the last paragraph the story goes on to its end.
+    inside = [0 < _steps_to(page, u.path, story) < STEPS for u in page.units]
+    if places and any(page.paths[u.path][0] in HEADINGS and page.paths[u.path][1] == story and weights[u.path] >= weights[story] for u in page.units[places[-1] + 1 :]):
+        places.append(max(i for i, within in enumerate(inside) if within) + 1)
+    if not places or 2 * mass[story] < sum(mass):
+        return
+    lies, all_ = [0] * len(mass), [0] * len(mass)
+    for i, u in enumerate(page.units):
+        all_[u.path] += 1
+        lies[u.path] += places[0] < i < places[-1]
+    for k in range(1, len(mass)):
+        if 2 * lies[k] > all_[k] and 0 < _steps_to(page, k, story) < STEPS:
+            score[k] = max(score[k], STORY * best * min(1.0, weights[k] / weights[story]))
+
+
 def content_paths(page: Page) -> set[int]:
     """Paths whose smoothed, fused and weighted ratio reaches the threshold."""
     units, n = page.units, len(page.paths)
@@ -297,7 +346,7 @@ def content_paths(page: Page) -> set[int]:
         count[u.path] += 1
     fused = [0.0 if not c else (x / c * (m + 0.1) / c) ** 0.5 * (1 - k / max(1.0, x)) ** 2 for x, m, k, c in zip(length, marks, links, count, strict=True)]
     gauss = [math.exp(-(k**2) / 8) for k in range(NEIGHBOURS + 1)]
-    weights = path_weights(page, sizes)
+    weights = path_weights(page, sizes, fused)
     score = [f * w for f, w in zip(fused, weights, strict=True)]
     own = list(score)
     for i, u in enumerate(units):
@@ -309,27 +358,23 @@ def content_paths(page: Page) -> set[int]:
             most = gauss[abs(i - j)] * share * min(own[v], fused[v] * weights[u.path])
             if v != u.path and most > score[u.path] and (d := page.distance(u.path, v)) <= DISTANCE:
                 score[u.path] = max(score[u.path], most / (1 + d))
+    _lift(page, own, weights, score)
     cut = THRESHOLD * max((score[u.path] for u in units), default=0.0)
     return {u.path for u in units if score[u.path] >= cut}
 
 
 def main_text(page: str | None) -> str:
-    """Main text of a page: blocks in page order, joined by line ends; empty if there is none.
-
-    Of the units on content paths, neighbours on one path that are links throughout are a menu and left out, unless they
-    are paragraphs or headings."""
+    """Main text of a page: units on content paths as blocks in page order, joined by line ends; empty if there is none."""
     if not page:
         return ""
     parsed = parse(page)
-    units = parsed.units = [u for u in parsed.units if u.text]
-    if not units:
+    parsed.units = [u for u in parsed.units if u.text]
+    if not parsed.units:
         return ""
     paths = content_paths(parsed)
-    menu = [u.linked >= 0.8 * len(u.text) and parsed.paths[u.path][0] not in HEADINGS and parsed.paths[u.path][0] != "p" for u in units]
     lines: dict[int, list[str]] = {}
-    for i, u in enumerate(units):
-        beside = any(0 <= j < len(units) and menu[j] and units[j].path == u.path for j in (i - 1, i + 1))
-        if u.path in paths and not (menu[i] and beside):
+    for u in parsed.units:
+        if u.path in paths:
             lines.setdefault(u.block, []).extend(u.parts)
     joined = (" ".join("".join(parts).split()) for parts in lines.values())
     return "\n".join(x for x in joined if x)

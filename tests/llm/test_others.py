@@ -299,6 +299,26 @@ def test_pages_of_many_kinds(page, text):
     assert H.main_text(page) == text
 
 
+LINKS = "<ul><li><a href=a>Report of the council</a><li><a href=b>A second source</a></ul>"
+LINKED = "Report of the council\nA second source\n"
+
+
+@pytest.mark.parametrize("tag", ["article", "div class=post", "main"])
+def test_nothing_of_the_story_is_lost(tag):
+    page = lambda inner: H.main_text(f"<body><nav><a href=x>Home</a></nav><{tag}>{STORY * 2}{inner}{STORY * 2}</{tag.split()[0]}><div>Imprint</div><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></body>")
+    told = TOLD.split("\n")[0] + "\n" + TOLD.split("\n")[0] + "\n"
+    # Names of inline elements and of paragraphs.
+    inline = "lost <span class='share'>40 percent</span> of its <em class='menu'>value</em>, <b class='ad-hoc'>as such</b>"
+    assert page(f"<p>It {inline}.</p>") == told + "It lost 40 percent of its value, as such.\n" + told[:-1]
+    assert page(f"<p class='promo-free legal'>{STORY[3:-4]}</p>") == told + told.split("\n")[0] + "\n" + told[:-1]
+    assert page("<p class=ad>Buy now</p><div class='share'>Share this</div>") == told + told[:-1]
+    # Linked lists and bare lines among paragraphs, and below a heading at the end.
+    assert page(LINKS) == told + LINKED + told[:-1]
+    assert page("".join(f"<div>Line {i}</div>" for i in range(12))) == told + "".join(f"Line {i}\n" for i in range(12)) + told[:-1]
+    end = f"<{tag}>{STORY * 4}<h2>Sources</h2>{LINKS}<div class=share>Share</div></{tag.split()[0]}><div>Imprint</div>"
+    assert H.main_text(end) == TOLD + "\nSources\n" + LINKED[:-1]
+
+
 def test_paths_decide(spark, sf, monkeypatch):
     """The score of its path, and nothing else, selects a unit."""
     pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
