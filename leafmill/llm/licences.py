@@ -12,6 +12,7 @@ together (and) the most, and an exception (with) lowers a copyleft to a weak one
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,9 +163,9 @@ def licences_of(rpn: list[str]) -> list[str]:
 _EXPRESSION = re.compile(r"[ \t]*((?:[()]|[a-z0-9.+:-]+|[ \t])+)")
 
 
-def tag_expression(low: str, end: int) -> list[str] | None:
-    """The longest expression on the line after a tag that ends at ``end``."""
-    m = _EXPRESSION.match(low, end)
+def tag_expression(low: str, end: int, upto: int | None = None) -> list[str] | None:
+    """The longest expression on the line after a tag that ends at ``end``, up to where the next tag begins."""
+    m = _EXPRESSION.match(low, end, len(low) if upto is None else upto)
     return parse_tokens([t.rstrip(".:") if len(t) > 1 else t for t in TOKEN.findall(m[1])]) if m else None
 
 
@@ -186,9 +187,12 @@ class Scanner:
         self.tags.make_automaton()
 
     def _expressions(self, low: str) -> list[list[str]]:
-        """Expressions behind tags. Of tags that end at one place, each says the same."""
-        ends = sorted({end + 1 for end, _ in self.tags.iter(low)})
-        return [rpn for end in ends if (rpn := tag_expression(low, end))]
+        """Expressions behind tags. Of tags that end at one place, each says the same; an expression ends where another tag begins, so
+        each character is read once for each tag that it is part of."""
+        found = [(end + 1, end + 1 - size) for end, size in self.tags.iter(low)]
+        ends, starts = sorted({e for e, _ in found}), sorted(s for _, s in found)
+        upto = (starts[i] if (i := bisect_left(starts, e)) < len(starts) else None for e in ends)
+        return [rpn for e, u in zip(ends, upto, strict=True) if (rpn := tag_expression(low, e, u))]
 
     def scan(self, text: str | None) -> tuple:
         """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, asks."""

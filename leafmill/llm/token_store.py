@@ -45,6 +45,8 @@ SHARD_BYTES, SHARD_DOCS = 64 << 20, 1 << 19
 SHARD_BITS = 24
 #: Bytes of text that a range partition sorts, about; there are as many as the session's shuffle partitions at least.
 TASK_BYTES = 256 << 20
+#: Ids that are read from a shard at once, at most, unless one key has more.
+READ_IDS = 1 << 22
 
 
 # -- minimal perfect hash -------------------------------------------------------------------
@@ -218,17 +220,32 @@ class TokenStore:
         def read_shard(found: pd.DataFrame) -> pd.DataFrame:
             shard, rows = Shard(folder, int(found["shard"].iloc[0])), []
             names, sizes = shard.documents()
-            for r in found.sort_values("first").itertuples():
-                at, lo = r.first, int(np.searchsorted(names, r.key))
-                for n in sizes[lo : lo + r.records].tolist():
-                    rows.append((r.shard, r.key, at, n, zlib.crc32(shard.ids(at, n).astype("<u4").tobytes())))
-                    at += n
+            found = found.sort_values("first", ignore_index=True)
+            for part in _stretches(found["first"].to_numpy(), found["ids"].to_numpy()):
+                begin, read = int(found["first"].iloc[part.start]), int(found["ids"].iloc[part].sum())
+                ids = shard.ids(begin, read).astype("<u4")
+                for r in found.iloc[part].itertuples():
+                    at, lo = r.first, int(np.searchsorted(names, r.key))
+                    for n in sizes[lo : lo + r.records].tolist():
+                        rows.append((r.shard, r.key, at, n, zlib.crc32(ids[at - begin : at - begin + n].tobytes())))
+                        at += n
             return pd.DataFrame(rows, columns=["shard", "key", "at", "n_tokens", "ids_crc32"])
 
         places = self.lookup(keys).groupBy("shard").applyInPandas(read_shard, "shard long, key long, at long, n_tokens long, ids_crc32 long")
         return places.join(self.bases, "shard").select("key", (F.col("at") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _stretches(first: np.ndarray, ids: np.ndarray) -> Iterator[slice]:
+    """Places in order as stretches that follow each other in the file, each of READ_IDS or one place at most: one read each."""
+    i = 0
+    while i < len(first):
+        j = i + 1
+        while j < len(first) and first[j] == first[j - 1] + ids[j - 1] and first[j] + ids[j] - first[i] <= READ_IDS:
+            j += 1
+        yield slice(i, j)
+        i = j
+
+
 def _look_up(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     names = ["shard", "first", "ids", "records"]
     if not len(index) or not len(keys):

@@ -227,6 +227,23 @@ def test_licences(spark, documents, edge_docs, no_docs):
     assert got[3].base_labels == "gpl"
 
 
+def test_rows_of_tags():
+    """An expression ends where the next tag begins, so rows of tags take linear time."""
+    import time
+
+    scanner = licences.Scanner()
+    assert scanner.scan("SPDX-License-Identifier: MIT or SPDX-License-Identifier: GPL-2.0 and BSD")[7] == ["mit", "gpl-2.0 bsd and"]
+
+    def took(n):
+        began = time.process_time()
+        assert len(scanner.scan("SPDX-License-Identifier: MIT " * n)[7]) == n
+        return time.process_time() - began
+
+    took(100)
+    short, long = min(took(1000) for _ in range(3)), min(took(8000) for _ in range(3))
+    assert long < 20 * short, (short, long)
+
+
 # -- html --
 
 

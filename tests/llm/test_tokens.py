@@ -117,3 +117,20 @@ def test_perfect_hash():
     assert sorted(at.tolist()) == list(range(len(keys)))
     with pytest.raises(ValueError, match="distinct"):
         token_store.build_mph(np.array([1, 1]))
+
+
+def test_stretches():
+    first, ids = np.array([0, 5, 9, 20, 25]), np.array([5, 4, 6, 5, 100])
+    assert [(s.start, s.stop) for s in token_store._stretches(first, ids)] == [(0, 3), (3, 5)]
+    assert list(token_store._stretches(first[:0], ids[:0])) == []
+
+
+def test_few_reads(spark, monkeypatch, tmp_path):
+    """A scan of all keys reads stretches, not records."""
+    docs = spark.range(500).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    store = token_store.write_token_store(docs, PATH, shards=1, folder=f"file://{tmp_path}/s")
+    assert token_store.read_documents(store, docs).count() == 500
+    shard = token_store.Shard(f"{store.folder}/ids", 0)
+    assert len(list(token_store._stretches(np.arange(0, 50, 5), np.full(10, 5)))) == 1 and len(shard.ids(0, 3)) == 3
+    monkeypatch.setattr(token_store, "READ_IDS", 7)
+    assert len(list(token_store._stretches(np.arange(0, 50, 5), np.full(10, 5)))) == 10
