@@ -4,10 +4,11 @@ Terms are runs of three words. An item's scores are divided by the least score t
 holds three quarters of its shingles, so one threshold, 1, holds for all, and retrieval loses nothing that the
 verification would accept. Block-max WAND walks the postings of a passage's terms: lists are ordered by the item
 they stand at, the pivot is where the lists' greatest weights first reach the threshold, and the greatest
-weights of the blocks there decide whether the item is scored or skipped.
+weights of the blocks there decide whether they are skipped or all of their items scored at once: where items share a template, its
+words weigh next to nothing, and a passage that holds it retrieves many.
 
 What it retrieves is verified: shares of the 5-word shingles of the item, of its question and of its answer that
-stand in the passage.
+stand in the passage, by counters over an inverted index of shingles, for all items at once.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, release_memory
+from .common import bounded_batches, release_memory, stage
 from .words import LETTERS, grams, word_hashes
 
 TERM_WORDS = 3
@@ -28,7 +30,7 @@ SHINGLE_WORDS = 5
 OVERLAP = 0.75
 K1, B = 1.2, 0.75
 #: Postings in a block.
-BLOCK = 16
+BLOCK = 64
 #: Words of a passage at least; it is twice the longest item otherwise. Passages overlap by half.
 PASSAGE_WORDS = 128
 #: Bytes of item texts in one index, which is broadcast; more items make more indexes, one pass for each. An index is flat
@@ -36,6 +38,10 @@ PASSAGE_WORDS = 128
 INDEX_BYTES = 6 << 20
 ARRAYS = 10
 
+#: Bits of an item's number within a posting.
+ITEM_BITS = 32
+ITEMS = (1 << ITEM_BITS) - 1
+
 _ANSWER = re.compile(r"\n\s*(?:answer|a)\s*[:.]\s*", re.IGNORECASE)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
@@ -73,26 +79,35 @@ def _flat(parts: list[np.ndarray], kind) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Postings:
-    """Postings of all terms in a row: [term] gives its items and weights."""
+    """Postings of all terms in a row, ascending: the term's number above ITEM_BITS bits of the item's, and weights."""
 
-    def __init__(self, items: np.ndarray, weights: np.ndarray, at: np.ndarray):
-        self.items, self.weights, self.at = items, weights, at
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, at: np.ndarray):
+        self.keys, self.weights, self.at = keys, weights, at
 
     def __len__(self) -> int:
         return len(self.at) - 1
 
     def __getitem__(self, term: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.ids(term), self.weights[self.at[term] : self.at[term + 1]].astype(np.float64)
+        part = slice(self.at[term], self.at[term + 1])
+        return self.keys[part] & ITEMS, self.weights[part].astype(np.float64)
+
+    def find(self, terms: np.ndarray, item: int) -> np.ndarray:
+        """Place of the first posting of each term that isn't before an item; its list's end if there is none."""
+        return np.searchsorted(self.keys, terms << ITEM_BITS | item)
+
 
-    def ids(self, term: int) -> np.ndarray:
-        return self.items[self.at[term] : self.at[term + 1]]
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All places from begin to end of each."""
+    n = np.maximum(end - begin, 0)
+    return np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
 
 
 class Index:
     """Postings of items by term, in blocks with their greatest weights; flat arrays throughout."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        ids, sizes, shingles, terms, weights = [], [], ([], [], []), [], []
+        ids, sizes, shingles, members, terms, weights = [], [], [], [], [], []
+        part_sizes: list[tuple[int, int, int]] = []
         shingle_sizes, term_sizes = set(), set()
         counts = []
         for item_id, text in sorted(rows, key=_by_id):
@@ -102,15 +117,26 @@ class Index:
                 continue
             ids.append(item_id)
             sizes.append(n)
-            for held, w in zip(shingles, words, strict=True):
-                held.append(_parts(w, SHINGLE_WORDS))
-                shingle_sizes.add(min(SHINGLE_WORDS, len(w)))
+            parts = [_parts(w, SHINGLE_WORDS) for w in words]
+            shingle_sizes.update(min(SHINGLE_WORDS, len(w)) for w in words)
+            every = np.unique(np.concatenate(parts))
+            shingles.append(every)
+            member = np.zeros(len(every), np.uint8)
+            for i, x in enumerate(parts):
+                member[np.searchsorted(every, x)] |= 1 << i
+            members.append(member)
+            part_sizes.append(tuple(map(len, parts)))
             term_sizes.add(min(TERM_WORDS, n))
             t, c = np.unique(grams(words[0], min(TERM_WORDS, n)), return_counts=True)
             terms.append(t)
             counts.append(c.astype(np.int32))
         self.ids, self.term_sizes, self.shingle_sizes = ids, sorted(term_sizes), sorted(shingle_sizes - {0})
-        self.shingles = [_flat(x, np.uint64) for x in shingles]
+        self.sizes = np.array(part_sizes, np.int32).reshape(-1, 3)
+        flat, at = _flat(shingles, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.shingles, self.members = flat[order], _flat(members, np.uint8)[0][order]
+        self.holders = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(at))[order]
+        del flat, order, shingles, members
         lengths, n = np.array(sizes, np.float64), len(ids)
         self.n_items, self.passage = n, max(PASSAGE_WORDS, 2 * max(sizes, default=0))
         flat, at = _flat(terms, np.uint64)
@@ -124,7 +150,7 @@ class Index:
             tf = counts[k].astype(np.float64)
             w = rarity[which[at[k] : at[k + 1]]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[k] / mean))
             # A quarter of the shingles of question and answer may be missing, and with them as many terms.
-            question, answer = (int(x[1][k + 1] - x[1][k]) for x in self.shingles[1:])
+            question, answer = self.sizes[k, 1:].tolist()
             lost = sum(int((1 - OVERLAP) * x) + 1 for x in (question, answer)) if lengths[k] > SHINGLE_WORDS else 0
             bound = np.sort(w)[: max(1, len(w) - lost - (SHINGLE_WORDS - TERM_WORDS))].sum()
             # Rounded up, so that no item loses its score to single precision.
@@ -132,10 +158,10 @@ class Index:
         all_weights, _ = _flat(weights, np.float32)
         del weights, counts
         order = np.argsort(which, kind="stable")  # within a term, items ascend
-        items = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))[order]
+        keys = which[order].astype(np.int64) << ITEM_BITS | np.repeat(np.arange(n), np.diff(at))[order]
         starts = np.zeros(len(self.terms) + 1, np.int64)
         np.cumsum(df.astype(np.int64), out=starts[1:])
-        self.postings = Postings(items, all_weights[order], starts)
+        self.postings = Postings(keys, all_weights[order], starts)
         # Blocks begin anew with each term.
         blocks = -(-np.diff(starts) // BLOCK)
         self.block_at = np.zeros(len(self.terms) + 1, np.int64)
@@ -149,13 +175,15 @@ class Index:
 
     @property
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.terms, self.postings.items, self.postings.weights, self.postings.at, self.block_at, self.block_max, self.greatest, self.bits, *(y for z in self.shingles for y in z)))
+        return sum(x.nbytes for x in (self.terms, self.postings.keys, self.postings.weights, self.postings.at, self.block_at, self.block_max, self.greatest, self.bits, self.shingles, self.members, self.holders, self.sizes))
 
-    def share(self, part: int, item: int, window: np.ndarray) -> float:
-        """Share of an item's shingles (0: of the whole, 1: question, 2: answer) that are in a sorted window."""
-        flat, at = self.shingles[part]
-        x = flat[at[item] : at[item + 1]]
-        return float(np.isin(x, window).mean()) if len(x) else 1.0
+    def shares(self, items: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Shares of the items' shingles (columns: of the whole, question, answer) that are in a window of distinct ones; of none: 1."""
+        at = _ranges(np.searchsorted(self.shingles, window), np.searchsorted(self.shingles, window, "right"))
+        who, what = self.holders[at], self.members[at]
+        found = np.stack([np.bincount(who[what >> i & 1 == 1], minlength=self.n_items)[items] for i in range(3)], 1)
+        of = self.sizes[items]
+        return np.where(of > 0, found / np.maximum(of, 1), 1.0)
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in a text and numbers of the terms that stand there, by position."""
@@ -172,54 +200,40 @@ class Index:
         return at[order], which[order]
 
     def retrieve(self, terms: list[int], threshold: float = 1.0) -> list[tuple[int, float]]:
-        """All items whose score for a query of distinct terms reaches the threshold, by block-max WAND."""
-        slack = threshold - 1e-9
-        # A cursor: the item it stands at, its term, its place in the list.
-        cursors = [[int(self.postings.items[self.postings.at[t]]), t, 0] for t in terms]
-        out, end = [], self.n_items
-
-        def move(c: list, item: int) -> None:
-            ids = self.postings.ids(c[1])
-            c[2] += int(np.searchsorted(ids[c[2] :], item))
-            c[0] = int(ids[c[2]]) if c[2] < len(ids) else end
-
+        """All items whose score for a query of distinct terms reaches the threshold, by block-max WAND. Where the blocks of a
+        pivot can reach it, their items are scored together."""
+        slack, post, end = threshold - 1e-9, self.postings, self.n_items
+        t = np.asarray(terms, np.int64)
+        p = post.at[t]
+        out: list[tuple[int, float]] = []
         while True:
-            cursors = sorted(c for c in cursors if c[0] < end)
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                bound += self.greatest[c[1]]
-                if bound >= slack:
-                    pivot = k
-                    break
-            if pivot < 0:
+            alive = p < post.at[t + 1]
+            t, p = t[alive], p[alive]
+            stands = post.keys[p] & ITEMS
+            order = np.argsort(stands, kind="stable")
+            pivot = int(np.searchsorted(np.cumsum(self.greatest[t[order]]), slack))
+            if pivot >= len(t):
                 return out
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
+            item = int(stands[order[pivot]])
+            upto_pivot = order[: np.searchsorted(stands[order], item, "right")]
             # Greatest weights of the blocks in which the item would stand, and where the first of them ends.
-            bound, last = 0.0, end
-            for c in cursors[: pivot + 1]:
-                ids, n = self.postings.ids(c[1]), c[2]
-                n += int(np.searchsorted(ids[n:], item))
-                if n < len(ids):
-                    b = n // BLOCK
-                    bound += float(self.block_max[self.block_at[c[1]] + b])
-                    last = min(last, int(ids[min(len(ids), (b + 1) * BLOCK) - 1]))
-            if bound < slack:
+            mine = t[upto_pivot]
+            at = post.find(mine, item)
+            there = at < post.at[mine + 1]
+            mine, at = mine[there], at[there]
+            block = (at - post.at[mine]) // BLOCK
+            last = int((post.keys[np.minimum(post.at[mine] + (block + 1) * BLOCK, post.at[mine + 1]) - 1] & ITEMS).min())
+            if float(self.block_max[self.block_at[mine] + block].sum(dtype=np.float64)) < slack:
                 # No item up to the end of these blocks (or before the next list's) can reach it.
-                following = cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end
-                upto = max(item + 1, min(last + 1, following))
-                for c in cursors[: pivot + 1]:
-                    move(c, upto)
-            elif cursors[0][0] == item:
-                score = sum(float(self.postings.weights[self.postings.at[c[1]] + c[2]]) for c in cursors[: pivot + 1])
-                if score >= slack:
-                    out.append((item, score))
-                for c in cursors[: pivot + 1]:
-                    move(c, item + 1)
-            else:
-                for c in cursors[:pivot]:
-                    move(c, item)
+                following = int(stands[order[len(upto_pivot)]]) if len(upto_pivot) < len(order) else end
+                p[upto_pivot] = post.find(t[upto_pivot], max(item + 1, min(last + 1, following)))
+                continue
+            begin, p = post.find(t, item), post.find(t, last + 1)
+            among = _ranges(begin, p)
+            which = (post.keys[among] & ITEMS) - item
+            score = np.bincount(which, post.weights[among], last + 1 - item)
+            good = np.flatnonzero(score >= slack)
+            out += zip((good + item).tolist(), score[good].tolist(), strict=True)
 
     def search(self, text: str | None) -> list[tuple[int, float, float, float, float]]:
         """(item_id, score, question, answer, whole) of each item that a passage of a text holds."""
@@ -234,13 +248,13 @@ class Index:
             terms = np.unique(which[lo:hi])
             if self.greatest[terms].sum() < 1 - 1e-9:
                 continue
-            window = None
-            for item, score in self.retrieve(terms.tolist()):
-                if window is None:
-                    window = np.unique(np.concatenate([grams(words[k * step : k * step + self.passage + SHINGLE_WORDS], s) for s in self.shingle_sizes]))
-                w, q, a = (self.share(part, item, window) for part in range(3))
-                if w >= OVERLAP or q >= OVERLAP and a >= OVERLAP:
-                    best[item] = max(best.get(item, (0.0,)), (w, round(score, 6), q, a))
+            if not (found := self.retrieve(terms.tolist())):
+                continue
+            window = np.unique(np.concatenate([grams(words[k * step : k * step + self.passage + SHINGLE_WORDS], s) for s in self.shingle_sizes]))
+            shares = self.shares(np.array([item for item, _ in found]), window)
+            for i in np.flatnonzero((shares[:, 0] >= OVERLAP) | (shares[:, 1:] >= OVERLAP).all(1)).tolist():
+                (item, score), (w, q, a) = found[i], shares[i].tolist()
+                best[item] = max(best.get(item, (0.0,)), (w, round(score, 6), q, a))
         return [(self.ids[k], s, q, a, w) for k, (w, s, q, a) in sorted(best.items())]
 
 
@@ -259,7 +273,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     are searched one by one; empty tables give no rows. Other columns of both tables are not read.
 
     The items' index is broadcast: at most INDEX_BYTES of text, as flat arrays of about ARRAYS times as many bytes. Beyond,
-    items are dealt into several by a hash of their text, each built, broadcast and searched in a pass of its own."""
+    items are dealt into several by a hash of their text, and each is built, broadcast and searched in a pass of its own whose result is
+    written; one index is alive at a time, on the driver and in the workers."""
     spark = docs.sparkSession
     bounded_batches(spark)
     known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
@@ -277,10 +292,17 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         return run
 
+    def found(shard: int) -> tuple[DataFrame, Broadcast]:
+        mine = known if shards == 1 else known.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard)
+        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in mine.collect()]))
+        return source.mapInArrow(search(index), SCHEMA), index
+
+    if shards == 1:
+        return found(0)[0]
     out = None
     for shard in range(shards):
-        mine = known if shards == 1 else known.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard)
-        index = Index([(r.item_id, r.text) for r in mine.collect()])
-        found = source.mapInArrow(search(spark.sparkContext.broadcast(index)), SCHEMA)
-        out = found if out is None else out.unionByName(found)
+        rows, index = found(shard)
+        rows, _ = stage(rows, "leaks")
+        index.destroy()
+        out = rows if out is None else out.unionByName(rows)
     return out

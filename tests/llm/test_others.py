@@ -41,6 +41,25 @@ def test_wand():
         assert sorted((k, round(v, 9)) for k, v in score.items() if v >= 1 - 1e-9) == sorted((k, round(v, 9)) for k, v in index.retrieve(query))
 
 
+def test_templates():
+    """Items that share most of their words are found all at once, and not where only some of the template stands."""
+    import time
+
+    rng = random.Random(1)
+    own = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    template = [f"t{i}" for i in range(40)]
+    rows = [(i, " ".join([*template[:30], *own(8), *template[30:]])) for i in range(4000)]
+    index = D.Index(rows)
+    whole, some = " ".join([*rows[7][1].split(), *own(100)]), " ".join([*template[:12], *own(138)])
+    began = time.process_time()
+    found, none = index.search(whole), index.search(some)
+    assert time.process_time() - began < 1
+    parts = lambda text: {tuple(x) for w in [text.split()] for x in zip(*(w[i:] for i in range(5)), strict=False)}
+    held = parts(whole)
+    want = [i for i, text in rows if len(parts(text) & held) >= 0.75 * len(parts(text))]
+    assert [f[0] for f in found if f[4] >= 0.75] == want and none == [] and dict((f[0], f[4]) for f in found)[7] == 1.0
+
+
 def test_leaks(spark, sf, documents, edge_docs, no_docs):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in D.find_leaks(documents, items).collect()}
