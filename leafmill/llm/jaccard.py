@@ -17,7 +17,7 @@ prefixes (the first n - ceil(0.75 n) + 1 tokens of each) share a token. So:
 5. Components of these links are those of all links: a pair is passed over only if it can't link or
    is connected.
 
-Documents with one set are one node from the first pass on. A group of more than BLOCK sets is dealt
+Documents with one set are one node from the first pass on. A group of more than BLOCK sets, or of long ones, is dealt
 into blocks at random; afterwards only sets outside the group's largest component meet the other blocks.
 """
 
@@ -43,8 +43,10 @@ SKETCH = 1 << 22
 PART = 1 << 16
 #: Orders besides the first one.
 ORDERS = (1, 2)
-#: Sets that are compared in one task at once.
-BLOCK = 4096
+#: Sets that are compared in one task at once, and shingles that they have together (hashes and text: some 20 bytes each), about.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 22
+#: Hashes that a task of the first pass holds before it counts them.
+HELD_HASHES = 1 << 21
 #: Sizes and places from here on are not told apart in postings.
 LARGE = 65535
 #: Sets that meet at a token are tried pair by pair, by place and size, up to so many of them.
@@ -55,8 +57,6 @@ BUCKET_POSTINGS = 1 << 18
 TASK_BUCKETS = 16
 #: Rows of groups that are split at once, about.
 SPLIT_ROWS = 1 << 13
-#: Groups of more sets go straight to blocks: a token that so many sets have is not dealt again.
-HUGE = 1 << 20
 #: Rows of the table of large groups (16 bytes each) up to which it is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Bits of the Bloom filter over the documents whose texts are wanted: fixed, so it is broadcast.
@@ -99,7 +99,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (doc_id, n, node) for each document, and at the end the task's counts in parts. A task counts to
     255: counts order the tokens, and a token that is so frequent in one task comes late anyway."""
-    counts, held = np.zeros(SKETCH, np.uint32), []
+    counts, held, hashes = np.zeros(SKETCH, np.uint32), [], 0
     rows: list[tuple] = []
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -113,9 +113,11 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for doc, text in _texts(batches):
         s = shingles(text.as_py())
         held.append((s & np.uint64(SKETCH - 1)).astype(np.int64))
+        hashes += len(s)
         rows.append((doc, len(s), node_of(s) if len(s) else None, None, None))
-        if len(held) >= 2000:
+        if hashes >= HELD_HASHES or len(held) >= 2000:
             count()
+            hashes = 0
         if len(rows) >= 20_000:
             yield batch(rows)
             rows = []
@@ -471,7 +473,7 @@ def _with_text(rows: DataFrame, named: DataFrame, unnamed: DataFrame | None, doc
 def _refine(groups: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs: DataFrame) -> DataFrame:
     """Groups (a, node) met with the filters of the further orders: groups of sets that meet at prefix tokens under
     each of them too. Small ones are split many at a time; those of more than BLOCK sets are dealt out by group and
-    token; of more than HUGE sets they stay as they are."""
+    token, whatever their size."""
     spark = docs.sparkSession
     wanted, path = stage(groups.select("node").distinct().join(named, "node"), "jaccard-members")
     # Documents that the filter lets pass by chance, or by an id that is there with another text too, have sets in no group: they join with none.
@@ -489,25 +491,26 @@ def _refine(groups: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs
     split = _by_bucket(small.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets))), buckets).applyInPandas(_split, "a long, node long")
     out, _ = stage(split, "jaccard-split")
     if not sizes.isEmpty():
-        kept = groups.join(large.where(F.col("size") > HUGE), "a", "left_semi")
-        now = groups.join(large.where(F.col("size") <= HUGE), "a", "left_semi")
+        now = groups.join(large, "a", "left_semi")
         for order in ORDERS:
             posted, new = stage(now.join(prefixes.hint("merge"), "node").select("a", "node", "n", F.col(f"p{order}").alias("tokens")), "jaccard-posted")
             buckets = _buckets(posted)
             met = _by_bucket(posted.mapInArrow(_dealt_again(buckets, order), "bucket long, rows binary"), buckets).applyInPandas(_groups, "a long, node long")
             now, _ = stage(met.distinct(), "jaccard-groups")
             drop(spark, new)
-        out, _ = stage(out.unionByName(now).unionByName(kept), "jaccard-refined")
+        out, _ = stage(out.unionByName(now), "jaccard-refined")
     drop(spark, path, path2)
     return out
 
 
-def _links(groups: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs: DataFrame) -> DataFrame:
-    """Links of all groups (a, node); edges u, v."""
+def _links(groups: DataFrame, nodes: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs: DataFrame) -> DataFrame:
+    """Links of all groups (a, node); edges u, v. A group of many sets, or of long ones, is dealt into blocks."""
     links = "u long, v long"
-    # At most one row for BLOCK rows of groups.
-    sizes, _ = stage(groups.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "jaccard-sizes")
-    groups = groups.join(sized_broadcast(sizes, BROADCAST_ROWS), "a", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1).cast("long")))
+    # At most one row for BLOCK rows or BLOCK_SHINGLES shingles of groups.
+    sized = groups.join(nodes.select("node", "n").hint("merge"), "node").groupBy("a").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    sizes, _ = stage(sized.select("a", F.least(blocks, F.col("size")).alias("blocks")).where("blocks > 1"), "jaccard-sizes")
+    groups = groups.join(sized_broadcast(sizes, BROADCAST_ROWS), "a", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     block = F.pmod(F.xxhash64("node", "a"), F.col("blocks"))
     rows = groups.select("a", "node", block.alias("b"), F.lit(0).alias("side"), F.col("node").alias("root"))
     edges, _ = stage(_with_text(rows, named, unnamed, docs).groupBy("a", "b").applyInPandas(_link_group, links), "jaccard-links")
@@ -518,10 +521,11 @@ def _links(groups: DataFrame, named: DataFrame, unnamed: DataFrame | None, docs:
     comps = components(edges).select("node", F.col("component").alias("root"))
     known = large.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     counts = known.groupBy("a", "root").agg(F.count("*").alias("n"))
-    main = counts.groupBy("a").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    main = counts.groupBy("a").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("size"))
     known, _ = stage(known.join(main, "a").withColumn("b", block), "jaccard-large")
     rest = known.where("root != main")
-    rests = rest.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("rests"))
+    # As many sets of the rest to a block as of the whole.
+    rests = rest.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.first("blocks") / F.first("size"))).cast("long").alias("rests"))
     left = rest.join(rests, "a").select("a", "node", "root", F.pmod(F.xxhash64("node", "a", F.lit(1)), F.col("rests")).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), F.lit(1).alias("side"))
     right = known.join(rests, "a").select("a", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("r"), "b", F.lit(2).alias("side"))
     more = _with_text(left.unionByName(right), named, unnamed, docs).groupBy("a", "r", "b").applyInPandas(_link_group, links)
@@ -552,7 +556,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     met, path = stage(_by_bucket(dealt, buckets).applyInPandas(_groups, "a long, node long").distinct(), "jaccard-groups")
     named = nodes.where("rep IS NOT NULL").select("node", "rep")
     unnamed = _unnamed(sets, named, docs)
-    comps, _ = stage(components(_links(_refine(met, named, unnamed, docs), named, unnamed, docs)), "jaccard-components")
+    comps, _ = stage(components(_links(_refine(met, named, unnamed, docs), nodes, named, unnamed, docs)), "jaccard-components")
     drop(spark, path)
     # The least id of each component, by way of nodes. Each table is staged, so that the next join deals both sides anew and
     # Spark can split a frequent key's rows.

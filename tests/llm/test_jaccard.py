@@ -64,7 +64,7 @@ def test_near_copies(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 3)
     monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(J, "BUCKET_POSTINGS", 500)
-    monkeypatch.setattr(J, "HUGE", 6)
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 40)
     assert run(docs) == want
 
 
