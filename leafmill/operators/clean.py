@@ -30,25 +30,34 @@ def _where(lines: Column, test) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: test(F.get(lines, i), i))
 
 
+def _first(flags: Column, low: Column, count: Column | int) -> Column:
+    """First position from ``low`` on, within ``count`` lines, whose flag holds; null if there is none."""
+    found = F.array_position(F.slice(flags, low + 1, F.lit(count) if isinstance(count, int) else count), F.lit(True))
+    return F.when(found > 0, low + found.cast("int") - 1)
+
+
 def sections(lines: Column) -> Column:
     """Inserted profile pages as (first, end) positions: from a signature to the end marker and what follows it, else
-    to two blank lines, else 30 lines on. A signature within a section starts none."""
+    to two blank lines, else 30 lines on. A signature within a section starts none. A section looks at the lines that it may hold, not
+    at all of the document."""
     any_end = F.lit(P.any_of(P.SECTION_END))
     more = F.lit(P.any_of(P.SECTION_MORE))
+    blank = lambda i: F.coalesce(is_blank(F.get(lines, i)), F.lit(False))
     parts = F.struct(
         _where(lines, lambda x, i: F.regexp_like(x, F.lit(P.SIGNATURE))).alias("starts"),
-        _where(lines, lambda x, i: F.regexp_like(x, any_end)).alias("ends"),
-        _where(lines, lambda x, i: ~(F.regexp_like(x, more) | is_blank(x))).alias("others"),
-        _where(lines, lambda x, i: is_blank(x) & F.coalesce(is_blank(F.get(lines, i + 1)), F.lit(False))).alias("gaps"),
+        F.transform(lines, lambda x: F.regexp_like(x, any_end)).alias("ends"),
+        F.transform(lines, lambda x: ~(F.regexp_like(x, more) | is_blank(x))).alias("others"),
+        F.transform(lines, lambda x, i: is_blank(x) & blank(i + 1)).alias("gaps"),
         F.size(lines).alias("n"),
     )
 
     def end_of(p: Column, i: Column) -> Column:
-        first = lambda xs, lo, hi: F.get(F.filter(xs, lambda x: (x >= lo) & (x < hi)), 0)
-        mark = first(p["ends"], i, i + ENDS_WITHIN)
-        after = F.coalesce(first(p["others"], mark + 1, p["n"]), p["n"])
-        gap = F.coalesce(first(p["gaps"], i, i + BLANKS_WITHIN), F.least(i + BLANKS_WITHIN, p["n"]))
-        return F.when(mark.isNotNull(), after).otherwise(gap)
+        def end(mark: Column) -> Column:
+            after = F.coalesce(_first(p["others"], mark + 1, p["n"]), p["n"])
+            gap = F.coalesce(_first(p["gaps"], i, BLANKS_WITHIN), F.least(i + BLANKS_WITHIN, p["n"]))
+            return F.when(mark.isNotNull(), after).otherwise(gap)
+
+        return let(_first(p["ends"], i, ENDS_WITHIN), end)
 
     def fold(p: Column) -> Column:
         none = F.array().cast("array<struct<first:int,end:int>>")
@@ -63,10 +72,14 @@ def sections(lines: Column) -> Column:
 
 
 def strip_sections(lines: Column, found: Column) -> Column:
-    """Lines outside ``found``, without a link to statistics among the last ten."""
+    """Lines outside ``found`` (ascending, apart from each other), without a link to statistics among the last ten."""
     n = F.size(lines)
     trailing = lambda x, i: (i >= n - TRAILING_LINES) & F.regexp_like(x, F.lit(P.TRAILING))
-    return F.filter(lines, lambda x, i: ~F.exists(found, lambda s: (i >= s["first"]) & (i < s["end"])) & ~trailing(x, i))
+    left = F.transform(lines, lambda x, i: F.when(~trailing(x, i), x))
+    begins = F.concat(F.array(F.lit(0)), F.transform(found, lambda s: s["end"]))
+    ends = F.concat(F.transform(found, lambda s: s["first"]), F.array(n))
+    between = lambda whole: F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(whole, a + 1, F.greatest(b - a, F.lit(0)))))
+    return F.filter(let(left, between), lambda x: x.isNotNull())
 
 
 # -- repeats --------------------------------------------------------------------------------
