@@ -88,22 +88,28 @@ SECTION_MORE = [
     rf"(?i){_START}View\s+publication\s+stats?{_EDGE}",
 ]
 TRAILING = r"(?i)^\s*View\s+publication\s+stats?\s*\z"
+#: Of the patterns of profile pages, those that other lists name too.
+VIEW_PROJECT = r"(?i)^\s*[A-Za-z0-9_][A-Za-z0-9_\s]*View\s+project\s*[A-Za-z0-9_\s]*\z"
+UPLOADED_BY = rf"(?i)uploaded by\s+{_ANY}*\s+on\s+{_ANY}*20[0-9]\d"
+RELATED_PROJECTS = r"(?i)Some of the authors of this publication are also working on these related projects"
+SLIDESHARE = r"(?i)www\.slideshare\.net"
+ACADEMIA = r"(?i)Academia\.edu"
 PROFILE_PAGES = [
     SIGNATURE,
     SECTION_MORE[0],
     SECTION_MORE[1],
     SECTION_MORE[2],
-    r"(?i)^\s*[A-Za-z0-9_][A-Za-z0-9_\s]*View\s+project\s*[A-Za-z0-9_\s]*\z",
+    VIEW_PROJECT,
     SECTION_MORE[7],
     SECTION_END[1],
     SECTION_END[0],
-    rf"(?i)uploaded by\s+{_ANY}*\s+on\s+{_ANY}*20[0-9]\d",
+    UPLOADED_BY,
     SECTION_MORE[4],
     SECTION_MORE[6],
-    r"(?i)Some of the authors of this publication are also working on these related projects",
+    RELATED_PROJECTS,
     r"(?i)^\s*SlideShare\s*\z",
-    r"(?i)www\.slideshare\.net",
-    r"(?i)Academia\.edu",
+    SLIDESHARE,
+    ACADEMIA,
     r"(?i)^\s*[A-Za-z]+\s*\x{B7}\s*\d{4}\s*\z",
     r"(?i)^\s*[A-Za-z]+\s+\x{B7}\s+[A-Za-z]+\s+\d{4}\s*\z",
     r"(?i)^\s*\d+\s+PUBLICATIONS\s+\d",
@@ -115,19 +121,19 @@ ANYWHERE = {
     SECTION_MORE[7]: "publication",
     SECTION_END[0]: "has requested enhancement",
     SECTION_END[1]: "following this page was uploaded",
-    PROFILE_PAGES[8]: "uploaded by",
-    PROFILE_PAGES[11]: "on these related projects",
-    PROFILE_PAGES[13]: "www.slideshare.net",
-    PROFILE_PAGES[14]: "academia.edu",
+    UPLOADED_BY: "uploaded by",
+    RELATED_PROJECTS: "on these related projects",
+    SLIDESHARE: "www.slideshare.net",
+    ACADEMIA: "academia.edu",
     COPYRIGHT[0]: "\u00a9",
-    PROFILE_PAGES[4]: "view",
+    VIEW_PROJECT: "view",
 }
 SPACED_LETTERS = r"^(?:[a-zA-Z]\s+){3,}[a-zA-Z]?\s*\z"
 DIGITS_ONLY = r"^\d+\z"
 NUMERIC_ONLY = r"^[\d.,/\-+\x{D7}*=|: ]+\z"
 SYLLABLE = r"(?i)[aeiouy]*[bcdfghjklmnpqrstvwxyz]+[aeiouy]*|[^\n\r]"
 
-#: Misread German words and what they were, in order; matches ignore ASCII case.
+#: Misread German words and what they were, in order; matches ignore ASCII case.
 UMLAUTS = [
     (r"\bEr[o0]ffn", "Eröffn"), (r"\bk[o0]nnen\b", "können"), (r"\bm[o0]glich", "möglich"), (r"\bf[o0]rder", "förder"), (r"\bg[o0]ttlich", "göttlich"),
     (r"\bHinzufligungen\b", "Hinzufügungen"), (r"\bVerfligungen\b", "Verfügungen"), (r"\biiber\b", "über"), (r"\bfiir\b", "für"), (r"\bnatiirlich", "natürlich"),
@@ -139,7 +145,7 @@ UMLAUTS = [
 ]
 #: The last three keep what stands around the misread letters and mind the case.
 UMLAUTS_INSIDE = [(r"\b([a-zA-Z]+)iii([a-zA-Z]+)\b", "$1üi$2"), (r"\b([a-zA-Z]+)iie([a-zA-Z]+)\b", "$1üe$2"), (r"\b([a-zA-Z]+)iien\b", "$1üen")]
-#: Steps that clear noise of character recognition, in order.
+#: Steps that clear noise of character recognition, in order.
 NOISE = [
     (r"([^a-zA-ZäöüÄÖÜß])\s{6,}([^a-zA-ZäöüÄÖÜß])", "$1 $2"),
     (r"([^a-zA-ZäöüÄÖÜß])\s{6,}", "$1 "),
