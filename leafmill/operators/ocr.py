@@ -154,8 +154,8 @@ def join_pages(first: str, second: str) -> str:
 
 # -- plans ----------------------------------------------------------------------------------
 
-def structure_pages(pages: DataFrame, levels: list[list[dict]], offsets: dict | None, kind: str = "") -> DataFrame:
-    """book_id, page_no, metrics, body, footnotes of each page. pages: book_id, page_no and lines (text, x0, y0, x1, y1 and
+def structure_pages(pages: DataFrame, levels: list[list[dict]], offsets: dict | None, kind: str = "", key: str = "book_id") -> DataFrame:
+    """book_id (or another ``key``), page_no, metrics, body, footnotes of each page. pages: the key, page_no and lines (text, x0, y0, x1, y1 and
     the first word's symbols). No shuffle: a page is a row."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,17 +164,17 @@ def structure_pages(pages: DataFrame, levels: list[list[dict]], offsets: dict |
             for r in p.itertuples():
                 lines = [dict(x, symbols=list(x["symbols"]) if x.get("symbols") is not None else []) for x in (r.lines if r.lines is not None else [])]
                 metrics = page_metrics(lines, offsets, kind)
-                rows.append((r.book_id, r.page_no, metrics, *page_text(lines, levels, metrics)))
-            yield pd.DataFrame(rows, columns=["book_id", "page_no", "metrics", "body", "footnotes"])
+                rows.append((getattr(r, key), r.page_no, metrics, *page_text(lines, levels, metrics)))
+            yield pd.DataFrame(rows, columns=[key, "page_no", "metrics", "body", "footnotes"])
 
-    return pages.select("book_id", "page_no", "lines").mapInPandas(run, f"book_id long, page_no int, metrics {METRICS}, body string, footnotes string")
+    return pages.select(key, "page_no", "lines").mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, page_no int, metrics {METRICS}, body string, footnotes string")
 
 
-def assemble_books(structured: DataFrame) -> DataFrame:
-    """book_id, text of each book: its pages in order, then its footnotes under their heading. Pages of a book are gathered by
+def assemble_books(structured: DataFrame, key: str = "book_id") -> DataFrame:
+    """book_id (or another ``key``), text of each book: its pages in order, then its footnotes under their heading. Pages of a book are gathered by
     partial aggregation and joined in the JVM; a book is one value, and so bounded as a row is."""
     page = F.struct("page_no", F.coalesce("body", F.lit("")).alias("body"), F.coalesce("footnotes", F.lit("")).alias("footnotes"))
-    books = structured.groupBy("book_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    books = structured.groupBy(key).agg(F.sort_array(F.collect_list(page)).alias("pages"))
     body = join_texts(F.transform("pages", lambda p: p["body"]))
     notes = join_texts(F.concat(F.array(F.lit(f"\n\n{FOOTNOTES}")), F.transform("pages", lambda p: p["footnotes"])))
-    return books.select("book_id", F.concat(body, notes).alias("text"))
+    return books.select(key, F.concat(body, notes).alias("text"))

@@ -7,17 +7,19 @@ import logging
 import threading
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import files as N
 from leafmill.functions.lines import COUNTERS, CleanOptions
-from leafmill.functions.text import boundary_slice
+from leafmill.functions.text import boundary_slice, fix_umlauts, remove_patterns, valid_patterns
 from leafmill.operators.clean import clean_text
+from leafmill.operators.ocr import assemble_books, structure_pages
 from leafmill.sources import store
 from leafmill.sources.files import pdf_text
+from leafmill.sources.manifests import from_books, update_all
 from leafmill.sources.sinks import write_markdown
 
 log = logging.getLogger("leafmill")
@@ -234,16 +236,61 @@ def extract(manifests: DataFrame | None = None, pdf: Callable[..., tuple[int, st
     return run
 
 
+def recognise(pages: DataFrame, levels: list[list[dict]], offsets: dict | None, kind: str = "", removals: tuple[str, ...] = ()) -> Phase:
+    """ocr_text of books that have recognised pages (config_key, page_no, lines): headings and footnotes by layout (noise is cleared
+    where lines are matched with headings), pages joined, misread words mended, patterns of the kind of book removed. Books without pages have none."""
+
+    def run(books: DataFrame) -> DataFrame:
+        made = assemble_books(structure_pages(pages, levels, offsets, kind, "config_key"), "config_key")
+        text = remove_patterns(fix_umlauts(F.col("text")), valid_patterns(books.sparkSession, list(removals)))
+        return books.join(made.select("config_key", text.alias("ocr_text")), "config_key", "left")
+
+    return run
+
+
 def clean(options: CleanOptions = CleanOptions()) -> Phase:
-    return lambda texts: clean_text(texts, options)
+    """cleaned_text and stats; where texts were recognised too, cleaned_ocr of these, by the rules for recognised text."""
+
+    def run(texts: DataFrame) -> DataFrame:
+        out = clean_text(texts, options)
+        if "ocr_text" not in texts.columns:
+            return out
+        ocr = clean_text(out.withColumnsRenamed({"cleaned_text": "_text", "stats": "_stats"}), replace(options, source="ocr"), "ocr_text")
+        cleaned = F.when(F.col("ocr_text").isNotNull(), F.col("cleaned_text")).alias("cleaned_ocr")
+        return ocr.select(*texts.columns, F.col("_text").alias("cleaned_text"), F.col("_stats").alias("stats"), cleaned)
+
+    return run
+
+
+def manifest(folder: str) -> Phase:
+    """Outline and footnotes of recognised books (else of extracted ones) in their manifest files; manifest_changed says where one was written."""
+
+    def run(books: DataFrame) -> DataFrame:
+        text = F.coalesce("ocr_text", "text") if "ocr_text" in books.columns else F.col("text")
+        changes = from_books(books.where("config_key is not null").select("config_key", text.alias("text")))
+        done = update_all(books.sparkSession, folder, changes).select("config_key", F.col("changed").alias("manifest_changed"))
+        return books.join(done, "config_key", "left")
+
+    return run
 
 
 def markdown(folder: str) -> Phase:
-    """One Markdown file for each book, of its cleaned text or else its extracted one: name and path."""
-    return lambda books: write_markdown(books.select(F.col("config_key").alias("name"), F.coalesce("cleaned_text", "text").alias("text")), folder)
+    """One Markdown file for each book, of the best text that it has (cleaned before raw, recognised before extracted): name and path."""
+
+    def run(books: DataFrame) -> DataFrame:
+        texts = [c for c in ("cleaned_ocr", "cleaned_text", "ocr_text", "text") if c in books.columns]
+        return write_markdown(books.select(F.col("config_key").alias("name"), F.coalesce(*texts).alias("text")), folder)
+
+    return run
 
 
-def book_pipeline(manifests: DataFrame | None = None, options: CleanOptions = CleanOptions(), markdown_folder: str | None = None, pdf: Callable[..., tuple[int, str]] | None = None) -> Pipeline:
-    """Detection, extraction and cleaning; with a folder (a URI that executors share), Markdown files at the end."""
-    steps = Pipeline().add("detect", lambda files: detect(files, pdf)).add("extract", extract(manifests, pdf)).add("clean", clean(options))
+def book_pipeline(manifests: DataFrame | None = None, options: CleanOptions = CleanOptions(), markdown_folder: str | None = None, pdf: Callable[..., tuple[int, str]] | None = None, recognised: Phase | None = None, manifest_folder: str | None = None) -> Pipeline:
+    """Detection, extraction and cleaning; recognised pages (a phase of recognise) between these if there are some. With folders (URIs that
+    executors share), outlines go into manifest files and texts into Markdown files at the end."""
+    steps = Pipeline().add("detect", lambda files: detect(files, pdf)).add("extract", extract(manifests, pdf))
+    if recognised:
+        steps.add("recognise", recognised)
+    if manifest_folder:
+        steps.add("manifest", manifest(manifest_folder))
+    steps.add("clean", clean(options))
     return steps.add("markdown", markdown(markdown_folder)) if markdown_folder else steps

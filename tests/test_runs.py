@@ -259,3 +259,35 @@ def test_layers(spark):
     assert (got[1].aggressive, got[1].extra_patterns, got[1].source, got[1].remove_urls) == (True, ["k"], "pdf", False)
     assert (got[2].aggressive, got[2].source, got[2].remove_toc) == (False, "ocr", True) and (got[3].aggressive, got[3].extra_patterns) == (False, []) and not got[4].aggressive
     assert isinstance(Observation("x"), Observation)
+
+
+# -- books from recognised pages ----------------------------------------------------------------
+
+
+def test_recognised_books(spark, tmp_path):
+    from leafmill.plans.pipeline import recognise
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a#t.txt").write_text("embedded text")
+    (tmp_path / "in/b#u.txt").write_text("only embedded")
+    symbol = {"text": "1", "y0": 0.0, "y1": 10.0, "base_y1": 40.0}
+    line = lambda text, x0=300.0, symbols=(): {"text": text, "x0": x0, "y0": 0.0, "x1": 2100.0, "y1": 40.0, "symbols": list(symbols)}
+    rows = [
+        ("a#t", 1, [line("XIV", 1200.0), line("Es ist fiir alle, wie ein docu-"), line("ment sagt, WEG damit, und"), line("1 A note.", 320.0, [symbol])]),
+        ("a#t", 2, [line("geht weiter auf der Seite."), line("w i t h a r e"), line("Ende.")]),
+    ]
+    schema = "config_key string, page_no int, lines array<struct<text:string,x0:double,y0:double,x1:double,y1:double,symbols:array<struct<text:string,y0:double,y1:double,base_y1:double>>>>"
+    pages = spark.createDataFrame([(k, n, [tuple(x[c] if c != "symbols" else [tuple(s.values()) for s in x[c]] for c in ("text", "x0", "y0", "x1", "y1", "symbols")) for x in ls]) for k, n, ls in rows], schema)
+    phase = recognise(pages, [[{"pattern": "{roman-number}"}]], {}, removals=("/WEG [a-z]+/", "(bad"))
+    folder = f"file://{tmp_path}"
+    steps = book_pipeline(recognised=phase, manifest_folder=f"{folder}/m", markdown_folder=f"{folder}/md")
+    assert list(steps.phases) == ["detect", "extract", "recognise", "manifest", "clean", "markdown"]
+    run = steps.start(spark, f"{folder}/run")
+    assert {r.name for r in run.execute(S.binary_files(spark, str(tmp_path / "in"))).collect()} == {"a#t", "b#u"} and run.progress == 100
+    a = (tmp_path / "md/a#t.md").read_text()
+    assert a.startswith("# XIV") and "Es ist für alle, wie ein document sagt, , und geht weiter" in a and "[^1]: A note." in a and (tmp_path / "md/b#u.md").read_text() == "only embedded"
+    m = M.load(f"{tmp_path}/m", "a#t")
+    assert m["structure"][0] == "# XIV" and m["footnotes"] == ["[^1]: A note."] and M.load(f"{tmp_path}/m", "b#u")["structure"] == ["only embedded"]
+    cleaned = spark.read.parquet(f"{folder}/run/04-clean")
+    assert {r.config_key: (r.cleaned_ocr is None, r.cleaned_text) for r in cleaned.collect()} == {"a#t": (False, "embedded text"), "b#u": (True, "only embedded")}
+    assert run.clean_up() and (tmp_path / "md/a#t.md").exists()
