@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafmill.llm import decontamination as D
 from leafmill.llm import html_text as H
@@ -448,6 +449,68 @@ def test_rules(spark, sf, documents, no_docs):
     assert quality.learn_rules(no_docs, labels) == [] and quality.learn_rules(docs, labels.limit(0)) == [] and quality.learn_rules(docs, labels.where("quality = 1")) == []
 
 
+def all_statistics(text):
+    """The statistics that rules test, from the text alone."""
+    text = text or ""
+    n, chars, symbols, dup, repeat = statistics(text)
+    w, lines = SPACE.findall(text), [x for x in text.split("\n") if SPACE.search(x)]
+    upper, digits = len(re.findall("[A-Z]", text)), len(re.findall("[0-9]", text))
+    of, letters = max(n, 1), max(chars, 1)
+    return {
+        "n_words": float(n), "mean_word": chars / of, "symbol_share": symbols / letters, "dup_line_share": dup / max(len(lines), 1), "repeat_share": repeat / of,
+        "distinct_share": len(set(w)) / of, "lines_per_word": len(lines) / of, "upper_share": upper / letters, "digit_share": digits / letters,
+    }
+
+
+def test_verdicts_by_brute_force(spark, sf):
+    """Every document's verdict is what the list says of its statistics, rule by rule."""
+    docs, labels = (spark.read.parquet(f"{sf[:-5]}0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.learn_rules(docs, labels)
+    assert rules
+    got = {r.doc_id: (r.kept, r.rule) for r in quality.digest(quality.apply_rules(docs, rules)).collect()}
+    rejected = 0
+    for r in docs.collect():
+        known = all_statistics(r.text)
+        first = next((i for i, rule in enumerate(rules) if all(known[t.feature] > t.cut if t.above else known[t.feature] <= t.cut for t in rule)), None)
+        failed = known["n_words"] < 20 or known["repeat_share"] > 0.3
+        assert got[r.doc_id] == (not failed and first is None, first)
+        rejected += not failed and first is not None
+    assert rejected > 10
+
+
+def test_held_out_labels(spark, sf):
+    """Rows whose label no rule has seen, in growing, pruning or the test of precision."""
+    docs, labels = (spark.read.parquet(f"{sf[:-5]}0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
+    rules = quality.learn_rules(docs, labels.where(~held))
+    judged = quality.digest(quality.apply_rules(docs, rules)).join(labels.where(held), "doc_id").where("not base_failed")
+    counts = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    good, bad = [counts.get((q, True), 0) + counts.get((q, False), 0) for q in (1, 0)]
+    assert good > 80 and bad > 3 and counts.get((1, True), 0) >= 0.97 * good and counts.get((0, False), 0) >= 0.75 * bad
+
+
+def test_grow_by_brute_force():
+    """Each term has the highest gain of all terms that there are, and rules cover no good row or can't grow on."""
+    import math
+
+    for seed in range(20):
+        rng = random.Random(seed)
+        rows = [{f: float(rng.randint(0, 6)) for f in quality.FEATURES} | {"bad": rng.random() < 0.4} for _ in range(rng.randint(5, 40))]
+        for r in rows:
+            r["bad"] = r["bad"] or r["n_words"] > 4 and r["mean_word"] <= 2
+        left = rows
+        for term in quality.grow(rows):
+            bad = sum(r["bad"] for r in left)
+
+            def gain(f, cut, above, left=left, bad=bad):
+                inside = [r["bad"] for r in left if (r[f] > cut) == above]
+                return sum(inside) * (math.log2(sum(inside) / len(inside)) - math.log2(bad / len(left))) if any(inside) else 0.0
+
+            best = max(gain(f, cut + 0.5, above) for f in quality.FEATURES for cut in range(-1, 7) for above in (True, False))
+            assert abs(gain(term.feature, term.cut, term.above) - best) < 1e-6
+            left = [r for r in left if (r[term.feature] > term.cut) == term.above]
+
+
 # -- archive --
 
 
