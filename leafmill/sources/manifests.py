@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.structure import FOOTNOTES, footnote_list, outline
 from leafmill.sources.store import exists as exists_at
-from leafmill.sources.store import write_file
+from leafmill.sources.store import read_text, write_file
 
 NAME = "book-manifest.yaml"
+#: The folder of the manifest that new ones are made from.
+TEMPLATE = "default"
 FIELDS = ("config_key", "author", "title", "book_index", "text_before", "text_after", "file_type", "page_count", "size", "structure", "footnotes")
 DEFAULT = {"author": "", "title": "", "book_index": None, "text_before": "", "text_after": "", "file_type": "text", "page_count": 0, "size": 0, "structure": [], "footnotes": []}
 SCHEMA = "config_key string, author string, title string, book_index string, text_before string, text_after string, file_type string, page_count long, size long, structure array<string>, footnotes array<string>"
@@ -97,9 +99,16 @@ def save(folder: str, key: str, manifest: dict) -> None:
     write_file(LocalFileSystem(), str(path), dump(merged(document, {k: v for k, v in manifest.items() if k != "config_key"})).encode())
 
 
-def create(folder: str, key: str, **values) -> dict:
+def named(key: str) -> dict:
+    """What a key says: author, title and index."""
     author, title, *index = key.split("#")
-    manifest = DEFAULT | {"author": author, "title": title, "book_index": index[0] if index else None} | values
+    return {"author": author, "title": title, "book_index": index[0] if index else None}
+
+
+def create(folder: str, key: str, **values) -> dict:
+    """A new manifest from the default one, if there is one, else from defaults."""
+    default = path_of(folder, TEMPLATE)
+    manifest = (fields_of(_read(default)) if default.exists() else DEFAULT) | named(key) | values
     save(folder, key, manifest)
     return {"config_key": key} | manifest
 
@@ -111,7 +120,7 @@ def update(folder: str, key: str, **values) -> dict:
 
 
 def available(folder: str) -> list[str]:
-    return sorted(p.parent.name for p in Path(folder).glob(f"*/{NAME}") if p.parent.name != "default")
+    return sorted(p.parent.name for p in Path(folder).glob(f"*/{NAME}") if p.parent.name != TEMPLATE)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,7 +129,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
         return spark.createDataFrame([], "config_key string, content binary")
     found = spark.read.format("binaryFile").option("pathGlobFilter", NAME).option("recursiveFileLookup", True).load(folder)
     keyed = found.select(F.regexp_extract("path", r"([^/]+)/[^/]+\z", 1).alias("config_key"), "content")
-    return keyed.where("config_key <> 'default'")
+    return keyed.where(F.col("config_key") != TEMPLATE)
 
 
 def table(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,11 +181,13 @@ def with_manifests(books: DataFrame, manifests: DataFrame, limit: int = BROADCAS
 
 def update_all(spark: SparkSession, folder: str, changes: DataFrame) -> DataFrame:
     """Merge ``changes`` (config_key and any fields; null leaves a field as it is) into the files below ``folder``, a URI that executors share;
-    files that aren't there yet are made. Returns config_key, path and whether the file changed.
+    files that aren't there yet are made, from the default one where there is one. Returns config_key, path, whether the file changed, and an issue where an older file can't be
+    read; that one stays as it is.
 
     A task joins its keys' old documents with the new values and writes whole files, so it may run again: merging is the same the second
     time. A key's rows should be one; of several any one holds."""
     fields = [f for f in FIELDS[1:] if f in changes.columns]
+    template = parse(read_text(spark, f"{folder}/{TEMPLATE}/{NAME}") or "{}")
     joined = changes.select("config_key", *fields).dropDuplicates(["config_key"]).join(documents(spark, folder), "config_key", "left")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,18 +198,23 @@ def update_all(spark: SparkSession, folder: str, changes: DataFrame) -> DataFram
             rows = []
             for r in p.to_dict("records"):
                 values = {f: [str(x) for x in v] if f in ("structure", "footnotes") else int(v) if f in ("size", "page_count") else v for f in fields if (v := r[f]) is not None and not (isinstance(v, float) and v != v)}
-                old = r["content"]
-                document = parse(bytes(old).decode()) if isinstance(old, bytes | bytearray) else {}
+                old, place = r["content"], f"{base}/{r['config_key']}"
+                try:
+                    document = parse(bytes(old).decode()) if isinstance(old, bytes | bytearray) else {}
+                    if not isinstance(document, dict):
+                        raise ValueError("no mapping of fields")
+                except Exception as e:  # noqa: BLE001  a file that can't be read stays as it is
+                    rows.append((r["config_key"], f"{place}/{NAME}", False, f"{type(e).__name__}: {e}"))
+                    continue
                 if not document:
-                    author, title, *index = r["config_key"].split("#")
-                    values = {"author": author, "title": title, **({"book_index": index[0]} if index else {})} | values
-                place = f"{base}/{r['config_key']}"
+                    document = template
+                    values = {k: v for k, v in named(r["config_key"]).items() if v is not None} | values
                 store.create_dir(place, recursive=True)
-                rows.append((r["config_key"], f"{place}/{NAME}", write_file(store, f"{place}/{NAME}", dump(merged(document, values)).encode())))
-            yield pd.DataFrame(rows, columns=["config_key", "path", "changed"])
+                rows.append((r["config_key"], f"{place}/{NAME}", write_file(store, f"{place}/{NAME}", dump(merged(document, values)).encode()), None))
+            yield pd.DataFrame(rows, columns=["config_key", "path", "changed", "issue"])
 
     usable = joined.where("config_key <> '' and not contains(config_key, '/') and config_key not in ('.', '..')")
-    return usable.mapInPandas(run, "config_key string, path string, changed boolean")
+    return usable.mapInPandas(run, "config_key string, path string, changed boolean, issue string")
 
 
 def from_books(books: DataFrame) -> DataFrame:

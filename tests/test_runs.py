@@ -182,6 +182,8 @@ def test_manifests_by_tasks(spark, tmp_path):
     assert a.structure == ["# A", "one two three four five"] and a.footnotes == ["note"] and a.text_before == "START" and a.size == 7 and a.issue is None
     assert (new.author, new.title, new.book_index, new.structure) == ("ü", "new", "2", ["x"])
     assert "own-key: kept" in (tmp_path / "m/a#t" / M.NAME).read_text() and not list((tmp_path / "m").rglob("*.tmp"))
+    bad = M.update_all(spark, folder, spark.createDataFrame([("bad", 1)], "config_key string, size long")).first()
+    assert not bad.changed and "ParserError" in bad.issue and (tmp_path / "m/bad" / M.NAME).read_text() == "a: [1"
     joined = M.with_manifests(spark.createDataFrame([("a#t",), ("none",)], "config_key string"), M.table(spark, folder))
     assert {r.config_key: r.text_before for r in joined.collect()} == {"a#t": "START", "none": None}
     beyond = M.with_manifests(spark.createDataFrame([("a#t",)], "config_key string"), M.table(spark, folder), limit=0)
@@ -193,6 +195,22 @@ def test_manifests_by_tasks(spark, tmp_path):
     once.clear()
 
 
+def test_template(spark, tmp_path):
+    """New manifests are made from the default one, by tasks and on the driver."""
+    (tmp_path / "default").mkdir()
+    (tmp_path / "default" / M.NAME).write_text("author: ''\ntitle: ''\noriginal:\n  format: pdf\n  book-type: novel\ntext-before-first-chapter: START\n")
+    changes = spark.createDataFrame([("a#t", 5), ("b#u#2", None)], "config_key string, size long")
+    assert M.update_all(spark, f"file://{tmp_path}", changes).where("changed").count() == 2
+    M.create(str(tmp_path), "c#v")
+    rows = {r.config_key: r for r in M.table(spark, f"file://{tmp_path}").collect()}
+    assert {k: (r.author, r.title, r.book_index, r.text_before, r.file_type, r.size) for k, r in rows.items()} == {
+        "a#t": ("a", "t", None, "START", "pdf", 5), "b#u#2": ("b", "u", "2", "START", "pdf", 0), "c#v": ("c", "v", None, "START", "pdf", 0),
+    }
+    assert "book-type: novel" in (tmp_path / "a#t" / M.NAME).read_text()
+    M.update_all(spark, f"file://{tmp_path}", spark.createDataFrame([("a#t", "x")], "config_key string, author string")).count()
+    assert M.load(str(tmp_path), "a#t")["author"] == "x" and M.load(str(tmp_path), "a#t")["size"] == 5
+
+
 def test_many_manifests(spark, tmp_path):
     changes = spark.range(2000).select(F.concat(F.lit("a"), "id", F.lit("#t")).alias("config_key"), F.col("id").alias("size"))
     assert M.update_all(spark, f"file://{tmp_path}", changes).where("changed").count() == 2000
