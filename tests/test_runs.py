@@ -4,11 +4,9 @@ import threading
 import time
 
 import pytest
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from leafmill.functions import files as N
 from leafmill.functions.lines import CleanOptions, RowOptions
 from leafmill.operators.clean import clean_text
 from leafmill.plans import config
@@ -252,7 +250,6 @@ def test_pdf_validation(spark, tmp_path, plain_pages):
     assert got["mixed.pdf"].page_count == 7 and got["mixed.pdf"].pdf_version == "1.7" and got["odd.pdf"].pdf_version == "unknown" and got["text.txt"].content_type is None and got["text.txt"].issues == ["validation"]
     texts = {r.path.rpartition("/")[2]: r.text for r in book_pipeline(pdf=plain_pages).run(files).select("path", "text").collect()}
     assert len(texts["mixed.pdf"]) == 7 * 150 and texts["odd.pdf"] == "" and texts["text.txt"] == "plain words"
-    assert N.pdf_parts.__doc__
 
 
 # -- configuration ----------------------------------------------------------------------------
@@ -276,7 +273,6 @@ def test_layers(spark):
     got = {r.doc_id: r.options for r in config.configured(docs, (kinds, "kind"), (books, "book"), defaults=CleanOptions(remove_urls=False)).collect()}
     assert (got[1].aggressive, got[1].extra_patterns, got[1].source, got[1].remove_urls) == (True, ["k"], "pdf", False)
     assert (got[2].aggressive, got[2].source, got[2].remove_toc) == (False, "ocr", True) and (got[3].aggressive, got[3].extra_patterns) == (False, []) and not got[4].aggressive
-    assert isinstance(Observation("x"), Observation)
 
 
 # -- books from recognised pages ----------------------------------------------------------------
