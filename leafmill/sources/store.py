@@ -50,6 +50,12 @@ def _path(spark: SparkSession, uri: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, uri: str) -> str:
+    """A URI with its scheme and whole path."""
+    path, fs = _path(spark, uri)
+    return fs.makeQualified(path).toString()
+
+
 def exists(spark: SparkSession, uri: str) -> bool:
     path, fs = _path(spark, uri)
     return fs.exists(path)
@@ -107,5 +113,4 @@ def shared(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/leafmill-{getpass.getuser()}"
-    path, fs = _path(spark, f"{base.rstrip('/')}/leafmill/{name}-{uuid.uuid4().hex}")
-    return fs.makeQualified(path).toString()
+    return qualified(spark, f"{base.rstrip('/')}/leafmill/{name}-{uuid.uuid4().hex}")

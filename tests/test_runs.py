@@ -216,6 +216,22 @@ def test_many_manifests(spark, tmp_path):
     assert tuple(got) == (1999 * 1000, 2000, "t")
 
 
+def test_manifests_without_listing(spark, tmp_path):
+    """Updates and reading go by names and list no files through Spark, which asks for each file's owner in a process of its own; hidden
+    keys, folders with a space and manifests further down are found."""
+    folder = f"{tmp_path}/a b"
+    changes = spark.createDataFrame([("_a#t", 1), ("b#t", 2)], "config_key string, size long")
+    assert "binaryFile" not in M.update_all(spark, folder, changes)._jdf.queryExecution().toString() and M.update_all(spark, folder, changes).count() == 2
+    more = M.update_all(spark, folder, spark.createDataFrame([("_a#t", "z")], "config_key string, author string"))
+    assert more.first().changed and more.rdd.getNumPartitions() > 1
+    (tmp_path / "a b/below/c#t").mkdir(parents=True)
+    (tmp_path / "a b/below/c#t" / M.NAME).write_text("author: c\n")
+    found = M.table(spark, folder)
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+    assert {(r.config_key, r.author, r.size) for r in found.collect()} == {("_a#t", "z", 1), ("b#t", "b", 2), ("c#t", "c", 0)}
+    assert M.table(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_markdown_again(spark, tmp_path):
     books = spark.createDataFrame([("a/b", "one"), (None, "two"), ("c", None)], "name string, text string")
     for text in ("one", "other"):
