@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,20 +154,28 @@ def join_pages(first: str, second: str) -> str:
 
 # -- plans ----------------------------------------------------------------------------------
 
+#: Pages that are Python objects at a time: a batch of Arrow has 10,000, each line and sign of which would be a dictionary.
+SLICE = 64
+_METRICS = pa.list_(pa.struct([("type", pa.string()), *((n, pa.float64()) for n in ("min_x0", "max_x0", "average_width", "max_width"))]))
+
+
 def structure_pages(pages: DataFrame, levels: list[list[dict]], offsets: dict | None, kind: str = "", key: str = "book_id") -> DataFrame:
     """book_id (or another ``key``), page_no, metrics, body, footnotes of each page. pages: the key, page_no and lines (text, x0, y0, x1, y1 and
-    the first word's symbols). No shuffle: a page is a row."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for r in p.itertuples():
-                lines = [dict(x, symbols=list(x["symbols"]) if x.get("symbols") is not None else []) for x in (r.lines if r.lines is not None else [])]
-                metrics = page_metrics(lines, offsets, kind)
-                rows.append((getattr(r, key), r.page_no, metrics, *page_text(lines, levels, metrics)))
-            yield pd.DataFrame(rows, columns=[key, "page_no", "metrics", "body", "footnotes"])
-
-    return pages.select(key, "page_no", "lines").mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, page_no int, metrics {METRICS}, body string, footnotes string")
+    the first word's symbols). No shuffle: a page is a row, and few pages are Python objects at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            form = pa.schema([(key, batch.schema.field(key).type), ("page_no", pa.int32()), ("metrics", _METRICS), ("body", pa.string()), ("footnotes", pa.string())])
+            for at in range(0, batch.num_rows, SLICE):
+                rows = []
+                for r in batch.slice(at, SLICE).to_pylist():
+                    lines = [dict(x, symbols=x.get("symbols") or []) for x in r["lines"] or []]
+                    metrics = page_metrics(lines, offsets, kind)
+                    body, notes = page_text(lines, levels, metrics)
+                    rows.append({key: r[key], "page_no": r["page_no"], "metrics": metrics, "body": body, "footnotes": notes})
+                yield pa.RecordBatch.from_pylist(rows, schema=form)
+
+    return pages.select(key, "page_no", "lines").mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, page_no int, metrics {METRICS}, body string, footnotes string")
 
 
 def assemble_books(structured: DataFrame, key: str = "book_id") -> DataFrame:
