@@ -77,7 +77,8 @@ def is_page_number(line: Column, before: Column, after: Column) -> Column:
 
 
 def is_toc_leader(line: Column) -> Column:
-    return _is(line, P.TOC_LEADER)
+    """Only lines that end in a digit are looked at."""
+    return F.substring(F.rtrim(line, F.lit(" \t\r\n\x0b\f")), -1, 1).between("0", "9") & _is(line, P.TOC_LEADER)
 
 
 def is_footnote_marker(line: Column) -> Column:
@@ -111,11 +112,12 @@ def is_url(line: Column) -> Column:
 
 
 def is_ocr_junk(line: Column, ocr: bool | Column) -> Column:
-    """Few words, no digit, and too few letters and spaces for the length."""
+    """Few words, no digit, and too few letters and spaces for the length. A line is read up to the word that is enough."""
     t = trim(line)
-    runs, share = either(ocr, F.lit(3), F.lit(2)), either(ocr, F.lit(0.25), F.lit(0.35))
+    wordy = lambda n: F.regexp_like(t, F.lit(P.words(n)))
+    enough, share = either(ocr, wordy(3), wordy(2)), either(ocr, F.lit(0.25), F.lit(0.35))
     letters = F.length(t) - F.length(F.regexp_replace(t, r"[ A-Za-z\x{C0}-\x{24F}]", ""))
-    return (F.length(t) > 4) & (F.regexp_count(t, F.lit("[A-Za-z]{3,}")) < runs) & ~F.regexp_like(t, F.lit(r"\d")) & (letters / F.length(t) < share)
+    return (F.length(t) > 4) & ~enough & ~F.regexp_like(t, F.lit(r"\d")) & (letters / F.length(t) < share)
 
 
 def may_repeat(trimmed: Column) -> Column:

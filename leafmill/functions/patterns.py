@@ -7,6 +7,8 @@ character, and word edges are written out, since Java's ``\\b`` knows all Unicod
 
 from __future__ import annotations
 
+import re
+
 _ANY = r"[^\n\r]"
 _EDGE = r"(?:[^A-Za-z0-9_]|\z)"
 _START = r"(?:^|[^A-Za-z0-9_])"
@@ -115,7 +117,7 @@ PROFILE_PAGES = [
     r"(?i)^\s*\d+\s+PUBLICATIONS\s+\d",
     SECTION_MORE[5],
 ]
-#: What the patterns of PROFILE_PAGES and COPYRIGHT that may begin anywhere must have, in lower case.
+#: What the patterns of PROFILE_PAGES and COPYRIGHT that may begin anywhere, or look at many words, must have, in lower case.
 ANYWHERE = {
     SIGNATURE: "see discussions, stats",
     SECTION_MORE[7]: "publication",
@@ -127,6 +129,7 @@ ANYWHERE = {
     ACADEMIA: "academia.edu",
     COPYRIGHT[0]: "\u00a9",
     VIEW_PROJECT: "view",
+    SECTION_MORE[6]: "university",
 }
 SPACED_LETTERS = r"^(?:[a-zA-Z]\s+){3,}[a-zA-Z]?\s*\z"
 DIGITS_ONLY = r"^\d+\z"
@@ -171,6 +174,16 @@ def any_of(patterns: list[str]) -> str:
     return "|".join([f"^(?:{'|'.join(anchored)})"] * bool(anchored) + free)
 
 
+def words(n: int) -> str:
+    """A line with ``n`` runs of three letters or more: read once, from its start."""
+    return r"^(?:[^A-Za-z]|[A-Za-z]{1,2}+(?![A-Za-z]))*+" + r"[A-Za-z]{3,}+(?:[^A-Za-z]|[A-Za-z]{1,2}+(?![A-Za-z]))*+" * (n - 1) + "[A-Za-z]{3}"
+
+
+def needed(pattern: str) -> str:
+    """The longest run of letters that stands in all matches, in lower case."""
+    return max(re.findall("[A-Za-z]+", re.sub(r"\(\?=.*|\\b|\([^)]*\)|\[[^]]*\]", " ", pattern)), key=len).lower()
+
+
 def java_words(pattern: str) -> str:
     """``\\b`` as an edge of ASCII word characters, which is what other engines mean by it: the first one stands
     before a letter, others after one."""

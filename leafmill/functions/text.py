@@ -12,6 +12,10 @@ from pyspark.sql.types import StringType
 from . import patterns as P
 
 
+#: A character that normalisation of a line may change or drop, and others beside it: few ranges, since each character of a text is asked for each.
+UNUSUAL = r"[\x{0}-\x{8}\x{B}-\x{C}\x{E}-\x{1F}\x{7F}-\x{A0}\x{1680}-\x{FFFF}]"
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once, however often and deep body uses it."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -67,11 +71,15 @@ def contains_marker(text: Column, marker: Column) -> Column:
 def boundary_slice(text: Column, before: Column, after: Column) -> Column:
     """Text after the first ``before`` up to the first ``after`` from there; a marker that is missing doesn't cut.
     Without both markers given, only white space is collapsed. If the end comes first, all is kept."""
-    t, b, a = nfc(collapse_whitespace(text)), nfc(before), nfc(after)
-    at = F.instr(t, b)
-    start = F.when(at > 0, at + F.length(b)).otherwise(1)
-    none = (F.coalesce(b, F.lit("")) == "") | (F.coalesce(a, F.lit("")) == "")
-    return F.when(none, collapse_whitespace(text)).otherwise(let(F.struct(t.alias("t"), start.alias("s"), (at > 0).alias("found"), a.alias("a")), _cut))
+    # Each is computed once. Runs of white space and composition don't touch each other, so composition sees the text as it came.
+    parts = F.struct(nfc(text).alias("c"), nfc(before).alias("b"), nfc(after).alias("a"))
+
+    def sliced(x: Column) -> Column:
+        found = let(collapse_whitespace(x["c"]), lambda t: let(F.instr(t, x["b"]), lambda at: F.struct(t.alias("t"), F.when(at > 0, at + F.length(x["b"])).otherwise(1).alias("s"), (at > 0).alias("found"), x["a"].alias("a"))))
+        none = (F.coalesce(x["b"], F.lit("")) == "") | (F.coalesce(x["a"], F.lit("")) == "")
+        return F.when(none, collapse_whitespace(text)).otherwise(let(found, _cut))
+
+    return let(parts, sliced)
 
 
 def _cut(x: Column) -> Column:
@@ -82,20 +90,32 @@ def _cut(x: Column) -> Column:
 
 def remove_noise(text: Column) -> Column:
     """Runs of spaces and stray single signs of character recognition."""
-    return trim(reduce(lambda t, step: F.regexp_replace(t, *step), P.NOISE, text))
+    clear = lambda t, steps: reduce(lambda x, step: F.regexp_replace(x, *step), steps, t)
+    runs = [step for step in P.NOISE if r"\s{6,}" in step[0]]
+    # Steps that need a run of six are the first; texts without one are spared them.
+    wide = let(text, lambda t: F.when(F.regexp_like(t, F.lit(r"\s{6}")), clear(t, runs)).otherwise(t))
+    return trim(clear(wide, P.NOISE[len(runs) :]))
+
+
+def _umlaut_steps() -> Column:
+    """In order: a pattern, what replaces it, and what a text must have in lower case to be searched for it."""
+    steps = [(f"(?i){P.java_words(p)}", r, P.needed(p)) for p, r in P.UMLAUTS] + [(P.java_words(p), r, P.needed(p)) for p, r in P.UMLAUTS_INSIDE]
+    return F.array(*(F.struct(*(F.lit(x).alias(k) for k, x in zip(("pattern", "new", "needed"), s, strict=True))) for s in steps))
 
 
-def _umlaut_steps() -> list[tuple[str, str]]:
-    return [(f"(?i){P.java_words(p)}", r) for p, r in P.UMLAUTS] + [(P.java_words(p), r) for p, r in P.UMLAUTS_INSIDE]
+def _with_lower(text: Column) -> Column:
+    return F.struct(text.alias("t"), F.lower(text).alias("low"))
 
 
 def fix_umlauts(text: Column) -> Column:
-    return reduce(lambda t, step: F.regexp_replace(t, *step), _umlaut_steps(), text)
+    step = lambda x, s: F.when(F.contains(x["low"], s["needed"]), let(F.regexp_replace(x["t"], s["pattern"], s["new"]), _with_lower)).otherwise(x)
+    return F.aggregate(_umlaut_steps(), let(text, _with_lower), step)["t"]
 
 
 def count_umlauts(text: Column) -> Column:
     """Corrections, counted on the text as it came."""
-    return reduce(lambda n, step: n + F.regexp_count(text, F.lit(step[0])), _umlaut_steps(), F.lit(0)).cast("long")
+    count = lambda x, s: F.when(F.contains(x["low"], s["needed"]), F.regexp_count(x["t"], s["pattern"])).otherwise(0)
+    return let(let(text, _with_lower), lambda x: F.when(x["t"].isNotNull(), F.aggregate(_umlaut_steps(), F.lit(0), lambda n, s: n + count(x, s)))).cast("long")
 
 
 def valid_patterns(spark, patterns: list[str]) -> list[str]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import patterns as P
 from leafmill.functions.lines import COUNTERS, CleanOptions, RowOptions, drop_reason, either, is_blank, may_repeat, repeat_threshold
-from leafmill.functions.text import is_spaced, let, normalize_unicode, rejoin_spaced, trim
+from leafmill.functions.text import UNUSUAL, is_spaced, let, normalize_unicode, rejoin_spaced, trim
 from leafmill.operators.repeats import fuzzy_flags
 
 ENDS_WITHIN, BLANKS_WITHIN, TRAILING_LINES = 50, 30, 10
@@ -22,6 +22,11 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def normal_lines(text: Column) -> Column:
+    """Lines of the normalised text. Only lines with a character that changes are rewritten."""
+    return F.transform(split_lines(F.replace(text, F.lit("\f"), F.lit("\n"))), lambda x: F.when(F.regexp_like(x, F.lit(UNUSUAL)), normalize_unicode(x)).otherwise(x))
+
+
 # -- sections -------------------------------------------------------------------------------
 
 
@@ -97,7 +102,7 @@ def repeated_lines(lines: Column, threshold: Column) -> Column:
 def rejoin_hyphens(text: Column) -> Column:
     """A word broken by a hyphen at a line end, and the next line if it goes on in lower case. What is joined
     is passed over, so its own end joins nothing."""
-    return F.regexp_replace(text, r"(?<=[A-Za-z0-9_])-[ \t\r]*\n[ \t\r]*([a-z\x{E0}-\x{24F}][^\n]*)", "$1")
+    return F.regexp_replace(text, r"-(?<=[A-Za-z0-9_]-)[ \t\r]*\n[ \t\r]*([a-z\x{E0}-\x{24F}][^\n]*)", "$1")
 
 
 def rewrap(text: Column, aggressive: bool = False, trimmed: bool = False) -> Column:
@@ -105,15 +110,16 @@ def rewrap(text: Column, aggressive: bool = False, trimmed: bool = False) -> Col
     after a comma; if aggressive, whenever the next begins in lower case."""
     lines = text if trimmed else F.regexp_replace(text, r"(?<=\n|^)[ \t\r]+|[ \t\r]+(?=\n|\z)", "")
     ends = "".join("\\" + c if c in "]}\"'" else c for c in P.SENTENCE_ENDS)
-    join = rf"(?<=,)\n(?=[^\n])|(?<=[^\n{ends}])\n(?={P.LOWER})"
+    # The line end comes first, so that nothing is tried at other characters.
+    join = rf"(?<=,\n)(?=[^\n])|(?<=[^\n{ends}]\n)(?={P.LOWER})"
     if aggressive:
-        join += rf"|(?<=[^\n])\n(?={P.NOT_UPPER})"
-    return F.regexp_replace(lines, join, " ")
+        join += rf"|(?<=[^\n]\n)(?={P.NOT_UPPER})"
+    return F.regexp_replace(lines, rf"\n(?:{join})", " ")
 
 
 def collapse_blanks(text: Column) -> Column:
     """Two blank lines in a row at most, none at the ends. Lines are trimmed already."""
-    return F.regexp_replace(F.regexp_replace(text, r"\n{4,}", "\n\n\n"), r"^\n+|\n+\z", "")
+    return F.btrim(F.regexp_replace(text, r"\n{4,}", "\n\n\n"), F.lit("\n"))
 
 
 # -- documents ------------------------------------------------------------------------------
@@ -124,9 +130,9 @@ NO_SECTIONS = "array<struct<first:int,end:int>>"
 
 def _analysed(text: Column, o: CleanOptions | RowOptions) -> Column:
     """lines (after normalisation and sections), sections (their number) and threshold of a document."""
-    has = F.regexp_like(text, F.lit(P.SIGNATURE))
 
     def build(lines: Column) -> Column:
+        has = F.exists(lines, lambda x: F.regexp_like(x, F.lit(P.SIGNATURE)))
         found = F.when(has, sections(lines)).otherwise(F.array().cast(NO_SECTIONS))
         return let(found, lambda s: let(strip_sections(lines, s), lambda left: result(left, F.size(s))))
 
@@ -136,7 +142,7 @@ def _analysed(text: Column, o: CleanOptions | RowOptions) -> Column:
         threshold = repeat_threshold(F.greatest(F.size(left), F.lit(1)), o.aggressive)
         return F.struct(lines.alias("lines"), n.alias("sections"), threshold.alias("threshold"))
 
-    return let(split_lines(normalize_unicode(text)), build)
+    return let(normal_lines(text), build)
 
 
 def _reasons(x: Column, repeated: Column, o: CleanOptions | RowOptions) -> Column:
