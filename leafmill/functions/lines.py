@@ -56,6 +56,10 @@ class RowOptions:
         return self.source == "ocr"
 
 
+#: All patterns at a line's start that name words; the others ask for fewer words, or have words of their own (ANYWHERE).
+PLAIN = P.plain([p for p in P.BOILERPLATE + P.COPYRIGHT + P.ACADEMIC + P.PROFILE_PAGES if p not in P.ANYWHERE])
+
+
 def either(flag: bool | Column, yes: Column, no: Column) -> Column:
     """``yes`` or ``no`` by an option: a constant leaves one of them in the plan, a column decides row by row."""
     if isinstance(flag, Column):
@@ -107,6 +111,16 @@ def is_boilerplate(line: Column) -> Column:
     return found | let(F.lower(line), anywhere)
 
 
+def marks_of(low: Column) -> Column:
+    """Of the words that patterns anywhere in a line need, those that a text in lower case has."""
+    return F.filter(F.array(*map(F.lit, dict.fromkeys(P.ANYWHERE.values()))), lambda w: F.contains(low, w))
+
+
+def is_plain(trimmed: Column, low: Column, marks: Column) -> Column:
+    """Whether no test of a line alone can hold, custom patterns aside: prose, as most lines are, is read by one pattern and is done. marks: marks_of the text."""
+    return F.regexp_like(trimmed, F.lit(PLAIN)) & ~F.exists(marks, lambda w: F.contains(low, w))
+
+
 def is_url(line: Column) -> Column:
     return _is(line, P.URL_LINE)
 
@@ -120,9 +134,13 @@ def is_ocr_junk(line: Column, ocr: bool | Column) -> Column:
     return (F.length(t) > 4) & ~enough & ~F.regexp_like(t, F.lit(r"\d")) & (letters / F.length(t) < share)
 
 
+def long_enough(trimmed: Column) -> Column:
+    return F.length(trimmed) >= 25
+
+
 def may_repeat(trimmed: Column) -> Column:
     """Whether a line is long and wordy enough to count as a repeated header."""
-    return (F.length(trimmed) >= 25) & ~F.regexp_like(trimmed, F.lit(P.DIGITS_ONLY)) & ~F.regexp_like(trimmed, F.lit(P.NUMERIC_ONLY)) & F.contains(trimmed, F.lit(" "))
+    return long_enough(trimmed) & ~F.regexp_like(trimmed, F.lit(P.DIGITS_ONLY)) & ~F.regexp_like(trimmed, F.lit(P.NUMERIC_ONLY)) & F.contains(trimmed, F.lit(" "))
 
 
 def repeat_threshold(lines: Column, aggressive: bool | Column) -> Column:
@@ -131,8 +149,9 @@ def repeat_threshold(lines: Column, aggressive: bool | Column) -> Column:
     return either(aggressive, low, F.greatest(F.lit(3), F.floor(2 + F.sqrt(lines / 25)).cast("int")))
 
 
-def drop_reason(line: Column, before: Column, after: Column, repeated: Column, fuzzy: Column, o: CleanOptions | RowOptions) -> Column:
-    """The first reason that holds, or null. Reasons that are switched off for all rows aren't in the plan."""
+def drop_reason(line: Column, before: Column, after: Column, plain: Column, repeated: Column, fuzzy: Column, o: CleanOptions | RowOptions) -> Column:
+    """The first reason that holds, or null. Reasons that are switched off for all rows aren't in the plan. plain: is_plain of the line, of which the first
+    reasons needn't be asked."""
     by_row = isinstance(o, RowOptions)
     if by_row:
         custom, some = F.exists(o.extra_patterns, lambda p: F.regexp_like(line, F.concat(F.lit("(?i)"), p))), True
@@ -142,14 +161,18 @@ def drop_reason(line: Column, before: Column, after: Column, repeated: Column, f
     steps = [
         ("page_number", is_page_number(line, before, after), True), ("toc_leader", is_toc_leader(line), o.remove_toc), ("footnote_marker", is_footnote_marker(line), True),
         ("orphan_bullet", is_orphan_bullet(line), True), ("separator", is_separator(line), True), ("boilerplate", is_boilerplate(line), o.remove_boilerplate),
-        ("url", is_url(line), o.remove_urls), ("ocr_junk", is_ocr_junk(line, o.ocr), True), ("spaced_letters", is_spaced(line), True), ("repeated", repeated, True),
-        ("fuzzy_repeated", fuzzy, o.aggressive), ("custom", custom, some),
+        ("url", is_url(line), o.remove_urls), ("ocr_junk", is_ocr_junk(line, o.ocr), True), ("spaced_letters", is_spaced(line), True),
     ]
-    out = None
-    for name, holds, on in steps:
-        if isinstance(on, Column):
-            holds = on & holds
-        elif not on:
-            continue
-        out = F.when(holds, name) if out is None else out.when(holds, name)
-    return out
+    others = [("repeated", repeated, True), ("fuzzy_repeated", fuzzy, o.aggressive), ("custom", custom, some)]
+
+    def first(tests: list) -> Column:
+        out = None
+        for name, holds, on in tests:
+            if isinstance(on, Column):
+                holds = on & holds
+            elif not on:
+                continue
+            out = F.when(holds, name) if out is None else out.when(holds, name)
+        return out
+
+    return F.coalesce(F.when(~plain, first(steps)), first(others))

@@ -15,6 +15,9 @@ from . import patterns as P
 #: A character that normalisation of a line may change or drop, and others beside it: few ranges, since each character of a text is asked for each.
 UNUSUAL = r"[\x{0}-\x{8}\x{B}-\x{C}\x{E}-\x{1F}\x{7F}-\x{A0}\x{1680}-\x{FFFF}]"
 
+#: No line without one of these has an unusual character; most lines have none, which two ranges tell.
+BEYOND_LATIN = r"[^ -~\x{A1}-\x{24F}]"
+
 
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once, however often and deep body uses it."""

@@ -7,12 +7,14 @@ input are all the parallelism there is to plan, a lost task reads its split agai
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import patterns as P
-from leafmill.functions.lines import COUNTERS, CleanOptions, RowOptions, drop_reason, either, is_blank, may_repeat, repeat_threshold
-from leafmill.functions.text import UNUSUAL, is_spaced, let, normalize_unicode, rejoin_spaced, trim
+from leafmill.functions.lines import COUNTERS, CleanOptions, RowOptions, drop_reason, either, is_plain, long_enough, marks_of, may_repeat, repeat_threshold
+from leafmill.functions.text import BEYOND_LATIN, UNUSUAL, is_spaced, let, normalize_unicode, rejoin_spaced, trim
 from leafmill.operators.repeats import fuzzy_flags
 
 ENDS_WITHIN, BLANKS_WITHIN, TRAILING_LINES = 50, 30, 10
@@ -24,15 +26,22 @@ def split_lines(text: Column) -> Column:
 
 def normal_lines(text: Column) -> Column:
     """Lines of the normalised text. Only lines with a character that changes are rewritten."""
-    return F.transform(split_lines(F.replace(text, F.lit("\f"), F.lit("\n"))), lambda x: F.when(F.regexp_like(x, F.lit(UNUSUAL)), normalize_unicode(x)).otherwise(x))
+    unusual = lambda x: F.regexp_like(x, F.lit(BEYOND_LATIN)) & F.regexp_like(x, F.lit(UNUSUAL))
+    return F.transform(split_lines(F.replace(text, F.lit("\f"), F.lit("\n"))), lambda x: F.when(unusual(x), normalize_unicode(x)).otherwise(x))
 
 
 # -- sections -------------------------------------------------------------------------------
 
 
-def _where(lines: Column, test) -> Column:
-    """Ascending positions of the lines that pass."""
-    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: test(F.get(lines, i), i))
+def _views(lines: Column) -> Column:
+    """Each line with its trimmed form and in lower case: both are asked for many times."""
+    return F.transform(lines, lambda x: F.struct(x.alias("line"), trim(x).alias("t"), F.lower(x).alias("low")))
+
+
+def _has(view: Column, patterns: list[str]) -> Column:
+    """Whether a line matches one of some patterns of ANYWHERE: what they need is looked for in the lower case first."""
+    some = reduce(lambda a, b: a | b, (F.contains(view["low"], F.lit(P.ANYWHERE[p])) for p in patterns))
+    return some & F.regexp_like(view["line"], F.lit(P.any_of(patterns)))
 
 
 def _first(flags: Column, low: Column, count: Column | int) -> Column:
@@ -45,15 +54,19 @@ def sections(lines: Column) -> Column:
     """Inserted profile pages as (first, end) positions: from a signature to the end marker and what follows it, else
     to two blank lines, else 30 lines on. A signature within a section starts none. A section looks at the lines that it may hold, not
     at all of the document."""
-    any_end = F.lit(P.any_of(P.SECTION_END))
-    more = F.lit(P.any_of(P.SECTION_MORE))
-    blank = lambda i: F.coalesce(is_blank(F.get(lines, i)), F.lit(False))
+    return let(_views(lines), _sections)
+
+
+def _sections(views: Column) -> Column:
+    blank = lambda i: F.coalesce(F.get(views, i)["t"] == "", F.lit(False))
+    # What begins anywhere is looked for where the words that it needs are.
+    begin = F.lit(P.any_of([p for p in P.SECTION_MORE if p not in P.ANYWHERE]))
     parts = F.struct(
-        _where(lines, lambda x, i: F.regexp_like(x, F.lit(P.SIGNATURE))).alias("starts"),
-        F.transform(lines, lambda x: F.regexp_like(x, any_end)).alias("ends"),
-        F.transform(lines, lambda x: ~(F.regexp_like(x, more) | is_blank(x))).alias("others"),
-        F.transform(lines, lambda x, i: is_blank(x) & blank(i + 1)).alias("gaps"),
-        F.size(lines).alias("n"),
+        F.filter(F.transform(views, lambda x, i: F.when(_has(x, [P.SIGNATURE]), i)), lambda i: i.isNotNull()).alias("starts"),
+        F.transform(views, lambda x: _has(x, P.SECTION_END)).alias("ends"),
+        F.transform(views, lambda x: ~((x["t"] == "") | F.regexp_like(x["line"], begin) | _has(x, [p for p in P.SECTION_MORE if p in P.ANYWHERE]))).alias("others"),
+        F.transform(views, lambda x, i: (x["t"] == "") & blank(i + 1)).alias("gaps"),
+        F.size(views).alias("n"),
     )
 
     def end_of(p: Column, i: Column) -> Column:
@@ -76,11 +89,11 @@ def sections(lines: Column) -> Column:
     return let(parts, fold)
 
 
-def strip_sections(lines: Column, found: Column) -> Column:
+def _strip_sections(views: Column, found: Column) -> Column:
     """Lines outside ``found`` (ascending, apart from each other), without a link to statistics among the last ten."""
-    n = F.size(lines)
-    trailing = lambda x, i: (i >= n - TRAILING_LINES) & F.regexp_like(x, F.lit(P.TRAILING))
-    left = F.transform(lines, lambda x, i: F.when(~trailing(x, i), x))
+    n = F.size(views)
+    trailing = lambda x, i: (i >= n - TRAILING_LINES) & F.contains(x["low"], F.lit("publication")) & F.regexp_like(x["line"], F.lit(P.TRAILING))
+    left = F.transform(views, lambda x, i: F.when(~trailing(x, i), x))
     begins = F.concat(F.array(F.lit(0)), F.transform(found, lambda s: s["end"]))
     ends = F.concat(F.transform(found, lambda s: s["first"]), F.array(n))
     between = lambda whole: F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(whole, a + 1, F.greatest(b - a, F.lit(0)))))
@@ -90,10 +103,11 @@ def strip_sections(lines: Column, found: Column) -> Column:
 # -- repeats --------------------------------------------------------------------------------
 
 
-def repeated_lines(lines: Column, threshold: Column) -> Column:
-    """Trimmed lines that are there ``threshold`` times or more and may count as headers; each once."""
-    wordy = F.sort_array(F.filter(F.transform(lines, trim), may_repeat))
-    return let(wordy, lambda w: F.array_distinct(F.filter(w, lambda x, i: F.coalesce(F.get(w, i + threshold - 1) == x, F.lit(False)))))
+def repeated_lines(trimmed: Column, threshold: Column) -> Column:
+    """Trimmed lines that are there ``threshold`` times or more and may count as headers; each once. Whether a line may is asked of those that are there so often."""
+    long = F.sort_array(F.filter(trimmed, long_enough))
+    often = let(long, lambda w: F.array_distinct(F.filter(w, lambda x, i: F.coalesce(F.get(w, i + threshold - 1) == x, F.lit(False)))))
+    return F.filter(often, may_repeat)
 
 
 # -- mending --------------------------------------------------------------------------------
@@ -131,24 +145,29 @@ NO_SECTIONS = "array<struct<first:int,end:int>>"
 def _analysed(text: Column, o: CleanOptions | RowOptions) -> Column:
     """lines (after normalisation and sections), sections (their number) and threshold of a document."""
 
-    def build(lines: Column) -> Column:
-        has = F.exists(lines, lambda x: F.regexp_like(x, F.lit(P.SIGNATURE)))
-        found = F.when(has, sections(lines)).otherwise(F.array().cast(NO_SECTIONS))
-        return let(found, lambda s: let(strip_sections(lines, s), lambda left: result(left, F.size(s))))
+    def build(views: Column) -> Column:
+        has = F.exists(views, lambda x: _has(x, [P.SIGNATURE]))
+        found = F.when(has, _sections(views)).otherwise(F.array().cast(NO_SECTIONS))
+        return let(found, lambda s: let(_strip_sections(views, s), lambda left: result(left, F.size(s))))
 
     def result(left: Column, n: Column) -> Column:
         # A document whose every line is in a section still has one, empty, line.
-        lines = F.when(F.size(left) == 0, F.array(F.lit(""))).otherwise(left)
+        empty = F.array(F.struct(*(F.lit("").alias(k) for k in ("line", "t", "low"))))
         threshold = repeat_threshold(F.greatest(F.size(left), F.lit(1)), o.aggressive)
-        return F.struct(lines.alias("lines"), n.alias("sections"), threshold.alias("threshold"))
+        return let(F.when(F.size(left) == 0, empty).otherwise(left), lambda x: F.struct(x["line"].alias("lines"), x["t"].alias("trimmed"), x["low"].alias("low"), n.alias("sections"), threshold.alias("threshold")))
 
-    return let(normal_lines(text), build)
+    return let(_views(normal_lines(text)), build)
 
 
 def _reasons(x: Column, repeated: Column, o: CleanOptions | RowOptions) -> Column:
-    lines = x["lines"]
-    at = lambda i: F.coalesce(F.get(lines, i), F.lit(""))
-    return F.transform(lines, lambda line, i: drop_reason(line, at(i - 1), at(i + 1), F.array_contains(repeated, trim(line)), F.get(x["fuzzy"], i), o))
+    lines, trimmed = x["lines"], x["trimmed"]
+    blank = lambda i: F.coalesce(F.get(trimmed, i), F.lit(""))
+
+    def reason(line: Column, i: Column, marks: Column) -> Column:
+        t = F.get(trimmed, i)
+        return drop_reason(line, blank(i - 1), blank(i + 1), is_plain(t, F.get(x["low"], i), marks), F.array_contains(repeated, t), F.get(x["fuzzy"], i), o)
+
+    return let(let(F.array_join(x["low"], "\n"), marks_of), lambda marks: F.transform(lines, lambda line, i: reason(line, i, marks)))
 
 
 def _fuzzy(lines: Column, threshold: Column, aggressive: bool | Column) -> Column:
@@ -160,18 +179,18 @@ def _fuzzy(lines: Column, threshold: Column, aggressive: bool | Column) -> Colum
 
 
 def line_table(docs: DataFrame, options: CleanOptions | RowOptions = CleanOptions(), text: str = "text", finish=None) -> DataFrame:
-    """docs with a struct column ``_doc``: lines, sections, threshold, fuzzy, repeated, reasons (why each line goes, null if it
+    """docs with a struct column ``_doc``: lines, trimmed, sections, threshold, fuzzy, repeated, reasons (why each line goes, null if it
     stays). Null text counts as empty. finish: makes another struct of it, in the same projection."""
     whole = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_doc", _analysed(whole, options))
     fuzzy = _fuzzy(F.col("_doc.lines"), F.col("_doc.threshold"), options.aggressive)
-    names = ("lines", "sections", "threshold", "fuzzy", "repeated", "reasons")
+    names = ("lines", "trimmed", "sections", "threshold")
 
     def judge(x: Column) -> Column:
-        return let(repeated_lines(x["lines"], x["threshold"]), lambda r: let(_reasons(x, r, options), lambda why: F.struct(*(x[k].alias(k) for k in names[:4]), r.alias("repeated"), why.alias("reasons"))))
+        return let(repeated_lines(x["trimmed"], x["threshold"]), lambda r: let(_reasons(x, r, options), lambda why: F.struct(*(x[k].alias(k) for k in names), x["fuzzy"].alias("fuzzy"), r.alias("repeated"), why.alias("reasons"))))
 
     # Each step's value is bound once: the optimiser may merge projections, but not repeat them within a line.
-    x = F.struct(F.col("_doc.lines").alias("lines"), F.col("_doc.sections").alias("sections"), F.col("_doc.threshold").alias("threshold"), fuzzy.alias("fuzzy"))
+    x = F.struct(*(F.col(f"_doc.{k}").alias(k) for k in (*names, "low")), fuzzy.alias("fuzzy"))
     return out.withColumn("_doc", let(x, lambda y: let(judge(y), finish) if finish else judge(y)))
 
 
@@ -181,10 +200,9 @@ def clean_text(docs: DataFrame, options: CleanOptions | RowOptions = CleanOption
     counters = {c: [r for r, k in COUNTERS.items() if k == c] for c in dict.fromkeys(COUNTERS.values())}
 
     def finish(x: Column) -> Column:
-        kept = F.filter(x["lines"], lambda line, i: F.get(x["reasons"], i).isNull())
-        kept = either(options.ocr, F.transform(kept, lambda line: F.when(is_spaced(line), rejoin_spaced(line)).otherwise(line)), kept)
-        # Blanks at line ends don't matter from here on, and lines are cheaper to trim one by one.
-        whole = F.array_join(F.transform(kept, trim), "\n")
+        # Blanks at line ends don't matter from here on.
+        kept = F.filter(x["trimmed"], lambda line, i: F.get(x["reasons"], i).isNull())
+        whole = F.array_join(either(options.ocr, F.transform(kept, lambda line: F.when(is_spaced(line), rejoin_spaced(line)).otherwise(line)), kept), "\n")
         joined = let(rejoin_hyphens(whole), lambda t: either(options.aggressive, rewrap(t, True, trimmed=True), rewrap(t, False, trimmed=True)))
         return let(collapse_blanks(joined), lambda t: F.struct(t.alias("text"), stats(x, t).alias("stats")))
 

@@ -72,8 +72,14 @@ def dirty_sql(engine: str) -> str:
     norm AS (SELECT doc_id, {{norm}} AS text FROM dirty_docs)"""
 
 
+def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of ``documents``, dealt by doc_id. A file of one row group is read by one task: work on the texts belongs behind the exchange, and
+    grouping by doc_id then needs no other."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition("doc_id")
+
+
 def dirty_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
+    spread(spark, sf_dir).createOrReplaceTempView("documents")
     return spark.sql(dirty_sql("spark"))
 
 

@@ -1,5 +1,6 @@
 """Steps do no more than they must, and give what the plain way gives."""
 
+import random
 import re
 
 import pyarrow as pa
@@ -9,7 +10,8 @@ from leafmill.functions import lines as L
 from leafmill.functions import patterns as P
 from leafmill.functions import text as T
 from leafmill.operators import clean as C
-from leafmill.operators import ocr
+from leafmill.operators import ocr, repeats
+from leafmill.plans.queries import QUERIES
 
 
 def test_unusual_characters(spark):
@@ -86,3 +88,26 @@ def test_junk_by_rows(spark):
     rows = spark.createDataFrame([("#%&^^~~++==",), ("abc" + "#" * 40 + "def",), ("plain words stand here",)], "x string")
     got = rows.select(*(L.is_ocr_junk(F.col("x"), o) for o in (False, True, F.lit(True)))).collect()
     assert [tuple(r) for r in got] == [(True, True, True), (False, True, True), (False, False, False)]
+
+
+def test_plain_lines_have_no_reason(spark):
+    """One pattern tells prose: every line that it passes has no reason, and none of those that a pattern is about is passed."""
+    words = ["plain words stand here", "Über alle Berge und", "a b c d e", "one two three 7", "x·y"]
+    marked = ["Not for distribution", "For internal use", "internal use only", "proprietary and confidential", "All rights reserved.", "Copyright by somebody, 2024 and on", "Printed in some far land", "Available online 3 May", "Received some time, Accepted later on",
+              "Contents lists available at some place", "journal homepage: some where or other", "Elsevier B.V.", "doi: some where or other", "draft", "ISBN 978", "see profile", "Alle Rechte vorbehalten", "do not distribute", "Jane Doe · 2020", "two words here © 2020 x",
+              "words then View publication stats here", "the big old House University", "it was uploaded by me on May 2020 then", "read Academia.edu for more words", "my old paper View project here", "https://example.org/some/long/path", "www.example.org/abc/def/ghi", "someone@example.org.abc.def"]
+    junk = ["#%&^^~~++==", "a b c d e f", "w i t h a r e", "Some old title ..... 12", "Some old title ___ 7 ", "[12]", "3.", "", "  ", "page 3 of 10"]
+    rows = [(a + x,) for x in words + marked + junk for a in ("", "  ", "\x0b", "é")] + [(x + b,) for x in words + marked + junk for b in (" and more words to it", " 12", "\t", "\x0b", ".")] + [(x.upper(),) for x in marked]
+    docs, line, low = spark.createDataFrame(rows, "x string"), F.col("x"), F.lower("x")
+    for ocr in (False, True):
+        why = lambda plain: L.drop_reason(line, F.lit(""), F.lit(""), plain, F.lit(False), F.lit(False), L.CleanOptions(source="ocr" if ocr else "pdf"))  # noqa: B023, E731
+        plain = L.is_plain(T.trim(line), low, L.marks_of(low))
+        got = docs.select("x", plain.alias("plain"), why(F.lit(False)).alias("long"), why(plain).alias("short")).collect()
+        assert not [r for r in got if r.long != r.short]
+        assert sum(r.plain for r in got) > 20 and all(r.plain for r in got if r.x in ("plain words stand here", "Über alle Berge und"))
+
+
+def test_repeats_are_searched_before_they_are_judged(spark):
+    lines = ["Running header of a document"] * 3 + ["1234567890123456789012345678"] * 3 + ["12,345 67,890 12,345 67,890 1"] * 3 + ["short"] * 9 + ["Running header that is alone"]
+    got = spark.createDataFrame([(lines,)], "x array<string>").select(C.repeated_lines(F.col("x"), F.lit(3)).alias("r")).first()
+    assert got.r == ["Running header of a document"]
