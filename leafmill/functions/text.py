@@ -43,7 +43,8 @@ def normalize_unicode(text: Column) -> Column:
 
 def collapse_whitespace(text: Column) -> Column:
     """Each run of two white-space characters or more, line ends included, as one space."""
-    return F.regexp_replace(text, P.JS_SPACE + "{2,}", " ")
+    # Letters and signs of ASCII, that most characters are, are passed over by one range.
+    return F.regexp_replace(text, f"(?![!-~]){P.JS_SPACE}{{2,}}", " ")
 
 
 @F.pandas_udf(StringType())
@@ -54,7 +55,7 @@ def _nfc(texts: pd.Series) -> pd.Series:
 def nfc(text: Column) -> Column:
     """Canonical composition. No character below U+0300 is changed by it, so most texts never leave the JVM:
     only those with one beyond go through Arrow."""
-    return F.when(F.regexp_like(text, F.lit(r"[^\x{0}-\x{2FF}]")), _nfc(F.when(F.regexp_like(text, F.lit(r"[^\x{0}-\x{2FF}]")), text))).otherwise(text)
+    return F.coalesce(_nfc(F.when(F.regexp_like(text, F.lit(r"[^\x{0}-\x{2FF}]")), text)), text)
 
 
 def normalize_text(text: Column) -> Column:
@@ -86,9 +87,9 @@ def boundary_slice(text: Column, before: Column, after: Column) -> Column:
 
 
 def _cut(x: Column) -> Column:
-    end = F.position(x["a"], x["t"], x["s"])
     # An end at the start leaves nothing between the markers: then the whole document is kept.
-    return F.when(x["found"] & (end > 0) & (end <= x["s"]), x["t"]).when(end > 0, F.substring(x["t"], x["s"], end - x["s"])).otherwise(F.substring(x["t"], x["s"], F.length(x["t"])))
+    cut = lambda end: F.when(x["found"] & (end > 0) & (end <= x["s"]), x["t"]).when(end > 0, F.substring(x["t"], x["s"], end - x["s"])).otherwise(F.substring(x["t"], x["s"], F.length(x["t"])))
+    return let(F.position(x["a"], x["t"], x["s"]), cut)
 
 
 def remove_noise(text: Column) -> Column:

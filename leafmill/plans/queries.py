@@ -219,7 +219,7 @@ _MARKED = "SELECT doc_id, text, CASE doc_id % 4 WHEN 3 THEN 'no such marker' ELS
 s AS (SELECT *, instr(t, b) AS fnd FROM t), u AS (SELECT *, CASE WHEN fnd > 0 THEN fnd + length(b) ELSE 1 END AS st FROM s), v AS (SELECT *, instr(substring(t, st::BIGINT), a) AS rel FROM u)
 SELECT doc_id, CASE WHEN b = '' OR a = '' THEN t WHEN fnd > 0 AND rel = 1 THEN t WHEN rel > 0 THEN substring(t, st::BIGINT, (rel - 1)::BIGINT) ELSE substring(t, st::BIGINT) END AS text FROM v""")
 def boundary_slice(spark, sf_dir):
-    _table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    X.spread(spark, sf_dir).createOrReplaceTempView("documents")
     m = spark.sql(_MARKED)
     return m.select("doc_id", T.boundary_slice(F.col("text"), F.col("before_"), F.col("after_")).alias("text"))
 

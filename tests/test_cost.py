@@ -111,3 +111,11 @@ def test_repeats_are_searched_before_they_are_judged(spark):
     lines = ["Running header of a document"] * 3 + ["1234567890123456789012345678"] * 3 + ["12,345 67,890 12,345 67,890 1"] * 3 + ["short"] * 9 + ["Running header that is alone"]
     got = spark.createDataFrame([(lines,)], "x array<string>").select(C.repeated_lines(F.col("x"), F.lit(3)).alias("r")).first()
     assert got.r == ["Running header of a document"]
+
+
+def test_white_space_runs_of_texts(spark):
+    """What is passed over first is no white space."""
+    every = "".join(map(chr, [*range(1, 0x300), 0x1680, *range(0x2000, 0x2030), 0x205F, 0x3000, 0xFEFF]))
+    text = "".join(f"a{c}{c}b{c}c" for c in every)
+    df = spark.createDataFrame([(text,), ("",), (None,)], "t string")
+    assert not df.where(~T.collapse_whitespace(F.col("t")).eqNullSafe(F.regexp_replace("t", P.JS_SPACE + "{2,}", " "))).count()
