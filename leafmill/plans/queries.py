@@ -136,8 +136,9 @@ def fuzzy_repeats(spark, sf_dir):
 # -- mending --------------------------------------------------------------------------------
 
 
-def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lambda x: F.array_join(F.filter(x["lines"], lambda line, i: F.get(x["reasons"], i).isNull()), "\n")
+def _kept(spark: SparkSession, sf_dir: str, form: str = "lines") -> DataFrame:
+    """Texts of the lines that stay, as they are or in another form of _doc: trimmed."""
+    kept = lambda x: F.array_join(F.filter(x[form], lambda line, i: F.get(x["reasons"], i).isNull()), "\n")
     return C.line_table(_docs(spark, sf_dir), OPTIONS, finish=kept).select("doc_id", F.col("_doc").alias("text"))
 
 
@@ -148,18 +149,17 @@ def hyphen_rejoin(spark, sf_dir):
 
 @query(f"{O.cleaned()} {O.joined('wrapped', 'line', 'g')}")
 def rewrap(spark, sf_dir):
-    return _kept(spark, sf_dir).select("doc_id", C.rewrap(C.rejoin_hyphens(F.col("text"))).alias("text"))
-
+    return _kept(spark, sf_dir, "trimmed").select("doc_id", C.rewrap(C.rejoin_hyphens(F.col("text")), trimmed=True).alias("text"))
 
 
 @query(f"{O.cleaned(aggressive=True)} {O.joined('wrapped', 'line', 'g')}".replace("greatest(2, floor(1 + sqrt(n / 30)))", "greatest(3, floor(2 + sqrt(n / 25)))"))
 def rewrap_aggressive(spark, sf_dir):
-    return _kept(spark, sf_dir).select("doc_id", C.rewrap(C.rejoin_hyphens(F.col("text")), True).alias("text"))
+    return _kept(spark, sf_dir, "trimmed").select("doc_id", C.rewrap(C.rejoin_hyphens(F.col("text")), True, trimmed=True).alias("text"))
 
 
 @query(f"{O.cleaned()} SELECT doc_id, cleaned_text AS text FROM doc")
 def collapse_blanks(spark, sf_dir):
-    return _kept(spark, sf_dir).select("doc_id", C.collapse_blanks(C.rewrap(C.rejoin_hyphens(F.col("text")))).alias("text"))
+    return _kept(spark, sf_dir, "trimmed").select("doc_id", C.collapse_blanks(C.rewrap(C.rejoin_hyphens(F.col("text")), trimmed=True)).alias("text"))
 
 
 @query(f"{O.cleaned()} SELECT doc_id, cleaned_text FROM doc")

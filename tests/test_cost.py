@@ -90,6 +90,15 @@ def test_junk_by_rows(spark):
     assert [tuple(r) for r in got] == [(True, True, True), (False, True, True), (False, False, False)]
 
 
+def test_work_is_behind_the_exchange(spark, sf):
+    """Documents are dealt by their id as they are read: one exchange, and below it the scan alone."""
+    for name in ("rewrap", "clean_text_aggressive", "boundary_slice"):
+        run = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert run.count("Exchange hashpartitioning(doc_id") == run.count("Exchange ") == 1, name
+        below = run.split("Exchange hashpartitioning(doc_id")[1]
+        assert "Generate" not in below and "ArrowEvalPython" not in below and "Aggregate" not in below, name
+
+
 def test_plain_lines_have_no_reason(spark):
     """One pattern tells prose: every line that it passes has no reason, and none of those that a pattern is about is passed."""
     words = ["plain words stand here", "Über alle Berge und", "a b c d e", "one two three 7", "x·y"]
