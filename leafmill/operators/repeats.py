@@ -15,6 +15,8 @@ from leafmill.functions.text import let
 
 SIMILARITY = 0.85
 GAP = 0.25
+#: Up to so many different lines of about one length, up to so long, are compared by counts of hashed pairs; beyond, by the index.
+FEW, SHORT, BINS = 32, 2000, 512
 
 
 def dice(a: str, b: str) -> float:
@@ -93,6 +95,31 @@ class _Pairs:
         return near[2 * shared / (n[near] + n[i] - 2) >= SIMILARITY]
 
 
+class _Counts:
+    """A few different lines of about one length. Character pairs are counted in bins: what two lines share in their bins is no less than the pairs
+    that they share, so only lines that may be alike by it are compared by ``dice``."""
+
+    def __init__(self, lines: list[str], counts: np.ndarray):
+        self.lines = lines
+        n = np.array([len(x) for x in lines])
+        bound = np.minimum(counts[:, None], counts[None]).sum(-1, dtype=np.int64)
+        self.may = 2 * bound / (n[:, None] + n - 2) >= SIMILARITY
+
+    def alike(self, i: int, free: np.ndarray) -> np.ndarray:
+        """Free lines that are like line ``i``, in order."""
+        return np.array([j for j in np.flatnonzero(self.may[i] & free) if j != i and dice(self.lines[i], self.lines[j]) >= SIMILARITY], np.int64)
+
+
+def _binned(lines: list[str]) -> np.ndarray:
+    """Counts of each line's character pairs by bin; lines have two characters or more."""
+    n = np.array([len(x) for x in lines])
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(lines)), n)
+    within = row[1:] == row[:-1]
+    pairs = (c[:-1] * 31 + c[1:] * 7919) % BINS
+    return np.bincount((row[:-1] * BINS + pairs)[within], minlength=len(lines) * BINS).reshape(-1, BINS).astype(np.int32)
+
+
 def fuzzy_repeats(lines: list[str], threshold: int) -> list[bool]:
     """Which lines belong to a group of ``threshold`` lines or more that are alike.
 
@@ -109,15 +136,19 @@ def fuzzy_repeats(lines: list[str], threshold: int) -> list[bool]:
         places: dict[str, list[int]] = {}
         for i, t in rows:
             places.setdefault(t, []).append(i)
-        copies, pairs = list(places.values()), _Pairs(list(places))
+        copies, texts = list(places.values()), list(places)
+        if len(texts) == 1:
+            pairs = None
+        else:
+            pairs = _Counts(texts, _binned(texts)) if len(texts) <= FEW and len(texts[0]) <= SHORT else _Pairs(texts)
         free = np.ones(len(copies), bool)
         # A line that is taken is taken with all its copies: what is like one is like the others.
         for k in range(len(copies)):
             if not free[k]:
                 continue
-            like = pairs.alike(k, free)
+            like = pairs.alike(k, free) if pairs else ()
             free[k] = False
-            free[like] = False
+            free[list(like)] = False
             group = [*copies[k], *(i for m in like for i in copies[m])]
             if len(group) >= threshold:
                 for i in group:

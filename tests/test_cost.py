@@ -116,6 +116,19 @@ def test_plain_lines_have_no_reason(spark):
         assert sum(r.plain for r in got) > 20 and all(r.plain for r in got if r.x in ("plain words stand here", "Über alle Berge und"))
 
 
+def test_few_lines_are_compared(monkeypatch):
+    """Of a few lines of about one length only those that may be alike are compared pair by pair; the index gives the same."""
+    calls, plain = [], repeats.dice
+    monkeypatch.setattr(repeats, "dice", lambda a, b: calls.append(1) or plain(a, b))
+    r = random.Random(3)
+    prose = [" ".join("".join(r.choice("etaoinshrdlu") for _ in range(5)) for _ in range(20)) for _ in range(30)]
+    lines = prose + [prose[0][:-1] + "x", prose[0][:-1] + "y"]
+    few = repeats.fuzzy_repeats(lines, 3)
+    assert few == [i in (0, 30, 31) for i in range(32)] and len(calls) < 20
+    monkeypatch.setattr(repeats, "FEW", 0)
+    assert repeats.fuzzy_repeats(lines, 3) == few
+
+
 def test_repeats_are_searched_before_they_are_judged(spark):
     lines = ["Running header of a document"] * 3 + ["1234567890123456789012345678"] * 3 + ["12,345 67,890 12,345 67,890 1"] * 3 + ["short"] * 9 + ["Running header that is alone"]
     got = spark.createDataFrame([(lines,)], "x array<string>").select(C.repeated_lines(F.col("x"), F.lit(3)).alias("r")).first()
